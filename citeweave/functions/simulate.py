@@ -1,0 +1,49 @@
+"""Deterministic stand-ins for the warehouse's random attributes.
+
+The warehouse draws quartile, impact score, citations and country at random
+without a seed.  We derive each from an md5 bucket of (salt, title, id), so
+a re-run, a retried task or another engine gives the same value.  Integer
+arithmetic only, so the SQL oracle reproduces it bit for bit.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from ..constants import (CITATION_FACTOR_MAX, COUNTRIES, IMPACT_MAX_CENTS, IMPACT_MIN_CENTS,
+                         QUARTILE_WEIGHTS, QUARTILES)
+
+
+def bucket(salt: str, title: Column, ingest_id: Column) -> Column:
+    """Unsigned 32-bit number from the first 8 hex digits of md5(salt|title|id)."""
+    key = F.concat(F.lit(salt + "|"), F.coalesce(title, F.lit("")), F.lit("|"), ingest_id.cast("string"))
+    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")
+
+
+def quartile(title: Column, ingest_id: Column) -> Column:
+    """Q1..Q4 with weights .4/.3/.2/.1 by the bucket modulo 10."""
+    u = bucket("quartile", title, ingest_id) % 10
+    expr, upper = None, 0
+    for q, w in zip(QUARTILES, QUARTILE_WEIGHTS):
+        upper += w
+        expr = F.when(u < upper, q) if expr is None else expr.when(u < upper, q)
+    return expr
+
+
+def impact_cents(title: Column, ingest_id: Column) -> Column:
+    """Impact score in cents, uniform over 50..1000."""
+    span = IMPACT_MAX_CENTS - IMPACT_MIN_CENTS + 1
+    return F.lit(IMPACT_MIN_CENTS) + bucket("impact", title, ingest_id) % span
+
+
+def citations(cents: Column, title: Column, ingest_id: Column) -> Column:
+    """int(impact * factor) with factor uniform over 1..20, in integer cents."""
+    factor = F.lit(1) + bucket("citations", title, ingest_id) % CITATION_FACTOR_MAX
+    return F.floor((cents * factor) / 100).cast("bigint")
+
+
+def country(title: Column, ingest_id: Column) -> Column:
+    """One of the eight countries, uniform."""
+    u = bucket("country", title, ingest_id) % len(COUNTRIES)
+    return F.element_at(F.array(*[F.lit(c) for c in COUNTRIES]), (u + 1).cast("int"))
