@@ -18,7 +18,11 @@ MISSING_ABSTRACT = "N/A"
 
 # --- fixed values: patterns ------------------------------------------------
 EXACT_YEAR = r"^\d{4}$"                    # trends keeps only exact years
-YEAR_IN_TEXT = r"\b(19|20)\d{2}\b"         # first year in a result container
+# Word boundaries are spelled out as Unicode classes (letters, digits, "_"),
+# the meaning of ``\b`` in the collectors' Python regexes; the same pattern
+# then reads alike in Java and RE2.
+NOT_WORD = r"[^\p{L}\p{N}_]"
+YEAR_IN_TEXT = r"(?:^|" + NOT_WORD + r")((?:19|20)\d{2})(?:" + NOT_WORD + r"|$)"   # group 1
 CLEAN_YEAR = r"20\d{2}"                    # warehouse year, no word boundary
 CLEAN_YEAR_DEFAULT = 2024
 TRAILING_COUNTRY = r",\s([A-Za-z]+)$"      # last one-word country of an affiliation

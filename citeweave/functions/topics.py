@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..constants import TOPIC_DEFAULT, TOPIC_RULES
+from ..constants import NOT_WORD, TOPIC_DEFAULT, TOPIC_RULES
+
+
+def whole_word_pattern(word: str) -> str:
+    return f"(?:^|{NOT_WORD}){word}(?:{NOT_WORD}|$)"
 
 
 def topic_label(title: Column, rules=TOPIC_RULES, default: str = TOPIC_DEFAULT,
@@ -13,7 +17,8 @@ def topic_label(title: Column, rules=TOPIC_RULES, default: str = TOPIC_DEFAULT,
     """First rule whose keyword occurs in the lower-cased title, else ``default``.
 
     By default keywords match as substrings, as in the dashboard ("ai" hits
-    "blockchain"); ``whole_word=True`` matches ``\\bkeyword\\b`` instead.
+    "blockchain"); ``whole_word=True`` matches a keyword only between
+    non-word characters (Unicode letters, digits and ``_`` are word characters).
     A NULL title falls through to the default.
     """
     t = F.lower(title)
@@ -21,7 +26,7 @@ def topic_label(title: Column, rules=TOPIC_RULES, default: str = TOPIC_DEFAULT,
     for label, words in rules:
         cond = None
         for w in words:
-            hit = t.rlike(rf"\b{w}\b") if whole_word else t.contains(w)
+            hit = t.rlike(whole_word_pattern(w)) if whole_word else t.contains(w)
             cond = hit if cond is None else (cond | hit)
         expr = F.when(cond, F.lit(label)) if expr is None else expr.when(cond, F.lit(label))
     return F.lit(default) if expr is None else expr.otherwise(F.lit(default))

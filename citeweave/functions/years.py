@@ -15,7 +15,7 @@ def is_exact_year(c: Column) -> Column:
 
 def year_in_text(text: Column, default: str) -> Column:
     """First stand-alone 19xx/20xx year in free text, else ``default``."""
-    y = F.regexp_extract(text, YEAR_IN_TEXT, 0)
+    y = F.regexp_extract(text, YEAR_IN_TEXT, 1)
     return F.when(y.isNull() | (y == ""), F.lit(default)).otherwise(y)
 
 

@@ -27,11 +27,10 @@ PAIR_CHUNK = 256
 
 def _names(df: DataFrame, id_col: str) -> DataFrame:
     """Per paper: sorted distinct names ``d``, their count ``m``, and names listed twice or more."""
-    parts = graph_author_parts(F.col("authors"))
-    s = F.array_sort(parts)
+    s = F.col("s")
     dup_pos = F.filter(F.sequence(F.lit(1), F.greatest(F.size(s), F.lit(1))),
                        lambda k: (k < F.size(s)) & (F.element_at(s, k) == F.element_at(s, k + 1)))
-    return (df.select(F.col(id_col).alias("paper"), s.alias("s"))
+    return (df.select(F.col(id_col).alias("paper"), F.array_sort(graph_author_parts(F.col("authors"))).alias("s"))
             .where(F.col("s").isNotNull())
             .select("paper",
                     F.array_distinct("s").alias("d"),

@@ -10,7 +10,9 @@ from __future__ import annotations
 
 from ..constants import (COUNTRIES, ENGLISH_STOP_WORDS, QUARTILE_WEIGHTS, QUARTILES, TOPIC_DEFAULT,
                          TOPIC_RULES)
+from ..constants import YEAR_IN_TEXT
 from ..functions.text import CSV_NA_STRINGS
+from ..functions.topics import whole_word_pattern
 
 
 def q(s: str) -> str:
@@ -99,7 +101,7 @@ def topic_sql(col: str, whole_word: bool = False) -> str:
     whens = []
     for label, words in TOPIC_RULES:
         if whole_word:
-            cond = " OR ".join(f"regexp_matches({t}, {q(chr(92) + 'b' + w + chr(92) + 'b')})" for w in words)
+            cond = " OR ".join(f"regexp_matches({t}, {q(whole_word_pattern(w))})" for w in words)
         else:
             cond = " OR ".join(f"contains({t}, {q(w)})" for w in words)
         whens.append(f"WHEN {cond} THEN {q(label)}")
@@ -119,8 +121,8 @@ def edges_sql(src: str) -> str:
     return f"""
 names AS (
   SELECT ingest_id AS paper,
-         list_transform(list_filter(string_split(a, ','), x -> length(x) > 2),
-                        x -> {STRIP.format(x='x')}) AS nm
+         list_transform(list_filter(string_split(a, ','), lambda x: length(x) > 2),
+                        lambda x: {STRIP.format(x='x')}) AS nm
   FROM (SELECT ingest_id, {CSV_NULL_AUTHORS} AS a FROM {src}) WHERE a IS NOT NULL),
 pos AS (SELECT paper, unnest(nm) AS name, unnest(range(len(nm))) AS p FROM names),
 pairs AS (
@@ -172,7 +174,7 @@ def _field_sql(pat: str, default: str) -> str:
             f"ELSE {q(default)} END")
 
 
-_YEAR = r"regexp_extract(" + visible_sql("c") + r", '\b(19|20)\d{2}\b', 0)"
+_YEAR = "regexp_extract(" + visible_sql("c") + f", {q(YEAR_IN_TEXT)}, 1)"
 PAGES = f"""
 page_rows AS (
   SELECT page_id, url, regexp_extract_all(html, {q(CONTAINER)}, 1) AS arr FROM pages
@@ -194,7 +196,7 @@ extracted AS (
 
 FACT_COLS = "ingest_id, title, authors, Annee, Pays, Journal, Quartile, Citations, Impact_Score, abstract_"
 ART_COLS = "ingest_id, title, authors, date_pub, source, journal, abstract_, affiliations"
-TRIMMED_AUTHORS = (f"SELECT unnest(list_transform(string_split(a, ','), x -> {STRIP.format(x='x')})) AS author "
+TRIMMED_AUTHORS = (f"SELECT unnest(list_transform(string_split(a, ','), lambda x: {STRIP.format(x='x')})) AS author "
                    f"FROM (SELECT {CSV_NULL_AUTHORS} AS a FROM dash) WHERE a IS NOT NULL")
 BOX = f"""
 box AS (
