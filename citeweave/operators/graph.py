@@ -39,26 +39,34 @@ def _names(df: DataFrame, id_col: str) -> DataFrame:
 
 
 def _pairs(d: Column, m: Column, chunk: Column, width: int) -> Column:
-    """Pairs (d[i], d[j]) for j > i and i in this chunk's start positions."""
-    starts = F.filter(F.sequence(chunk * width, chunk * width + (width - 1)), lambda i: i < m - 1)
-    return F.flatten(F.transform(starts, lambda i: F.transform(
-        F.slice(d, i + 2, m - i - 1), lambda y: F.struct(d[i].alias("src"), y.alias("dst")))))
+    """Pairs (d[i], d[j]) for j > i, i over this chunk's start positions (at most ``width``)."""
+    first = chunk * width
+    starts = F.sequence(first, F.least(first + (width - 1), m - 2))
+    return F.when(m >= 2, F.flatten(F.transform(starts, lambda i: F.transform(
+        F.slice(d, i + 2, m - i - 1), lambda y: F.struct(d[i].alias("src"), y.alias("dst"))))))
 
 
 def paper_pairs(df: DataFrame, id_col: str = "ingest_id", chunk: int = PAIR_CHUNK) -> DataFrame:
-    """One row per (paper, src, dst) with src <= dst, self-loops included."""
+    """One row per (paper, src, dst) with src <= dst, self-loops included.
+
+    ``explode_outer`` plus a NULL filter keeps the optimizer from copying the
+    pair expression into an inferred ``size(p) > 0`` filter, which would
+    build every pair list twice.
+    """
     names = _names(df, id_col)
     loops = F.transform(F.col("loops"), lambda x: F.struct(x.alias("src"), x.alias("dst")))
-    short = (names.where(F.col("m") <= chunk)
-             .select("paper", F.concat(_pairs(F.col("d"), F.col("m"), F.lit(0), chunk), loops).alias("p")))
-    long_ = (names.where(F.col("m") > chunk)
+    d, m, c = F.col("d"), F.col("m"), F.col("c")
+    short = (names.where(m <= chunk)
+             .select("paper", F.concat(F.coalesce(_pairs(d, m, F.lit(0), chunk), F.array()), loops).alias("p")))
+    long_ = (names.where(m > chunk)
              .select("paper", "d", "m", "loops",
-                     F.explode(F.sequence(F.lit(0), F.floor((F.col("m") - 2) / chunk).cast("int"))).alias("c"))
+                     F.explode(F.sequence(F.lit(0), F.floor((m - 2) / chunk).cast("int"))).alias("c"))
              .repartition("paper", "c")
-             .select("paper", F.concat(_pairs(F.col("d"), F.col("m"), F.col("c"), chunk),
-                                       F.when(F.col("c") == 0, loops).otherwise(F.array())).alias("p")))
+             .select("paper", F.concat(_pairs(d, m, c, chunk),
+                                       F.when(c == 0, loops).otherwise(F.array())).alias("p")))
     return (short.unionByName(long_)
-            .select("paper", F.explode("p").alias("e"))
+            .select("paper", F.explode_outer("p").alias("e"))
+            .where(F.col("e").isNotNull())
             .select("paper", "e.src", "e.dst"))
 
 

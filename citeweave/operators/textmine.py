@@ -1,10 +1,15 @@
 """Text operators of the analysis stage.
 
-Tokens come from Spark ML's ``Tokenizer`` (lower-case, split on each
-whitespace character) and ``StopWordsRemover`` (Spark's English list), both
-JVM transformers.  Everything after that is long-form DataFrame work keyed
-by (doc, term), so no per-document vector or vocabulary map ever sits in a
-Python worker or the driver:
+Tokens follow Spark ML's ``Tokenizer`` (lower-case, split on each
+whitespace character, trailing empty tokens dropped as Java's
+``String.split`` does) and ``StopWordsRemover`` (Spark's English list,
+case-insensitive), written as native expressions: unlike the ML
+transformers (opaque Scala UDFs) they join whole-stage codegen and let Spark
+reuse one tokenisation exchange for several branches of a plan.
+``tests/test_text.py`` checks both forms give the same tokens.  Everything
+after that is long-form DataFrame work keyed by (doc, term), so no
+per-document vector or vocabulary map ever sits in a Python worker or the
+driver:
 
 * term frequency  = count of (doc, term)            -> shuffle on (doc, term)
 * document freq   = count of docs per term           -> shuffle on term
@@ -22,7 +27,7 @@ construction.
 from __future__ import annotations
 
 from pyspark.ml.feature import StopWordsRemover, Tokenizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import ENGLISH_STOP_WORDS, MIN_DF, VOCAB_SIZE
@@ -39,16 +44,54 @@ def valid_abstracts(df: DataFrame, id_col: str = "ingest_id", keep: tuple[str, .
             .select(F.col(id_col).alias("doc_id"), *keep, F.col(tc).alias("text_content")))
 
 
+# --- fixed values: the characters of Java's ``\s`` class -----------------
+JAVA_WHITESPACE = " \t\n\x0b\f\r"
+
+
+def words(text: Column) -> Column:
+    """M1: ``Tokenizer`` semantics: lower-case, split at each whitespace character,
+    trailing empty tokens dropped (``""`` gives one empty token, all-blank text none)."""
+    low = F.lower(text)
+    body = F.rtrim(low, F.lit(JAVA_WHITESPACE))
+    return (F.when(low == "", F.array(F.lit("")))
+            .when(body == "", F.array().cast("array<string>"))
+            .otherwise(F.split(body, r"\s")))
+
+
+def drop_stop_words(tokens: Column, stop_words: list[str] = ENGLISH_STOP_WORDS) -> Column:
+    """M2: ``StopWordsRemover`` semantics, case-insensitive (the list is lower case)."""
+    stop = sorted({w.lower() for w in stop_words})
+    return F.filter(tokens, lambda x: ~F.lower(x).isin(stop))
+
+
 def tokenize(docs: DataFrame, stop_words: list[str] = ENGLISH_STOP_WORDS) -> DataFrame:
-    """M1/M2: adds ``words`` (all tokens) and ``filtered`` (stop words removed, case-insensitive)."""
+    """M1/M2: adds ``words`` (all tokens) and ``filtered`` (stop words removed)."""
+    return (docs.withColumn("words", words(F.col("text_content")))
+            .withColumn("filtered", drop_stop_words(F.col("words"), stop_words)))
+
+
+def tokenize_ml(docs: DataFrame, stop_words: list[str] = ENGLISH_STOP_WORDS) -> DataFrame:
+    """The same tokens through the ML transformers (reference form for tests)."""
     tok = Tokenizer(inputCol="text_content", outputCol="words").transform(docs)
     return StopWordsRemover(inputCol="words", outputCol="filtered", stopWords=stop_words,
                             caseSensitive=False, locale="en_US").transform(tok)
 
 
+def content_terms(tokens: DataFrame, *keep: str, stop_words: list[str] = ENGLISH_STOP_WORDS) -> DataFrame:
+    """One row per kept token: ``words`` exploded, stop words dropped by a hash-set
+    ``NOT IN`` (tokens are already lower case), all inside whole-stage codegen.
+
+    A document without tokens gives no rows."""
+    stop = sorted({w.lower() for w in stop_words})
+    # explode_outer: an inner explode makes the optimizer add a size(words) > 0
+    # filter below it, which would tokenise every document twice
+    return (tokens.select("doc_id", *keep, F.explode_outer("words").alias("term"))
+            .where(F.col("term").isNotNull() & ~F.col("term").isin(stop)))
+
+
 def doc_term_counts(tokens: DataFrame) -> DataFrame:
-    """(doc_id, term, tf) over the filtered tokens."""
-    return (tokens.select("doc_id", F.explode("filtered").alias("term"))
+    """(doc_id, term, tf) over the tokens without stop words."""
+    return (content_terms(tokens)
             .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
@@ -111,7 +154,7 @@ def weak_signals(tokens: DataFrame, period: str = "period", n: int = 20,
     when it appears in at least ``min_docs`` and at most ``max_doc_share`` of
     all documents.  Returns the ``n`` terms with the highest positive growth.
     """
-    dt = (tokens.select("doc_id", F.col(period).alias("period"), F.explode("filtered").alias("term"))
+    dt = (content_terms(tokens, period).withColumnRenamed(period, "period")
           .where(F.col("term") != "").distinct())
     per_period = tokens.groupBy(F.col(period).alias("period")).agg(F.count(F.lit(1)).alias("period_docs"))
     bounds = per_period.agg(F.max("period").alias("last"), (F.count(F.lit(1)) - 1).alias("n_earlier"),
