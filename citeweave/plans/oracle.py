@@ -159,7 +159,8 @@ def visible_sql(x: str) -> str:
     t = f"regexp_replace({x}, '<[^>]*>', ' ', 'g')"
     for ent, ch in _ENT:
         t = f"replace({t}, {q(ent)}, {q(ch)})"
-    return rf"regexp_replace(regexp_replace({t}, '\s+', ' ', 'g'), '^ | $', '', 'g')"
+    t = rf"regexp_replace(regexp_replace({t}, '\s+', ' ', 'g'), '^ | $', '', 'g')"
+    return rf"regexp_replace({t}, ' ([,.;:!?])', '\1', 'g')"
 
 
 CONTAINER = r"(?s)<article[^>]*>(.*?)</article>"

@@ -46,25 +46,40 @@ class ExtractRule:
     date_default: str
 
 
+def has_class(names: str) -> str:
+    """Regex for a ``class`` attribute holding one of ``names`` (``a|b``) as a whole token."""
+    return f'class="(?:[^"]*\\s)?(?:{names})(?:\\s[^"]*)?"'
+
+
+def containers_from(names: str) -> str:
+    """A container runs from a tag with one of the classes to the next such tag (or the end):
+    regexes cannot balance nested tags, so containers are cut at their successors' starts."""
+    start = f"<[a-zA-Z][a-zA-Z0-9]*[^>]*{has_class(names)}[^>]*>"
+    return f"(?s){start}(.*?)(?={start}|\\z)"
+
+
 # --- fixed values: selector rules (CSS selectors of the collectors as regex) --
 ACM_RULE = ExtractRule(
     "acm", r"^https?://dl\.acm\.org/",
-    r'(?s)<li[^>]*class="[^"]*\b(?:issue-item|search-result__item|search__item)\b[^"]*"[^>]*>(.*?)</li>',
-    r'(?s)class="[^"]*\b(?:issue-item__title|hlFld-Title)\b[^"]*"[^>]*>.*?<a[^>]*>(.*?)</a>',
-    r'(?s)<ul[^>]*class="[^"]*\brlist--inline\b[^"]*"[^>]*>(.*?)</ul>',
+    containers_from("issue-item|search-result__item"),
+    f"(?s){has_class('issue-item__title|hlFld-Title')}[^>]*>.*?<a[^>]*>(.*?)</a>",
+    f"(?s)<ul[^>]*{has_class('rlist--inline')}[^>]*>(.*?)</ul>",
     "ACM Digital Library", "ACM", UNKNOWN_DATE)
 IEEE_RULE = ExtractRule(
     "ieee", r"^https?://ieeexplore\.ieee\.org/",
-    r'(?s)<div[^>]*class="[^"]*\b(?:xpl-results-item|result-item)\b[^"]*"[^>]*>(.*?)</xpl-results-item>',
-    r'(?s)<(?:h2|h3)[^>]*>\s*<a[^>]*>(.*?)</a>',
-    r'(?s)<p[^>]*class="[^"]*\b(?:author|xpl-authors-name-list)\b[^"]*"[^>]*>(.*?)</p>',
+    containers_from("xpl-results-item|result-item"),
+    f"(?s)(?:<h3[^>]*{has_class('text-md-md-lh')}[^>]*>|<h2[^>]*>|{has_class('result-item-title')}[^>]*>)"
+    r"\s*(?:<[^a/][^>]*>\s*)*<a[^>]*>(.*?)</a>",
+    f"(?s)<(?:p|xpl-authors-name-list)[^>]*{has_class('author|xpl-authors-name-list')}[^>]*>(.*?)"
+    "</(?:p|xpl-authors-name-list)>",
     "IEEE Xplore", "IEEE", UNKNOWN_DATE)
 SCIENCEDIRECT_RULE = ExtractRule(
     "sciencedirect", r"^https?://(?:www\.)?sciencedirect\.com/",
-    r'(?s)<li[^>]*class="[^"]*\bResultItem\b[^"]*"[^>]*>(.*?)</li>',
-    r'(?s)<h2[^>]*>.*?<a[^>]*>(.*?)</a>',
-    r'(?s)<ol[^>]*class="[^"]*\bAuthors\b[^"]*"[^>]*>(.*?)</ol>',
+    containers_from("ResultItem"),
+    r"(?s)<h2[^>]*>.*?<a[^>]*>(.*?)</a>",
+    f"(?s)<ol[^>]*{has_class('Authors')}[^>]*>(.*?)</ol>",
     "ScienceDirect", "ScienceDirect Journal", UNKNOWN_DATE_SHORT)
+# Any other page: each <article> is one result, its <h1> the title.
 GENERIC_RULE = ExtractRule(
     "web", r"^https?://",
     r"(?s)<article[^>]*>(.*?)</article>",
@@ -81,11 +96,12 @@ HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)"
 
 def visible_text(html: Column) -> Column:
     """Rendered text of an html fragment: tags become blanks, entities decoded,
-    whitespace runs collapsed, ends stripped."""
+    whitespace runs collapsed, ends stripped, no blank before punctuation."""
     t = F.regexp_replace(html, r"<[^>]*>", " ")
     for ent, ch in ENTITIES:
         t = F.replace(t, F.lit(ent), F.lit(ch))
-    return F.regexp_replace(F.regexp_replace(t, r"\s+", " "), r"^ | $", "")
+    t = F.regexp_replace(F.regexp_replace(t, r"\s+", " "), r"^ | $", "")
+    return F.regexp_replace(t, r" ([,.;:!?])", "$1")
 
 
 def _pick(rule_idx: Column, values: list[Column]) -> Column:
