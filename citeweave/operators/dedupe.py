@@ -18,11 +18,25 @@ from pyspark.sql import functions as F
 SOURCE_ID_STRIDE = 1 << 40
 
 
+def kept_ids(df: DataFrame, key: str = "title", order: str = "ingest_id") -> DataFrame:
+    """The smallest ``order`` per title: a fixed-width hash aggregate over two
+    columns, partial-aggregated map-side (a hot title costs one row per task)."""
+    return df.groupBy(key).agg(F.min(order).alias("_keep")).select("_keep")
+
+
 def dedupe_titles(df: DataFrame, key: str = "title", order: str = "ingest_id") -> DataFrame:
-    """A2: one row per title (NULL titles form one group), the one with the smallest ``order``."""
-    others = [c for c in df.columns if c != key]
-    best = F.min_by(F.struct(*others), F.col(order)).alias("_keep")
-    return df.groupBy(key).agg(best).select(key, "_keep.*").select(*df.columns)
+    """A2: one row per title (NULL titles form one group), the one with the smallest ``order``.
+
+    Two steps instead of ``min_by(struct(*), order)``, which Spark can only
+    run as a sort aggregate that sorts every row with its whole payload:
+    (1) the kept id per title (``kept_ids``), (2) a semi-join of the rows on
+    their unique id.  The join key is unique, so no partition can be hot;
+    it runs as a shuffled hash join (build side: ids only), or as a
+    broadcast join when AQE measures the id side under the threshold.
+    ``order`` must be unique per row.
+    """
+    keep = kept_ids(df, key, order)
+    return df.join(keep.hint("shuffle_hash"), df[order] == keep["_keep"], "left_semi")
 
 
 def duplicate_titles(df: DataFrame, key: str = "title", order: str = "ingest_id") -> DataFrame:
@@ -39,8 +53,8 @@ def duplicate_titles(df: DataFrame, key: str = "title", order: str = "ingest_id"
 
 def surplus_rows(df: DataFrame, key: str = "title", order: str = "ingest_id") -> DataFrame:
     """Rows keep-first removes (the delete-where-id-in list), as a join on the unique id."""
-    kept = dedupe_titles(df.select(key, order), key, order)
-    return df.join(kept.select(order), order, "left_anti")
+    keep = kept_ids(df, key, order)
+    return df.join(keep.hint("shuffle_hash"), df[order] == keep["_keep"], "left_anti")
 
 
 def dedupe_report(df: DataFrame, key: str = "title") -> DataFrame:
@@ -55,15 +69,24 @@ def dedupe_report(df: DataFrame, key: str = "title") -> DataFrame:
 
 
 def insert_if_absent(batch: DataFrame, existing: DataFrame, key: str = "title",
-                     order: str = "ingest_id") -> DataFrame:
+                     order: str = "ingest_id", broadcast_batch: bool = False) -> DataFrame:
     """Rows of ``batch`` whose title the table does not hold yet.
 
     The batch is deduplicated first (one insert per title, the first one);
     the title test is NULL-safe, like a unique index that treats a missing
     title as one value.  Append the result to the table to apply it.
+
+    ``broadcast_batch=True`` is for a caller that has checked the batch is
+    small (a micro-batch): the batch's titles are broadcast and the table is
+    only filtered map-side against them, so the table is never shuffled.
+    Otherwise the table's distinct titles are shuffled against the batch.
     """
     fresh = dedupe_titles(batch, key, order)
-    present = existing.select(F.col(key).alias("_k")).distinct()
+    present = existing.select(F.col(key).alias("_k"))
+    if broadcast_batch:
+        bt = F.broadcast(fresh.select(F.col(key).alias("_b")))
+        present = present.join(bt, present["_k"].eqNullSafe(bt["_b"]), "left_semi")
+    present = present.distinct()
     return fresh.join(present, fresh[key].eqNullSafe(present["_k"]), "left_anti")
 
 

@@ -30,18 +30,33 @@ def _table_or_empty(spark: SparkSession, path: str) -> DataFrame:
         raise
 
 
+# Micro-batches up to this many rows broadcast their titles against the table.
+BROADCAST_BATCH_ROWS = 500_000
+MAX_FILES_PER_TRIGGER = 1000
+
+
 def start_title_ingest(spark: SparkSession, landing: str, table_path: str, checkpoint: str,
-                       max_files_per_trigger: int | None = None):
-    """Start an ``availableNow`` ingest of every file in ``landing`` not seen before."""
+                       max_files_per_trigger: int | None = MAX_FILES_PER_TRIGGER):
+    """Start an ``availableNow`` ingest of every file in ``landing`` not seen before.
+
+    ``maxFilesPerTrigger`` bounds each micro-batch; a batch whose row count is
+    under ``BROADCAST_BATCH_ROWS`` is checked against the table by a
+    broadcast of its titles, a larger one by a shuffle join.
+    """
     reader = spark.readStream.schema(COLLECTION_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.json(landing)
 
     def insert_batch(batch: DataFrame, batch_id: int) -> None:
-        table = _table_or_empty(batch.sparkSession, table_path)
-        fresh = insert_if_absent(batch, table).select(*COLLECTION_SCHEMA.fieldNames())
-        fresh.write.mode("append").parquet(table_path)
+        batch = batch.persist()
+        try:
+            small = batch.count() <= BROADCAST_BATCH_ROWS
+            table = _table_or_empty(batch.sparkSession, table_path)
+            fresh = insert_if_absent(batch, table, broadcast_batch=small)
+            fresh.select(*COLLECTION_SCHEMA.fieldNames()).write.mode("append").parquet(table_path)
+        finally:
+            batch.unpersist()
 
     return (stream.writeStream.foreachBatch(insert_batch)
             .option("checkpointLocation", checkpoint)
