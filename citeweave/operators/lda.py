@@ -9,6 +9,7 @@ a join with the vocabulary, not a driver loop.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import IDF, CountVectorizerModel
 from pyspark.sql import DataFrame
@@ -30,10 +31,16 @@ def lda_topics(tokens: DataFrame, vocab: DataFrame, k: int = LDA_K, max_iter: in
         return spark.createDataFrame([], TOPICS_SCHEMA)
     terms = [r["term"] for r in vocab.orderBy("term_index").limit(VOCAB_SIZE).collect()]
     cv = CountVectorizerModel.from_vocabulary(terms, inputCol="filtered", outputCol="rawFeatures")
-    tf = cv.transform(tokens.select("filtered"))
-    weighted = IDF(inputCol="rawFeatures", outputCol="features").fit(tf).transform(tf)
-    model = LDA(k=k, maxIter=max_iter, optimizer="online", seed=seed,
-                featuresCol="features").fit(weighted)
+    # sparse TF vectors are read by the IDF fit and by every LDA iteration:
+    # keep them (memory, spilling to disk) instead of re-tokenising each pass;
+    # a lost block is recomputed from the landed collection
+    tf = cv.transform(tokens.select("filtered")).select("rawFeatures").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        weighted = IDF(inputCol="rawFeatures", outputCol="features").fit(tf).transform(tf)
+        model = LDA(k=k, maxIter=max_iter, optimizer="online", seed=seed,
+                    featuresCol="features").fit(weighted)
+    finally:
+        tf.unpersist()
     desc = model.describeTopics(n_terms)
     picked = desc.select(F.col("topic").alias("Topic"),
                          F.posexplode("termIndices").alias("pos", "term_index"))

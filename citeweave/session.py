@@ -69,6 +69,15 @@ def work_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([base, "citeweave", spark.sparkContext.applicationId, *parts])
 
 
+def spread(df, factor: int = 1):
+    """Round-robin rows over at least ``defaultParallelism * factor`` partitions, only
+    when the input has fewer: for CPU-heavy per-row work (regexes over whole pages)
+    on inputs stored in a few large files.  Inputs that already come in enough
+    splits are left alone, so no shuffle is added at scale."""
+    want = df.sparkSession.sparkContext.defaultParallelism * factor
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 def is_local_path(path: str) -> bool:
     return "://" not in path or path.startswith("file:")
 

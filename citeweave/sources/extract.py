@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..constants import MISSING_ABSTRACT, UNKNOWN_AUTHORS, UNKNOWN_DATE, UNKNOWN_DATE_SHORT, UNKNOWN_TITLE
 from ..functions.years import year_in_text
+from ..session import spread
 
 # Page id times this stride plus the container's position gives the ingest id.
 CONTAINER_STRIDE = 1 << 16
@@ -125,7 +126,7 @@ def extract_articles(pages: DataFrame, rules: list[ExtractRule] = DEFAULT_RULES)
         idx = F.when(url.rlike(r.url_pattern), i) if idx is None else idx.when(url.rlike(r.url_pattern), i)
     host = F.regexp_extract(url, HOST, 1)
     containers = _pick(F.col("rule"), [F.regexp_extract_all(F.col("html"), F.lit(r.container), 1) for r in rules])
-    found = (pages.select("page_id", "url", "html", idx.alias("rule"))
+    found = (spread(pages.select("page_id", "url", "html", idx.alias("rule")))
              .where(F.col("rule").isNotNull())
              .select("page_id", "url", "rule", F.posexplode(containers).alias("pos", "c")))
     c, rule = F.col("c"), F.col("rule")
