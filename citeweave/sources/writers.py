@@ -24,6 +24,12 @@ def export_collection(df: DataFrame, path: str, id_col: str = "ingest_id") -> No
     df.drop(id_col).write.mode("overwrite").json(path)
 
 
+def export_source(df: DataFrame, source: str, path: str, id_col: str = "ingest_id") -> None:
+    """S7 as each collector does it: the rows of one source (P6 filter), without the id.
+    The filter reaches the Parquet scan of a landed collection."""
+    df.where(F.col("source") == source).drop(id_col).write.mode("overwrite").json(path)
+
+
 def export_by_source(df: DataFrame, path: str, id_col: str = "ingest_id") -> DataFrame:
     """One JSON export per source in a single job (``source=<name>/`` folders).
 

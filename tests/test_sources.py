@@ -45,6 +45,8 @@ def test_exports(spark, scratch):
     writers.export_collection(df, os.path.join(scratch, "all"))
     back = spark.read.json(os.path.join(scratch, "all"))
     assert "ingest_id" not in back.columns and back.count() == 2
+    writers.export_source(df, "IEEE Xplore", os.path.join(scratch, "ieee"))
+    assert [r["title"] for r in spark.read.json(os.path.join(scratch, "ieee")).collect()] == ["a"]
     by = writers.export_by_source(df, os.path.join(scratch, "by_source"))
     assert sorted(x for x in os.listdir(os.path.join(scratch, "by_source")) if x.startswith("source=")) == [
         "source=ACM Digital Library", "source=IEEE Xplore"]
