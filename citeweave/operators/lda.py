@@ -30,11 +30,13 @@ def lda_topics(tokens: DataFrame, vocab: DataFrame, k: int = LDA_K, max_iter: in
     if tokens.isEmpty():
         return spark.createDataFrame([], TOPICS_SCHEMA)
     terms = [r["term"] for r in vocab.orderBy("term_index").limit(VOCAB_SIZE).collect()]
-    cv = CountVectorizerModel.from_vocabulary(terms, inputCol="filtered", outputCol="rawFeatures")
+    # stop words are never in the vocabulary, so counting vocabulary terms over
+    # all tokens gives the same vectors as over the filtered tokens
+    cv = CountVectorizerModel.from_vocabulary(terms, inputCol="words", outputCol="rawFeatures")
     # sparse TF vectors are read by the IDF fit and by every LDA iteration:
     # keep them (memory, spilling to disk) instead of re-tokenising each pass;
     # a lost block is recomputed from the landed collection
-    tf = cv.transform(tokens.select("filtered")).select("rawFeatures").persist(StorageLevel.MEMORY_AND_DISK)
+    tf = cv.transform(tokens.select("words")).select("rawFeatures").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         weighted = IDF(inputCol="rawFeatures", outputCol="features").fit(tf).transform(tf)
         model = LDA(k=k, maxIter=max_iter, optimizer="online", seed=seed,

@@ -19,9 +19,9 @@ driver:
 * idf             = ln((N + 1) / (df + 1)), as Spark ML's IDF
 * tf-idf          = tf * idf
 
-Vocabulary-sized tables (at most ``VOCAB_SIZE`` rows) and one-row global
-aggregates are the only broadcast sides; their size is bounded by
-construction.
+Vocabulary-sized tables (at most ``VOCAB_SIZE`` rows) and per-period
+tables are the only broadcast sides; their size is bounded by construction.
+Global counts enter as scalar subqueries (one value each), not joins.
 """
 
 from __future__ import annotations
@@ -118,10 +118,8 @@ def tfidf(tf: DataFrame, vocab: DataFrame, docs: DataFrame) -> DataFrame:
     ``df`` counts the documents holding the term and ``N`` all documents,
     including those without any vocabulary term, as Spark ML's IDF does.
     """
-    n_docs = docs.agg(F.count(F.lit(1)).alias("n_docs")).withColumn("_one", F.lit(1))
-    idf = (vocab.select("term", "doc_freq").withColumn("_one", F.lit(1))
-           .join(F.broadcast(n_docs), "_one")
-           .select("term", F.log((F.col("n_docs") + 1) / (F.col("doc_freq") + 1)).alias("idf")))
+    n_docs = docs.agg(F.count(F.lit(1))).scalar()          # scalar subquery, one value
+    idf = vocab.select("term", F.log((n_docs + 1) / (F.col("doc_freq") + 1)).alias("idf"))
     return (tf.join(F.broadcast(idf), "term")
             .select("doc_id", "term_index", "term", "tf", F.round("idf", 9).alias("idf"),
                     F.round(F.col("tf") * F.col("idf"), 9).alias("tfidf")))
@@ -157,22 +155,20 @@ def weak_signals(tokens: DataFrame, period: str = "period", n: int = 20,
     dt = (content_terms(tokens, period).withColumnRenamed(period, "period")
           .where(F.col("term") != "").distinct())
     per_period = tokens.groupBy(F.col(period).alias("period")).agg(F.count(F.lit(1)).alias("period_docs"))
-    bounds = per_period.agg(F.max("period").alias("last"), (F.count(F.lit(1)) - 1).alias("n_earlier"),
-                            F.sum("period_docs").alias("n_docs")).withColumn("_one", F.lit(1))
+    # last period, number of earlier periods and all documents: one scalar subquery
+    b = per_period.agg(F.struct(F.max("period").alias("last"), (F.count(F.lit(1)) - 1).alias("n_earlier"),
+                                F.sum("period_docs").alias("n_docs"))).scalar()
     # one row per period: bounded by the number of periods
-    periods = per_period.withColumn("_one", F.lit(1)).join(F.broadcast(bounds), "_one")
     tp = (dt.groupBy("term", "period").agg(F.count(F.lit(1)).alias("docs"))
-          .join(F.broadcast(periods), "period")
+          .join(F.broadcast(per_period), "period")
           .withColumn("share", F.col("docs") / F.col("period_docs")))
-    last = F.col("period") == F.col("last")
+    last = F.col("period") == b["last"]
     g = tp.groupBy("term").agg(
         F.sum("docs").alias("term_docs"),
-        F.first("n_docs").alias("n_docs"),
-        F.first("n_earlier").alias("n_earlier"),
         F.coalesce(F.sum(F.when(last, F.col("share"))), F.lit(0.0)).alias("last_share"),
         F.coalesce(F.sum(F.when(~last, F.col("share"))), F.lit(0.0)).alias("earlier_sum"))
-    earlier_mean = F.when(F.col("n_earlier") > 0, F.col("earlier_sum") / F.col("n_earlier")).otherwise(0.0)
-    return (g.where((F.col("term_docs") >= min_docs) & (F.col("term_docs") <= F.col("n_docs") * max_doc_share))
+    earlier_mean = F.when(b["n_earlier"] > 0, F.col("earlier_sum") / b["n_earlier"]).otherwise(0.0)
+    return (g.where((F.col("term_docs") >= min_docs) & (F.col("term_docs") <= b["n_docs"] * max_doc_share))
             .select("term", "term_docs",
                     F.round("last_share", 9).alias("last_share"),
                     F.round(earlier_mean, 9).alias("earlier_mean_share"),

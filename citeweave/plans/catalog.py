@@ -19,7 +19,7 @@ from ..functions.topics import topic_label
 from ..functions.years import clean_year
 from ..operators import dedupe, graph, olap, stats, textmine, warehouse
 from ..operators.lda import lda_topics
-from ..session import work_path
+from ..session import materialize, work_path
 from ..sources.articles import articles
 from ..sources.extract import DEFAULT_RULES, extract_articles
 from ..sources.tables import table
@@ -72,11 +72,21 @@ def _dtc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textmine.doc_term_counts(_tokens(spark, sf_dir))
 
 
+def _dtc_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Doc-term counts written once for a plan that reads them twice (vocabulary + TF)."""
+    return materialize(_dtc(spark, sf_dir), "doc_term_counts")
+
+
+def _tf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dtc = _dtc_landed(spark, sf_dir)
+    return textmine.term_frequencies(dtc, textmine.vocabulary(dtc))
+
+
 def _tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    toks = _tokens(spark, sf_dir)
-    dtc = textmine.doc_term_counts(toks)
+    dtc = _dtc_landed(spark, sf_dir)
     vocab = textmine.vocabulary(dtc)
-    return textmine.tfidf(textmine.term_frequencies(dtc, vocab), vocab, toks)
+    docs = textmine.valid_abstracts(articles(spark, sf_dir))
+    return textmine.tfidf(textmine.term_frequencies(dtc, vocab), vocab, docs)
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,7 +169,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # text
     "valid_abstracts": lambda s, d: textmine.valid_abstracts(articles(s, d)),
     "vocabulary": lambda s, d: textmine.vocabulary(_dtc(s, d)),
-    "term_frequencies": lambda s, d: textmine.term_frequencies(_dtc(s, d), textmine.vocabulary(_dtc(s, d))),
+    "term_frequencies": _tf,
     "tfidf": _tfidf,
     "doc_keywords": lambda s, d: textmine.doc_keywords(_tfidf(s, d), KEYWORDS_PER_DOC),
     "word_cloud_terms": lambda s, d: textmine.word_cloud_terms(_dtc(s, d), WORD_CLOUD_TERMS),

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -69,6 +70,18 @@ def work_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([base, "citeweave", spark.sparkContext.applicationId, *parts])
 
 
+def materialize(df, name: str):
+    """Write ``df`` as Parquet below the shared folder and read it back.
+
+    For an intermediate that a plan consumes more than once (Spark would
+    otherwise recompute it per consumer): it is computed once, the lineage is
+    cut, and a lost executor re-reads files instead of recomputing.
+    """
+    path = work_path(df.sparkSession, "stage", f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def spread(df, factor: int = 1):
     """Round-robin rows over at least ``defaultParallelism * factor`` partitions, only
     when the input has fewer: for CPU-heavy per-row work (regexes over whole pages)
