@@ -96,16 +96,17 @@ def impact_box_stats(sl: DataFrame, group: str = "Quartile", value: str = "Impac
     st = (st.withColumn("lower_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")))
           .withColumn("upper_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))))
     inside = (F.col(value) >= F.col("lower_fence")) & (F.col(value) <= F.col("upper_fence"))
-    w = (base.join(st.select(group, "lower_fence", "upper_fence"), group)
-         .groupBy(group)
+    cols = ["n", "min", "q1", "median", "q3", "max", "lower_fence", "upper_fence"]
+    # the statistics are functions of the group, so grouping by them as well
+    # keeps one row per group and needs no second join
+    w = (base.join(st, group)
+         .groupBy(group, *cols)
          .agg(F.min(F.when(inside, F.col(value))).alias("whisker_low"),
               F.max(F.when(inside, F.col(value))).alias("whisker_high"),
               F.count_if(~inside).alias("outliers")))
-    cols = ["n", "min", "q1", "median", "q3", "max", "lower_fence", "upper_fence"]
-    return (st.join(w, group)
-            .select(group, "n", *[F.round(c, 6).alias(c) for c in cols[1:]],
-                    F.round("whisker_low", 6).alias("whisker_low"),
-                    F.round("whisker_high", 6).alias("whisker_high"), "outliers")
+    return (w.select(group, "n", *[F.round(c, 6).alias(c) for c in cols[1:]],
+                     F.round("whisker_low", 6).alias("whisker_low"),
+                     F.round("whisker_high", 6).alias("whisker_high"), "outliers")
             .orderBy(group))
 
 

@@ -58,7 +58,10 @@ def shared_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a shared folder (HDFS/S3) on a cluster")
         path = tempfile.mkdtemp(prefix="citeweave-ckpt-")
-        spark.conf.set(CHECKPOINT_CONF, path)
+        try:
+            spark.conf.set(CHECKPOINT_CONF, path)
+        except Exception:  # a deployment may refuse runtime changes of core settings
+            pass
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
     return path.rstrip("/")
