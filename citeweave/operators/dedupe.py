@@ -1,9 +1,11 @@
 """Title-level deduplication and unique-title ingest.
 
-Keep-first means "the copy with the smallest ``ingest_id``".  Everything here
-is a hash aggregation keyed by title with map-side partial aggregation, so a
-title that holds a third of all rows (the blank title, say) is reduced to one
-partial row per map task before the shuffle; no group is ever collected.
+Keep-first means "the copy with the smallest ``ingest_id``".  Per-title
+work is a hash aggregation over (title, id) with map-side partial
+aggregation, so a title that holds a third of all rows (the blank title,
+say) is reduced to one partial row per map task before the shuffle; rows
+are then selected by a join on the unique id, where no key can be hot.
+No group is ever collected into a list.
 """
 
 from __future__ import annotations

@@ -5,7 +5,9 @@ result containers with CSS selectors.  Here the pages are already stored
 (``pages(page_id, url, html)``), and each source's selectors become regular
 expressions: one pattern finds the containers of a page, one per field finds
 the field inside a container.  All of it is native ``regexp_*`` work on
-executors (many pages per task, codegen), no Python UDF.
+executors, no Python UDF; pages stored in fewer splits than the cluster has
+cores are spread round-robin first (``session.spread``), since the work is
+CPU-bound per page.
 
 Per field, as in the collectors: a missing element gives the field's default
 (``Unknown Title``, ``Unknown``, a per-source date sentinel); a present but
