@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 # Ingest ids of merged sources: source position times this stride plus the
 # source's own id, so ids stay unique and ordered by run order, then by id.
-SOURCE_ID_STRIDE = 1 << 40
+# A source's own ids must stay below 2^48 (page ids: 2^32 pages x 2^16
+# containers); 2^63 leaves room for 2^15 sources.
+SOURCE_ID_STRIDE = 1 << 48
 
 
 def kept_ids(df: DataFrame, key: str = "title", order: str = "ingest_id") -> DataFrame:

@@ -13,6 +13,7 @@ from ..constants import (COUNTRIES, ENGLISH_STOP_WORDS, QUARTILE_WEIGHTS, QUARTI
 from ..constants import YEAR_IN_TEXT
 from ..functions.text import CSV_NA_STRINGS
 from ..functions.topics import whole_word_pattern
+from ..operators.dedupe import SOURCE_ID_STRIDE
 
 
 def q(s: str) -> str:
@@ -262,7 +263,7 @@ ORACLE: dict[str, str] = {
                           WHERE t.ingest_id >= 500 AND t.title IS NOT DISTINCT FROM b.title)"""),
     "union_sources": _stmt([A, PAGES], f"""SELECT {ART_COLS} FROM articles
         UNION ALL
-        SELECT CAST(ingest_id + {1 << 40} AS BIGINT), title, authors, date_pub, source, journal, abstract_,
+        SELECT CAST(ingest_id + {SOURCE_ID_STRIDE} AS BIGINT), title, authors, date_pub, source, journal, abstract_,
                CAST(NULL AS VARCHAR) FROM extracted"""),
     "export_by_source": _stmt([A], """SELECT title, authors, date_pub, journal, abstract_, affiliations, source
         FROM articles"""),

@@ -57,5 +57,5 @@ def test_union_sources_rebases_ids_and_fills_missing(spark):
                               "journal string, abstract_ string")
     u = dedupe.union_sources([a, b])
     got = sorted((r["ingest_id"], r["affiliations"]) for r in u.collect())
-    assert got == [(1, None), (2, None), ((1 << 40) + 1, None)]
+    assert got == [(1, None), (2, None), ((1 << 48) + 1, None)]
     assert dedupe.dedupe_titles(u.where(F.col("title") == "")).first()["ingest_id"] == 1
