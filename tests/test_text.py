@@ -77,3 +77,17 @@ def test_lda_topics_shape_and_empty_guard(spark):
     assert [r["Topic"] for r in got] == [0, 1] and all(len(r["Keywords"].split(", ")) == 5 for r in got)
     empty = textmine.tokenize(docs(spark, [(1, "x")]).where(F.lit(False)))
     assert lda_topics(empty, vocab).count() == 0
+
+
+def test_long_form_counts_equal_count_vectorizer(spark):
+    from pyspark.ml.feature import CountVectorizer
+    data = [(i, " ".join(f"w{(i * j) % 37}" for j in range(1, 30)) + " the and of") for i in range(50)]
+    toks = textmine.tokenize_ml(docs(spark, data))
+    cvm = CountVectorizer(inputCol="filtered", outputCol="tf", vocabSize=10_000, minDF=1.0).fit(toks)
+    ml = {(r["doc_id"], cvm.vocabulary[i]): int(v)
+          for r in cvm.transform(toks).collect() for i, v in zip(r["tf"].indices, r["tf"].values)}
+    dtc = textmine.doc_term_counts(textmine.tokenize(docs(spark, data)))
+    ours = {(r["doc_id"], r["term"]): r["tf"] for r in dtc.collect()}
+    assert ours == ml
+    vocab = textmine.vocabulary(dtc, size=10_000)
+    assert {r["term"] for r in vocab.collect()} == set(cvm.vocabulary)
