@@ -152,8 +152,11 @@ def weak_signals(tokens: DataFrame, period: str = "period", n: int = 20,
     when it appears in at least ``min_docs`` and at most ``max_doc_share`` of
     all documents.  Returns the ``n`` terms with the highest positive growth.
     """
-    dt = (content_terms(tokens, period).withColumnRenamed(period, "period")
-          .where(F.col("term") != "").distinct())
+    # a document is one row, so its distinct terms come from array_distinct in
+    # the row: no shuffle of token-level data before the (term, period) count
+    distinct_words = tokens.select("doc_id", period, F.array_distinct("words").alias("words"))
+    dt = (content_terms(distinct_words, period).withColumnRenamed(period, "period")
+          .where(F.col("term") != ""))
     per_period = tokens.groupBy(F.col(period).alias("period")).agg(F.count(F.lit(1)).alias("period_docs"))
     # last period, number of earlier periods and all documents: one scalar subquery
     b = per_period.agg(F.struct(F.max("period").alias("last"), (F.count(F.lit(1)) - 1).alias("n_earlier"),
