@@ -19,18 +19,29 @@ from .dedupe import dedupe_titles
 
 
 def fact_from_collection(coll: DataFrame) -> DataFrame:
-    """Fact columns over an already title-unique collection."""
+    """Fact columns over an already title-unique collection.
+
+    Quartile, impact and citations have no source and are always simulated;
+    ``Pays`` takes a real ``country`` value where the collection has one (the
+    wide collector schema declares it) and is simulated otherwise.  The
+    ``simulated`` flag marks rows carrying simulated attributes, which is
+    every row as long as quartile, impact and citations are simulated.
+    """
     t, i = F.col("title"), F.col("ingest_id")
     cents = simulate.impact_cents(t, i)
+    pays = simulate.country(t, i)
+    if "country" in coll.columns:
+        pays = F.coalesce(F.nullif(F.col("country"), F.lit("")), pays)
     return coll.select(
         "ingest_id", "title", "authors",
         clean_year(F.col("date_pub")).alias("Annee"),
-        simulate.country(t, i).alias("Pays"),
+        pays.alias("Pays"),
         F.col("source").alias("Journal"),
         simulate.quartile(t, i).alias("Quartile"),
         simulate.citations(cents, t, i).alias("Citations"),
         (cents.cast("double") / 100).alias("Impact_Score"),
         "abstract_",
+        F.lit(True).alias("simulated"),
     )
 
 

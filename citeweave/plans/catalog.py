@@ -53,7 +53,7 @@ def fact_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         _FACTS[key] = path
     f = spark.read.parquet(path)
     return f.select("ingest_id", "title", "authors", F.col("Annee").cast("int"), "Pays", "Journal",
-                    "Quartile", "Citations", "Impact_Score", "abstract_")
+                    "Quartile", "Citations", "Impact_Score", "abstract_", "simulated")
 
 
 def dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:

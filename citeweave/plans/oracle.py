@@ -81,7 +81,8 @@ fact AS (
          {_quartile_case('u_q')} AS Quartile,
          CAST(floor(cents * factor / 100) AS BIGINT) AS Citations,
          CAST(cents AS DOUBLE) / 100 AS Impact_Score,
-         abstract_
+         abstract_,
+         TRUE AS simulated
   FROM fact_h)"""
 
 
@@ -196,7 +197,8 @@ extracted AS (
     FROM page_items)
   WHERE title <> 'Unknown Title')"""
 
-FACT_COLS = "ingest_id, title, authors, Annee, Pays, Journal, Quartile, Citations, Impact_Score, abstract_"
+FACT_COLS = ("ingest_id, title, authors, Annee, Pays, Journal, Quartile, Citations, Impact_Score, abstract_, "
+             "simulated")
 ART_COLS = "ingest_id, title, authors, date_pub, source, journal, abstract_, affiliations"
 TRIMMED_AUTHORS = (f"SELECT unnest(list_transform(string_split(a, ','), lambda x: {STRIP.format(x='x')})) AS author "
                    f"FROM (SELECT {CSV_NULL_AUTHORS} AS a FROM dash) WHERE a IS NOT NULL")

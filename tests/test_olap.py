@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from citeweave.constants import COUNTRIES
 from citeweave.operators import olap, warehouse
 from citeweave.schema import FACT_COLUMNS
 from conftest import collection
@@ -89,3 +90,12 @@ def test_fact_from_collection(spark):
     assert set(got) == {"T", "U"} and got["T"]["Annee"] == 2034 and got["U"]["Annee"] == 2024
     assert got["T"]["Journal"] == "IEEE Xplore"               # Journal copies source
     assert warehouse.fact_columns(f).columns == FACT_COLUMNS
+    assert all(r["simulated"] for r in f.collect())
+
+
+def test_real_country_is_kept(spark):
+    coll = collection(spark, [(1, "T", "A", "2021", "s", "j", "N/A", None),
+                              (2, "U", "B", "2021", "s", "j", "N/A", None)])
+    coll = coll.withColumn("country", F.when(F.col("ingest_id") == 1, "Japan"))
+    got = {r["title"]: r["Pays"] for r in warehouse.fact_publications(coll).collect()}
+    assert got["T"] == "Japan" and got["U"] in COUNTRIES
