@@ -151,7 +151,9 @@ def weak_signals(tokens: DataFrame, period: str = "period", n: int = 20,
     earlier periods (periods without the term count as 0).  A term is rare
     when it appears in at least ``min_docs`` and at most ``max_doc_share`` of
     all documents.  Returns the ``n`` terms with the highest positive growth.
+    Documents without a period take no part.
     """
+    tokens = tokens.where(F.col(period).isNotNull())
     # a document is one row, so its distinct terms come from array_distinct in
     # the row: no shuffle of token-level data before the (term, period) count
     distinct_words = tokens.select("doc_id", period, F.array_distinct("words").alias("words"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.topics import topic_label
-from ..functions.years import clean_year
+from ..functions.years import clean_year, is_exact_year
 from ..operators import dedupe, graph, olap, stats, textmine, warehouse
 from ..operators.lda import lda_topics
 from ..session import materialize, work_path
@@ -112,8 +112,10 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _weak(spark: SparkSession, sf_dir: str) -> DataFrame:
-    toks = textmine.tokenize(textmine.valid_abstracts(
-        articles(spark, sf_dir), keep=(F.col("date_pub").cast("int").alias("period"),)))
+    # the period of a document is its exact publication year; sentinels such as
+    # "Unknown Date" give no period (a plain cast would fail under ANSI mode)
+    period = F.when(is_exact_year(F.col("date_pub")), F.col("date_pub").cast("int"))
+    toks = textmine.tokenize(textmine.valid_abstracts(articles(spark, sf_dir), keep=(period.alias("period"),)))
     return textmine.weak_signals(toks, "period", WEAK_SIGNALS)
 
 

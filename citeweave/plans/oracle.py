@@ -216,8 +216,8 @@ def _stmt(ctes: list[str], body: str) -> str:
 
 
 WEAK = f"""
-wdocs AS (SELECT ingest_id AS doc_id, CAST(date_pub AS INTEGER) AS period,
-                 abstract_ AS text_content FROM articles WHERE {VALID}),
+wdocs AS (SELECT ingest_id AS doc_id, CAST(date_pub AS INTEGER) AS period, abstract_ AS text_content
+          FROM articles WHERE {VALID} AND regexp_matches(date_pub, '^\\d{{4}}$')),
 wt AS (SELECT DISTINCT doc_id, period, term
        FROM (SELECT doc_id, period, unnest({TOKENS}) AS term FROM wdocs)
        WHERE term <> '' AND term NOT IN {STOP}),
