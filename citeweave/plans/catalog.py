@@ -10,6 +10,7 @@ directories at the scan.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -104,11 +105,14 @@ def _insert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return export_by_source(articles(spark, sf_dir), work_path(spark, "export_by_source"))
+    out = work_path(spark, f"export_by_source-{uuid.uuid4().hex[:12]}")
+    return export_by_source(articles(spark, sf_dir), out)
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_title_ingest(spark, articles(spark, sf_dir), work_path(spark, "stream_ingest"))
+    # a fresh landing folder, table and checkpoint per run
+    base = work_path(spark, f"stream_ingest-{uuid.uuid4().hex[:12]}")
+    return run_title_ingest(spark, articles(spark, sf_dir), base)
 
 
 def _weak(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -168,7 +168,8 @@ def visible_sql(x: str) -> str:
 CONTAINER = r"(?s)<article[^>]*>(.*?)</article>"
 TITLE = r"(?s)<h1[^>]*>(.*?)</h1>"
 AUTHORS = r'(?s)<[a-z]+[^>]*class="[^"]*\bauthors?\b[^"]*"[^>]*>(.*?)</[a-z]+>'
-SITE_URLS = [r"^https?://dl\.acm\.org/", r"^https?://ieeexplore\.ieee\.org/", r"^https?://(?:www\.)?sciencedirect\.com/"]
+SITE_URLS = [r"^https?://dl\.acm\.org/", r"^https?://ieeexplore\.ieee\.org/",
+             r"^https?://(?:www\.)?sciencedirect\.com/"]
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)"
 
 

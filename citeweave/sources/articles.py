@@ -41,7 +41,8 @@ def _author_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def build_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles derived from orders: (ingest_id, title, authors, date_pub, source, journal, abstract_, affiliations)."""
+    """Articles derived from orders:
+    (ingest_id, title, authors, date_pub, source, journal, abstract_, affiliations)."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("doc_source"))
     cust = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")

@@ -30,5 +30,6 @@ def rows(df, order=None):
 
 
 def collection(spark, data):
-    """A collection frame from (ingest_id, title, authors, date_pub, source, journal, abstract_, affiliations) tuples."""
+    """A collection frame from tuples
+    (ingest_id, title, authors, date_pub, source, journal, abstract_, affiliations)."""
     return spark.createDataFrame(data, COLLECTION_SCHEMA)
