@@ -25,7 +25,7 @@ from ..sources.articles import articles
 from ..sources.extract import DEFAULT_RULES, extract_articles
 from ..sources.tables import table
 from ..sources.writers import export_by_source
-from ..streaming.ingest import run_title_ingest
+from ..streaming.ingest import run_title_ingest, run_title_ingest_stateful
 
 # --- fixed query parameters --------------------------------------------------
 # The fixture's years are 1995-2001; clean_year maps 1995-1999 to 2024, so the
@@ -115,6 +115,11 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_title_ingest(spark, articles(spark, sf_dir), base)
 
 
+def _stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = work_path(spark, f"stream_ingest_state-{uuid.uuid4().hex[:12]}")
+    return run_title_ingest_stateful(spark, articles(spark, sf_dir), base).select("title")
+
+
 def _weak(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the period of a document is its exact publication year; sentinels such as
     # "Unknown Date" give no period (a plain cast would fail under ANSI mode)
@@ -145,6 +150,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "export_by_source": _export,
     "extract_articles": pages_articles,
     "stream_ingest": _stream,
+    "stream_ingest_state": _stream_state,
     # warehouse: dimensions and fact
     "clean_year": lambda s, d: articles(s, d).select("ingest_id", "date_pub",
                                                      clean_year(F.col("date_pub")).alias("Annee")),

@@ -10,6 +10,14 @@ state store the way ``dropDuplicates(["title"])`` without a watermark would.
 A re-run micro-batch (after a lost executor or driver restart) anti-joins
 against what was already committed, so rows are never inserted twice; file
 offsets and progress live in the checkpoint below the shared folder.
+
+That form reads the table's titles on every micro-batch, so its per-batch
+work grows with the table.  ``start_title_ingest_stateful`` is the
+state-store form: ``dropDuplicates(["title"])`` keeps every title seen in
+the RocksDB state store (on local disk of the executors, checkpointed to the
+shared folder), so a micro-batch only looks up its own titles, and the file
+sink commits each batch exactly once.  Its contract is the set of titles;
+which copy of a title survives inside one micro-batch is not fixed.
 """
 
 from __future__ import annotations
@@ -63,6 +71,33 @@ def start_title_ingest(spark: SparkSession, landing: str, table_path: str, check
             .trigger(availableNow=True).start())
 
 
+ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+DEFAULT_PROVIDER = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+
+
+def start_title_ingest_stateful(spark: SparkSession, landing: str, table_path: str, checkpoint: str,
+                                max_files_per_trigger: int | None = MAX_FILES_PER_TRIGGER):
+    """Title-unique ingest with the dedupe state in the state store (RocksDB unless configured)."""
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", DEFAULT_PROVIDER) == DEFAULT_PROVIDER:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
+    reader = spark.readStream.schema(COLLECTION_SCHEMA)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return (reader.json(landing).dropDuplicates(["title"])
+            .writeStream.format("parquet").outputMode("append")
+            .option("path", table_path).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
+def _deliveries(collection: DataFrame, overlap: int) -> list[DataFrame]:
+    """Lower half of the ingest ids, then the upper half plus the last ``overlap`` ids again."""
+    bounds = collection.agg(F.min("ingest_id").alias("lo"), F.max("ingest_id").alias("hi")).first()
+    if bounds["lo"] is None:
+        return []
+    mid = (bounds["lo"] + bounds["hi"]) // 2 + 1
+    return [collection.where(F.col("ingest_id") < mid), collection.where(F.col("ingest_id") >= mid - overlap)]
+
+
 def run_title_ingest(spark: SparkSession, collection: DataFrame, base: str, overlap: int = 100) -> DataFrame:
     """Replay a collection through the stream in two deliveries and return the ingested table.
 
@@ -74,14 +109,23 @@ def run_title_ingest(spark: SparkSession, collection: DataFrame, base: str, over
     collection.
     """
     landing, table_path, ckpt = f"{base}/landing", f"{base}/table", f"{base}/checkpoint"
-    bounds = collection.agg(F.min("ingest_id").alias("lo"), F.max("ingest_id").alias("hi")).first()
-    if bounds["lo"] is None:
+    deliveries = _deliveries(collection, overlap)
+    if not deliveries:
+        return spark.createDataFrame([], COLLECTION_SCHEMA)
+    for part in deliveries:
+        part.select(*COLLECTION_SCHEMA.fieldNames()).write.mode("append").json(landing)
+        start_title_ingest(spark, landing, table_path, ckpt).awaitTermination()
+    return spark.read.schema(COLLECTION_SCHEMA).parquet(table_path)
+
+
+def run_title_ingest_stateful(spark: SparkSession, collection: DataFrame, base: str,
+                              overlap: int = 100) -> DataFrame:
+    """The same two deliveries through ``start_title_ingest_stateful``; returns the ingested table."""
+    landing, table_path, ckpt = f"{base}/landing", f"{base}/table", f"{base}/checkpoint"
+    deliveries = _deliveries(collection, overlap)
+    if not deliveries:
         return spark.createDataFrame([], COLLECTION_SCHEMA)
-    mid = (bounds["lo"] + bounds["hi"]) // 2 + 1
-    deliveries = [collection.where(F.col("ingest_id") < mid),
-                  collection.where(F.col("ingest_id") >= mid - overlap)]
     for part in deliveries:
         part.select(*COLLECTION_SCHEMA.fieldNames()).write.mode("append").json(landing)
-        q = start_title_ingest(spark, landing, table_path, ckpt)
-        q.awaitTermination()
+        start_title_ingest_stateful(spark, landing, table_path, ckpt).awaitTermination()
     return spark.read.schema(COLLECTION_SCHEMA).parquet(table_path)

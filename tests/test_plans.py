@@ -8,7 +8,7 @@ SF = "/root/testdata/sf0.001"
 FORBIDDEN = ["BroadcastNestedLoopJoin", "CartesianProduct", "BatchEvalPython", "ArrowEvalPython",
              "SortAggregate"]
 # these run Spark jobs while the DataFrame is built (streaming, export, model fit)
-BUILT_BY_JOBS = {"stream_ingest", "export_by_source", "lda_topics"}
+BUILT_BY_JOBS = {"stream_ingest", "stream_ingest_state", "export_by_source", "lda_topics"}
 
 
 def plan_of(df):

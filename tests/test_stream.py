@@ -1,6 +1,6 @@
 from citeweave.operators import dedupe
 from citeweave.schema import COLLECTION_SCHEMA
-from citeweave.streaming.ingest import run_title_ingest, start_title_ingest
+from citeweave.streaming.ingest import run_title_ingest, run_title_ingest_stateful, start_title_ingest
 from conftest import collection, rows
 
 DATA = [(i, f"T{i % 7}" if i % 5 else None, "A", "2021", "s", "j", "N/A", None) for i in range(60)]
@@ -24,3 +24,11 @@ def test_redelivered_file_inserts_nothing(spark, scratch):
     start_title_ingest(spark, f"{scratch}/landing", f"{scratch}/table", f"{scratch}/checkpoint").awaitTermination()
     again = spark.read.schema(COLLECTION_SCHEMA).parquet(f"{scratch}/table")
     assert rows(again) == rows(dedupe.dedupe_titles(coll))
+
+
+def test_state_store_form_keeps_every_title_once(spark, scratch):
+    coll = collection(spark, DATA)
+    got = run_title_ingest_stateful(spark, coll, scratch, overlap=10)
+    titles = [r["title"] for r in got.collect()]
+    assert len(titles) == len(set(titles))
+    assert sorted(titles, key=str) == sorted({r[1] for r in DATA}, key=str)
