@@ -10,6 +10,7 @@ directories at the scan.
 from __future__ import annotations
 
 import hashlib
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -40,18 +41,20 @@ WORD_CLOUD_TERMS = 100
 WEAK_SIGNALS = 20
 
 _FACTS: dict[tuple[str, str], str] = {}
+_LOCK = threading.Lock()
 
 
 def fact_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The landed fact (ingest_id + nine columns), partitioned by ``Annee``."""
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
-    path = _FACTS.get(key)
-    if path is None:
-        tag = hashlib.sha1(key[1].encode()).hexdigest()[:12]
-        path = work_path(spark, f"fact_{tag}")
-        (warehouse.fact_publications(articles(spark, sf_dir))
-         .write.mode("overwrite").partitionBy("Annee").parquet(path))
-        _FACTS[key] = path
+    with _LOCK:                       # callers may run queries from several threads
+        path = _FACTS.get(key)
+        if path is None:
+            tag = hashlib.sha1(key[1].encode()).hexdigest()[:12]
+            path = work_path(spark, f"fact_{tag}")
+            (warehouse.fact_publications(articles(spark, sf_dir))
+             .write.mode("overwrite").partitionBy("Annee").parquet(path))
+            _FACTS[key] = path
     f = spark.read.parquet(path)
     return f.select("ingest_id", "title", "authors", F.col("Annee").cast("int"), "Pays", "Journal",
                     "Quartile", "Citations", "Impact_Score", "abstract_", "simulated")

@@ -15,6 +15,7 @@ the joins.  A lost executor only costs the re-read of the landed files.
 from __future__ import annotations
 
 import hashlib
+import threading
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,7 @@ from .tables import table
 TITLE_CHARS = 60
 
 _LANDED: dict[tuple[str, str], str] = {}
+_LOCK = threading.Lock()
 
 
 def _author_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,10 +70,11 @@ def build_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The landed article collection for ``sf_dir`` (built on first use in this application)."""
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
-    path = _LANDED.get(key)
-    if path is None:
-        tag = hashlib.sha1(key[1].encode()).hexdigest()[:12]
-        path = work_path(spark, f"articles_{tag}")
-        build_articles(spark, sf_dir).write.mode("overwrite").parquet(path)
-        _LANDED[key] = path
+    with _LOCK:                       # callers may run queries from several threads
+        path = _LANDED.get(key)
+        if path is None:
+            tag = hashlib.sha1(key[1].encode()).hexdigest()[:12]
+            path = work_path(spark, f"articles_{tag}")
+            build_articles(spark, sf_dir).write.mode("overwrite").parquet(path)
+            _LANDED[key] = path
     return spark.read.parquet(path)
