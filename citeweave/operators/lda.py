@@ -1,8 +1,8 @@
 """LDA topic model over TF-IDF weights (M5-M7).
 
 The vocabulary comes from ``textmine.vocabulary`` (stable at the cut) and is
-the only thing that reaches the driver: at most ``VOCAB_SIZE`` strings, the
-size ``CountVectorizerModel`` needs anyway.  Vectors, IDF and the online LDA
+the only data that reaches the driver: at most ``VOCAB_SIZE`` strings, which
+``CountVectorizerModel`` needs anyway.  Vectors, IDF and the online LDA
 fit are Spark ML jobs; topic descriptions are turned into keyword strings by
 a join with the vocabulary, not a driver loop.
 """
@@ -16,38 +16,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import LDA_K, LDA_MAX_ITER, LDA_SEED, TOPIC_TERMS, VOCAB_SIZE
+from . import textmine
 
 TOPICS_SCHEMA = "Topic int, Keywords string"
 
 
-def lda_topics(tokens: DataFrame, vocab: DataFrame, k: int = LDA_K, max_iter: int = LDA_MAX_ITER,
-               seed: int = LDA_SEED, n_terms: int = TOPIC_TERMS) -> DataFrame:
+def lda_topics(tokens: DataFrame, vocab: DataFrame | None = None, k: int = LDA_K,
+               max_iter: int = LDA_MAX_ITER, seed: int = LDA_SEED, n_terms: int = TOPIC_TERMS) -> DataFrame:
     """(Topic, Keywords): the ``n_terms`` heaviest terms of each of ``k`` topics, joined by ``", "``.
 
+    ``tokens`` has ``doc_id`` and ``words``; without ``vocab`` the vocabulary
+    is built from the same tokens.  The tokens are kept (memory, spilling to
+    disk) while the vocabulary and the vectors are built, so the corpus is
+    tokenised once; the sparse TF vectors are kept for the IDF fit and the
+    LDA iterations.  A lost block is recomputed from the landed collection.
     M7: an empty corpus gives an empty result instead of a failed fit.
     """
     spark = tokens.sparkSession
-    if tokens.isEmpty():
-        return spark.createDataFrame([], TOPICS_SCHEMA)
-    terms = [r["term"] for r in vocab.orderBy("term_index").limit(VOCAB_SIZE).collect()]
-    # stop words are never in the vocabulary, so counting vocabulary terms over
-    # all tokens gives the same vectors as over the filtered tokens
-    cv = CountVectorizerModel.from_vocabulary(terms, inputCol="words", outputCol="rawFeatures")
-    # sparse TF vectors are read by the IDF fit and by every LDA iteration:
-    # keep them (memory, spilling to disk) instead of re-tokenising each pass;
-    # a lost block is recomputed from the landed collection
-    tf = cv.transform(tokens.select("words")).select("rawFeatures").persist(StorageLevel.MEMORY_AND_DISK)
+    words = tokens.select("doc_id", "words").persist(StorageLevel.MEMORY_AND_DISK)
+    tf = None
     try:
+        if words.isEmpty():
+            return spark.createDataFrame([], TOPICS_SCHEMA)
+        if vocab is None:
+            vocab = textmine.vocabulary(textmine.doc_term_counts(words))
+        terms = [r["term"] for r in vocab.orderBy("term_index").limit(VOCAB_SIZE).collect()]
+        # stop words are never in the vocabulary, so counting vocabulary terms over
+        # all tokens gives the same vectors as over the filtered tokens
+        cv = CountVectorizerModel.from_vocabulary(terms, inputCol="words", outputCol="rawFeatures")
+        tf = cv.transform(words).select("rawFeatures").persist(StorageLevel.MEMORY_AND_DISK)
         weighted = IDF(inputCol="rawFeatures", outputCol="features").fit(tf).transform(tf)
+        words.unpersist()
         model = LDA(k=k, maxIter=max_iter, optimizer="online", seed=seed,
                     featuresCol="features").fit(weighted)
+        desc = model.describeTopics(n_terms)
+        picked = desc.select(F.col("topic").alias("Topic"),
+                             F.posexplode("termIndices").alias("pos", "term_index"))
+        # the vocabulary is at most VOCAB_SIZE terms and already on the driver for
+        # CountVectorizerModel; the result must not depend on the released caches
+        named = picked.join(F.broadcast(spark.createDataFrame(
+            [(i, t) for i, t in enumerate(terms)], "term_index int, term string")), "term_index")
+        return (named.groupBy("Topic")
+                .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "term"))),
+                                              lambda x: x["term"]), ", ").alias("Keywords"))
+                .select(F.col("Topic").cast("int"), "Keywords").orderBy("Topic"))
     finally:
-        tf.unpersist()
-    desc = model.describeTopics(n_terms)
-    picked = desc.select(F.col("topic").alias("Topic"),
-                         F.posexplode("termIndices").alias("pos", "term_index"))
-    named = picked.join(F.broadcast(vocab.select("term_index", "term")), "term_index")
-    return (named.groupBy("Topic")
-            .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "term"))),
-                                          lambda x: x["term"]), ", ").alias("Keywords"))
-            .select(F.col("Topic").cast("int"), "Keywords").orderBy("Topic"))
+        words.unpersist()
+        if tf is not None:
+            tf.unpersist()

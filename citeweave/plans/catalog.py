@@ -132,8 +132,7 @@ def _weak(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lda(spark: SparkSession, sf_dir: str) -> DataFrame:
-    toks = _tokens(spark, sf_dir)
-    return lda_topics(toks, textmine.vocabulary(textmine.doc_term_counts(toks)))
+    return lda_topics(_tokens(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

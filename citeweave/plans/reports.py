@@ -51,7 +51,7 @@ def analysis_results(coll: DataFrame) -> dict[str, DataFrame]:
         out["geography"] = stats.geography(coll)
     toks = textmine.tokenize(textmine.valid_abstracts(coll))
     if not toks.isEmpty():
-        out["topics"] = lda_topics(toks, textmine.vocabulary(textmine.doc_term_counts(toks)))
+        out["topics"] = lda_topics(toks)
     return out
 
 
