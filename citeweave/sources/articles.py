@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import MISSING_ABSTRACT, UNKNOWN_AUTHORS, UNKNOWN_TITLE
-from ..session import work_path
+from ..session import spread, work_path
 from .tables import table
 
 TITLE_CHARS = 60
@@ -32,7 +32,8 @@ _LOCK = threading.Lock()
 
 def _author_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per order: supplier names of its lines in line order, and the first line's part."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    # spread: a table stored as one row group is read by one task
+    lines = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
     sup = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     order_key: list[Column] = [F.col("l_linenumber"), F.col("l_suppkey"), F.col("s_name"), F.col("l_partkey")]
     return (lines.join(sup, lines.l_suppkey == sup.s_suppkey)
@@ -45,7 +46,7 @@ def _author_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 def build_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles derived from orders:
     (ingest_id, title, authors, date_pub, source, journal, abstract_, affiliations)."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("doc_source"))
     cust = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
