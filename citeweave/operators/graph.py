@@ -9,8 +9,8 @@ made distinct and sorted, so pair (d[i], d[j]) with i < j is already
 normalised (src < dst) and appears once per paper, and the edge count is a
 plain partial-aggregated ``count``.  There is no self-join on the paper id,
 hence no shuffle before the edge aggregation.  The pair work of one paper
-is quadratic in its list length; a paper with more than ``chunk`` distinct
-names is split into rows of ``chunk`` start positions each, and only those
+is quadratic in its list length; a paper with more than ``chunk`` author
+parts is split into rows of ``chunk`` start positions each, and only those
 rows are re-partitioned, so a very long list is spread over many tasks
 instead of one.  All pairs are still produced, nothing is capped.
 """
@@ -53,12 +53,14 @@ def paper_pairs(df: DataFrame, id_col: str = "ingest_id", chunk: int = PAIR_CHUN
     pair expression into an inferred ``size(p) > 0`` filter, which would
     build every pair list twice.
     """
-    names = _names(df, id_col)
+    # split on the raw part count, an upper bound of the distinct names that
+    # costs one split: each row's name list is then built in one branch only
+    parts = F.size(F.split(F.col("authors"), ","))
     loops = F.transform(F.col("loops"), lambda x: F.struct(x.alias("src"), x.alias("dst")))
     d, m, c = F.col("d"), F.col("m"), F.col("c")
-    short = (names.where(m <= chunk)
+    short = (_names(df.where(parts <= chunk), id_col)
              .select("paper", F.concat(F.coalesce(_pairs(d, m, F.lit(0), chunk), F.array()), loops).alias("p")))
-    long_ = (names.where(m > chunk)
+    long_ = (_names(df.where(parts > chunk), id_col)
              .select("paper", "d", "m", "loops",
                      F.explode(F.sequence(F.lit(0), F.floor((m - 2) / chunk).cast("int"))).alias("c"))
              .repartition("paper", "c")
