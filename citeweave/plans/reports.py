@@ -1,16 +1,19 @@
-"""The reference's two batch runs as result writers.
+"""The reference's batch runs as result writers.
 
 ``analysis``: trends, raw top authors, geography and LDA topics of a
 collection, one CSV folder each.  ``warehouse``: the fact table plus the
 tables the dashboard reads beside it (topic distribution, articles per
-source, mean citations per year).  Results bounded by construction (top-k,
-one row per year/source/topic) are written as one file; the fact table is
-written by every task in parallel.
+source, mean citations per year).  ``dashboard``: the data behind every view
+of the dashboard for one sidebar state, read from the warehouse's CSV
+output.  Results bounded by construction (top-k, one row per
+year/source/topic/quartile/country) are written as one file; unbounded ones
+(the fact table, the slice, edges) by every task in parallel.
 
 Usage::
 
     python -m citeweave.plans.reports analysis  --json final_data.json --out results
     python -m citeweave.plans.reports warehouse --json final_data.json --out results
+    python -m citeweave.plans.reports dashboard --warehouse results --out views --years 2020 2025
 """
 
 from __future__ import annotations
@@ -20,14 +23,16 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import olap, stats, textmine, warehouse
+from ..operators import graph, olap, stats, textmine, warehouse
 from ..operators.lda import lda_topics
-from ..schema import COLLECTION_SCHEMA
+from ..schema import COLLECTION_SCHEMA, FACT_SCHEMA, TOPIC_DIST_SCHEMA
 from ..session import build_session
-from ..sources.readers import read_json_array
+from ..sources.readers import read_csv_optional, read_csv_typed, read_json_array
 from ..sources.writers import write_csv
 
-BOUNDED = {"trends", "authors", "geography", "topics", "topics_dist", "sources", "impact"}
+BOUNDED = {"trends", "authors", "geography", "topics", "topics_dist", "sources", "impact", "kpis",
+           "pubs_per_year", "year_quartile_pivot", "quartile_counts", "impact_box_stats", "pubs_per_country",
+           "top_authors", "dimension_members", "coauthor_sample"}
 
 
 def collection_from_json(spark: SparkSession, path: str) -> DataFrame:
@@ -65,6 +70,38 @@ def warehouse_results(coll: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def dashboard_results(fact: DataFrame, topics_dist: DataFrame, s: olap.Slice,
+                      topic: str | None = None) -> dict[str, DataFrame]:
+    """Every dashboard view for one sidebar state.
+
+    ``fact`` is the nine-column fact as the dashboard reads it (no ingest id:
+    its row order, which "first 50 papers" follows, is attached as
+    ``ingest_id`` by the caller); ``topics_dist`` is shown as read.
+    """
+    sl = olap.olap_slice(fact, s)
+    edges = graph.coauthor_edges(sl)
+    out = {
+        "kpis": olap.kpis(sl), "pubs_per_year": olap.pubs_per_year(sl),
+        "year_quartile_pivot": olap.year_quartile_pivot(sl), "quartile_counts": olap.quartile_counts(sl),
+        "impact_box_stats": olap.impact_box_stats(sl), "pubs_per_country": olap.pubs_per_country(sl),
+        "top_authors": olap.top_authors(sl), "dimension_members": olap.dimension_members(fact),
+        "topics_dist": topics_dist, "coauthor_sample": graph.coauthor_sample(sl),
+        "coauthor_edges": edges, "author_degree": graph.author_degree(edges),
+    }
+    if topic is not None:
+        out["topic_articles"] = olap.topic_articles(sl, topic)
+    return out
+
+
+def read_warehouse(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The warehouse's CSV output: the fact (S3, with its file order as ``ingest_id``)
+    and the topic distribution, empty when absent (S4)."""
+    fact = read_csv_typed(spark, f"{folder.rstrip('/')}/F_Publications.csv", FACT_SCHEMA)
+    fact = fact.withColumn("ingest_id", F.monotonically_increasing_id())
+    topics = read_csv_optional(spark, f"{folder.rstrip('/')}/topics_dist.csv", TOPIC_DIST_SCHEMA)
+    return fact, topics
+
+
 def write_results(results: dict[str, DataFrame], out_dir: str) -> list[str]:
     paths = []
     for name, df in results.items():
@@ -76,14 +113,25 @@ def write_results(results: dict[str, DataFrame], out_dir: str) -> list[str]:
 
 def main(argv: list[str] | None = None) -> None:
     ap = argparse.ArgumentParser(description=__doc__.splitlines()[0])
-    ap.add_argument("run", choices=["analysis", "warehouse"])
-    ap.add_argument("--json", required=True, help="JSON-array export of the collection")
+    ap.add_argument("run", choices=["analysis", "warehouse", "dashboard"])
+    ap.add_argument("--json", help="JSON-array export of the collection (analysis, warehouse)")
+    ap.add_argument("--warehouse", help="folder written by the warehouse run (dashboard)")
     ap.add_argument("--out", required=True, help="output folder")
+    ap.add_argument("--years", nargs=2, type=int, default=[2020, 2025])
+    ap.add_argument("--quartiles", nargs="*", default=None)
+    ap.add_argument("--countries", nargs="*", default=None)
+    ap.add_argument("--topic", default=None, help="topic to drill down into")
     ap.add_argument("--master", default="local[*]")
     a = ap.parse_args(argv)
     spark = build_session(a.master)
-    coll = collection_from_json(spark, a.json)
-    res = analysis_results(coll) if a.run == "analysis" else warehouse_results(coll)
+    if a.run == "dashboard":
+        fact, topics = read_warehouse(spark, a.warehouse)
+        s = olap.Slice(years=tuple(a.years), quartiles=tuple(a.quartiles or olap.Slice().quartiles),
+                       countries=tuple(a.countries or olap.Slice().countries))
+        res = dashboard_results(fact, topics, s, a.topic)
+    else:
+        coll = collection_from_json(spark, a.json)
+        res = analysis_results(coll) if a.run == "analysis" else warehouse_results(coll)
     for p in write_results(res, a.out):
         print(p)
     spark.stop()

@@ -1,6 +1,7 @@
 import json
 import os
 
+from citeweave.operators import olap
 from citeweave.plans import reports
 from citeweave.schema import FACT_SCHEMA
 from citeweave.sources.readers import read_csv_typed
@@ -23,3 +24,24 @@ def test_analysis_and_warehouse_runs(spark, scratch):
     fact = read_csv_typed(spark, os.path.join(out, "F_Publications.csv"), FACT_SCHEMA)
     assert fact.count() == 4                       # one row per title
     assert {r["title"] for r in fact.collect()} == {f"Blockchain {i}" for i in range(4)}
+
+
+def test_dashboard_run_from_warehouse_csv(spark, scratch):
+    arts = [{"title": f"Blockchain {i}", "authors": "Ann, Bob, Cy" if i % 2 else "Dee, Eve",
+             "date_pub": "2021" if i % 3 else "2024", "source": "IEEE Xplore", "journal": "IEEE"}
+            for i in range(40)]
+    p = os.path.join(scratch, "final_data.json")
+    with open(p, "w") as f:
+        json.dump(arts, f)
+    wh = os.path.join(scratch, "warehouse")
+    reports.write_results(reports.warehouse_results(reports.collection_from_json(spark, p)), wh)
+    views = os.path.join(scratch, "views")
+    fact, topics = reports.read_warehouse(spark, wh)
+    reports.write_results(reports.dashboard_results(fact, topics, olap.Slice(years=(2020, 2025)),
+                                                    "AI & Blockchain"), views)
+    kpis = spark.read.option("header", True).csv(os.path.join(views, "kpis.csv")).first()
+    assert int(kpis["publications"]) == 40
+    edges = spark.read.option("header", True).csv(os.path.join(views, "coauthor_edges.csv"))
+    assert {(r["src"], r["dst"]) for r in edges.collect()} == {("Ann", "Bob"), ("Ann", "Cy"), ("Bob", "Cy"),
+                                                              ("Dee", "Eve")}
+    assert spark.read.option("header", True).csv(os.path.join(views, "topic_articles.csv")).count() == 40
