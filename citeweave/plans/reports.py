@@ -63,7 +63,9 @@ def analysis_results(coll: DataFrame) -> dict[str, DataFrame]:
 def warehouse_results(coll: DataFrame) -> dict[str, DataFrame]:
     fact = warehouse.fact_publications(coll)
     return {
-        "F_Publications": warehouse.fact_columns(fact),
+        # in collection order, as the dashboard's "first 50 papers" reads it:
+        # range-partitioned, so part files follow one another in ingest order
+        "F_Publications": warehouse.fact_columns(fact.orderBy("ingest_id")),
         "topics_dist": olap.topic_distribution(fact),
         "sources": stats.source_counts(coll),
         "impact": olap.impact_by_year(fact),
@@ -94,10 +96,16 @@ def dashboard_results(fact: DataFrame, topics_dist: DataFrame, s: olap.Slice,
 
 
 def read_warehouse(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """The warehouse's CSV output: the fact (S3, with its file order as ``ingest_id``)
-    and the topic distribution, empty when absent (S4)."""
+    """The warehouse's CSV output: the fact (S3) and the topic distribution, empty
+    when absent (S4).
+
+    The fact's row order becomes ``ingest_id`` = (part file, position in the
+    file): a multi-line CSV file is read whole by one task, so the generated
+    id increases along the file, and part files sort in write order.
+    """
     fact = read_csv_typed(spark, f"{folder.rstrip('/')}/F_Publications.csv", FACT_SCHEMA)
-    fact = fact.withColumn("ingest_id", F.monotonically_increasing_id())
+    order = F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("pos"))
+    fact = fact.withColumn("ingest_id", order)
     topics = read_csv_optional(spark, f"{folder.rstrip('/')}/topics_dist.csv", TOPIC_DIST_SCHEMA)
     return fact, topics
 

@@ -45,3 +45,25 @@ def test_dashboard_run_from_warehouse_csv(spark, scratch):
     assert {(r["src"], r["dst"]) for r in edges.collect()} == {("Ann", "Bob"), ("Ann", "Cy"), ("Bob", "Cy"),
                                                               ("Dee", "Eve")}
     assert spark.read.option("header", True).csv(os.path.join(views, "topic_articles.csv")).count() == 40
+
+
+def test_dashboard_first_papers_follow_collection_order(spark, scratch):
+    from citeweave.operators import graph
+    arts = [{"title": f"T{i:03d}", "authors": f"A{i % 7}, A{(i * 3) % 11}, A{(i * 5) % 13}",
+             "date_pub": "2021", "source": "S", "journal": "J"} for i in range(300)]
+    p = os.path.join(scratch, "final_data.json")
+    with open(p, "w") as f:
+        json.dump(arts, f)
+    coll = reports.collection_from_json(spark, p)
+    wh = os.path.join(scratch, "warehouse")
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")                   # several part files, as on a cluster
+    try:
+        reports.write_results({"F_Publications": reports.warehouse_results(coll)["F_Publications"]}, wh)
+    finally:
+        spark.conf.set(key, "true")
+    assert len([x for x in os.listdir(os.path.join(wh, "F_Publications.csv")) if x.startswith("part-")]) > 1
+    fact, _ = reports.read_warehouse(spark, wh)
+    from_csv = {tuple(r) for r in graph.coauthor_sample(fact).collect()}
+    direct = {tuple(r) for r in graph.coauthor_sample(reports.warehouse.fact_publications(coll)).collect()}
+    assert from_csv == direct
