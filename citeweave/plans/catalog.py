@@ -45,7 +45,8 @@ _LOCK = threading.Lock()
 
 
 def fact_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The landed fact (ingest_id + nine columns), partitioned by ``Annee``."""
+    """The landed fact (ingest_id, the nine fact columns, the simulated flag),
+    partitioned by ``Annee``."""
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     with _LOCK:                       # callers may run queries from several threads
         path = _FACTS.get(key)
