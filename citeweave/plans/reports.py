@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import graph, olap, stats, textmine, warehouse
@@ -35,16 +35,27 @@ BOUNDED = {"trends", "authors", "geography", "topics", "topics_dist", "sources",
            "top_authors", "dimension_members", "coauthor_sample"}
 
 
-def collection_from_json(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON-array export as a collection: ``ingest_id`` is the position in the file.
+POSITION_BITS = 33          # monotonically_increasing_id keeps the row position in its low 33 bits
+
 
-    A JSON array is read whole, one file per task, so the generated id follows
-    file order and is stable for the same files; missing fields are NULL.
-    ``affiliations`` is kept only when some record has it: the collectors do
-    not emit it, and geography runs only where the field exists.
+def collection_from_json(spark: SparkSession, path: str) -> DataFrame:
+    """JSON-array exports as a collection: ``ingest_id`` follows file name, then position.
+
+    A JSON array is read whole, one file per task, so the low bits of
+    ``monotonically_increasing_id`` are the position in the file; the high
+    bits become the file's rank by path (a table with one row per file,
+    broadcast).  Missing fields are NULL.  ``affiliations`` is kept only when
+    some record has it: the collectors do not emit it, and geography runs only
+    where the field exists.
     """
-    df = read_json_array(spark, path, COLLECTION_SCHEMA)
-    df = df.withColumn("ingest_id", F.monotonically_increasing_id()).select(*COLLECTION_SCHEMA.fieldNames())
+    df = read_json_array(spark, path, COLLECTION_SCHEMA).withColumn("_file", F.col("_metadata.file_path"))
+    # one row per input file: bounded by the number of files
+    files = df.select("_file").distinct().withColumn(
+        "_rank", F.row_number().over(Window.orderBy("_file")).cast("bigint") - 1)
+    pos = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << POSITION_BITS) - 1))
+    df = (df.withColumn("_pos", pos).join(F.broadcast(files), "_file")
+          .withColumn("ingest_id", F.shiftleft(F.col("_rank"), POSITION_BITS) + F.col("_pos"))
+          .select(*COLLECTION_SCHEMA.fieldNames()))
     if df.where(F.col("affiliations").isNotNull()).isEmpty():
         df = df.drop("affiliations")
     return df

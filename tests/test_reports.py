@@ -67,3 +67,15 @@ def test_dashboard_first_papers_follow_collection_order(spark, scratch):
     from_csv = {tuple(r) for r in graph.coauthor_sample(fact).collect()}
     direct = {tuple(r) for r in graph.coauthor_sample(reports.warehouse.fact_publications(coll)).collect()}
     assert from_csv == direct
+
+
+def test_ingest_ids_follow_file_then_position(spark, scratch):
+    folder = os.path.join(scratch, "exports")
+    os.makedirs(folder)
+    sizes = {"a.json": 3, "b.json": 40, "c.json": 5}           # b is read first (largest)
+    for name, n in sizes.items():
+        with open(os.path.join(folder, name), "w") as f:
+            json.dump([{"title": f"{name}-{i}", "source": "S"} for i in range(n)], f)
+    coll = reports.collection_from_json(spark, folder)
+    order = [r["title"] for r in coll.orderBy("ingest_id").collect()]
+    assert order == [f"{n}-{i}" for n in sorted(sizes) for i in range(sizes[n])]
