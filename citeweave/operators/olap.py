@@ -42,14 +42,27 @@ def with_topic(fact: DataFrame) -> DataFrame:
     return fact.withColumn("Topic", topic_label(F.col("title")))
 
 
+def impact_cents(c: str = "Impact_Score"):
+    """Impact scores have two decimals: summing whole cents is exact and order-free,
+    where a sum of doubles depends on how rows meet in partial aggregates."""
+    return F.round(F.col(c) * 100).cast("bigint")
+
+
 def kpis(sl: DataFrame) -> DataFrame:
-    """Publications, total citations (0 on empty), mean impact to 2 places, active countries."""
-    return sl.agg(
+    """Publications, total citations (0 on empty), mean impact to 2 places, active countries.
+
+    The mean is the exact mean in cents rounded half-up to a whole cent, so it
+    does not move with the partitioning of the slice.
+    """
+    k = sl.agg(
         F.count(F.lit(1)).alias("publications"),
         F.coalesce(F.sum("Citations"), F.lit(0)).cast("bigint").alias("total_citations"),
-        F.round(F.avg("Impact_Score"), 2).alias("mean_impact"),
+        F.sum(impact_cents()).alias("_cents"), F.count("Impact_Score").alias("_n"),
         F.countDistinct("Pays").alias("active_countries"),
     )
+    return k.select("publications", "total_citations",
+                    (F.round(F.col("_cents") / F.col("_n"), 0) / 100).alias("mean_impact"),
+                    "active_countries")
 
 
 def pubs_per_year(sl: DataFrame) -> DataFrame:
@@ -73,7 +86,7 @@ def quartile_counts(sl: DataFrame) -> DataFrame:
     """
     g = sl.where(F.col("Quartile").isNotNull()).groupBy("Quartile").agg(F.count(F.lit(1)).alias("Count"))
     total = F.sum("Count").over(Window.partitionBy())
-    return (g.withColumn("share", F.round(F.col("Count") / total, 6))
+    return (g.withColumn("share", F.col("Count") / total)
             .orderBy(F.desc("Count"), F.asc("Quartile")))
 
 
@@ -117,9 +130,9 @@ def pubs_per_country(sl: DataFrame) -> DataFrame:
 
 
 def impact_by_year(sl: DataFrame) -> DataFrame:
-    """Mean citations per year."""
+    """Mean citations per year (exact integer sum, one division)."""
     return (sl.where(F.col("Annee").isNotNull()).groupBy(F.col("Annee").alias("Year"))
-            .agg(F.round(F.avg("Citations"), 6).alias("Avg_Citations")).orderBy("Year"))
+            .agg((F.sum("Citations") / F.count("Citations")).alias("Avg_Citations")).orderBy("Year"))
 
 
 def top_authors(sl: DataFrame, n: int = 10) -> DataFrame:
@@ -164,9 +177,12 @@ def olap_cube(fact: DataFrame) -> DataFrame:
 
     One materialised cube answers every sidebar state's totals; ``gid`` is
     ``grouping_id()`` (bit 2 = Annee rolled up, bit 1 = Quartile, bit 0 = Pays).
+    The mean impact is the exact cents mean divided once, not an average of doubles.
     """
     return (fact.cube("Annee", "Quartile", "Pays")
             .agg(F.grouping_id().alias("gid"),
                  F.count(F.lit(1)).alias("publications"),
                  F.coalesce(F.sum("Citations"), F.lit(0)).cast("bigint").alias("total_citations"),
-                 F.round(F.avg("Impact_Score"), 6).alias("mean_impact")))
+                 F.sum(impact_cents()).alias("_cents"), F.count("Impact_Score").alias("_n"))
+            .select("Annee", "Quartile", "Pays", "gid", "publications", "total_citations",
+                    (F.col("_cents") / F.col("_n") / 100).alias("mean_impact")))

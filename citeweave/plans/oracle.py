@@ -282,14 +282,15 @@ ORACLE: dict[str, str] = {
     "olap_slice": _stmt([A, D, F_, OLAP], f"SELECT {FACT_COLS} FROM olap"),
     "kpis": _stmt([A, D, F_, DASH], """SELECT count(*) AS publications,
         CAST(coalesce(sum(Citations), 0) AS BIGINT) AS total_citations,
-        round(avg(Impact_Score), 2) AS mean_impact, count(DISTINCT Pays) AS active_countries FROM dash"""),
+        round(sum(CAST(round(Impact_Score * 100) AS BIGINT)) / count(Impact_Score)) / 100 AS mean_impact,
+        count(DISTINCT Pays) AS active_countries FROM dash"""),
     "pubs_per_year": _stmt([A, D, F_, DASH], """SELECT Annee, count(*) AS Publications FROM dash
         WHERE Annee IS NOT NULL GROUP BY Annee"""),
     "year_quartile_pivot": _stmt([A, D, F_, DASH], "SELECT Annee, " + ", ".join(
         f"count(*) FILTER (WHERE Quartile = {q(x)}) AS {x}" for x in QUARTILES)
         + " FROM dash WHERE Annee IS NOT NULL AND Quartile IS NOT NULL GROUP BY Annee"),
     "quartile_counts": _stmt([A, D, F_, DASH], """SELECT Quartile, count(*) AS Count,
-        round(count(*) / sum(count(*)) OVER (), 6) AS share
+        count(*) / sum(count(*)) OVER () AS share
         FROM dash WHERE Quartile IS NOT NULL GROUP BY Quartile"""),
     "impact_box_stats": _stmt([A, D, F_, DASH, BOX], """SELECT f.Quartile, any_value(f.n) AS n,
         round(any_value(f.mn), 6) AS min, round(any_value(f.q1), 6) AS q1, round(any_value(f.med), 6) AS median,
@@ -302,7 +303,7 @@ ORACLE: dict[str, str] = {
         GROUP BY f.Quartile"""),
     "pubs_per_country": _stmt([A, D, F_, DASH], """SELECT Pays, count(*) AS Count FROM dash
         WHERE Pays IS NOT NULL GROUP BY Pays"""),
-    "impact_by_year": _stmt([A, D, F_, DASH], """SELECT Annee AS Year, round(avg(Citations), 6) AS Avg_Citations
+    "impact_by_year": _stmt([A, D, F_, DASH], """SELECT Annee AS Year, sum(Citations) / count(Citations) AS Avg_Citations
         FROM dash WHERE Annee IS NOT NULL GROUP BY Annee"""),
     "top_authors": _stmt([A, D, F_, DASH], f"""SELECT author, count(*) AS publications
         FROM ({TRIMMED_AUTHORS}) GROUP BY author ORDER BY publications DESC, author LIMIT 10"""),
@@ -318,7 +319,7 @@ ORACLE: dict[str, str] = {
     "olap_cube": _stmt([A, D, F_], """SELECT Annee, Quartile, Pays,
         CAST(grouping(Annee, Quartile, Pays) AS BIGINT) AS gid, count(*) AS publications,
         CAST(coalesce(sum(Citations), 0) AS BIGINT) AS total_citations,
-        round(avg(Impact_Score), 6) AS mean_impact
+        sum(CAST(round(Impact_Score * 100) AS BIGINT)) / count(Impact_Score) / 100 AS mean_impact
         FROM fact GROUP BY CUBE (Annee, Quartile, Pays)"""),
     "coauthor_edges": _stmt([A, D, F_, DASH, edges_sql("dash")], "SELECT src, dst, papers FROM edges"),
     "coauthor_sample": _stmt([A, D, F_, DASH, "first50 AS (SELECT * FROM dash ORDER BY ingest_id LIMIT 50)",
