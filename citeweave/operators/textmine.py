@@ -168,10 +168,16 @@ def weak_signals(tokens: DataFrame, period: str = "period", n: int = 20,
           .join(F.broadcast(per_period), "period")
           .withColumn("share", F.col("docs") / F.col("period_docs")))
     last = F.col("period") == b["last"]
-    g = tp.groupBy("term").agg(
-        F.sum("docs").alias("term_docs"),
-        F.coalesce(F.sum(F.when(last, F.col("share"))), F.lit(0.0)).alias("last_share"),
-        F.coalesce(F.sum(F.when(~last, F.col("share"))), F.lit(0.0)).alias("earlier_sum"))
+    # earlier shares are added in period order (a term has at most one entry per
+    # period, so the list is bounded by the number of periods): the sum then does
+    # not depend on the order in which partial aggregates meet
+    g = (tp.withColumn("earlier_share", F.when(~last, F.col("share")))
+         .groupBy("term").agg(
+             F.sum("docs").alias("term_docs"),
+             F.coalesce(F.sum(F.when(last, F.col("share"))), F.lit(0.0)).alias("last_share"),
+             F.sort_array(F.collect_list(F.struct("period", "earlier_share"))).alias("_earlier"))
+         .withColumn("earlier_sum", F.aggregate(
+             "_earlier", F.lit(0.0), lambda acc, x: acc + F.coalesce(x["earlier_share"], F.lit(0.0)))))
     earlier_mean = F.when(b["n_earlier"] > 0, F.col("earlier_sum") / b["n_earlier"]).otherwise(0.0)
     return (g.where((F.col("term_docs") >= min_docs) & (F.col("term_docs") <= b["n_docs"] * max_doc_share))
             .select("term", "term_docs",

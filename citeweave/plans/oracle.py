@@ -229,7 +229,10 @@ tp AS (SELECT term, period, docs, docs / period_docs AS share
        JOIN per_period USING (period)),
 g AS (SELECT term, sum(docs) AS term_docs, any_value(n_docs) AS n_docs, any_value(n_earlier) AS n_earlier,
              coalesce(sum(CASE WHEN period = last THEN share END), 0) AS last_share,
-             coalesce(sum(CASE WHEN period <> last THEN share END), 0) AS earlier_sum
+             list_reduce(list_prepend(CAST(0 AS DOUBLE),
+                                      list(coalesce(CASE WHEN period <> last THEN share END, CAST(0 AS DOUBLE))
+                                           ORDER BY period)),
+                         lambda a, b: a + b) AS earlier_sum
       FROM tp, bounds GROUP BY term),
 s AS (SELECT term, term_docs, n_docs, last_share,
              CASE WHEN n_earlier > 0 THEN earlier_sum / n_earlier ELSE 0 END AS em FROM g)"""
