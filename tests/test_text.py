@@ -91,3 +91,12 @@ def test_long_form_counts_equal_count_vectorizer(spark):
     assert ours == ml
     vocab = textmine.vocabulary(dtc, size=10_000)
     assert {r["term"] for r in vocab.collect()} == set(cvm.vocabulary)
+
+
+def test_lda_is_repeatable_with_its_seed(spark):
+    data = [(i, ("ledger token consensus mining block " if i % 3 else "patient record hospital care ward ") * 4
+             + f"doc{i % 5}") for i in range(60)]
+    toks = textmine.tokenize(docs(spark, data))
+    a = [tuple(r) for r in lda_topics(toks, k=3, max_iter=4).collect()]
+    b = [tuple(r) for r in lda_topics(toks, k=3, max_iter=4).collect()]
+    assert a == b and len(a) == 3
