@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from scripts.oracle_check import TABLES, digest
+from scripts.oracle_check import TABLES, TYPES, digest
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,6 +29,8 @@ def test_query_matches_oracle(spark, con, name):
     cols = [d[0] for d in res.description]
     want = res.fetchall()
     assert sorted(df.columns) == sorted(cols)
+    types = {f.name: TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+    assert types == {d[0]: str(d[1]) for d in res.description}
     assert digest(df.columns, got)[0] == digest(cols, want)[0]
 
 
