@@ -35,8 +35,9 @@ def dedupe_titles(df: DataFrame, key: str = "title", order: str = "ingest_id") -
     run as a sort aggregate that sorts every row with its whole payload:
     (1) the kept id per title (``kept_ids``), (2) a semi-join of the rows on
     their unique id.  The join key is unique, so no partition can be hot;
-    it runs as a shuffled hash join (build side: ids only), or as a
-    broadcast join when AQE measures the id side under the threshold.
+    the ``shuffle_hash`` hint makes it a shuffled hash join whose build side
+    holds only ids, so the payload side is hash-partitioned but never sorted
+    (a sort-merge join would sort every row with its payload).
     ``order`` must be unique per row.
     """
     keep = kept_ids(df, key, order)
