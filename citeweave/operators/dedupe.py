@@ -87,12 +87,22 @@ def insert_if_absent(batch: DataFrame, existing: DataFrame, key: str = "title",
     Otherwise the table's distinct titles are shuffled against the batch.
     """
     fresh = dedupe_titles(batch, key, order)
-    present = existing.select(F.col(key).alias("_k"))
+    keys = ["_k", "_kn"]
+    present = _null_safe_keys(existing, key)
     if broadcast_batch:
-        bt = F.broadcast(fresh.select(F.col(key).alias("_b")))
-        present = present.join(bt, present["_k"].eqNullSafe(bt["_b"]), "left_semi")
+        present = present.join(F.broadcast(_null_safe_keys(fresh, key)), keys, "left_semi")
+    # distinct and anti-join share the hash partitioning on (_k, _kn): the
+    # table side is shuffled once, already reduced map-side
     present = present.distinct()
-    return fresh.join(present, fresh[key].eqNullSafe(present["_k"]), "left_anti")
+    return (fresh.withColumns({"_k": F.coalesce(F.col(key), F.lit("")), "_kn": F.col(key).isNull()})
+            .join(present, keys, "left_anti").drop(*keys))
+
+
+def _null_safe_keys(df: DataFrame, key: str) -> DataFrame:
+    """(coalesce(key, ''), key IS NULL): equal exactly when the keys are equal or both NULL,
+    as plain equi-join columns (a ``<=>`` condition is rewritten to keys that do not match
+    the partitioning of a preceding distinct)."""
+    return df.select(F.coalesce(F.col(key), F.lit("")).alias("_k"), F.col(key).isNull().alias("_kn"))
 
 
 def union_sources(frames: list[DataFrame], order: str = "ingest_id") -> DataFrame:
