@@ -29,6 +29,39 @@ FROM b
 _STOP = ("the of and to in is that for with was on as by it are be le la les de des et un une en que qui du est pour "
          "dans par der die das und zu den von mit ist im ein eine auf nicht el los las y se su con para no lo al del")
 
+_OP1 = r"""
+WITH t AS (SELECT conv_id, turn, role, text FROM conversations
+           UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+n AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM t),
+o AS (SELECT conv_id, count(*) AS n_turns,
+             string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+             coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
+             sum(length('<|turn|><|text|><|end|>') + length(role || text)
+                 + length(regexp_replace(role || text, '[^<[]', '', 'g')))::BIGINT AS formatted_chars
+      FROM n GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+       formatted_chars FROM o
+"""
+
+_OP3 = r"""
+WITH f(doc, id, t) AS (SELECT true, doc_id::VARCHAR, text FROM documents UNION ALL SELECT false, item_id::VARCHAR, text FROM benchmark),
+g AS (SELECT doc, id, list_filter(regexp_split_to_array(translate(coalesce(t, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM f),
+p AS (SELECT DISTINCT id AS item, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS win
+      FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 8, 2))) AS i FROM g WHERE NOT doc AND len(w) > 0)),
+s AS (SELECT id, i, n, array_to_string(w[i:i + n - 1], ' ') AS win
+      FROM (SELECT id, w, unnest(range(1, len(w) + 1)) AS i FROM g WHERE doc), (SELECT DISTINCT n FROM p)
+      WHERE i + n - 1 <= len(w)),
+o AS (SELECT s.id, s.i, s.n, p.item FROM s JOIN p ON s.n = p.n AND s.win = p.win),
+h AS (SELECT id, count(DISTINCT j) AS n FROM (SELECT id, unnest(range(i, i + n)) AS j FROM o) GROUP BY id),
+q AS (SELECT id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT id, item FROM o) GROUP BY id)
+SELECT g.id::BIGINT AS doc_id, len(w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(q.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(q.items, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM g LEFT JOIN h ON h.id = g.id LEFT JOIN q ON q.id = g.id WHERE doc
+"""
+
 ORACLE = {
+    "op1_chat_format": _OP1,
+    "op3_decontaminate": _OP3,
     "op5_quality_rules": _OP5.replace("{stop}", ", ".join(f"'{w}'" for w in _STOP.split())),
 }

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import quality
+from . import bpe_count, chat, decontam, packing, quality
+
+CONTROL_TEXT = "</s>[INST] ok [/INST]"      # fixed by the contract of op1
+TOKEN_LIMIT = 2048                          # fixed by the contract of op7
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,4 +20,40 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {"op5_quality_rules": op5_quality_rules}
+
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one whose texts hold control strings, digested from the formatted output."""
+    own = spark.createDataFrame([(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)],
+                                "conv_id bigint, turn bigint, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.read_back(chat.format_conversations(turns))
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in an occurrence of a benchmark window."""
+    found = decontam.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("_row.doc_id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document and its place in a sequence of 1024 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                  public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-pair token count of every document."""
+    found = bpe_count.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                   public_tokenizers.path("word_bpe_49k.json"), TOKEN_LIMIT)
+    return found.select(F.col("_row.doc_id").alias("doc_id"), "n_bytes", "n_tokens", "over_limit")
+
+
+QUERIES = {
+    "op1_chat_format": op1_chat_format,
+    "op3_decontaminate": op3_decontaminate,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_token_count": op7_token_count,
+}
