@@ -43,6 +43,21 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_cha
        formatted_chars FROM o
 """
 
+_OP2 = r"""
+WITH RECURSIVE
+w AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM w WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+l AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM g AS a JOIN g AS b ON a.s = b.s AND a.doc_id <> b.doc_id
+      JOIN n AS na ON na.doc_id = a.doc_id JOIN n AS nb ON nb.doc_id = b.doc_id
+      GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 90 * (na.n + nb.n - count(*))),
+r(a, b) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, (SELECT min(b) FROM r WHERE r.a = w.doc_id) AS component_id
+FROM w LEFT JOIN n USING (doc_id)
+"""
+
 _OP3 = r"""
 WITH f(doc, id, t) AS (SELECT true, doc_id::VARCHAR, text FROM documents UNION ALL SELECT false, item_id::VARCHAR, text FROM benchmark),
 g AS (SELECT doc, id, list_filter(regexp_split_to_array(translate(coalesce(t, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -62,6 +77,7 @@ FROM g LEFT JOIN h ON h.id = g.id LEFT JOIN q ON q.id = g.id WHERE doc
 
 ORACLE = {
     "op1_chat_format": _OP1,
+    "op2_ngram_join": _OP2,
     "op3_decontaminate": _OP3,
     "op5_quality_rules": _OP5.replace("{stop}", ", ".join(f"'{w}'" for w in _STOP.split())),
 }

@@ -7,12 +7,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import bpe_count, chat, decontam, packing, quality
+from . import bpe_count, chat, decontam, html_tree, ngram_join, ngram_lm, packing, passages, quality, suffix_dedup
 
 CONTROL_TEXT = "</s>[INST] ok [/INST]"      # fixed by the contract of op1
 TOKEN_LIMIT = 2048                          # fixed by the contract of op7
 
 
+def op4_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's passages of 50 words or more that repeat an earlier document's."""
+    return passages.find(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        F.col("_row.doc_id").alias("doc_id"), "n_words",
+        F.aggregate("passages", F.lit(0).cast("bigint"), lambda a, p: a + p["n_words"]).alias("n_removed_words"),
+        F.size("passages").cast("bigint").alias("n_passages"), "passages", F.sha2("rest", 256).alias("rest_sha256"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document."""
     return quality.verdict(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
@@ -29,6 +37,11 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(turns))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's set size and near-duplicate component (Jaccard of 3-word shingles >= 0.9)."""
+    return ngram_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in an occurrence of a benchmark window."""
     found = decontam.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
@@ -50,10 +63,37 @@ def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("_row.doc_id").alias("doc_id"), "n_bytes", "n_tokens", "over_limit")
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = html_tree.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select(F.col("_row.page_id").alias("page_id"), F.col("_row.url").alias("url"), "text",
+                        F.length("text").cast("bigint").alias("n_chars"))
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that lie in a 100-byte string which also starts earlier."""
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        F.col("_row.doc_id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
+
+
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability, learning from the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = ngram_lm.held_out(F.col("doc_id"))
+    return ngram_lm.score(docs, docs.filter(~held)).select(
+        F.col("_row.doc_id").alias("doc_id"), ngram_lm.held_out(F.col("_row.doc_id")).alias("held_out"), "n_tokens", "n_known",
+        "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op2_ngram_join": op2_ngram_join,
     "op3_decontaminate": op3_decontaminate,
+    "op4_passage_dedup": op4_passage_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_token_count": op7_token_count,
+    "op8_html_extract": op8_html_extract,
+    "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_lm_score": op10_lm_score,
 }
