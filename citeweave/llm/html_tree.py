@@ -1,7 +1,7 @@
 """Main text of web pages, by a site style tree.
 
-The DOMs of a host are merged: nodes with one path of tags and classes are one
-style node.  Its importance has two parts, both entropies to the base of m, the
+The DOMs of a host are merged: nodes with one path of tags, classes and places
+among like siblings are one style node.  Its importance has two parts, both entropies to the base of m, the
 number of the host's pages with the node: presentation, the entropy of its
 sequences of child tags, and content, one less the mean entropy of its features
 (own texts and link targets) over the pages; a text that all pages show is
@@ -41,6 +41,7 @@ from .common import as_row, materialize
 
 GAMMA = 0.9                        # weight of a node's children falls with their number as GAMMA ** l
 LOW = 0.2                          # branches of less importance go
+PLACES = 9                         # like siblings told apart; further ones are one style node
 MIN_PAGES = 5                      # pages of a host with a node, below which its importance is 1
 TREE_ROWS = 200_000                # style nodes to broadcast, at most
 KEEP, DROP, MAIN = 0, 1, 2
@@ -88,6 +89,7 @@ class Page:
     def __init__(self, source: str):
         self.parent, self.tag, self.kind, self.path, self.links, self.inside = [-1], ["#"], [KEEP], [0], [""], [False]
         self.texts: list[tuple[int, str | None]] = []
+        self.seen: dict[tuple[str, int], int] = {}
         stack = [0]
         for m in TOKEN.finditer(source):
             if (text := m["text"]) is not None:
@@ -117,7 +119,8 @@ class Page:
         own = tag + ("." + ".".join(sorted(given["class"].split())) if given.get("class") else "")
         self.parent.append(stack[-1])
         self.tag.append(tag)
-        self.path.append(key(f"{self.path[stack[-1]]}>{own}"))
+        place = self.seen[own, stack[-1]] = self.seen.get((own, stack[-1]), 0) + 1
+        self.path.append(key(f"{self.path[stack[-1]]}>{own}:{min(place, PLACES)}"))
         self.links.append(given.get("href") or given.get("src") or "")
         self.kind.append(self.judge(tag, names, given, attr, self.inside[stack[-1]]))
         self.inside.append(self.inside[stack[-1]] or self.kind[-1] == MAIN)
