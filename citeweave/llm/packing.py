@@ -36,18 +36,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe_count import byte_symbols
 from .common import environment, materialize, sized
 
 CAPACITY = 1024
 END_ID = 2
 DOCS_PER_SLOT = 50_000
 PLACED, DOC, GAP, FRESH = 0, 1, 2, 3     # kinds of rows of a round; fresh gaps go to the range of their new size
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES, MEMO_CHARS = 800_000, 64     # pre-tokens remembered per worker, and their length, at most
 _LOADED: dict[str, Ids] = {}
 
 
 class Ids(dict):
-    """pre-token -> its ids as little-endian unsigned 32-bit bytes, computed by the library when missing."""
+    """pre-token -> its ids as little-endian unsigned 32-bit bytes, computed by the library's model when missing."""
 
     def __init__(self, path: str):
         import regex
@@ -56,6 +57,7 @@ class Ids(dict):
         super().__init__()
         environment()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.stand_in = self.tokenizer.model, byte_symbols()
         chars = [chr(c) for c in range(0x80, 0x180)]
         white = r"\t\n\x0b\x0c\r \x85\xa0"
         word = "A-Za-z" + "".join(c for c in chars if regex.match(r"\p{L}", c))
@@ -66,25 +68,21 @@ class Ids(dict):
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.library = re.compile("|".join([r"[^\x00-ſ]", *special])).search
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def __missing__(self, piece: str) -> bytes:
+        own = "".join(map(self.stand_in.__getitem__, piece.encode("utf-8")))
+        ids = np.asarray([t.id for t in self.model.tokenize(own)], "<u4").tobytes()
+        if len(piece) <= MEMO_CHARS:
+            if len(self) >= MEMO_ENTRIES:
+                self.clear()
+            self[piece] = ids
+        return ids
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as bytes."""
-        out: list = [None] * len(texts)
-        whole = [i for i, t in enumerate(texts) if self.library(t)]
-        for i, b in zip(whole, self.encode([texts[i] for i in whole]), strict=True):
-            out[i] = b
-        for i, t in enumerate(texts):
-            if out[i] is None:
-                pieces = self.split(t)
-                if new := [p for p in dict.fromkeys(pieces) if p not in self]:
-                    if len(self) + len(new) > MEMO_ENTRIES:
-                        self.clear()
-                        new = list(dict.fromkeys(pieces))
-                    self.update(zip(new, self.encode(new), strict=True))
-                out[i] = b"".join(map(self.__getitem__, pieces))
-        return out
+        whole = [t for t in texts if self.library(t)]
+        by_library = iter(self.tokenizer.encode_batch(whole, add_special_tokens=False) if whole else ())
+        return [np.asarray(next(by_library).ids, "<u4").tobytes() if self.library(t)
+                else b"".join(map(self.__getitem__, self.split(t))) for t in texts]
 
 
 def library(path: str) -> Ids:
