@@ -3,18 +3,22 @@
 A document's set holds the 64-bit fingerprints of its distinct n-word shingles.
 Sets are banded by size.  Two sets of a band pair with similarity of at least
 the threshold differ in at most k features, k following from the sizes.  The
-feature domain is dealt into n1 first-level partitions of n2 second-level ones
-each, with n1 * (k2 + 1) > k: some first-level partition holds at most k2 of the
-differences, so some subset of n2 - k2 of its second-level partitions holds
-none.  A set's signatures are fingerprints of its features in every such subset
-of every first-level partition; similar sets share at least one.
+feature domain is dealt into n1 first-level partitions of N2 second-level ones
+each, and a set's signatures are fingerprints of its features in every subset of
+N2 - K2 second-level partitions of every first-level one.  With N2 = 2 and K2 = 1
+these are N2 * n1 > k + 1 single parts, of which a similar pair differs in k at
+most, so it shares at least one; parts are a tenth more than that, and empty ones
+are signed only by sets that have more of them than that tenth.
 
 Sets that are equal are one node from the start.  Signatures seen once are left
 out by a broadcast bit filter of bounded size.  The nodes of a signature are
-compared with one leader, its smallest node, so a group of n costs n pairs; only
-where a group still holds several components after that are further pairs
-tried: all across components in groups up to SMALL_GROUP, else those of the next
-leader, round after round, until every pair of a group is either in one
+compared with one leader, its smallest node, so a group of n costs n pairs.
+Groups up to SMALL_GROUP that still hold several components then compare all
+pairs across these.  The nodes of larger ones (texts that share a passage fill
+some parts with nothing else) are grouped once more, by the rarest features of
+each set: of sets with a share of the threshold in common, some feature lies
+among each one's rarest 1 - threshold.  What is left are near copies just short of
+links: ever more leaders are compared until every pair of a group is in one
 component or compared.  No link between components is lost, whatever the group
 sizes.  All comparisons are exact on the fingerprint sets.
 
@@ -31,7 +35,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -88,17 +92,20 @@ def signatures(s: np.ndarray, threshold: int) -> np.ndarray:
     own = mix64(s ^ _M)
     for band, k in bands(len(s), threshold):
         if k:
-            n1 = -(-(k + 1) // (K2 + 1))
+            spare = -(-(k + 1) // 10)                             # parts that may be empty in a set without being signed
+            n1 = -(-(k + 1 + spare) // N2)
             part = ((s >> np.uint64(11)) % np.uint64(n1 * N2)).astype(np.int64)
             sums = np.zeros(n1 * N2, np.uint64)
             np.add.at(sums, part, own)
+            full = (np.bincount(part, minlength=n1 * N2) > 0).reshape(n1, N2)
+            all_ = int((~full).sum()) > n1 * N2 - k - 1            # too many empty parts: an empty one may be all a pair shares
             sums = sums.reshape(n1, N2)
             first = mix64(np.arange(n1, dtype=np.uint64) + np.uint64((band + 1) << 32))
             for c, subset in enumerate(combinations(range(N2), N2 - K2)):
                 x = first + np.uint64(c + 1)
                 for j in subset:
                     x = mix64(x * _M + sums[:, j])
-                out.append(x)
+                out.append(x if all_ else x[full[:, list(subset)].any(1)])
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
@@ -144,52 +151,85 @@ def similar(pairs: DataFrame, items: DataFrame, threshold: int) -> DataFrame:
         .filter(100 * both >= threshold * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def links(docs: DataFrame, signed: DataFrame, text: str, n: int, threshold: int) -> DataFrame:
-    """Links (a, b) between nodes that connect exactly what all similar pairs connect.
-
-    ``signed``: (node, sigs), where copies of a node do no harm."""
-    each = signed.select("node", F.explode("sigs").alias("sig"))
-    seen = key_filter(materialize(each.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1").select("sig"), "join-repeated"))
-
-    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sig = b.column(1).flatten()
-            x = sig.to_numpy()
-            keep = maybe(seen.value, x)
-            at = np.repeat(np.arange(b.num_rows), b.column(1).value_lengths().to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]), b.column(0).take(pa.array(at[keep]))], names=["sig", "node"])
-    rest = materialize(signed.select("node", "sigs").mapInArrow(repeated, "sig bigint, node bigint").distinct(), "join-members")
-    items, found, first = None, None, True
-    while True:
-        # the leader of a signature: its smallest node; the others are compared with it unless connected already
-        state = rest if found is None else rest.join(components(found, "join-comp"), "node", "left") \
-            .withColumn("component", F.coalesce("component", "node"))
-        if found is None:
-            state = state.withColumn("component", F.col("node"))
-        group = state.groupBy("sig").agg(F.min("node").alias("leader"), F.min("component").alias("lo"),
-                                         F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
-        open_ = materialize(state.join(group, "sig"), "join-open")
-        lead = open_.filter("node = leader").select("sig", F.col("component").alias("of"))
-        by_leader = open_.filter((F.lit(first)) | (F.col("n") > SMALL_GROUP)).join(lead, "sig") \
-            .filter("node <> leader AND component <> of").select(F.col("leader").alias("a"), F.col("node").alias("b"))
-        small = open_.filter((~F.lit(first)) & (F.col("n") <= SMALL_GROUP)).groupBy("sig") \
-            .agg(F.array_sort(F.collect_list(F.struct("node", "component"))).alias("g")) \
-            .select(F.explode("g").alias("x"), "g").select("x", F.explode("g").alias("y")) \
-            .filter("x.node < y.node AND x.component <> y.component") \
-            .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        pairs = materialize(by_leader.unionByName(small).distinct(), "join-pairs")
-        if pairs.isEmpty():
-            break
-        if items is None:
-            nodes = rest.join(group.select("sig"), "sig", "left_semi").select("node").distinct()
-            items = materialize(chosen_sets(docs, text, n, key_filter(nodes)), "join-sets")
-        new = similar(pairs, items, threshold)
-        found = materialize(new if found is None else found.unionByName(new), "join-links")
-        # what is done: the leader of a large group, and every small group
-        rest = materialize(open_.filter("node <> leader" if first else f"node <> leader AND n > {SMALL_GROUP}")
-                           .select("sig", "node"), "join-members")
-        first = False
-    return found if found is not None else signed.sparkSession.createDataFrame([], "a bigint, b bigint")
+def rare_features(items: DataFrame, threshold: int) -> DataFrame:
+    """(sig, node): the rarest features of each set, as many as any similar pair of these sets must share one of."""
+    each = items.select("node", F.size("items").alias("n"), F.explode("items").alias("sig"))
+    many = each.groupBy("sig").agg(F.count("*").alias("df"))
+    first = F.floor(F.col("n") * (100 - threshold) / 100) + 1
+    return each.join(many, "sig").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "sig"))).alias("f"), F.max("n").alias("n")) \
+        .select("node", F.explode(F.slice("f", F.lit(1), first.cast("int"))).alias("f")).filter("f.df > 1").select(F.col("f.sig").alias("sig"), "node")
+
+
+class Links:
+    """Links found so far, and the pairs of a grouping (sig, node) still to be compared."""
+
+    def __init__(self, docs: DataFrame, text: str, n: int, threshold: int):
+        self.docs, self.text, self.n, self.threshold = docs, text, n, threshold
+        self.found: DataFrame | None = None
+        self.items: DataFrame | None = None
+
+    def open(self, members: DataFrame) -> DataFrame:
+        """Members with their components, of the groups that hold several; with the group's size."""
+        if self.found is None:
+            state = members.withColumn("component", F.col("node"))
+        else:
+            state = members.join(components(self.found, "join-comp"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        group = state.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"))
+        return materialize(state.join(group.filter("lo <> hi").select("sig", "size"), "sig"), "join-open")
+
+    def compare(self, pairs: DataFrame) -> None:
+        pairs = materialize(pairs.distinct(), "join-pairs")
+        new = similar(pairs, self.items, self.threshold)
+        self.found = materialize(new if self.found is None else self.found.unionByName(new), "join-links")
+
+    def leaders(self, members: DataFrame, count: int) -> DataFrame:
+        """Compares each open group's ``count`` smallest nodes with its others, and returns the others."""
+        open_ = self.open(members)
+        place = F.row_number().over(Window.partitionBy("sig").orderBy("node"))
+        if count == 1:                                            # a grouped minimum, combined before the shuffle
+            lead = open_.groupBy("sig").agg(F.min(F.struct("node", "component")).alias("l")).select("sig", "l")
+        else:
+            lead = open_.withColumn("place", place).filter(F.col("place") <= count).select("sig", F.struct("node", "component").alias("l"))
+        both = open_.join(lead, "sig")
+        self.compare(both.filter("node > l.node AND component <> l.component").select(F.col("l.node").alias("a"), F.col("node").alias("b")))
+        return open_.select("sig", "node").join(lead.select("sig", F.col("l.node").alias("node")), ["sig", "node"], "left_anti")
+
+    def small(self, members: DataFrame) -> DataFrame:
+        """Compares all pairs across components in open groups up to SMALL_GROUP, and returns the larger ones."""
+        open_ = self.open(members)
+        g = open_.filter(F.col("size") <= SMALL_GROUP).groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("node", "component"))).alias("g"))
+        self.compare(g.select(F.explode("g").alias("x"), "g").select("x", F.explode("g").alias("y"))
+                     .filter("x.node < y.node AND x.component <> y.component").select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+        return open_.filter(F.col("size") > SMALL_GROUP).select("sig", "node")
+
+    def find(self, signed: DataFrame) -> DataFrame:
+        """Links (a, b) that connect exactly what all similar pairs connect.  ``signed``: (node, sigs); copies do no harm."""
+        each = signed.select(F.explode("sigs").alias("sig"))
+        seen = key_filter(materialize(each.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1").select("sig"), "join-repeated"))
+        members = materialize(signed.select("node", "sigs").mapInArrow(lambda it: repeated(seen, it), "sig bigint, node bigint").distinct(),
+                              "join-members")
+        nodes = members.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi")
+        nodes = members.join(nodes, "sig", "left_semi").select("node").distinct()
+        self.items = materialize(chosen_sets(self.docs, self.text, self.n, key_filter(materialize(nodes, "join-nodes"))), "join-sets")
+        rest = self.small(self.leaders(members, 1))
+        if not rest.isEmpty():
+            # large groups that still hold several components: their nodes again, by the rarest features
+            own = self.items.join(rest.select("node").distinct(), "node", "left_semi")
+            rest = self.small(self.leaders(materialize(rare_features(own, self.threshold), "join-rare"), 1))
+        count = 4
+        while not rest.isEmpty():                                 # mostly near copies that are no links: more leaders each time
+            rest = self.small(self.leaders(rest, count))
+            count *= 4
+        return self.found
+
+
+def repeated(seen, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sig, node) of the signatures that may occur more than once."""
+    for b in batches:
+        x = b.column(1).flatten().to_numpy()
+        keep = maybe(seen.value, x)
+        at = np.repeat(np.arange(b.num_rows), b.column(1).value_lengths().to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]), b.column(0).take(pa.array(at[keep]))], names=["sig", "node"])
 
 
 def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = SHINGLE,
@@ -198,7 +238,7 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = S
     links (the row's own id if nothing links)."""
     signed = materialize(sets(docs.select(doc_id, text), text, n, threshold), "join-signed")
     own = signed.select(F.col(f"_row.`{doc_id}`").alias("doc_id"), "n_shingles", "node")
-    found = links(docs, signed.filter(F.size("sigs") > 0), text, n, threshold)
+    found = Links(docs, text, n, threshold).find(signed.filter(F.size("sigs") > 0))
     named = own.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least")) \
         .join(components(found, "join-comp"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -206,7 +246,7 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = S
     return own.join(of_node, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that are not a component's further members; of rows that repeat the kept id one stays."""
-    stay = join(docs, text, doc_id).filter("doc_id <=> component_id").select("doc_id").distinct()
+    stay = join(docs, text, doc_id, n, threshold).filter("doc_id <=> component_id").select("doc_id").distinct()
     return docs.dropDuplicates([doc_id, text]).join(stay, docs[doc_id].eqNullSafe(stay["doc_id"]), "left_semi")

@@ -346,7 +346,10 @@ def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
             "n_words bigint, passages array<struct<first_word:bigint,n_words:bigint,start:bigint,stop:bigint>>, rest string").fields))
 
 
-def remove(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` without their repeated passages; a document of which no word is left goes, one without passages stays as it is."""
-    return find(docs, text, doc_id).filter(r"size(passages) = 0 OR rest RLIKE '[^\\x20\\x09-\\x0D]'").select(
-        *[(F.col("rest") if c == text else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
+def remove(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: str | None = None) -> DataFrame:
+    """``docs`` without their repeated passages; a document of which no word is left goes, one without passages stays
+    as it is.  A column ``length`` is lessened by the characters cut."""
+    found = find(docs, text, doc_id).filter(r"size(passages) = 0 OR rest RLIKE '[^\\x20\\x09-\\x0D]'")
+    cut = F.aggregate("passages", F.lit(0).cast("bigint"), lambda a, p: a + p["stop"] - p["start"])
+    own = {text: F.col("rest")} | ({length: F.col(f"_row.`{length}`") - cut} if length else {})
+    return found.select(*[own.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
