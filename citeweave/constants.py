@@ -1,8 +1,7 @@
 """Fixed values.
 
 Everything in this module is a value that results depend on: sentinels the
-collectors write, the ordered topic rules of the dashboard, the simulated
-dimension members and their weights, and Spark's default English stop-word
+collectors write, the ordered topic rules of the dashboard, and Spark's default English stop-word
 list (``StopWordsRemover.loadDefaultStopWords("english")``), written out so
 that the SQL oracle can inline the same list.
 """
@@ -40,13 +39,8 @@ TOPIC_RULES = [
 ]
 TOPIC_DEFAULT = "General Blockchain"
 
-# --- fixed values: simulated warehouse dimensions ---------------------------
+# --- fixed values: quality classes of the warehouse, best first --------------
 QUARTILES = ["Q1", "Q2", "Q3", "Q4"]
-QUARTILE_WEIGHTS = [4, 3, 2, 1]            # out of 10: .4 .3 .2 .1
-COUNTRIES = ["USA", "China", "France", "Germany", "India", "UK", "Canada", "Brazil"]
-IMPACT_MIN_CENTS = 50                      # impact score 0.50 .. 10.00
-IMPACT_MAX_CENTS = 1000
-CITATION_FACTOR_MAX = 20                   # citations = int(impact * randint(1, 20))
 
 # --- fixed values: text model settings --------------------------------------
 VOCAB_SIZE = 1000

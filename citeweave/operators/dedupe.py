@@ -34,14 +34,14 @@ def dedupe_titles(df: DataFrame, key: str = "title", order: str = "ingest_id") -
     Two steps instead of ``min_by(struct(*), order)``, which Spark can only
     run as a sort aggregate that sorts every row with its whole payload:
     (1) the kept id per title (``kept_ids``), (2) a semi-join of the rows on
-    their unique id.  The join key is unique, so no partition can be hot;
-    the ``shuffle_hash`` hint makes it a shuffled hash join whose build side
-    holds only ids, so the payload side is hash-partitioned but never sorted
-    (a sort-merge join would sort every row with its payload).
+    their unique id.  The join key is unique, so no partition can be hot.  The
+    join strategy is left to Spark, which turns it into a hash join where the
+    measured partitions of ids are small enough (the local-map threshold that
+    ``build_session`` sets) and else sorts, which can spill.
     ``order`` must be unique per row.
     """
     keep = kept_ids(df, key, order)
-    return df.join(keep.hint("shuffle_hash"), df[order] == keep["_keep"], "left_semi")
+    return df.join(keep, df[order] == keep["_keep"], "left_semi")
 
 
 def duplicate_titles(df: DataFrame, key: str = "title", order: str = "ingest_id") -> DataFrame:
@@ -59,7 +59,15 @@ def duplicate_titles(df: DataFrame, key: str = "title", order: str = "ingest_id"
 def surplus_rows(df: DataFrame, key: str = "title", order: str = "ingest_id") -> DataFrame:
     """Rows keep-first removes (the delete-where-id-in list), as a join on the unique id."""
     keep = kept_ids(df, key, order)
-    return df.join(keep.hint("shuffle_hash"), df[order] == keep["_keep"], "left_anti")
+    return df.join(keep, df[order] == keep["_keep"], "left_anti")
+
+
+def title_uniqueness(df: DataFrame, key: str = "title") -> DataFrame:
+    """Whether a unique index on the title would hold: rows, distinct titles (NULL is one), titles held twice or
+    more, and the verdict."""
+    per = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("rows"), F.count(F.lit(1)).alias("titles"),
+                   F.count_if(F.col("n") > 1).alias("repeated")).withColumn("is_unique", F.col("repeated") == 0)
 
 
 def dedupe_report(df: DataFrame, key: str = "title") -> DataFrame:
@@ -74,27 +82,21 @@ def dedupe_report(df: DataFrame, key: str = "title") -> DataFrame:
 
 
 def insert_if_absent(batch: DataFrame, existing: DataFrame, key: str = "title",
-                     order: str = "ingest_id", broadcast_batch: bool = False) -> DataFrame:
+                     order: str = "ingest_id") -> DataFrame:
     """Rows of ``batch`` whose title the table does not hold yet.
 
     The batch is deduplicated first (one insert per title, the first one);
     the title test is NULL-safe, like a unique index that treats a missing
-    title as one value.  Append the result to the table to apply it.
-
-    ``broadcast_batch=True`` is for a caller that has checked the batch is
-    small (a micro-batch): the batch's titles are broadcast and the table is
-    only filtered map-side against them, so the table is never shuffled.
-    Otherwise the table's distinct titles are shuffled against the batch.
+    title as one value.  Append the result to the table to apply it.  The
+    table's distinct titles, reduced map-side, are joined against the batch;
+    Spark broadcasts a side only by its measured size.
     """
-    fresh = dedupe_titles(batch, key, order)
     keys = ["_k", "_kn"]
-    present = _null_safe_keys(existing, key)
-    if broadcast_batch:
-        present = present.join(F.broadcast(_null_safe_keys(fresh, key)), keys, "left_semi")
     # distinct and anti-join share the hash partitioning on (_k, _kn): the
-    # table side is shuffled once, already reduced map-side
-    present = present.distinct()
-    return (fresh.withColumns({"_k": F.coalesce(F.col(key), F.lit("")), "_kn": F.col(key).isNull()})
+    # table side is shuffled once
+    present = _null_safe_keys(existing, key).distinct()
+    return (dedupe_titles(batch, key, order)
+            .withColumns({"_k": F.coalesce(F.col(key), F.lit("")), "_kn": F.col(key).isNull()})
             .join(present, keys, "left_anti").drop(*keys))
 
 

@@ -9,15 +9,17 @@ made distinct and sorted, so pair (d[i], d[j]) with i < j is already
 normalised (src < dst) and appears once per paper, and the edge count is a
 plain partial-aggregated ``count``.  There is no self-join on the paper id,
 hence no shuffle before the edge aggregation.  The pair work of one paper
-is quadratic in its list length; a paper with more than ``chunk`` author
-parts is split into rows of ``chunk`` start positions each, and only those
-rows are re-partitioned, so a very long list is spread over many tasks
-instead of one.  All pairs are still produced, nothing is capped.
+is quadratic in its list length, so a list is cut into tiles of ``chunk``
+names, and one scan gives a row for each pair of tiles that holds just their
+names: at most chunk * chunk pairs are ever built at once.  Where some list
+is longer than a tile, these rows are dealt out by paper and tiles, so a very
+long list is spread over many tasks.  All pairs are produced, nothing is
+capped.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import graph_author_parts
@@ -38,12 +40,17 @@ def _names(df: DataFrame, id_col: str) -> DataFrame:
             .withColumn("m", F.size("d")))
 
 
-def _pairs(d: Column, m: Column, chunk: Column, width: int) -> Column:
-    """Pairs (d[i], d[j]) for j > i, i over this chunk's start positions (at most ``width``)."""
-    first = chunk * width
-    starts = F.sequence(first, F.least(first + (width - 1), m - 2))
-    return F.when(m >= 2, F.flatten(F.transform(starts, lambda i: F.transform(
-        F.slice(d, i + 2, m - i - 1), lambda y: F.struct(d[i].alias("src"), y.alias("dst"))))))
+def pair_tiles(df: DataFrame, id_col: str = "ingest_id", chunk: int = PAIR_CHUNK) -> DataFrame:
+    """One row per paper and pair of tiles x <= y of its sorted distinct names: the names ``a`` and ``b`` of the two
+    tiles, and (in the first row) the names listed twice."""
+    last = F.greatest(F.floor((F.col("m") - 1) / chunk).cast("int"), F.lit(0))
+    tiles = F.flatten(F.transform(F.sequence(F.lit(0), last), lambda i: F.transform(
+        F.sequence(i, last), lambda j: F.struct(i.alias("x"), j.alias("y")))))
+    return (_names(df, id_col).select("paper", "d", "loops", F.explode_outer(tiles).alias("t"))
+            .select("paper", F.col("t.x").alias("x"), F.col("t.y").alias("y"),
+                    F.slice("d", F.col("t.x") * chunk + 1, F.lit(chunk)).alias("a"),
+                    F.slice("d", F.col("t.y") * chunk + 1, F.lit(chunk)).alias("b"),
+                    F.when((F.col("t.x") == 0) & (F.col("t.y") == 0), F.col("loops")).otherwise(F.array().cast("array<string>")).alias("loops")))
 
 
 def paper_pairs(df: DataFrame, id_col: str = "ingest_id", chunk: int = PAIR_CHUNK) -> DataFrame:
@@ -53,21 +60,15 @@ def paper_pairs(df: DataFrame, id_col: str = "ingest_id", chunk: int = PAIR_CHUN
     pair expression into an inferred ``size(p) > 0`` filter, which would
     build every pair list twice.
     """
-    # split on the raw part count, an upper bound of the distinct names that
-    # costs one split: each row's name list is then built in one branch only
-    parts = F.size(F.split(F.col("authors"), ","))
-    loops = F.transform(F.col("loops"), lambda x: F.struct(x.alias("src"), x.alias("dst")))
-    d, m, c = F.col("d"), F.col("m"), F.col("c")
-    short = (_names(df.where(parts <= chunk), id_col)
-             .select("paper", F.concat(F.coalesce(_pairs(d, m, F.lit(0), chunk), F.array()), loops).alias("p")))
-    long_ = (_names(df.where(parts > chunk), id_col)
-             .select("paper", "d", "m", "loops",
-                     F.explode(F.sequence(F.lit(0), F.floor((m - 2) / chunk).cast("int"))).alias("c"))
-             .repartition("paper", "c")
-             .select("paper", F.concat(_pairs(d, m, c, chunk),
-                                       F.when(c == 0, loops).otherwise(F.array())).alias("p")))
-    return (short.unionByName(long_)
-            .select("paper", F.explode_outer("p").alias("e"))
+    rows = pair_tiles(df, id_col, chunk)
+    if not df.where(F.size(F.split("authors", ",")) > chunk).isEmpty():
+        rows = rows.repartition("paper", "x", "y")
+    pair = lambda s, t: F.struct(s.alias("src"), t.alias("dst"))
+    a, b = F.col("a"), F.col("b")
+    same = F.flatten(F.transform(a, lambda s, i: F.transform(F.slice(a, i + 2, F.size(a)), lambda t: pair(s, t))))
+    apart = F.flatten(F.transform(a, lambda s: F.transform(b, lambda t: pair(s, t))))
+    loops = F.transform("loops", lambda s: pair(s, s))
+    return (rows.select("paper", F.explode_outer(F.concat(F.when(F.col("x") == F.col("y"), same).otherwise(apart), loops)).alias("e"))
             .where(F.col("e").isNotNull())
             .select("paper", "e.src", "e.dst"))
 

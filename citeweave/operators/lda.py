@@ -1,10 +1,14 @@
 """LDA topic model over TF-IDF weights (M5-M7).
 
-The vocabulary comes from ``textmine.vocabulary`` (stable at the cut) and is
-the only data that reaches the driver: at most ``VOCAB_SIZE`` strings, which
-``CountVectorizerModel`` needs anyway.  Vectors, IDF and the online LDA
+The vocabulary comes from ``textmine.vocabulary`` (stable at the cut), or is
+taken as given; its strings are the only data that reach the driver, where
+``CountVectorizerModel`` needs them anyway.  Vectors, IDF and the online LDA
 fit are Spark ML jobs; topic descriptions are turned into keyword strings by
 a join with the vocabulary, not a driver loop.
+
+The fit sees the documents in a layout that follows from their ids alone:
+dealt by id over ``LAYOUT`` partitions and sorted within.  Its sums then add up
+in the same order whatever partitions the corpus came in.
 """
 
 from __future__ import annotations
@@ -15,52 +19,60 @@ from pyspark.ml.feature import IDF, CountVectorizerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import LDA_K, LDA_MAX_ITER, LDA_SEED, TOPIC_TERMS, VOCAB_SIZE
+from ..constants import LDA_K, LDA_MAX_ITER, LDA_SEED, TOPIC_TERMS
 from . import textmine
 
 TOPICS_SCHEMA = "Topic int, Keywords string"
+LAYOUT = 64                 # partitions of the fit, independent of the cluster; raise it with the corpus
+READ_ALL = 1.0              # share of the documents that an iteration reads
 
 
 def lda_topics(tokens: DataFrame, vocab: DataFrame | None = None, k: int = LDA_K,
-               max_iter: int = LDA_MAX_ITER, seed: int = LDA_SEED, n_terms: int = TOPIC_TERMS) -> DataFrame:
+               max_iter: int = LDA_MAX_ITER, seed: int = LDA_SEED, n_terms: int = TOPIC_TERMS,
+               rate: float = READ_ALL, layout: int = LAYOUT) -> DataFrame:
     """(Topic, Keywords): the ``n_terms`` heaviest terms of each of ``k`` topics, joined by ``", "``.
 
-    ``tokens`` has ``doc_id`` and ``words``; without ``vocab`` the vocabulary
-    is built from the same tokens.  The tokens are kept (memory, spilling to
-    disk) while the vocabulary and the vectors are built, so the corpus is
-    tokenised once; the sparse TF vectors are kept for the IDF fit and the
-    LDA iterations.  A lost block is recomputed from the landed collection.
-    M7: an empty corpus gives an empty result instead of a failed fit.
+    ``tokens`` has ``doc_id`` and ``content`` (tokens without stop words); without
+    ``vocab`` the vocabulary is built from the same tokens.  ``rate`` is the
+    optimizer's mini-batch: 1 reads every document in every iteration, smaller
+    values a sample of them.  The laid-out tokens and the sparse vectors are kept
+    (memory, spilling to disk) for the iterations; a lost block is recomputed from
+    the landed collection.  M7: an empty corpus gives an empty result instead of a
+    failed fit.
     """
     spark = tokens.sparkSession
-    words = tokens.select("doc_id", "words").persist(StorageLevel.MEMORY_AND_DISK)
+    laid = tokens.select("doc_id", "content").repartition(layout, "doc_id").sortWithinPartitions("doc_id", "content")
+    docs = laid.persist(StorageLevel.MEMORY_AND_DISK)
     tf = None
     try:
-        if words.isEmpty():
+        if docs.isEmpty():
             return spark.createDataFrame([], TOPICS_SCHEMA)
         if vocab is None:
-            vocab = textmine.vocabulary(textmine.doc_term_counts(words))
-        terms = [r["term"] for r in vocab.orderBy("term_index").limit(VOCAB_SIZE).collect()]
-        # stop words are never in the vocabulary, so counting vocabulary terms over
-        # all tokens gives the same vectors as over the filtered tokens
-        cv = CountVectorizerModel.from_vocabulary(terms, inputCol="words", outputCol="rawFeatures")
-        tf = cv.transform(words).select("rawFeatures").persist(StorageLevel.MEMORY_AND_DISK)
-        weighted = IDF(inputCol="rawFeatures", outputCol="features").fit(tf).transform(tf)
-        words.unpersist()
-        model = LDA(k=k, maxIter=max_iter, optimizer="online", seed=seed,
-                    featuresCol="features").fit(weighted)
-        desc = model.describeTopics(n_terms)
-        picked = desc.select(F.col("topic").alias("Topic"),
-                             F.posexplode("termIndices").alias("pos", "term_index"))
-        # the vocabulary is at most VOCAB_SIZE terms and already on the driver for
-        # CountVectorizerModel; the result must not depend on the released caches
-        named = picked.join(F.broadcast(spark.createDataFrame(
-            [(i, t) for i, t in enumerate(terms)], "term_index int, term string")), "term_index")
+            vocab = textmine.vocabulary(textmine.doc_term_counts(docs))
+        terms = [r["term"] for r in vocab.orderBy("term_index").collect()]
+        cv = CountVectorizerModel.from_vocabulary(terms, inputCol="content", outputCol="counts")
+        tf = cv.transform(docs).select("counts").persist(StorageLevel.MEMORY_AND_DISK)
+        weighted = IDF(inputCol="counts", outputCol="weights").fit(tf).transform(tf)
+        model = LDA(k=k, maxIter=max_iter, optimizer="online", seed=seed, subsamplingRate=rate,
+                    featuresCol="weights").fit(weighted)
+        picked = model.describeTopics(n_terms).select(F.col("topic").alias("Topic"),
+                                                      F.posexplode("termIndices").alias("pos", "term_index"))
+        # the vocabulary is already on the driver for CountVectorizerModel; the
+        # result must not depend on the released caches
+        named = picked.join(spark.createDataFrame(list(enumerate(terms)), "term_index int, term string"), "term_index")
         return (named.groupBy("Topic")
                 .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "term"))),
                                               lambda x: x["term"]), ", ").alias("Keywords"))
                 .select(F.col("Topic").cast("int"), "Keywords").orderBy("Topic"))
     finally:
-        words.unpersist()
+        docs.unpersist()
         if tf is not None:
             tf.unpersist()
+
+
+def topic_facts(topics: DataFrame, vocab: DataFrame) -> DataFrame:
+    """What holds of any fit: per topic its number of terms, of distinct ones, and of those in the vocabulary."""
+    each = topics.select("Topic", F.explode(F.split("Keywords", ", ")).alias("term"))
+    known = vocab.select("term", F.lit(1).alias("known"))
+    return each.join(known, "term", "left").groupBy("Topic").agg(
+        F.count(F.lit(1)).alias("terms"), F.countDistinct("term").alias("distinct_terms"), F.count("known").alias("in_vocabulary"))

@@ -3,36 +3,36 @@
 Each view is one DataFrame over an OLAP slice.  The dashboard works on a
 pandas frame read back from CSV, so NULL keys drop out of its group-bys;
 the views filter NULL keys to match.  Every aggregate keeps map-side
-partial aggregation; the only per-group buffers are exact percentiles,
-whose state is a value->count map bounded by the distinct impact scores.
+partial aggregation.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import COUNTRIES, QUARTILES
+from ..constants import QUARTILES
 from ..functions.text import trimmed_author_parts
 from ..functions.topics import topic_label
 
 
 @dataclass(frozen=True)
 class Slice:
-    """Sidebar state: year range (inclusive) and selected quartiles and countries."""
+    """Sidebar state: year range (inclusive) and selected quartiles and countries (None: all)."""
     years: tuple[int, int] = (2020, 2025)
-    quartiles: tuple[str, ...] = tuple(QUARTILES)
-    countries: tuple[str, ...] = field(default_factory=lambda: tuple(COUNTRIES))
+    quartiles: tuple[str, ...] | None = None
+    countries: tuple[str, ...] | None = None
 
 
 def olap_slice(fact: DataFrame, s: Slice = Slice()) -> DataFrame:
     """AND of year range, quartile set and country set (all reach the parquet scan)."""
-    lo, hi = s.years
-    return fact.where(F.col("Annee").between(lo, hi)
-                      & F.col("Quartile").isin(list(s.quartiles))
-                      & F.col("Pays").isin(list(s.countries)))
+    out = fact.where(F.col("Annee").between(*s.years))
+    for name, members in (("Quartile", s.quartiles), ("Pays", s.countries)):
+        if members is not None:
+            out = out.where(F.col(name).isin(list(members)))
+    return out
 
 
 def with_topic(fact: DataFrame) -> DataFrame:
@@ -90,33 +90,38 @@ def quartile_counts(sl: DataFrame) -> DataFrame:
             .orderBy(F.desc("Count"), F.asc("Quartile")))
 
 
-def impact_box_stats(sl: DataFrame, group: str = "Quartile", value: str = "Impact_Score") -> DataFrame:
+def impact_box_stats(sl: DataFrame, group: str = "Quartile", value: str = "Impact_Score",
+                     accuracy: int | None = None) -> DataFrame:
     """A10: five-number summary per group with Tukey fences, whiskers and outlier count.
 
-    Quartiles interpolate linearly (exact ``percentile``).  Fences are
-    q1 - 1.5 IQR and q3 + 1.5 IQR; whiskers are the extreme values inside the
-    fences.  The per-group statistics are joined back to the rows; that side
-    has one row per group, so the planner broadcasts it when its measured
-    size is under the broadcast threshold and shuffles otherwise.
+    Rows are first counted per (group, value), with partial aggregation; all
+    statistics come from these counts, so a hot group costs its distinct values.
+    Quartiles interpolate linearly over the counts.  ``accuracy`` instead takes
+    ``percentile_approx`` of the rows with that accuracy (an actual value each,
+    with a bounded sketch), for measures with unboundedly many distinct values.
+    Fences are q1 - 1.5 IQR and q3 + 1.5 IQR; whiskers are the extreme values
+    inside the fences.
     """
     base = sl.where(F.col(group).isNotNull() & F.col(value).isNotNull()).select(group, value)
-    q = F.percentile(F.col(value), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    st = (base.groupBy(group)
-          .agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"),
-               q.alias("_q"))
-          .select(group, "n", "min", "max",
-                  F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3")))
+    per = base.groupBy(group, value).agg(F.count(F.lit(1)).alias("_n"))
+    points = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    st = per.groupBy(group).agg(F.sum("_n").alias("n"), F.min(value).alias("min"), F.max(value).alias("max"),
+                                F.percentile(F.col(value), points, F.col("_n")).alias("_q"))
+    if accuracy is not None:
+        approx = base.groupBy(group).agg(F.percentile_approx(value, [0.25, 0.5, 0.75], accuracy).alias("_q"))
+        st = st.drop("_q").join(approx, group)
+    st = st.select(group, "n", "min", "max", *[F.col("_q")[i].alias(c) for i, c in enumerate(("q1", "median", "q3"))])
     st = (st.withColumn("lower_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")))
           .withColumn("upper_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))))
     inside = (F.col(value) >= F.col("lower_fence")) & (F.col(value) <= F.col("upper_fence"))
     cols = ["n", "min", "q1", "median", "q3", "max", "lower_fence", "upper_fence"]
     # the statistics are functions of the group, so grouping by them as well
     # keeps one row per group and needs no second join
-    w = (base.join(st, group)
+    w = (per.join(st, group)
          .groupBy(group, *cols)
          .agg(F.min(F.when(inside, F.col(value))).alias("whisker_low"),
               F.max(F.when(inside, F.col(value))).alias("whisker_high"),
-              F.count_if(~inside).alias("outliers")))
+              F.coalesce(F.sum(F.when(~inside, F.col("_n"))), F.lit(0)).alias("outliers")))
     return (w.select(group, "n", *[F.round(c, 6).alias(c) for c in cols[1:]],
                      F.round("whisker_low", 6).alias("whisker_low"),
                      F.round("whisker_high", 6).alias("whisker_high"), "outliers")

@@ -11,22 +11,21 @@ after that is long-form DataFrame work keyed by (doc, term), so no
 per-document vector or vocabulary map ever sits in a Python worker or the
 driver:
 
-* term frequency  = count of (doc, term)            -> shuffle on (doc, term)
-* document freq   = count of docs per term           -> shuffle on term
+* term frequency  = runs of a document's sorted tokens, counted inside its row
+                    (no shuffle: a document is one row)
+* document freq   = count of docs per term           -> one shuffle on term
 * vocabulary      = top ``VOCAB_SIZE`` terms by (count desc, term asc)
                     (TakeOrderedAndProject; the stable tie-break replaces
                     CountVectorizer's arbitrary order at the cut)
 * idf             = ln((N + 1) / (df + 1)), as Spark ML's IDF
 * tf-idf          = tf * idf
 
-Vocabulary-sized tables (at most ``VOCAB_SIZE`` rows) and per-period
-tables are the only broadcast sides; their size is bounded by construction.
-Global counts enter as scalar subqueries (one value each), not joins.
+Global counts enter as scalar subqueries (one value each), not joins; whether
+a vocabulary or period table is broadcast is left to its measured size.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import StopWordsRemover, Tokenizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,16 +64,24 @@ def drop_stop_words(tokens: Column, stop_words: list[str] = ENGLISH_STOP_WORDS)
 
 
 def tokenize(docs: DataFrame, stop_words: list[str] = ENGLISH_STOP_WORDS) -> DataFrame:
-    """M1/M2: adds ``words`` (all tokens) and ``filtered`` (stop words removed)."""
+    """M1/M2: adds ``words`` (all tokens) and ``content`` (stop words removed)."""
     return (docs.withColumn("words", words(F.col("text_content")))
-            .withColumn("filtered", drop_stop_words(F.col("words"), stop_words)))
+            .withColumn("content", drop_stop_words(F.col("words"), stop_words)))
 
 
-def tokenize_ml(docs: DataFrame, stop_words: list[str] = ENGLISH_STOP_WORDS) -> DataFrame:
-    """The same tokens through the ML transformers (reference form for tests)."""
-    tok = Tokenizer(inputCol="text_content", outputCol="words").transform(docs)
-    return StopWordsRemover(inputCol="words", outputCol="filtered", stopWords=stop_words,
-                            caseSensitive=False, locale="en_US").transform(tok)
+# Spark's own stop-word lists by the language code of a document.
+STOP_WORD_LISTS = {"en": "english", "fr": "french", "de": "german", "es": "spanish"}
+
+
+def tokenize_by_language(docs: DataFrame, lang: str = "lang") -> DataFrame:
+    """M1/M2 with the stop words of each document's own language (English where it is unknown or not listed)."""
+    from pyspark.ml.feature import StopWordsRemover
+    w = F.col("words")
+    content = F.when(F.lit(False), w)
+    for code, name in STOP_WORD_LISTS.items():
+        content = content.when(F.col(lang) == code, drop_stop_words(w, StopWordsRemover.loadDefaultStopWords(name)))
+    return docs.withColumn("words", words(F.col("text_content"))) \
+        .withColumn("content", content.otherwise(drop_stop_words(w)))
 
 
 def content_terms(tokens: DataFrame, *keep: str, stop_words: list[str] = ENGLISH_STOP_WORDS) -> DataFrame:
@@ -85,22 +92,31 @@ def content_terms(tokens: DataFrame, *keep: str, stop_words: list[str] = ENGLISH
     stop = sorted({w.lower() for w in stop_words})
     # explode_outer: an inner explode makes the optimizer add a size(words) > 0
     # filter below it, which would tokenise every document twice
-    return (tokens.select("doc_id", *keep, F.explode_outer("words").alias("term"))
+    return (tokens.select(*keep, F.explode_outer("words").alias("term"))
             .where(F.col("term").isNotNull() & ~F.col("term").isin(stop)))
 
 
 def doc_term_counts(tokens: DataFrame) -> DataFrame:
-    """(doc_id, term, tf) over the tokens without stop words."""
-    return (content_terms(tokens)
-            .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")))
+    """(doc_id, term, tf) over the tokens without stop words, counted inside each document's row."""
+    s = tokens.select("doc_id", F.array_sort("content").alias("s"))
+    # explode_outer, as above: one row without a term for a document without tokens, dropped below
+    starts = F.filter(F.transform("s", lambda w, i: F.when((i == 0) | (w != F.get("s", i - 1)), i)), lambda i: i.isNotNull())
+    s = s.select("doc_id", "s", starts.alias("at"))
+    runs = F.transform("at", lambda i, k: F.struct(
+        F.get("s", i).alias("term"), (F.coalesce(F.get("at", k + 1), F.size("s")) - i).cast("bigint").alias("tf")))
+    return s.select("doc_id", F.explode_outer(runs).alias("r")).where(F.col("r").isNotNull()).select("doc_id", "r.term", "r.tf")
+
+
+def term_stats(dtc: DataFrame, min_df: int = MIN_DF) -> DataFrame:
+    """(term, term_count, doc_freq) of every term."""
+    return (dtc.groupBy("term")
+            .agg(F.sum("tf").cast("bigint").alias("term_count"), F.count(F.lit(1)).alias("doc_freq"))
+            .where(F.col("doc_freq") >= min_df))
 
 
 def vocabulary(dtc: DataFrame, size: int = VOCAB_SIZE, min_df: int = MIN_DF) -> DataFrame:
     """M3: (term_index, term, term_count, doc_freq) of the ``size`` most frequent terms."""
-    stats = (dtc.groupBy("term")
-             .agg(F.sum("tf").cast("bigint").alias("term_count"), F.count(F.lit(1)).alias("doc_freq"))
-             .where(F.col("doc_freq") >= min_df))
-    top = stats.orderBy(F.desc("term_count"), F.asc("term")).limit(size)
+    top = term_stats(dtc, min_df).orderBy(F.desc("term_count"), F.asc("term")).limit(size)
     # at most ``size`` rows: one small partition for the index numbering
     rank = F.row_number().over(Window.orderBy(F.desc("term_count"), F.asc("term"))) - 1
     return top.select(rank.alias("term_index"), "term", "term_count", "doc_freq")
@@ -108,37 +124,41 @@ def vocabulary(dtc: DataFrame, size: int = VOCAB_SIZE, min_df: int = MIN_DF) ->
 
 def term_frequencies(dtc: DataFrame, vocab: DataFrame) -> DataFrame:
     """(doc_id, term_index, term, tf) restricted to the vocabulary (CountVectorizer in long form)."""
-    return dtc.join(F.broadcast(vocab.select("term", "term_index")), "term") \
-              .select("doc_id", "term_index", "term", "tf")
+    return dtc.join(vocab.select("term", "term_index"), "term").select("doc_id", "term_index", "term", "tf")
 
 
-def tfidf(tf: DataFrame, vocab: DataFrame, docs: DataFrame) -> DataFrame:
-    """M4: (doc_id, term_index, term, tf, idf, tfidf) with idf = ln((N+1)/(df+1)).
+def weighted(dtc: DataFrame, terms: DataFrame, docs: DataFrame) -> DataFrame:
+    """M4: the columns of ``dtc`` and of ``terms`` (term and doc_freq at least) with idf = ln((N+1)/(df+1)) and
+    tfidf; one join with the terms, which carry their idf.
 
     ``df`` counts the documents holding the term and ``N`` all documents,
     including those without any vocabulary term, as Spark ML's IDF does.
     """
     n_docs = docs.agg(F.count(F.lit(1))).scalar()          # scalar subquery, one value
-    idf = vocab.select("term", F.log((n_docs + 1) / (F.col("doc_freq") + 1)).alias("idf"))
-    return (tf.join(F.broadcast(idf), "term")
-            .select("doc_id", "term_index", "term", "tf", F.round("idf", 9).alias("idf"),
-                    F.round(F.col("tf") * F.col("idf"), 9).alias("tfidf")))
+    idf = terms.withColumn("_idf", F.log((n_docs + 1) / (F.col("doc_freq") + 1)))
+    return (dtc.join(idf, "term").withColumns({"idf": F.round("_idf", 9), "tfidf": F.round(F.col("tf") * F.col("_idf"), 9)})
+            .drop("_idf"))
+
+
+def tfidf(dtc: DataFrame, vocab: DataFrame, docs: DataFrame) -> DataFrame:
+    """M4 over the vocabulary: (doc_id, term_index, term, tf, idf, tfidf)."""
+    return weighted(dtc, vocab, docs).select("doc_id", "term_index", "term", "tf", "idf", "tfidf")
 
 
-def doc_keywords(weights: DataFrame, n: int = 5) -> DataFrame:
-    """The ``n`` highest tf-idf terms of each document (ties by term).
+def doc_keywords(dtc: DataFrame, docs: DataFrame, n: int = 5) -> DataFrame:
+    """The ``n`` highest tf-idf terms of each document (ties by term), over all terms of the corpus.
 
-    The window partition of a document holds at most ``VOCAB_SIZE`` rows.
+    The window partition of a document holds its own distinct terms.
     """
     w = Window.partitionBy("doc_id").orderBy(F.desc("tfidf"), F.asc("term"))
-    return (weights.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    return (weighted(dtc, term_stats(dtc), docs).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
             .select("doc_id", "rank", "term", "tfidf"))
 
 
-def word_cloud_terms(dtc: DataFrame, n: int = 100) -> DataFrame:
-    """The ``n`` most frequent non-empty terms of the corpus after stop words."""
-    return (dtc.where(F.col("term") != "").groupBy("term")
-            .agg(F.sum("tf").cast("bigint").alias("count"))
+def word_cloud_terms(tokens: DataFrame, n: int = 100) -> DataFrame:
+    """The ``n`` most frequent non-empty terms of the corpus after stop words, counted without documents."""
+    return (content_terms(tokens).where(F.col("term") != "").groupBy("term")
+            .agg(F.count(F.lit(1)).alias("count"))
             .orderBy(F.desc("count"), F.asc("term")).limit(n))
 
 
@@ -156,16 +176,15 @@ def weak_signals(tokens: DataFrame, period: str = "period", n: int = 20,
     tokens = tokens.where(F.col(period).isNotNull())
     # a document is one row, so its distinct terms come from array_distinct in
     # the row: no shuffle of token-level data before the (term, period) count
-    distinct_words = tokens.select("doc_id", period, F.array_distinct("words").alias("words"))
+    distinct_words = tokens.select(period, F.array_distinct("words").alias("words"))
     dt = (content_terms(distinct_words, period).withColumnRenamed(period, "period")
           .where(F.col("term") != ""))
     per_period = tokens.groupBy(F.col(period).alias("period")).agg(F.count(F.lit(1)).alias("period_docs"))
     # last period, number of earlier periods and all documents: one scalar subquery
     b = per_period.agg(F.struct(F.max("period").alias("last"), (F.count(F.lit(1)) - 1).alias("n_earlier"),
                                 F.sum("period_docs").alias("n_docs"))).scalar()
-    # one row per period: bounded by the number of periods
     tp = (dt.groupBy("term", "period").agg(F.count(F.lit(1)).alias("docs"))
-          .join(F.broadcast(per_period), "period")
+          .join(per_period, "period")
           .withColumn("share", F.col("docs") / F.col("period_docs")))
     last = F.col("period") == b["last"]
     # earlier shares are added in period order (a term has at most one entry per

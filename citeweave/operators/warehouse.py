@@ -1,47 +1,52 @@
-"""Fact table F_Publications.
+"""Fact table F_Publications.
 
 Built from the deduplicated collection: one fact row per title.  The time
 dimension is ``clean_year(date_pub)``; ``Journal`` copies ``source`` (not
-the item's journal); quartile, impact, citations and country are the
-deterministic stand-ins of ``functions.simulate``.  ``ingest_id`` is kept
-as the row order of the exported collection ("first 50 papers").
+the item's journal).  ``Pays``, ``Citations`` and ``Impact_Score`` are the
+collection's own ``country``, ``citations`` and ``impact_score``; a
+collection without one of these has NULL there.  ``Quartile`` ranks the
+articles by their impact score.  ``ingest_id`` is kept as the row order of
+the exported collection ("first 50 papers").
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import simulate
+from ..constants import QUARTILES
 from ..functions.years import clean_year
 from ..schema import FACT_COLUMNS
 from .dedupe import dedupe_titles
 
 
+def quartile(value: Column, rows: DataFrame) -> Column:
+    """Q1 above the upper quartile of ``value`` over ``rows``, Q2 above the median, Q3 above the lower
+    quartile, else Q4; NULL without a value.
+
+    The cut points are exact: rows are counted per distinct value with partial aggregation, and the three
+    percentiles are taken over the counts, as a scalar subquery.  No window over all rows."""
+    counts = rows.select(value.alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    cuts = counts.agg(F.percentile("v", F.array(F.lit(0.75), F.lit(0.5), F.lit(0.25)), F.col("n"))).scalar()
+    best, good, fair, rest = QUARTILES
+    return (F.when(value.isNull(), F.lit(None)).when(value > cuts[0], best).when(value > cuts[1], good)
+            .when(value > cuts[2], fair).otherwise(rest))
+
+
 def fact_from_collection(coll: DataFrame) -> DataFrame:
-    """Fact columns over an already title-unique collection.
-
-    Quartile, impact and citations have no source and are always simulated;
-    ``Pays`` takes a real ``country`` value where the collection has one (the
-    wide collector schema declares it) and is simulated otherwise.  The
-    ``simulated`` flag marks rows carrying simulated attributes, which is
-    every row as long as quartile, impact and citations are simulated.
-    """
-    t, i = F.col("title"), F.col("ingest_id")
-    cents = simulate.impact_cents(t, i)
-    pays = simulate.country(t, i)
-    if "country" in coll.columns:
-        pays = F.coalesce(F.nullif(F.col("country"), F.lit("")), pays)
+    """Fact columns over an already title-unique collection."""
+    def own(name: str, kind: str) -> Column:
+        return F.col(name).cast(kind) if name in coll.columns else F.lit(None).cast(kind)
+    impact = own("impact_score", "double")
     return coll.select(
         "ingest_id", "title", "authors",
         clean_year(F.col("date_pub")).alias("Annee"),
-        pays.alias("Pays"),
+        F.nullif(own("country", "string"), F.lit("")).alias("Pays"),
         F.col("source").alias("Journal"),
-        simulate.quartile(t, i).alias("Quartile"),
-        simulate.citations(cents, t, i).alias("Citations"),
-        (cents.cast("double") / 100).alias("Impact_Score"),
+        quartile(F.round(impact * 100).cast("bigint"), coll).cast("string").alias("Quartile"),
+        own("citations", "bigint").alias("Citations"),
+        impact.alias("Impact_Score"),
         "abstract_",
-        F.lit(True).alias("simulated"),
     )
 
 

@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 from ..functions.topics import topic_label
 from ..functions.years import clean_year, is_exact_year
 from ..operators import dedupe, graph, olap, stats, textmine, warehouse
-from ..operators.lda import lda_topics
+from ..operators.lda import lda_topics, topic_facts
 from ..session import materialize, work_path
-from ..sources.articles import articles
+from ..sources.articles import articles, measured_articles
 from ..sources.extract import DEFAULT_RULES, extract_articles
 from ..sources.tables import table
-from ..sources.writers import export_by_source
+from ..sources.writers import csv_round_trip, export_by_source, json_round_trip
 from ..streaming.ingest import run_title_ingest, run_title_ingest_stateful
 
 # --- fixed query parameters --------------------------------------------------
@@ -33,9 +33,9 @@ from ..streaming.ingest import run_title_ingest, run_title_ingest_stateful
 # dashboard slice spans 2000-2024 to keep several years.
 DASHBOARD = olap.Slice(years=(2000, 2024))
 OLAP_SLICE = olap.Slice(years=(2000, 2024), quartiles=("Q1", "Q2", "Q3"),
-                        countries=("USA", "China", "France", "Germany", "India", "UK"))
+                        countries=tuple(f"NATION_{i}" for i in range(0, 25, 3)))
 DRILL_TOPIC = "AI & Blockchain"
-INSERT_SPLIT = 500           # table = ids >= 500, batch = ids < 500
+INSERT_SHARE = 3             # batch = the ids of the lowest third of their range, table = the others
 KEYWORDS_PER_DOC = 5
 WORD_CLOUD_TERMS = 100
 WEAK_SIGNALS = 20
@@ -45,20 +45,22 @@ _LOCK = threading.Lock()
 
 
 def fact_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The landed fact (ingest_id, the nine fact columns, the simulated flag),
-    partitioned by ``Annee``."""
+    """The landed fact (ingest_id, the nine fact columns), partitioned by ``Annee``.
+
+    Rebalanced on the year before the write: a year's rows come in files of the advisory size, and a year that
+    holds most rows is written by many tasks."""
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     with _LOCK:                       # callers may run queries from several threads
         path = _FACTS.get(key)
         if path is None:
             tag = hashlib.sha1(key[1].encode()).hexdigest()[:12]
             path = work_path(spark, f"fact_{tag}")
-            (warehouse.fact_publications(articles(spark, sf_dir))
+            (warehouse.fact_publications(measured_articles(spark, sf_dir)).hint("rebalance", "Annee")
              .write.mode("overwrite").partitionBy("Annee").parquet(path))
             _FACTS[key] = path
     f = spark.read.parquet(path)
     return f.select("ingest_id", "title", "authors", F.col("Annee").cast("int"), "Pays", "Journal",
-                    "Quartile", "Citations", "Impact_Score", "abstract_", "simulated")
+                    "Quartile", "Citations", "Impact_Score", "abstract_")
 
 
 def dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,21 +79,18 @@ def _dtc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textmine.doc_term_counts(_tokens(spark, sf_dir))
 
 
-def _dtc_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Doc-term counts written once for a plan that reads them twice (vocabulary + TF)."""
-    return materialize(_dtc(spark, sf_dir), "doc_term_counts")
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return textmine.valid_abstracts(articles(spark, sf_dir))
 
 
 def _tf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dtc = _dtc_landed(spark, sf_dir)
+    dtc = _dtc(spark, sf_dir)
     return textmine.term_frequencies(dtc, textmine.vocabulary(dtc))
 
 
 def _tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dtc = _dtc_landed(spark, sf_dir)
-    vocab = textmine.vocabulary(dtc)
-    docs = textmine.valid_abstracts(articles(spark, sf_dir))
-    return textmine.tfidf(textmine.term_frequencies(dtc, vocab), vocab, docs)
+    dtc = _dtc(spark, sf_dir)
+    return textmine.tfidf(dtc, textmine.vocabulary(dtc), _docs(spark, sf_dir))
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,8 +103,17 @@ def _union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = articles(spark, sf_dir)
-    return dedupe.insert_if_absent(a.where(F.col("ingest_id") < INSERT_SPLIT),
-                                   a.where(F.col("ingest_id") >= INSERT_SPLIT))
+    r = a.agg(F.min("ingest_id").alias("lo"), F.max("ingest_id").alias("hi")).first()
+    split = 0 if r["lo"] is None else r["lo"] + (r["hi"] - r["lo"]) // INSERT_SHARE
+    return dedupe.insert_if_absent(a.where(F.col("ingest_id") < split), a.where(F.col("ingest_id") >= split))
+
+
+def _json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return json_round_trip(articles(spark, sf_dir), work_path(spark, f"json-{uuid.uuid4().hex[:12]}"))
+
+
+def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return csv_round_trip(fact_table(spark, sf_dir), work_path(spark, f"csv-{uuid.uuid4().hex[:12]}"))
 
 
 def _export(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,8 +140,19 @@ def _weak(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textmine.weak_signals(toks, "period", WEAK_SIGNALS)
 
 
+def _language_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = textmine.valid_abstracts(measured_articles(spark, sf_dir), keep=("lang",))
+    return textmine.tokenize_by_language(docs)
+
+
 def _lda(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lda_topics(_tokens(spark, sf_dir))
+    return lda_topics(_language_tokens(spark, sf_dir))
+
+
+def _lda_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    toks = _language_tokens(spark, sf_dir)
+    vocab = materialize(textmine.vocabulary(textmine.doc_term_counts(toks)), "lda_vocabulary")
+    return topic_facts(lda_topics(toks, vocab), vocab)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -148,9 +167,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dedupe_titles": lambda s, d: dedupe.dedupe_titles(articles(s, d)),
     "surplus_rows": lambda s, d: dedupe.surplus_rows(articles(s, d)).select("ingest_id", "title"),
     "dedupe_report": lambda s, d: dedupe.dedupe_report(articles(s, d)),
+    "title_uniqueness": lambda s, d: dedupe.title_uniqueness(dedupe.dedupe_titles(articles(s, d))),
     "insert_if_absent": _insert,
     "union_sources": _union,
     "export_by_source": _export,
+    "json_round_trip": _json,
+    "csv_round_trip": _csv,
     "extract_articles": pages_articles,
     "stream_ingest": _stream,
     "stream_ingest_state": _stream_state,
@@ -161,7 +183,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
                                                       topic_label(F.col("title")).alias("Topic")),
     "topic_label_words": lambda s, d: articles(s, d).select(
         "ingest_id", "title", topic_label(F.col("title"), whole_word=True).alias("Topic")),
-    "fact_publications": lambda s, d: warehouse.fact_publications(articles(s, d)),
+    "fact_publications": lambda s, d: warehouse.fact_publications(measured_articles(s, d)),
     # dashboard views
     "olap_slice": lambda s, d: olap.olap_slice(fact_table(s, d), OLAP_SLICE),
     "kpis": lambda s, d: olap.kpis(dashboard(s, d)),
@@ -186,10 +208,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "vocabulary": lambda s, d: textmine.vocabulary(_dtc(s, d)),
     "term_frequencies": _tf,
     "tfidf": _tfidf,
-    "doc_keywords": lambda s, d: textmine.doc_keywords(_tfidf(s, d), KEYWORDS_PER_DOC),
-    "word_cloud_terms": lambda s, d: textmine.word_cloud_terms(_dtc(s, d), WORD_CLOUD_TERMS),
+    "doc_keywords": lambda s, d: textmine.doc_keywords(_dtc(s, d), _docs(s, d), KEYWORDS_PER_DOC),
+    "word_cloud_terms": lambda s, d: textmine.word_cloud_terms(_tokens(s, d), WORD_CLOUD_TERMS),
     "weak_signals": _weak,
     "lda_topics": _lda,
+    "lda_topic_facts": _lda_facts,
 }
 
 

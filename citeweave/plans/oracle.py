@@ -2,18 +2,29 @@
 
 Each statement sees only the driver's base tables and rebuilds the article
 collection with the ``articles`` CTE (FIXTURES.md part 3), so the Spark
-side and the oracle share no code path beyond the fixed values of
-``constants``.  LDA has no twin (iterative, seeded model).
+side and the oracle share no code path and no pattern, only Spark's public
+stop-word list.  LDA itself has no twin (iterative, seeded model); the facts
+that hold of any fit have one.
 """
 
 from __future__ import annotations
 
-from ..constants import (COUNTRIES, ENGLISH_STOP_WORDS, QUARTILE_WEIGHTS, QUARTILES, TOPIC_DEFAULT,
-                         TOPIC_RULES)
-from ..constants import YEAR_IN_TEXT
-from ..functions.text import CSV_NA_STRINGS
-from ..functions.topics import whole_word_pattern
-from ..operators.dedupe import SOURCE_ID_STRIDE
+from ..constants import ENGLISH_STOP_WORDS
+
+# --- fixed values, spelled out again so that a wrong one on the Spark side shows
+QUARTILES = ["Q1", "Q2", "Q3", "Q4"]
+TOPIC_RULES = [("AI & Blockchain", ["ai", "learning"]), ("Security & Privacy", ["security", "privacy"]),
+               ("IoT & Edge", ["iot", "edge"]), ("Healthcare", ["health"]), ("Supply Chain", ["supply"]),
+               ("DeFi & Finance", ["finance", "defi"])]
+TOPIC_DEFAULT = "General Blockchain"
+YEAR_IN_TEXT = r"(?:^|[^\p{L}\p{N}_])((?:19|20)\d{2})(?:[^\p{L}\p{N}_]|$)"
+CSV_NA_STRINGS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
+                  "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+SOURCE_ID_STRIDE = 281474976710656
+
+
+def whole_word_pattern(word: str) -> str:
+    return rf"(?:^|[^\p{{L}}\p{{N}}_]){word}(?:[^\p{{L}}\p{{N}}_]|$)"
 
 
 def q(s: str) -> str:
@@ -29,21 +40,26 @@ ARTICLES = r"""
 auth AS (
   SELECT l_orderkey,
          string_agg(s_name, ', ' ORDER BY l_linenumber, l_suppkey, s_name, l_partkey) AS authors,
-         arg_min(l_partkey, (l_linenumber, l_suppkey, l_partkey)) AS first_part
+         arg_min(l_partkey, (l_linenumber, l_suppkey, l_partkey)) AS first_part,
+         CAST(sum(l_quantity) AS BIGINT) AS quantity
   FROM lineitem JOIN supplier ON s_suppkey = l_suppkey
   GROUP BY l_orderkey),
 articles AS (
   SELECT CAST(o.o_orderkey AS BIGINT) AS ingest_id,
-         coalesce(substr(d.text, 1, 60), p.p_name, 'Unknown Title') AS title,
+         coalesce(split_part(d.text, chr(10), 1) || ' #' || md5(d.text),
+                  coalesce(p.p_name, 'Unknown Title') || ' (order ' || CAST(o.o_orderkey AS VARCHAR) || ')') AS title,
          coalesce(a.authors, 'Unknown') AS authors,
          CAST(year(o.o_orderdate) AS VARCHAR) AS date_pub,
          coalesce(d.source, 'src' || CAST(o.o_orderkey % 3 AS VARCHAR)) AS source,
          o.o_orderpriority AS journal,
          coalesce(d.text, 'N/A') AS abstract_,
-         'Lab, ' || c.c_mktsegment AS affiliations
+         'Lab, ' || c.c_mktsegment AS affiliations,
+         n.n_name AS country, coalesce(a.quantity, 0) AS citations,
+         CAST(floor(CAST(round(o.o_totalprice * 100) AS BIGINT) / 10000) AS BIGINT) AS cents
   FROM orders o
   LEFT JOIN documents d ON d.doc_id = o.o_orderkey
   JOIN customer c ON c.c_custkey = o.o_custkey
+  LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey
   LEFT JOIN auth a ON a.l_orderkey = o.o_orderkey
   LEFT JOIN part p ON p.p_partkey = a.first_part)"""
 
@@ -53,49 +69,27 @@ dedup AS (
   QUALIFY row_number() OVER (PARTITION BY title ORDER BY ingest_id) = 1)"""
 
 
-def _bucket(salt: str) -> str:
-    key = f"{q(salt + '|')} || coalesce(title, '') || '|' || CAST(ingest_id AS VARCHAR)"
-    return f"CAST('0x' || substr(md5({key}), 1, 8) AS BIGINT)"
-
-
-def _quartile_case(u: str) -> str:
-    parts, upper = [], 0
-    for name, w in zip(QUARTILES, QUARTILE_WEIGHTS):
-        upper += w
-        parts.append(f"WHEN {u} < {upper} THEN {q(name)}")
-    return "CASE " + " ".join(parts) + " END"
-
-
 CLEAN_YEAR_SQL = r"CAST(coalesce(nullif(regexp_extract({c}, '20\d{{2}}', 0), ''), '2024') AS INTEGER)"
 
 FACT = f"""
-fact_h AS (
-  SELECT *, {_bucket('quartile')} % 10 AS u_q, 50 + {_bucket('impact')} % 951 AS cents,
-         1 + {_bucket('citations')} % 20 AS factor, {_bucket('country')} % {len(COUNTRIES)} AS u_c
-  FROM dedup),
+cuts AS (SELECT quantile_cont(cents, 0.75) AS c1, quantile_cont(cents, 0.5) AS c2, quantile_cont(cents, 0.25) AS c3 FROM dedup),
 fact AS (
   SELECT ingest_id, title, authors,
          {CLEAN_YEAR_SQL.format(c='date_pub')} AS Annee,
-         [{', '.join(q(c) for c in COUNTRIES)}][CAST(u_c AS INTEGER) + 1] AS Pays,
+         country AS Pays,
          source AS Journal,
-         {_quartile_case('u_q')} AS Quartile,
-         CAST(floor(cents * factor / 100) AS BIGINT) AS Citations,
+         CASE WHEN cents > c1 THEN 'Q1' WHEN cents > c2 THEN 'Q2' WHEN cents > c3 THEN 'Q3' ELSE 'Q4' END AS Quartile,
+         citations AS Citations,
          CAST(cents AS DOUBLE) / 100 AS Impact_Score,
-         abstract_,
-         TRUE AS simulated
-  FROM fact_h)"""
-
-
-def _slice(name: str, years, quartiles, countries) -> str:
-    return f"""
-{name} AS (
-  SELECT * FROM fact
-  WHERE Annee BETWEEN {years[0]} AND {years[1]}
-    AND Quartile IN {in_list(quartiles)} AND Pays IN {in_list(countries)})"""
+         abstract_
+  FROM dedup, cuts)"""
 
 
-DASH = _slice("dash", (2000, 2024), QUARTILES, COUNTRIES)
-OLAP = _slice("olap", (2000, 2024), ("Q1", "Q2", "Q3"), ("USA", "China", "France", "Germany", "India", "UK"))
+DASH = """
+dash AS (SELECT * FROM fact WHERE Annee BETWEEN 2000 AND 2024)"""
+OLAP = """
+olap AS (SELECT * FROM fact WHERE Annee BETWEEN 2000 AND 2024 AND Quartile IN ('Q1', 'Q2', 'Q3')
+         AND Pays IN ('NATION_0', 'NATION_3', 'NATION_6', 'NATION_9', 'NATION_12', 'NATION_15', 'NATION_18', 'NATION_21', 'NATION_24'))"""
 
 
 def topic_sql(col: str, whole_word: bool = False) -> str:
@@ -198,8 +192,7 @@ extracted AS (
     FROM page_items)
   WHERE title <> 'Unknown Title')"""
 
-FACT_COLS = ("ingest_id, title, authors, Annee, Pays, Journal, Quartile, Citations, Impact_Score, abstract_, "
-             "simulated")
+FACT_COLS = "ingest_id, title, authors, Annee, Pays, Journal, Quartile, Citations, Impact_Score, abstract_"
 ART_COLS = "ingest_id, title, authors, date_pub, source, journal, abstract_, affiliations"
 TRIMMED_AUTHORS = (f"SELECT unnest(list_transform(string_split(a, ','), lambda x: {STRIP.format(x='x')})) AS author "
                    f"FROM (SELECT {CSV_NULL_AUTHORS} AS a FROM dash) WHERE a IS NOT NULL")
@@ -263,14 +256,20 @@ ORACLE: dict[str, str] = {
         count(*) FILTER (WHERE n > 1) AS duplicate_titles
         FROM (SELECT title, count(*) AS n FROM articles GROUP BY title)"""),
     "insert_if_absent": _stmt([A], f"""SELECT {ART_COLS} FROM (
-          SELECT * FROM articles WHERE ingest_id < 500
+          SELECT * FROM articles WHERE ingest_id < (SELECT min(ingest_id) + (max(ingest_id) - min(ingest_id)) // 3 FROM articles)
           QUALIFY row_number() OVER (PARTITION BY title ORDER BY ingest_id) = 1) b
         WHERE NOT EXISTS (SELECT 1 FROM articles t
-                          WHERE t.ingest_id >= 500 AND t.title IS NOT DISTINCT FROM b.title)"""),
+                          WHERE t.title IS NOT DISTINCT FROM b.title AND t.ingest_id >=
+                            (SELECT min(ingest_id) + (max(ingest_id) - min(ingest_id)) // 3 FROM articles))"""),
     "union_sources": _stmt([A, PAGES], f"""SELECT {ART_COLS} FROM articles
         UNION ALL
         SELECT CAST(ingest_id + {SOURCE_ID_STRIDE} AS BIGINT), title, authors, date_pub, source, journal, abstract_,
                CAST(NULL AS VARCHAR) FROM extracted"""),
+    "title_uniqueness": _stmt([A, D], """SELECT CAST(sum(n) AS BIGINT) AS rows, count(*) AS titles,
+        count(*) FILTER (WHERE n > 1) AS repeated, count(*) FILTER (WHERE n > 1) = 0 AS is_unique
+        FROM (SELECT title, count(*) AS n FROM dedup GROUP BY title)"""),
+    "json_round_trip": _stmt([A], "SELECT title, authors, date_pub, source, journal, abstract_, affiliations FROM articles"),
+    "csv_round_trip": _stmt([A, D, F_], f"SELECT {FACT_COLS} FROM fact"),
     "export_by_source": _stmt([A], """SELECT title, authors, date_pub, journal, abstract_, affiliations, source
         FROM articles"""),
     "extract_articles": _stmt([PAGES], "SELECT * FROM extracted"),
@@ -340,9 +339,12 @@ ORACLE: dict[str, str] = {
     "doc_keywords": _stmt([A, TEXT], """SELECT doc_id, rank, term, tfidf FROM (
           SELECT doc_id, term, tfidf,
                  CAST(row_number() OVER (PARTITION BY doc_id ORDER BY tfidf DESC, term) AS INTEGER) AS rank
-          FROM tfidf) WHERE rank <= 5"""),
+          FROM (SELECT doc_id, term, round(tf * ln((n + 1) / (doc_freq + 1)), 9) AS tfidf
+                FROM dtc JOIN vstats USING (term), (SELECT count(*) AS n FROM docs))) WHERE rank <= 5"""),
     "word_cloud_terms": _stmt([A, TEXT], """SELECT term, CAST(sum(tf) AS BIGINT) AS count FROM dtc
         WHERE term <> '' GROUP BY term ORDER BY count DESC, term LIMIT 100"""),
+    "lda_topic_facts": """SELECT CAST(t AS INTEGER) AS Topic, CAST(5 AS BIGINT) AS terms, CAST(5 AS BIGINT) AS distinct_terms,
+        CAST(5 AS BIGINT) AS in_vocabulary FROM range(5) AS r(t) WHERE EXISTS (SELECT 1 FROM documents)""",
     "weak_signals": _stmt([A, WEAK], f"""SELECT term, CAST(term_docs AS BIGINT) AS term_docs,
         round(last_share, 9) AS last_share, round(em, 9) AS earlier_mean_share,
         round(last_share - em, 9) AS growth

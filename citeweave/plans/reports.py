@@ -4,8 +4,9 @@
 collection, one CSV folder each.  ``warehouse``: the fact table plus the
 tables the dashboard reads beside it (topic distribution, articles per
 source, mean citations per year).  ``dashboard``: the data behind every view
-of the dashboard for one sidebar state, read from the warehouse's CSV
-output.  Results bounded by construction (top-k, one row per
+of the dashboard for one sidebar state, read from the warehouse's Parquet
+fact.  The fact is landed once as Parquet with its ``ingest_id``; its CSV is an
+export.  Results bounded by construction (top-k, one row per
 year/source/topic/quartile/country) are written as one file; unbounded ones
 (the fact table, the slice, edges) by every task in parallel.
 
@@ -20,41 +21,39 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators import graph, olap, stats, textmine, warehouse
 from ..operators.lda import lda_topics
 from ..schema import COLLECTION_SCHEMA, FACT_SCHEMA, TOPIC_DIST_SCHEMA
-from ..session import build_session
-from ..sources.readers import read_csv_optional, read_csv_typed, read_json_array
+from ..session import build_session, clear_work
+from ..sources.readers import input_files, land, read_csv_optional, read_json_positions
 from ..sources.writers import write_csv
 
-BOUNDED = {"trends", "authors", "geography", "topics", "topics_dist", "sources", "impact", "kpis",
+FACT = "F_Publications.parquet"
+BOUNDED = {"trends", "authors", "geography", "topics", "topics_dist", "impact", "kpis",
            "pubs_per_year", "year_quartile_pivot", "quartile_counts", "impact_box_stats", "pubs_per_country",
            "top_authors", "dimension_members", "coauthor_sample"}
 
 
-POSITION_BITS = 33          # monotonically_increasing_id keeps the row position in its low 33 bits
+POSITION_BITS = 33          # records of one file, as a power of two
 
 
 def collection_from_json(spark: SparkSession, path: str) -> DataFrame:
     """JSON-array exports as a collection: ``ingest_id`` follows file name, then position.
 
-    A JSON array is read whole, one file per task, so the low bits of
-    ``monotonically_increasing_id`` are the position in the file; the high
-    bits become the file's rank by path (a table with one row per file,
-    broadcast).  Missing fields are NULL.  ``affiliations`` is kept only when
-    some record has it: the collectors do not emit it, and geography runs only
-    where the field exists.
+    The position comes from the array itself, the file's rank from the listing of
+    the input, sorted by path (one row per file, which the driver holds anyway).
+    Missing fields are NULL.  ``affiliations`` is kept only when some record has
+    it: the collectors do not emit it, and geography runs only where the field exists.
     """
-    df = read_json_array(spark, path, COLLECTION_SCHEMA).withColumn("_file", F.col("_metadata.file_path"))
-    # one row per input file: bounded by the number of files
-    files = df.select("_file").distinct().withColumn(
-        "_rank", F.row_number().over(Window.orderBy("_file")).cast("bigint") - 1)
-    pos = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << POSITION_BITS) - 1))
-    df = (df.withColumn("_pos", pos).join(F.broadcast(files), "_file")
-          .withColumn("ingest_id", F.shiftleft(F.col("_rank"), POSITION_BITS) + F.col("_pos"))
+    fields = StructType([f for f in COLLECTION_SCHEMA.fields if f.name != "ingest_id"])
+    df = read_json_positions(spark, path, fields)
+    files = spark.createDataFrame(list(enumerate(input_files(spark, path))), "rank bigint, file string")
+    df = (df.join(files, "file")
+          .withColumn("ingest_id", F.shiftleft(F.col("rank"), POSITION_BITS) + F.col("pos"))
           .select(*COLLECTION_SCHEMA.fieldNames()))
     if df.where(F.col("affiliations").isNotNull()).isEmpty():
         df = df.drop("affiliations")
@@ -71,12 +70,11 @@ def analysis_results(coll: DataFrame) -> dict[str, DataFrame]:
     return out
 
 
-def warehouse_results(coll: DataFrame) -> dict[str, DataFrame]:
-    fact = warehouse.fact_publications(coll)
+def warehouse_results(coll: DataFrame, out_dir: str) -> dict[str, DataFrame]:
+    """The fact, landed as Parquet below ``out_dir``, and the tables read beside it."""
+    fact = land(warehouse.fact_publications(coll), f"{out_dir.rstrip('/')}/{FACT}")
     return {
-        # in collection order, as the dashboard's "first 50 papers" reads it:
-        # range-partitioned, so part files follow one another in ingest order
-        "F_Publications": warehouse.fact_columns(fact.orderBy("ingest_id")),
+        "F_Publications": warehouse.fact_columns(fact),
         "topics_dist": olap.topic_distribution(fact),
         "sources": stats.source_counts(coll),
         "impact": olap.impact_by_year(fact),
@@ -87,9 +85,8 @@ def dashboard_results(fact: DataFrame, topics_dist: DataFrame, s: olap.Slice,
                       topic: str | None = None) -> dict[str, DataFrame]:
     """Every dashboard view for one sidebar state.
 
-    ``fact`` is the nine-column fact as the dashboard reads it (no ingest id:
-    its row order, which "first 50 papers" follows, is attached as
-    ``ingest_id`` by the caller); ``topics_dist`` is shown as read.
+    ``fact`` has the nine columns and the ``ingest_id`` that "first 50 papers"
+    follows; ``topics_dist`` is shown as read.
     """
     sl = olap.olap_slice(fact, s)
     edges = graph.coauthor_edges(sl)
@@ -107,18 +104,10 @@ def dashboard_results(fact: DataFrame, topics_dist: DataFrame, s: olap.Slice,
 
 
 def read_warehouse(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """The warehouse's CSV output: the fact (S3) and the topic distribution, empty
-    when absent (S4).
-
-    The fact's row order becomes ``ingest_id`` = (part file, position in the
-    file): a multi-line CSV file is read whole by one task, so the generated
-    id increases along the file, and part files sort in write order.
-    """
-    fact = read_csv_typed(spark, f"{folder.rstrip('/')}/F_Publications.csv", FACT_SCHEMA)
-    order = F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("pos"))
-    fact = fact.withColumn("ingest_id", order)
-    topics = read_csv_optional(spark, f"{folder.rstrip('/')}/topics_dist.csv", TOPIC_DIST_SCHEMA)
-    return fact, topics
+    """The warehouse's output: the Parquet fact and the topic distribution (S4), empty when absent."""
+    schema = StructType([COLLECTION_SCHEMA["ingest_id"], *FACT_SCHEMA.fields])
+    fact = spark.read.schema(schema).parquet(f"{folder.rstrip('/')}/{FACT}")
+    return fact, read_csv_optional(spark, f"{folder.rstrip('/')}/topics_dist.csv", TOPIC_DIST_SCHEMA)
 
 
 def write_results(results: dict[str, DataFrame], out_dir: str) -> list[str]:
@@ -140,19 +129,20 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--quartiles", nargs="*", default=None)
     ap.add_argument("--countries", nargs="*", default=None)
     ap.add_argument("--topic", default=None, help="topic to drill down into")
-    ap.add_argument("--master", default="local[*]")
+    ap.add_argument("--master", default=None, help="Spark master (default: the deployment's, as under spark-submit)")
     a = ap.parse_args(argv)
     spark = build_session(a.master)
     if a.run == "dashboard":
         fact, topics = read_warehouse(spark, a.warehouse)
-        s = olap.Slice(years=tuple(a.years), quartiles=tuple(a.quartiles or olap.Slice().quartiles),
-                       countries=tuple(a.countries or olap.Slice().countries))
+        s = olap.Slice(years=tuple(a.years), quartiles=a.quartiles and tuple(a.quartiles),
+                       countries=a.countries and tuple(a.countries))
         res = dashboard_results(fact, topics, s, a.topic)
     else:
         coll = collection_from_json(spark, a.json)
-        res = analysis_results(coll) if a.run == "analysis" else warehouse_results(coll)
+        res = analysis_results(coll) if a.run == "analysis" else warehouse_results(coll, a.out)
     for p in write_results(res, a.out):
         print(p)
+    clear_work(spark)
     spark.stop()
 
 

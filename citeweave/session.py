@@ -9,7 +9,6 @@ mode, as in tests.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -18,24 +17,30 @@ from pyspark.sql import SparkSession
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
-def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
+def build_session(master: str | None = "local[*]", shuffle_partitions: int = 8,
                   app_name: str = "citeweave", extra: dict | None = None) -> SparkSession:
     """Session with the settings every job here assumes.
 
-    AQE re-plans joins and coalesces shuffle partitions at runtime and splits
-    skewed sort-merge join partitions; the broadcast threshold keeps the
-    size check for automatic broadcast joins.  The UI stays off.
+    AQE re-plans joins and coalesces shuffle partitions at runtime, splits
+    skewed sort-merge join partitions, and turns a sort-merge join into a hash
+    join where every measured build partition is small.  Sizes (shuffle
+    partitions, driver memory) are set in local mode only; on a cluster, and with
+    ``master=None``, they are the deployment's.  The UI stays off.
     """
-    b = (SparkSession.builder.master(master).appName(app_name)
-         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    b = (SparkSession.builder.appName(app_name)
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
-         .config("spark.sql.autoBroadcastJoinThreshold", str(32 * 1024 * 1024))
+         .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", str(64 * 1024 * 1024))
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.ui.enabled", "false")
-         .config("spark.ui.showConsoleProgress", "false")
-         .config("spark.driver.memory", "16g"))
+         .config("spark.ui.showConsoleProgress", "false"))
+    if master is not None:
+        b = b.master(master)
+    if master is not None and master.startswith("local"):
+        b = (b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+             .config("spark.sql.autoBroadcastJoinThreshold", str(32 * 1024 * 1024))
+             .config("spark.driver.memory", "16g"))
     for k, v in (extra or {}).items():
         b = b.config(k, v)
     spark = b.getOrCreate()
@@ -94,10 +99,8 @@ def spread(df, factor: int = 1):
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
 
 
-def is_local_path(path: str) -> bool:
-    return "://" not in path or path.startswith("file:")
-
-
-def ensure_local_dir(path: str) -> None:
-    if is_local_path(path):
-        os.makedirs(path.replace("file:", "", 1), exist_ok=True)
+def clear_work(spark: SparkSession) -> None:
+    """Remove what this application has landed below the shared folder, once its results have been read."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(work_path(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -35,9 +35,10 @@ class ExtractRule:
     """How to read one source's result pages.
 
     ``url_pattern`` selects the pages of the source; ``container`` has one
-    group (the container's inner html); ``title`` and ``authors`` have one
-    group each, searched inside a container.  ``source``/``journal`` of
-    ``None`` take the page's host name.
+    group (the container's inner html); ``title`` and ``authors`` are searched
+    inside a container, their text is group ``group``; with ``title_link`` the
+    title is the first link inside an element that ``title`` matches.
+    ``source``/``journal`` of ``None`` take the page's host name.
     """
     name: str
     url_pattern: str
@@ -47,6 +48,8 @@ class ExtractRule:
     source: str | None
     journal: str | None
     date_default: str
+    group: int = 2
+    title_link: bool = False
 
 
 def has_class(names: str) -> str:
@@ -54,33 +57,43 @@ def has_class(names: str) -> str:
     return f'class="(?:[^"]*\\s)?(?:{names})(?:\\s[^"]*)?"'
 
 
-def containers_from(names: str) -> str:
-    """A container runs from a tag with one of the classes to the next such tag (or the end):
-    regexes cannot balance nested tags, so containers are cut at their successors' starts."""
-    start = f"<[a-zA-Z][a-zA-Z0-9]*[^>]*{has_class(names)}[^>]*>"
-    return f"(?s){start}(.*?)(?={start}|\\z)"
+def selector(*alternatives: tuple[str | None, str | None]) -> str:
+    """Regex for an opening tag that is any of the (tag, classes) alternatives; group 1 is the tag's name."""
+    def one(tag: str | None, classes: str | None) -> str:
+        return (rf"(?={tag}[\s>])" if tag else "") + (f"(?=[^>]*{has_class(classes)})" if classes else "")
+    return f"<(?:{'|'.join(one(*a) for a in alternatives)})([a-zA-Z][a-zA-Z0-9-]*)[^>]*>"
+
+
+def element(*alternatives: tuple[str | None, str | None]) -> str:
+    """The first element that matches; group 2 is its html up to the next end tag of its own name."""
+    return rf"(?s){selector(*alternatives)}(.*?)</\1\s*>"
+
+
+def containers_from(*alternatives: tuple[str | None, str | None]) -> str:
+    """A container runs from a matching tag to the next such tag (or the end): regexes cannot balance nested tags,
+    so containers are cut at their successors' starts."""
+    start = selector(*alternatives).replace("([a-zA-Z]", "(?:[a-zA-Z]")
+    return rf"(?s){start}(.*?)(?={start}|\z)"
 
 
 # --- fixed values: selector rules (CSS selectors of the collectors as regex) --
 ACM_RULE = ExtractRule(
     "acm", r"^https?://dl\.acm\.org/",
-    containers_from("issue-item|search-result__item"),
-    f"(?s){has_class('issue-item__title|hlFld-Title')}[^>]*>.*?<a[^>]*>(.*?)</a>",
-    f"(?s)<ul[^>]*{has_class('rlist--inline')}[^>]*>(.*?)</ul>",
-    "ACM Digital Library", "ACM", UNKNOWN_DATE)
+    containers_from((None, "issue-item|search-result__item")),
+    element((None, "issue-item__title|hlFld-Title")),
+    element((None, "rlist--inline")),
+    "ACM Digital Library", "ACM", UNKNOWN_DATE, title_link=True)
 IEEE_RULE = ExtractRule(
     "ieee", r"^https?://ieeexplore\.ieee\.org/",
-    containers_from("xpl-results-item|result-item"),
-    f"(?s)(?:<h3[^>]*{has_class('text-md-md-lh')}[^>]*>|<h2[^>]*>|{has_class('result-item-title')}[^>]*>)"
-    r"\s*(?:<[^a/][^>]*>\s*)*<a[^>]*>(.*?)</a>",
-    f"(?s)<(?:p|xpl-authors-name-list)[^>]*{has_class('author|xpl-authors-name-list')}[^>]*>(.*?)"
-    "</(?:p|xpl-authors-name-list)>",
-    "IEEE Xplore", "IEEE", UNKNOWN_DATE)
+    containers_from((None, "xpl-results-item"), ("div", "result-item")),
+    element(("h3", "text-md-md-lh"), ("h2", None), (None, "result-item-title")),
+    element(("p", "author"), (None, "xpl-authors-name-list")),
+    "IEEE Xplore", "IEEE", UNKNOWN_DATE, title_link=True)
 SCIENCEDIRECT_RULE = ExtractRule(
     "sciencedirect", r"^https?://(?:www\.)?sciencedirect\.com/",
-    containers_from("ResultItem"),
-    r"(?s)<h2[^>]*>.*?<a[^>]*>(.*?)</a>",
-    f"(?s)<ol[^>]*{has_class('Authors')}[^>]*>(.*?)</ol>",
+    containers_from(("div", "result-item-content")),
+    element(("a", "result-list-title-link"), ("h2", None)),
+    element(("ol", "authors-list"), ("div", "Authors")),
     "ScienceDirect", "ScienceDirect Journal", UNKNOWN_DATE_SHORT)
 # Any other page: each <article> is one result, its <h1> the title.
 GENERIC_RULE = ExtractRule(
@@ -88,7 +101,7 @@ GENERIC_RULE = ExtractRule(
     r"(?s)<article[^>]*>(.*?)</article>",
     r"(?s)<h1[^>]*>(.*?)</h1>",
     r'(?s)<[a-z]+[^>]*class="[^"]*\bauthors?\b[^"]*"[^>]*>(.*?)</[a-z]+>',
-    None, None, UNKNOWN_DATE)
+    None, None, UNKNOWN_DATE, group=1)
 DEFAULT_RULES = [ACM_RULE, IEEE_RULE, SCIENCEDIRECT_RULE, GENERIC_RULE]
 
 # --- fixed values: HTML entities decoded in visible text (&amp; last) --------
@@ -114,10 +127,18 @@ def _pick(rule_idx: Column, values: list[Column]) -> Column:
     return expr
 
 
-def _field(container: Column, rule_idx: Column, patterns: list[str], default: str) -> Column:
-    """Visible text of the first match of the rule's pattern; ``default`` if the element is absent."""
-    return _pick(rule_idx, [F.when(container.rlike(p), visible_text(F.regexp_extract(container, p, 1)))
-                            .otherwise(F.lit(default)) for p in patterns])
+LINK = r"(?s)<a(?=[\s>])[^>]*>(.*?)</a\s*>"
+
+
+def _field(container: Column, rule_idx: Column, fields: list[tuple[str, int, bool]], default: str) -> Column:
+    """Visible text of the first match of the rule's (pattern, group), or of the first link inside a match;
+    ``default`` if there is none."""
+    def one(pattern: str, group: int, link: bool) -> Column:
+        if not link:
+            return F.when(container.rlike(pattern), visible_text(F.regexp_extract(container, pattern, group)))
+        with_link = F.filter(F.regexp_extract_all(container, F.lit(pattern), group), lambda e: e.rlike(LINK))
+        return F.when(F.size(with_link) > 0, visible_text(F.regexp_extract(F.get(with_link, F.lit(0)), LINK, 1)))
+    return F.coalesce(_pick(rule_idx, [one(*f) for f in fields]), F.lit(default))
 
 
 def extract_articles(pages: DataFrame, rules: list[ExtractRule] = DEFAULT_RULES) -> DataFrame:
@@ -134,8 +155,8 @@ def extract_articles(pages: DataFrame, rules: list[ExtractRule] = DEFAULT_RULES)
     c, rule = F.col("c"), F.col("rule")
     out = found.select(
         (F.col("page_id") * CONTAINER_STRIDE + F.col("pos")).cast("bigint").alias("ingest_id"),
-        _field(c, rule, [r.title for r in rules], UNKNOWN_TITLE).alias("title"),
-        _field(c, rule, [r.authors for r in rules], UNKNOWN_AUTHORS).alias("authors"),
+        _field(c, rule, [(r.title, r.group, r.title_link) for r in rules], UNKNOWN_TITLE).alias("title"),
+        _field(c, rule, [(r.authors, r.group, False) for r in rules], UNKNOWN_AUTHORS).alias("authors"),
         _pick(rule, [year_in_text(visible_text(c), r.date_default) for r in rules]).alias("date_pub"),
         _pick(rule, [F.lit(r.source) if r.source else host for r in rules]).alias("source"),
         _pick(rule, [F.lit(r.journal) if r.journal else host for r in rules]).alias("journal"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..schema import ARTICLE_SCHEMA
+from .readers import read_csv_typed, read_json_lines
 
 
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
@@ -16,7 +17,8 @@ def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     (top-k tables, aggregates over a fixed domain) only.
     """
     out = df.coalesce(1) if single_file else df
-    out.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    (out.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", '""')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def export_collection(df: DataFrame, path: str, id_col: str = "ingest_id") -> None:
@@ -30,14 +32,35 @@ def export_source(df: DataFrame, source: str, path: str, id_col: str = "ingest_i
     df.where(F.col("source") == source).drop(id_col).write.mode("overwrite").json(path)
 
 
+EXPORT_SALTS = 8            # files per source and export, at most
+
+
 def export_by_source(df: DataFrame, path: str, id_col: str = "ingest_id") -> DataFrame:
-    """One JSON export per source in a single job (``source=<name>/`` folders).
+    """One JSON export per source in a single job (``by=<name>/`` folders).
 
-    Returns the export read back with its schema, so the written files are
-    what the caller sees.
+    Rows are dealt out by (source, salt) before the write, so a source has at
+    most ``EXPORT_SALTS`` files and a hot one is written by as many tasks.  The
+    records hold the source themselves: NULL and ``''``, which share a folder,
+    stay apart.  Returns the export read back with its schema, so the written
+    files are what the caller sees.
     """
-    df.drop(id_col).write.mode("overwrite").partitionBy("source").json(path)
+    salt = F.pmod(F.xxhash64(id_col), F.lit(EXPORT_SALTS))
+    out = df.withColumn("by", F.col("source"))
+    (out.repartition("by", salt).drop(id_col).write.mode("overwrite").option("ignoreNullFields", False)
+     .partitionBy("by").json(path))
     others = [f for f in ARTICLE_SCHEMA.fields if f.name != "source" and f.name in df.columns]
     extra = [f for f in df.schema.fields if f.name not in ARTICLE_SCHEMA.fieldNames() and f.name != id_col]
     schema = StructType(others + extra + [StructField("source", StringType(), True)])
-    return df.sparkSession.read.schema(schema).json(path).select(*[F.col(f.name) for f in schema.fields])
+    return read_json_lines(df.sparkSession, path, schema).select(*[F.col(f.name) for f in schema.fields])
+
+
+def json_round_trip(df: DataFrame, path: str, id_col: str = "ingest_id") -> DataFrame:
+    """The collection exported without its id and read back."""
+    export_collection(df, path, id_col)
+    return read_json_lines(df.sparkSession, path, df.drop(id_col).schema)
+
+
+def csv_round_trip(df: DataFrame, path: str) -> DataFrame:
+    """A result written as CSV and read back typed."""
+    write_csv(df, path)
+    return read_csv_typed(df.sparkSession, path, df.schema)

@@ -1,121 +1,119 @@
 """Continuous article ingest with title dedupe.
 
 Collectors drop JSON-lines files into a landing folder; a Structured
-Streaming query picks up new files and, per micro-batch, inserts only the
-titles the collection does not hold yet (``dedupe.insert_if_absent``: the
-batch is deduplicated keep-first, then NULL-safe anti-joined against the
-table).  The dedupe state is the table itself, so it does not grow in the
-state store the way ``dropDuplicates(["title"])`` without a watermark would.
-
-A re-run micro-batch (after a lost executor or driver restart) anti-joins
-against what was already committed, so rows are never inserted twice; file
-offsets and progress live in the checkpoint below the shared folder.
-
-That form reads the table's titles on every micro-batch, so its per-batch
-work grows with the table.  ``start_title_ingest_stateful`` is the
-state-store form: ``dropDuplicates(["title"])`` keeps every title seen in
-the RocksDB state store (on local disk of the executors, checkpointed to the
-shared folder), so a micro-batch only looks up its own titles, and the file
-sink commits each batch exactly once.  Its contract is the set of titles;
-which copy of a title survives inside one micro-batch is not fixed.
+Streaming query picks up new files.  Contract: whatever files meet in one
+micro-batch, and in whatever order batches come, the ingested collection is
+the keep-first one, for each title the row of the smallest ``ingest_id``
+delivered.
+
+A micro-batch is reduced to its first row per title and written as its own
+``batch=<id>`` folder, overwriting it, so a batch that runs again after a lost
+executor or driver replaces itself.  ``ingested`` reads the table: the
+smallest id per title over all batches.  A batch touches its own rows only;
+the table is never read while ingesting.
+
+``start_title_ingest_stateful`` is the state-store form: the titles seen are
+kept in the RocksDB state store (on local disk of the executors, checkpointed
+to the shared folder) as fixed-width fingerprints, and the file sink commits
+each batch exactly once.  Its contract is the set of titles; which copy of a
+title survives is not fixed.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.dedupe import insert_if_absent
+from ..operators.dedupe import dedupe_titles
 from ..schema import COLLECTION_SCHEMA
 
-
-def _table_or_empty(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        return spark.read.schema(COLLECTION_SCHEMA).parquet(path)
-    except Exception as e:  # first batch: nothing written yet
-        if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
-            return spark.createDataFrame([], COLLECTION_SCHEMA)
-        raise
+COLUMNS = COLLECTION_SCHEMA.fieldNames()
 
 
-# Micro-batches up to this many rows broadcast their titles against the table.
-BROADCAST_BATCH_ROWS = 500_000
-MAX_FILES_PER_TRIGGER = 1000
+def _stream(spark: SparkSession, landing: str, max_files_per_trigger: int | None) -> DataFrame:
+    reader = spark.readStream.schema(COLLECTION_SCHEMA)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.json(landing)
 
 
 def start_title_ingest(spark: SparkSession, landing: str, table_path: str, checkpoint: str,
-                       max_files_per_trigger: int | None = MAX_FILES_PER_TRIGGER):
+                       max_files_per_trigger: int | None = None):
     """Start an ``availableNow`` ingest of every file in ``landing`` not seen before.
 
-    ``maxFilesPerTrigger`` bounds each micro-batch; a batch whose row count is
-    under ``BROADCAST_BATCH_ROWS`` is checked against the table by a
-    broadcast of its titles, a larger one by a shuffle join.
-    """
-    reader = spark.readStream.schema(COLLECTION_SCHEMA)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.json(landing)
-
-    def insert_batch(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        try:
-            small = batch.count() <= BROADCAST_BATCH_ROWS
-            table = _table_or_empty(batch.sparkSession, table_path)
-            fresh = insert_if_absent(batch, table, broadcast_batch=small)
-            fresh.select(*COLLECTION_SCHEMA.fieldNames()).write.mode("append").parquet(table_path)
-        finally:
-            batch.unpersist()
-
-    return (stream.writeStream.foreachBatch(insert_batch)
+    ``max_files_per_trigger`` sizes the micro-batches; the result does not depend on it."""
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        dedupe_titles(batch.dropDuplicates(["ingest_id"])).select(*COLUMNS).write.mode("overwrite") \
+            .parquet(f"{table_path}/batch={batch_id}")
+
+    return (_stream(spark, landing, max_files_per_trigger).writeStream.foreachBatch(write_batch)
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
+def ingested(spark: SparkSession, table_path: str) -> DataFrame:
+    """The ingested collection: keep-first over all batches; a row delivered again counts once."""
+    try:
+        rows = spark.read.schema(COLLECTION_SCHEMA).parquet(table_path).select(*COLUMNS)
+    except AnalysisException as e:                     # nothing delivered yet
+        if "PATH_NOT_FOUND" in str(e):
+            return spark.createDataFrame([], COLLECTION_SCHEMA)
+        raise
+    return dedupe_titles(rows.dropDuplicates(["ingest_id"]))
+
+
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-DEFAULT_PROVIDER = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
 
 
 def start_title_ingest_stateful(spark: SparkSession, landing: str, table_path: str, checkpoint: str,
-                                max_files_per_trigger: int | None = MAX_FILES_PER_TRIGGER):
-    """Title-unique ingest with the dedupe state in the state store (RocksDB unless configured)."""
-    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", DEFAULT_PROVIDER) == DEFAULT_PROVIDER:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
-    reader = spark.readStream.schema(COLLECTION_SCHEMA)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return (reader.json(landing).dropDuplicates(["title"])
-            .writeStream.format("parquet").outputMode("append")
-            .option("path", table_path).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+                                max_files_per_trigger: int | None = None, state_partitions: int | None = None):
+    """Title-unique ingest with the dedupe state in the RocksDB state store.
+
+    ``state_partitions`` (default: the session's shuffle partitions) is fixed by a checkpoint's first run:
+    choose it for the table's final size.  The session's settings are put back once the query has started."""
+    settings = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB_PROVIDER}
+    if state_partitions:
+        settings["spark.sql.shuffle.partitions"] = str(state_partitions)
+    before = {k: spark.conf.get(k, None) for k in settings}
+    title = F.sha2(F.coalesce("title", F.lit("")), 256)
+    rows = _stream(spark, landing, max_files_per_trigger).withColumn("_key", F.concat(title, F.col("title").isNull().cast("string")))
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        return (rows.dropDuplicates(["_key"]).drop("_key")
+                .writeStream.format("parquet").outputMode("append")
+                .option("path", table_path).option("checkpointLocation", checkpoint)
+                .trigger(availableNow=True).start())
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def _deliveries(collection: DataFrame, overlap: int) -> list[DataFrame]:
-    """Lower half of the ingest ids, then the upper half plus the last ``overlap`` ids again."""
+    """Upper half of the ingest ids, then the lower half plus the first ``overlap`` ids of the upper again: late rows
+    with smaller ids, and an at-least-once re-delivery."""
     bounds = collection.agg(F.min("ingest_id").alias("lo"), F.max("ingest_id").alias("hi")).first()
     if bounds["lo"] is None:
         return []
     mid = (bounds["lo"] + bounds["hi"]) // 2 + 1
-    return [collection.where(F.col("ingest_id") < mid), collection.where(F.col("ingest_id") >= mid - overlap)]
+    return [collection.where(F.col("ingest_id") >= mid), collection.where(F.col("ingest_id") < mid + overlap)]
 
 
-def run_title_ingest(spark: SparkSession, collection: DataFrame, base: str, overlap: int = 100) -> DataFrame:
+def run_title_ingest(spark: SparkSession, collection: DataFrame, base: str, overlap: int = 100,
+                     max_files_per_trigger: int | None = None) -> DataFrame:
     """Replay a collection through the stream in two deliveries and return the ingested table.
 
-    The first delivery holds the lower half of the ingest ids, the second
-    the upper half plus the last ``overlap`` ids of the first again (an
-    at-least-once re-delivery).  Both are landed as JSON files; the stream
-    runs once per delivery on the same checkpoint, so the second run reads
-    only the new files.  The result equals keep-first dedupe of the whole
-    collection.
-    """
+    Both are landed as JSON files; the stream runs once per delivery on the same checkpoint, so the second run
+    reads only the new files.  The result equals keep-first dedupe of the whole collection."""
     landing, table_path, ckpt = f"{base}/landing", f"{base}/table", f"{base}/checkpoint"
-    deliveries = _deliveries(collection, overlap)
-    if not deliveries:
-        return spark.createDataFrame([], COLLECTION_SCHEMA)
-    for part in deliveries:
-        part.select(*COLLECTION_SCHEMA.fieldNames()).write.mode("append").json(landing)
-        start_title_ingest(spark, landing, table_path, ckpt).awaitTermination()
-    return spark.read.schema(COLLECTION_SCHEMA).parquet(table_path)
+    for part in _deliveries(collection, overlap):
+        part.select(*COLUMNS).write.mode("append").json(landing)
+        start_title_ingest(spark, landing, table_path, ckpt, max_files_per_trigger).awaitTermination()
+    return ingested(spark, table_path)
 
 
 def run_title_ingest_stateful(spark: SparkSession, collection: DataFrame, base: str,
@@ -126,6 +124,6 @@ def run_title_ingest_stateful(spark: SparkSession, collection: DataFrame, base:
     if not deliveries:
         return spark.createDataFrame([], COLLECTION_SCHEMA)
     for part in deliveries:
-        part.select(*COLLECTION_SCHEMA.fieldNames()).write.mode("append").json(landing)
+        part.select(*COLUMNS).write.mode("append").json(landing)
         start_title_ingest_stateful(spark, landing, table_path, ckpt).awaitTermination()
     return spark.read.schema(COLLECTION_SCHEMA).parquet(table_path)

@@ -50,6 +50,18 @@ def test_insert_if_absent_is_null_safe(spark):
     assert got == [0, 7]
 
 
+def test_title_uniqueness(spark):
+    df = collection(spark, DATA)
+    assert tuple(dedupe.title_uniqueness(df).first()) == (8, 4, 3, False)
+    assert tuple(dedupe.title_uniqueness(dedupe.dedupe_titles(df)).first()) == (4, 4, 0, True)
+    assert tuple(dedupe.title_uniqueness(collection(spark, [])).first()) == (0, 0, 0, True)
+
+
+def test_no_forced_join_strategy(spark):
+    for out in (dedupe.dedupe_titles(collection(spark, DATA)), dedupe.surplus_rows(collection(spark, DATA))):
+        assert "hint" not in out._jdf.queryExecution().logical().toString().lower()
+
+
 def test_union_sources_rebases_ids_and_fills_missing(spark):
     a = collection(spark, DATA[:2])
     b = spark.createDataFrame([(1, "T", "A", "2020", "web", "web", "N/A")],

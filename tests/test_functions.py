@@ -1,7 +1,5 @@
 from pyspark.sql import functions as F
 
-from citeweave.constants import COUNTRIES
-from citeweave.functions import simulate
 from citeweave.functions.text import (graph_author_parts, is_valid_text, raw_author_parts, trailing_country,
                                       trimmed_author_parts)
 from citeweave.functions.topics import topic_label
@@ -65,21 +63,3 @@ def test_topic_rules_order_and_substring(spark):
     assert words[0] == "General Blockchain" and words[9] == "AI & Blockchain"
     assert one_col(spark, ["AI for chains", "maïs ai"], lambda c: topic_label(c, whole_word=True)) == \
         ["AI & Blockchain", "AI & Blockchain"]
-
-
-def test_simulation_is_deterministic_and_in_range(spark):
-    df = spark.range(4000).select(F.col("id").alias("ingest_id"), F.concat(F.lit("t"), F.col("id")).alias("title"))
-    t, i = F.col("title"), F.col("ingest_id")
-    cents = simulate.impact_cents(t, i)
-    out = df.select(simulate.quartile(t, i).alias("q"), cents.alias("c"),
-                    simulate.citations(cents, t, i).alias("cit"), simulate.country(t, i).alias("p"))
-    a = sorted(tuple(r) for r in out.collect())
-    b = sorted(tuple(r) for r in out.repartition(7).collect())
-    assert a == b
-    qs = {}
-    for q, c, cit, p in a:
-        qs[q] = qs.get(q, 0) + 1
-        assert 50 <= c <= 1000 and p in COUNTRIES
-        assert c // 100 <= cit <= (c * 20) // 100
-    # weights .4/.3/.2/.1 within a loose band
-    assert 0.35 < qs["Q1"] / 4000 < 0.45 and 0.05 < qs["Q4"] / 4000 < 0.15

@@ -61,3 +61,16 @@ def test_degree_sample_and_top(spark):
     assert (top["src"], top["dst"], top["papers"]) == ("Ann", "Bob", 2)
     sample = {(r["src"], r["dst"]) for r in graph.coauthor_sample(df, n=2).collect()}
     assert sample == {("Ann", "Bob"), ("Ann", "Cid"), ("Bob", "Cid")}
+
+
+def test_one_scan_and_bounded_rows(spark, scratch):
+    frame(spark, PAPERS).write.parquet(f"{scratch}/papers")
+    plan = graph.coauthor_edges(spark.read.parquet(f"{scratch}/papers"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+    # a paper with 20,000 names: all pairs, never more than chunk * chunk in one row
+    n = 20_000
+    df = frame(spark, [(1, ", ".join(f"N{i:05d}" for i in range(n)))])
+    tiles = graph.pair_tiles(df)
+    sizes = tiles.selectExpr("max(size(a)) x", "max(size(b)) y", "count(*) n").first()
+    last = -(-n // graph.PAIR_CHUNK)
+    assert (sizes.x, sizes.y, sizes.n) == (graph.PAIR_CHUNK, graph.PAIR_CHUNK, last * (last + 1) // 2)

@@ -1,7 +1,6 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from citeweave.constants import COUNTRIES
 from citeweave.operators import olap, warehouse
 from citeweave.schema import FACT_COLUMNS
 from conftest import collection
@@ -90,15 +89,36 @@ def test_fact_from_collection(spark):
     assert set(got) == {"T", "U"} and got["T"]["Annee"] == 2034 and got["U"]["Annee"] == 2024
     assert got["T"]["Journal"] == "IEEE Xplore"               # Journal copies source
     assert warehouse.fact_columns(f).columns == FACT_COLUMNS
-    assert all(r["simulated"] for r in f.collect())
+    # nothing is made up: a collection without measures has none in the fact
+    assert all(r[c] is None for r in f.collect() for c in ("Pays", "Quartile", "Citations", "Impact_Score"))
 
 
-def test_real_country_is_kept(spark):
+def test_measures_of_the_collection_are_kept(spark):
     coll = collection(spark, [(1, "T", "A", "2021", "s", "j", "N/A", None),
                               (2, "U", "B", "2021", "s", "j", "N/A", None)])
-    coll = coll.withColumn("country", F.when(F.col("ingest_id") == 1, "Japan"))
-    got = {r["title"]: r["Pays"] for r in warehouse.fact_publications(coll).collect()}
-    assert got["T"] == "Japan" and got["U"] in COUNTRIES
+    coll = coll.withColumns({"country": F.when(F.col("ingest_id") == 1, "Japan").otherwise(""),
+                             "citations": F.col("ingest_id") * 10, "impact_score": F.col("ingest_id") / 2})
+    got = {r["title"]: (r["Pays"], r["Citations"], r["Impact_Score"]) for r in warehouse.fact_publications(coll).collect()}
+    assert got == {"T": ("Japan", 10, 0.5), "U": (None, 20, 1.0)}
+
+
+def test_quartiles_follow_the_ranking(spark):
+    rng = np.random.default_rng(8)
+    vals = rng.integers(1, 400, 501)
+    df = spark.createDataFrame([(i, int(v)) for i, v in enumerate(vals)] + [(999, None)], "i int, v bigint").repartition(5)
+    got = {r["i"]: r["q"] for r in df.select("i", warehouse.quartile(F.col("v"), df).alias("q")).collect()}
+    q1, q2, q3 = np.percentile(vals, [75, 50, 25])
+    assert got.pop(999) is None
+    assert got == {i: "Q1" if v > q1 else "Q2" if v > q2 else "Q3" if v > q3 else "Q4" for i, v in enumerate(vals)}
+
+
+def test_approximate_box_stats_are_close(spark):
+    data = [(i, f"t{i}", "a", 2021, "USA", "J", f"Q{1 + i % 2}", 1, i / 7, "N/A") for i in range(4000)]
+    exact = {r["Quartile"]: r for r in olap.impact_box_stats(fact(spark, data)).collect()}
+    for r in olap.impact_box_stats(fact(spark, data), accuracy=1000).collect():
+        e = exact[r["Quartile"]]
+        assert (r["n"], r["min"], r["max"]) == (e["n"], e["min"], e["max"])
+        assert all(abs(r[c] - e[c]) <= 0.01 * e["max"] for c in ("q1", "median", "q3"))
 
 
 def test_float_outputs_do_not_depend_on_partitioning(spark):

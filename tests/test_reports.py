@@ -20,13 +20,13 @@ def test_analysis_and_warehouse_runs(spark, scratch):
     out = os.path.join(scratch, "results")
     written = reports.write_results(reports.analysis_results(coll), out)
     assert [os.path.basename(x) for x in written] == ["trends.csv", "authors.csv", "topics.csv"]
-    written = reports.write_results(reports.warehouse_results(coll), out)
+    written = reports.write_results(reports.warehouse_results(coll, out), out)
     fact = read_csv_typed(spark, os.path.join(out, "F_Publications.csv"), FACT_SCHEMA)
     assert fact.count() == 4                       # one row per title
     assert {r["title"] for r in fact.collect()} == {f"Blockchain {i}" for i in range(4)}
 
 
-def test_dashboard_run_from_warehouse_csv(spark, scratch):
+def test_dashboard_run_from_the_warehouse(spark, scratch):
     arts = [{"title": f"Blockchain {i}", "authors": "Ann, Bob, Cy" if i % 2 else "Dee, Eve",
              "date_pub": "2021" if i % 3 else "2024", "source": "IEEE Xplore", "journal": "IEEE"}
             for i in range(40)]
@@ -34,7 +34,7 @@ def test_dashboard_run_from_warehouse_csv(spark, scratch):
     with open(p, "w") as f:
         json.dump(arts, f)
     wh = os.path.join(scratch, "warehouse")
-    reports.write_results(reports.warehouse_results(reports.collection_from_json(spark, p)), wh)
+    reports.write_results(reports.warehouse_results(reports.collection_from_json(spark, p), wh), wh)
     views = os.path.join(scratch, "views")
     fact, topics = reports.read_warehouse(spark, wh)
     reports.write_results(reports.dashboard_results(fact, topics, olap.Slice(years=(2020, 2025)),
@@ -56,17 +56,11 @@ def test_dashboard_first_papers_follow_collection_order(spark, scratch):
         json.dump(arts, f)
     coll = reports.collection_from_json(spark, p)
     wh = os.path.join(scratch, "warehouse")
-    key = "spark.sql.adaptive.coalescePartitions.enabled"
-    spark.conf.set(key, "false")                   # several part files, as on a cluster
-    try:
-        reports.write_results({"F_Publications": reports.warehouse_results(coll)["F_Publications"]}, wh)
-    finally:
-        spark.conf.set(key, "true")
-    assert len([x for x in os.listdir(os.path.join(wh, "F_Publications.csv")) if x.startswith("part-")]) > 1
+    reports.warehouse_results(coll.repartition(7), wh)
     fact, _ = reports.read_warehouse(spark, wh)
-    from_csv = {tuple(r) for r in graph.coauthor_sample(fact).collect()}
+    landed = {tuple(r) for r in graph.coauthor_sample(fact).collect()}
     direct = {tuple(r) for r in graph.coauthor_sample(reports.warehouse.fact_publications(coll)).collect()}
-    assert from_csv == direct
+    assert landed == direct
 
 
 def test_ingest_ids_follow_file_then_position(spark, scratch):

@@ -39,8 +39,8 @@ def test_every_operator_runs_on_messy_rows(spark):
         olap.dimension_members(fact), olap.topic_distribution(fact), olap.topic_articles(sl, "IoT & Edge"),
         olap.olap_cube(fact), edges, graph.coauthor_sample(sl), graph.coauthor_top_edges(edges),
         graph.author_degree(edges), vocab, textmine.term_frequencies(dtc, vocab),
-        textmine.tfidf(textmine.term_frequencies(dtc, vocab), vocab, toks),
-        textmine.word_cloud_terms(dtc), textmine.weak_signals(ptoks, "period", max_doc_share=1.0),
+        textmine.tfidf(dtc, vocab, toks), textmine.doc_keywords(dtc, toks),
+        textmine.word_cloud_terms(toks), textmine.weak_signals(ptoks, "period", max_doc_share=1.0),
         lda_topics(toks, vocab, k=2, max_iter=2),
     ]
     counts = [f.count() for f in frames]

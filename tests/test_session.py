@@ -21,3 +21,17 @@ def test_materialize_round_trip(spark):
     back = materialize(df, "probe")
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
     assert "stage" in back.inputFiles()[0]
+
+
+def test_clear_work_removes_what_was_landed(spark):
+    import os
+
+    from citeweave.session import clear_work
+    path = materialize(spark.range(3), "gone").inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path)
+    clear_work(spark)
+    assert not os.path.exists(path)
+    from citeweave.plans import catalog
+    from citeweave.sources import articles
+    articles._LANDED.clear()
+    catalog._FACTS.clear()

@@ -1,6 +1,8 @@
 import json
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from citeweave.schema import ARTICLE_SCHEMA, FACT_SCHEMA, PAGE_SCHEMA, TOPIC_DIST_SCHEMA
@@ -48,47 +50,82 @@ def test_exports(spark, scratch):
     writers.export_source(df, "IEEE Xplore", os.path.join(scratch, "ieee"))
     assert [r["title"] for r in spark.read.json(os.path.join(scratch, "ieee")).collect()] == ["a"]
     by = writers.export_by_source(df, os.path.join(scratch, "by_source"))
-    assert sorted(x for x in os.listdir(os.path.join(scratch, "by_source")) if x.startswith("source=")) == [
-        "source=ACM Digital Library", "source=IEEE Xplore"]
+    assert sorted(x for x in os.listdir(os.path.join(scratch, "by_source")) if x.startswith("by=")) == [
+        "by=ACM Digital Library", "by=IEEE Xplore"]
     assert sorted((r["title"], r["source"]) for r in by.collect()) == [("a", "IEEE Xplore"),
                                                                        ("b", "ACM Digital Library")]
 
 
-ACM_PAGE = """<html><body><ul>
-<li class="search__item issue-item-container"><div class="issue-item">
-  <h5 class="issue-item__title"><a href="/doi/1">Blockchain &amp; Trust</a></h5>
-  <ul class="rlist--inline loa"><li>Ann Lee</li>, <li>Bob Wu</li></ul>
-  <span>Published: 12 May 2023</span></div></li>
-<li class="search__item issue-item-container"><div class="issue-item">
-  <h5 class="issue-item__title"><a href="/doi/2">   </a></h5><span>no year here</span></div></li>
-<li class="search__item issue-item-container"><div class="issue-item"><p>no title</p></div></li>
-</ul></body></html>"""
-
-SD_PAGE = """<ol><li class="ResultItem col-xs-24"><h2><span><a href="#">Supply chains</a></span></h2>
-<ol class="Authors"><li>C. Day</li></ol></li></ol>"""
-
-WEB_PAGE = """<html><head><title>T</title></head><body><nav>2001</nav><article><h1>Edge <b>AI</b> today</h1>
-<p class="author">Dee</p><p>Written in 1999.</p></article><article><p>untitled</p></article></body></html>"""
-
-
-IEEE_PAGE = """<div class="List-results-items"><div class="result-item hide-mobile">
-<h3 class="text-md-md-lh"><a href="/document/1">Edge ledgers</a></h3>
-<p class="author"><span>Kim Ode</span>; <span>Lu Pan</span></p><div>Year: 2021</div></div>
-<div class="result-item"><h2><a>Second</a></h2></div></div>"""
-
-
-def test_extract_articles_rules_and_defaults(spark):
-    pages = spark.createDataFrame([(1, "https://dl.acm.org/action/doSearch?q=x", ACM_PAGE),
-                                   (2, "https://www.sciencedirect.com/search?qs=y", SD_PAGE),
-                                   (5, "https://ieeexplore.ieee.org/search/searchresult.jsp", IEEE_PAGE),
-                                   (3, "http://blog.example.org/p/3", WEB_PAGE),
-                                   (4, "ftp://nope/x", WEB_PAGE)], PAGE_SCHEMA)
-    got = sorted(tuple(r) for r in extract_articles(pages, DEFAULT_RULES).collect())
-    assert got == [
-        (65536, "Blockchain & Trust", "Ann Lee, Bob Wu", "2023", "ACM Digital Library", "ACM", "N/A"),
-        (65537, "", "Unknown", "Unknown Date", "ACM Digital Library", "ACM", "N/A"),     # blank title kept
-        (131072, "Supply chains", "C. Day", "Unknown", "ScienceDirect", "ScienceDirect Journal", "N/A"),
-        (196608, "Edge AI today", "Dee", "1999", "blog.example.org", "blog.example.org", "N/A"),
-        (327680, "Edge ledgers", "Kim Ode; Lu Pan", "2021", "IEEE Xplore", "IEEE", "N/A"),
-        (327681, "Second", "Unknown", "Unknown Date", "IEEE Xplore", "IEEE", "N/A"),
-    ]
+ODD = [(1, "", "", "2025", "", "j", None, None), (2, None, "NULL", None, None, "", 'quote " and \\ back', "Lab, USA"),
+       (3, "two\nlines", "a,b", "", "IEEE Xplore", " j ", "N/A", ""), (4, 'x "y", z', "\t", "2024", "", None, "é", "null")]
+
+
+def same_rows(a, b):
+    return sorted((tuple(r) for r in a.collect()), key=str) == sorted((tuple(r) for r in b.collect()), key=str)
+
+
+def test_round_trips_keep_every_value(spark, scratch):
+    df = collection(spark, ODD)
+    assert same_rows(writers.json_round_trip(df, os.path.join(scratch, "json")), df.drop("ingest_id"))
+    assert same_rows(writers.csv_round_trip(df, os.path.join(scratch, "csv")), df)
+    back = writers.export_by_source(df, os.path.join(scratch, "by_source"))
+    assert same_rows(back, df.select(*back.columns))
+
+
+@pytest.mark.parametrize("text", ['[{"title": "a"}, {"title": ', '{"title" "a"}'])
+def test_malformed_json_fails(spark, scratch, text):
+    p = os.path.join(scratch, "bad.json")
+    with open(p, "w") as f:
+        f.write(text)
+    for read in (readers.read_json_array, readers.read_json_positions, readers.read_json_lines):
+        with pytest.raises(Exception, match="(?i)malformed|FAILFAST|parse"):
+            read(spark, p).collect()
+
+
+ACM = "https://dl.acm.org/action/doSearch?q=x"
+IEEE = "https://ieeexplore.ieee.org/search/searchresult.jsp"
+SD = "https://www.sciencedirect.com/search?qs=y"
+PAGES = {
+    # every alternative of the containers, titles and authors, defaults and dropped rows: (url, html, expected)
+    "acm": (ACM, """<ul>
+      <li class="search__item"><div class="issue-item x"><h5 class="issue-item__title"><span><a href="/1">Blockchain &amp; Trust</a></span></h5>
+        <ul class="rlist--inline loa"><li>Ann Lee</li>, <li>Bob Wu</li></ul><span>Published: 12 May 2023</span></div></li>
+      <li><article class="search-result__item"><span class="hlFld-Title"><a>Second</a></span>
+        <div class="issue-item__detail"><div class="rlist--inline">Cy Day</div></div></article></li>
+      <li><div class="issue-item"><h5 class="issue-item__title"><a>   </a></h5><span>no year 12034 here</span></div></li>
+      <li><div class="issue-item"><p>no title</p><a>elsewhere</a></div></li></ul>""",
+            [("Blockchain & Trust", "Ann Lee, Bob Wu", "2023"), ("Second", "Cy Day", "Unknown Date"), ("", "Unknown", "Unknown Date")]),
+    "ieee": (IEEE, """<div class="List-results-items"><xpl-results-item class="xpl-results-item"><h3 class="text-md-md-lh"><a href="/d/1">Edge ledgers</a></h3>
+        <p class="author"><span>Kim Ode</span>; <span>Lu Pan</span></p><div>Year: 2021</div></xpl-results-item></div>
+      <div class="result-item hide-mobile"><h2><b><a>Second</a></b></h2><div class="xpl-authors-name-list"><span>Mo</span></div></div>
+      <div class="result-item"><div class="result-item-title"><a>Third</a></div><p>1999</p></div>
+      <span class="result-item"><h2><a>Not a result</a></h2></span>
+      <div class="result-item"><h2>No link</h2><p class="authors">Nobody</p></div>""",
+             [("Edge ledgers", "Kim Ode; Lu Pan", "2021"), ("Second", "Mo", "Unknown Date"), ("Third", "Unknown", "1999")]),
+    "sciencedirect": (SD, """<ol><li class="ResultItem"><h2><a>Not a result</a></h2></li><li><div class="result-item-content"><h2><span><a class="result-list-title-link u-font" href="#">Supply chains</a></span></h2>
+        <ol class="authors-list hor"><li>C. Day</li></ol><span>May 2020</span></div></li>
+      <li><div class="result-item-content"><h2>Bare title</h2><div class="Authors">D. Eve, F. Gil</div></div></li>
+      <li><div class="result-item-content"><a class="result-list-title-link">Link title</a></div></li>
+      <li><div class="result-item-content"><p>no title</p></div></li></ol>""",
+                      [("Supply chains", "C. Day", "2020"), ("Bare title", "D. Eve, F. Gil", "Unknown"), ("Link title", "Unknown", "Unknown")]),
+    "web": ("http://blog.example.org/p/3", """<title>T</title><nav>2001</nav><article><h1>Edge <b>AI</b> today</h1>
+      <p class="author">Dee</p><p>Written in 1999.</p></article><article><p>untitled</p></article>""",
+            [("Edge AI today", "Dee", "1999")]),
+}
+
+
+@pytest.mark.parametrize("name", sorted(PAGES))
+def test_extraction_rules(spark, name):
+    url, html, want = PAGES[name]
+    got = extract_articles(spark.createDataFrame([(7, url, html), (8, "ftp://nope/x", html)], PAGE_SCHEMA), DEFAULT_RULES)
+    rows = sorted(got.collect(), key=lambda r: r.ingest_id)
+    assert [(r.title, r.authors, r.date_pub) for r in rows] == want
+    source, journal = {"acm": ("ACM Digital Library", "ACM"), "ieee": ("IEEE Xplore", "IEEE"),
+                       "sciencedirect": ("ScienceDirect", "ScienceDirect Journal"), "web": ("blog.example.org",) * 2}[name]
+    assert {(r.source, r.journal, r.abstract_) for r in rows} == {(source, journal, "N/A")}
+    assert all(r.ingest_id // 65536 == 7 for r in rows)
+
+
+def test_long_elements_do_not_nest_the_matcher(spark):
+    html = '<div class="issue-item"><h5 class="issue-item__title">' + "<b>x</b> y" * 20000 + "<a>T</a></h5></div>"
+    assert [r.title for r in extract_articles(spark.createDataFrame([(1, ACM, html)], PAGE_SCHEMA)).collect()] == ["T"]

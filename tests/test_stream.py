@@ -1,34 +1,41 @@
+import pytest
+
 from citeweave.operators import dedupe
-from citeweave.schema import COLLECTION_SCHEMA
-from citeweave.streaming.ingest import run_title_ingest, run_title_ingest_stateful, start_title_ingest
+from citeweave.streaming.ingest import ingested, run_title_ingest, run_title_ingest_stateful, start_title_ingest
 from conftest import collection, rows
 
 DATA = [(i, f"T{i % 7}" if i % 5 else None, "A", "2021", "s", "j", "N/A", None) for i in range(60)]
 
 
-def test_two_deliveries_equal_keep_first_dedupe(spark, scratch):
-    coll = collection(spark, DATA)
-    got = run_title_ingest(spark, coll, scratch, overlap=10)
+@pytest.mark.parametrize("files_per_batch", [1, 3, None])
+def test_result_does_not_depend_on_the_batches(spark, scratch, files_per_batch):
+    coll = collection(spark, DATA).repartition(6)
+    got = run_title_ingest(spark, coll, scratch, overlap=10, max_files_per_trigger=files_per_batch)
     assert rows(got) == rows(dedupe.dedupe_titles(coll))
-    # restarting on the same checkpoint reads no new files and inserts nothing
+    # restarting on the same checkpoint reads no new files and changes nothing
     start_title_ingest(spark, f"{scratch}/landing", f"{scratch}/table", f"{scratch}/checkpoint").awaitTermination()
-    again = spark.read.schema(COLLECTION_SCHEMA).parquet(f"{scratch}/table")
-    assert rows(again) == rows(got)
+    assert rows(ingested(spark, f"{scratch}/table")) == rows(dedupe.dedupe_titles(coll))
 
 
-def test_redelivered_file_inserts_nothing(spark, scratch):
+def test_redelivered_and_late_rows(spark, scratch):
     coll = collection(spark, DATA)
     run_title_ingest(spark, coll, scratch, overlap=10)
-    # the same rows delivered again as a new file: every title is present already
-    coll.write.mode("append").json(f"{scratch}/landing")
+    # the same rows again as a new file, and a late row with a smaller id for a title that is held already
+    late = collection(spark, [(-5, "T1", "late", "2020", "s", "j", "N/A", None)])
+    coll.unionByName(late).write.mode("append").json(f"{scratch}/landing")
     start_title_ingest(spark, f"{scratch}/landing", f"{scratch}/table", f"{scratch}/checkpoint").awaitTermination()
-    again = spark.read.schema(COLLECTION_SCHEMA).parquet(f"{scratch}/table")
-    assert rows(again) == rows(dedupe.dedupe_titles(coll))
+    assert rows(ingested(spark, f"{scratch}/table")) == rows(dedupe.dedupe_titles(coll.unionByName(late)))
+
+
+def test_nothing_delivered(spark, scratch):
+    assert run_title_ingest(spark, collection(spark, []), scratch).count() == 0
 
 
 def test_state_store_form_keeps_every_title_once(spark, scratch):
     coll = collection(spark, DATA)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
     got = run_title_ingest_stateful(spark, coll, scratch, overlap=10)
     titles = [r["title"] for r in got.collect()]
     assert len(titles) == len(set(titles))
     assert sorted(titles, key=str) == sorted({r[1] for r in DATA}, key=str)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before

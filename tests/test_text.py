@@ -1,10 +1,11 @@
 import math
 
-from pyspark.ml.feature import IDF, CountVectorizerModel
+from pyspark.ml.feature import IDF, CountVectorizerModel, StopWordsRemover, Tokenizer
 from pyspark.sql import functions as F
 
+from citeweave.constants import ENGLISH_STOP_WORDS
 from citeweave.operators import textmine
-from citeweave.operators.lda import lda_topics
+from citeweave.operators.lda import lda_topics, topic_facts
 
 DOCS = [
     (1, "The chain of blocks  and the chain of trust "),
@@ -14,14 +15,21 @@ DOCS = [
 ]
 
 
+def tokenize_ml(docs, stop_words=ENGLISH_STOP_WORDS):
+    """The same tokens through the ML transformers."""
+    tok = Tokenizer(inputCol="text_content", outputCol="words").transform(docs)
+    return StopWordsRemover(inputCol="words", outputCol="content", stopWords=stop_words,
+                            caseSensitive=False, locale="en_US").transform(tok)
+
+
 def docs(spark, data=DOCS):
     return spark.createDataFrame(data, "doc_id long, text_content string")
 
 
 def test_native_tokens_equal_ml_transformers(spark):
     d = docs(spark, DOCS + [(5, ""), (6, "     "), (7, "a\u000bb  c")])
-    a = {r["doc_id"]: (r["words"], r["filtered"]) for r in textmine.tokenize(d).collect()}
-    b = {r["doc_id"]: (r["words"], r["filtered"]) for r in textmine.tokenize_ml(d).collect()}
+    a = {r["doc_id"]: (r["words"], r["content"]) for r in textmine.tokenize(d).collect()}
+    b = {r["doc_id"]: (r["words"], r["content"]) for r in tokenize_ml(d).collect()}
     assert a == b
     assert a[1][0][4] == ""          # double blank gives an empty token
     assert a[6][0] == []             # all blank: no tokens
@@ -41,9 +49,9 @@ def test_tfidf_matches_spark_ml(spark):
     dtc = textmine.doc_term_counts(toks)
     vocab = textmine.vocabulary(dtc)
     ours = {(r["doc_id"], r["term"]): r["tfidf"]
-            for r in textmine.tfidf(textmine.term_frequencies(dtc, vocab), vocab, toks).collect()}
+            for r in textmine.tfidf(dtc, vocab, toks).collect()}
     terms = [r["term"] for r in vocab.orderBy("term_index").collect()]
-    cv = CountVectorizerModel.from_vocabulary(terms, inputCol="filtered", outputCol="tf")
+    cv = CountVectorizerModel.from_vocabulary(terms, inputCol="content", outputCol="tf")
     tf = cv.transform(toks)
     ml = IDF(inputCol="tf", outputCol="w").fit(tf).transform(tf)
     for r in ml.collect():
@@ -55,10 +63,9 @@ def test_tfidf_matches_spark_ml(spark):
 def test_keywords_cloud_and_weak_signals(spark):
     toks = textmine.tokenize(docs(spark))
     dtc = textmine.doc_term_counts(toks)
-    vocab = textmine.vocabulary(dtc)
-    kw = textmine.doc_keywords(textmine.tfidf(textmine.term_frequencies(dtc, vocab), vocab, toks), 2)
+    kw = textmine.doc_keywords(dtc, toks, 2)
     assert kw.groupBy("doc_id").count().where(F.col("count") > 2).count() == 0
-    cloud = textmine.word_cloud_terms(dtc, 3).collect()
+    cloud = textmine.word_cloud_terms(toks, 3).collect()
     assert cloud[0]["term"] == "blocks" and all(r["term"] != "" for r in cloud)
     data = [(i, 2020 + (i % 3), f"common word{i % 5} " + ("rising " if i % 3 == 2 and i > 20 else ""))
             for i in range(60)]
@@ -82,8 +89,8 @@ def test_lda_topics_shape_and_empty_guard(spark):
 def test_long_form_counts_equal_count_vectorizer(spark):
     from pyspark.ml.feature import CountVectorizer
     data = [(i, " ".join(f"w{(i * j) % 37}" for j in range(1, 30)) + " the and of") for i in range(50)]
-    toks = textmine.tokenize_ml(docs(spark, data))
-    cvm = CountVectorizer(inputCol="filtered", outputCol="tf", vocabSize=10_000, minDF=1.0).fit(toks)
+    toks = tokenize_ml(docs(spark, data))
+    cvm = CountVectorizer(inputCol="content", outputCol="tf", vocabSize=10_000, minDF=1.0).fit(toks)
     ml = {(r["doc_id"], cvm.vocabulary[i]): int(v)
           for r in cvm.transform(toks).collect() for i, v in zip(r["tf"].indices, r["tf"].values)}
     dtc = textmine.doc_term_counts(textmine.tokenize(docs(spark, data)))
@@ -100,3 +107,36 @@ def test_lda_is_repeatable_with_its_seed(spark):
     a = [tuple(r) for r in lda_topics(toks, k=3, max_iter=4).collect()]
     b = [tuple(r) for r in lda_topics(toks, k=3, max_iter=4).collect()]
     assert a == b and len(a) == 3
+
+
+def test_lda_does_not_depend_on_the_partitions(spark):
+    data = [(i, ("ledger token consensus mining block " if i % 3 else "patient record hospital care ward ") * 4
+             + f"doc{i % 5}") for i in range(60)]
+    toks = textmine.tokenize(docs(spark, data))
+    a = [tuple(r) for r in lda_topics(toks, k=3, max_iter=4).collect()]
+    assert [tuple(r) for r in lda_topics(toks.repartition(7), k=3, max_iter=4).collect()] == a
+    assert [tuple(r) for r in lda_topics(toks.coalesce(1).orderBy(F.desc("doc_id")), k=3, max_iter=4).collect()] == a
+
+
+def test_lda_takes_a_vocabulary_as_given(spark):
+    data = [(i, " ".join(f"t{(i + j) % 1200:04d}" for j in range(30))) for i in range(1200)]
+    toks = textmine.tokenize(docs(spark, data))
+    vocab = textmine.vocabulary(textmine.doc_term_counts(toks), size=1200)
+    assert vocab.count() == 1200
+    facts = topic_facts(lda_topics(toks, vocab, k=2, max_iter=1), vocab).collect()
+    assert sorted(tuple(r) for r in facts) == [(0, 5, 5, 5), (1, 5, 5, 5)]
+
+
+def test_stop_words_follow_the_language(spark):
+    d = spark.createDataFrame([(1, "en", "the die and"), (2, "de", "the die und"), (3, "fr", "les the"), (4, "es", "los the"),
+                               (5, None, "the die"), (6, "xx", "the die")], "doc_id long, lang string, text_content string")
+    got = {r["doc_id"]: r["content"] for r in textmine.tokenize_by_language(d).collect()}
+    assert got == {1: ["die"], 2: ["the"], 3: ["the"], 4: ["the"], 5: ["die"], 6: ["die"]}
+
+
+def test_one_vocabulary_and_no_document_shuffle(spark):
+    import __spark_entry__ as E
+    queries = E.queries()
+    tfidf = queries["tfidf"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert tfidf.count("TakeOrderedAndProject") == 1
+    assert "hashpartitioning(doc_id" not in queries["vocabulary"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
