@@ -36,6 +36,7 @@ from .common import as_row, materialize, mix64
 
 MU = 20.0                        # weight of the prior, in tokens
 PROBES, BITS = 5, 8              # probes, and bits of the filter per entry
+SOME_TOKENS, SOME_CHARS = 200_000, 2_000_000    # held as separate words, and scored, at once
 SHARD_TOKENS = 1_000_000         # tokens of text per shard of the key space, at most
 MAX_BROADCAST = 512 << 20        # bytes
 HELD = 2                         # remainder mod 7 of held-out ids, fixed by the contract of op10
@@ -57,13 +58,30 @@ def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     the position behind each text's end token."""
     from xxhash import xxh3_64_intdigest
 
-    flat, ends = [], []
+    flat, parts, ends, n = [], [np.empty(0, np.uint64)], [], 0
     for t in texts:
         if t:
-            flat.extend((t.encode("utf-8")).lower().split())
+            flat.extend(t.encode("utf-8").lower().split())
         flat.append(b"\n")
-        ends.append(len(flat))
-    return np.fromiter(map(xxh3_64_intdigest, flat), np.uint64, len(flat)), np.asarray(ends, np.int64)
+        ends.append(n + len(flat))
+        if len(flat) >= SOME_TOKENS or len(ends) == len(texts):
+            n += len(flat)
+            parts.append(np.fromiter(map(xxh3_64_intdigest, flat), np.uint64, len(flat)))
+            flat = []
+    return np.concatenate(parts), np.asarray(ends, np.int64)
+
+
+def groups(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """The texts in groups of about SOME_CHARS characters, or of one longer text."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t or "")
+        if size >= SOME_CHARS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def word_keys(t: np.ndarray) -> np.ndarray:
@@ -144,20 +162,25 @@ def build(bits_per_entry: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
 
 
 class Model:
-    """Token counts and the filter, put together of the shards."""
+    """Token counts and the filter, filled in shard by shard."""
 
-    def __init__(self, parts: list, shards: int):
-        parts = sorted(parts, key=lambda r: r["shard"])
+    def __init__(self, shards: int, words: int, tokens: int, bits: dict[int, int]):
+        """``bits``: bytes of the filter of each shard."""
         self.shift = np.uint64(64 - (shards - 1).bit_length())
-        self.words = np.concatenate([np.frombuffer(r["words"], "<u8") for r in parts] or [np.empty(0, "<u8")])
-        counts = np.concatenate([np.frombuffer(r["counts"], "<u8") for r in parts] or [np.empty(0, "<u8")])
-        self.n, self.v = int(counts.sum()), len(counts)
-        self.counts = counts.astype(np.uint32) if self.n < 1 << 32 else counts
+        self.n, self.v = tokens, words
+        self.words, self.counts = np.empty(words, np.uint64), np.empty(words, np.uint32 if tokens < 1 << 32 else np.uint64)
         size = np.zeros(shards, np.int64)
-        for r in parts:
-            size[r["shard"]] = 8 * len(r["bits"])
+        for shard, n in bits.items():
+            size[shard] = 8 * n
         self.size, self.start = size, np.concatenate([[0], np.cumsum(size)[:-1]])
-        self.bits = np.frombuffer(b"".join(bytes(r["bits"]) for r in parts), np.uint8)
+        self.bits = np.empty(int(size.sum()) // 8, np.uint8)
+
+    def put(self, at: int, shard: int, words: bytes, counts: bytes, bits: bytes) -> None:
+        """A shard's words, the first of which is the ``at``-th, and its filter."""
+        k = np.frombuffer(words, "<u8")
+        self.words[at:at + len(k)], self.counts[at:at + len(k)] = k, np.frombuffer(counts, "<u8")
+        first = int(self.start[shard]) // 8
+        self.bits[first:first + len(bits)] = np.frombuffer(bits, np.uint8)
 
     def count(self, keys: np.ndarray) -> np.ndarray:
         """Counts of words."""
@@ -208,7 +231,8 @@ def filter_scores(docs: DataFrame, text: str, model) -> DataFrame:
         m = model.value
         for b in batches:
             if b.num_rows:
-                n, known, base, score = log_sums(*tokens(b.column(0).field(at).to_pylist()), m)
+                sums = [log_sums(*tokens(g), m) for g in groups(b.column(0).field(at).to_pylist())]
+                n, known, base, score = (np.concatenate(x) for x in zip(*sums, strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), pa.array(n), pa.array(known), pa.array(np.full(len(n), m.n, np.int64)), pa.array(base),
                      pa.array(score)], names=["_row", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
@@ -257,8 +281,11 @@ def score(docs: DataFrame, train: DataFrame, text: str = "text", max_broadcast:
     blocks = counted(train, text, shards)
     parts = materialize(blocks.repartition(partitions, "shard").mapInArrow(
         lambda it: build(bits, it), "shard int, words binary, counts binary, bits binary, n_words bigint, n_tokens bigint"), "lm-parts")
-    sent = parts.agg(F.sum(F.octet_length("bits") + 12 * F.col("n_words"))).first()[0] or 0
-    if sent > max_broadcast:
+    shape = sorted(map(tuple, parts.select("shard", "n_words", "n_tokens", F.octet_length("bits")).collect()))   # numbers of each shard
+    if sum(12 * w + b for _, w, _, b in shape) > max_broadcast:
         return joined_scores(docs, text, blocks, partitions)
-    model = Model(parts.select("shard", "words", "counts", "bits").collect(), shards)
+    model = Model(shards, sum(w for _, w, _, _ in shape), sum(t for _, _, t, _ in shape), {s: b for s, _, _, b in shape})
+    at = dict(zip([s for s, *_ in shape], np.cumsum([0, *[w for _, w, _, _ in shape]]).tolist(), strict=False))
+    for r in parts.select("shard", "words", "counts", "bits").toLocalIterator():       # one file of shards at a time
+        model.put(at[r["shard"]], r["shard"], bytes(r["words"]), bytes(r["counts"]), bytes(r["bits"]))
     return filter_scores(docs, text, spark.sparkContext.broadcast(model))
