@@ -46,7 +46,7 @@ from .common import as_row, key_filter, materialize, maybe, mix64, sized, window
 LENGTH = 100                       # bytes, fixed by the contract of op9
 GRAM = 24                          # bytes of an anchor gram
 SEGMENT = 1 << 20                  # bytes handled at once
-GROUP_ROWS = 50_000                # different runs of one gram compared in one task
+GROUP_ROWS = 150_000               # different runs of one gram compared in one task
 CHUNK_ROWS = 50_000                # runs of whole groups compared at once
 _B = np.uint64(0x9E3779B97F4A7C15)
 RUN = "kind int, gram bigint, doc_id bigint, hash bigint, start bigint, off int, n int, bytes binary"
@@ -113,11 +113,12 @@ def gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_runs(seen, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of grams that may repeat (kind 0), one of each batch's equal ones, and the others' whole extent (kind 1)."""
+    """Runs of grams that may repeat (kind 0), one of each batch's equal ones, and the extents that the others cover
+    (kind 1, as few rows as there are gaps between them, dealt out by document)."""
     for b in batches:
         ids, hashes, texts = b.column(0).to_pylist(), b.column(1).to_pylist(), raw_texts(b.column(2))
         first: dict[bytes, tuple] = {}
-        out: list[tuple] = []
+        again: dict[tuple, list] = {}
         for found in runs(texts):
             keep = maybe(seen.value, found[4])
             for i, start, n, off, gram in zip(*(x[keep].tolist() for x in (*found[:4], found[4].view(np.int64))), strict=True):
@@ -125,13 +126,13 @@ def repeated_runs(seen, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
                 new = (ids[i], hashes[i], start, gram, off, n)
                 old = first.get(own)
                 if old is None or new < old:
-                    first[own] = new
-                    new = old
+                    first[own], new = new, old
                 if new is not None and new[:3] != first[own][:3]:
-                    out.append((1, new[3], *new[:3], 0, n, None))
+                    again.setdefault(new[:2], []).append((new[2], new[2] + new[5] + LENGTH - 1))
+        out = [(1, h ^ s, d, h, s, 0, e - s - LENGTH + 1, None) for (d, h), x in again.items() for s, e in merged(x)]
         out += [(0, g, d, h, s, off, n, own) for own, (d, h, s, g, off, n) in first.items()]
-        for at in range(0, len(out), 50_000):                     # in the sender's batches, not one large one
-            part = out[at:at + 50_000]
+        for at in range(0, len(out), 20_000):
+            part = out[at:at + 20_000]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), (
                 pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)],
                 names=["kind", "gram", "doc_id", "hash", "start", "off", "n", "bytes"])
@@ -188,10 +189,13 @@ def compare(group_rows: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
                                            pa.array([None] * k if g2 is None else g2, pa.int64())], names=names)
 
     def apart(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        for d, h, s, n, x in zip(*(rows[c].to_pylist() for c in ("doc_id", "hash", "start", "n", "bytes")), strict=True):
-            g = np.frombuffer(b"".join(xxh3_128_digest(x[j:j + LENGTH]) for j in range(n)), ">i8").astype(np.int64)
-            at = np.arange(s, s + n)
-            yield batch(2, [d] * n, [h] * n, at, at + LENGTH, g[::2], g[1::2])
+        for at in range(0, rows.num_rows, 1000):
+            part = rows.slice(at, 1000)
+            d, h, s, n = (part[c].to_numpy() for c in ("doc_id", "hash", "start", "n"))
+            g = np.frombuffer(b"".join(xxh3_128_digest(x[j:j + LENGTH]) for x, k in zip(part["bytes"].to_pylist(), n.tolist(), strict=True)
+                                       for j in range(k)), ">i8").astype(np.int64)
+            start = np.repeat(s - np.cumsum(n) + n, n) + np.arange(n.sum())
+            yield batch(2, np.repeat(d, n), np.repeat(h, n), start, start + LENGTH, g[::2], g[1::2])
 
     def solve(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         if rows.num_rows > 1:
