@@ -91,12 +91,34 @@ def maybe(held: tuple[int, np.ndarray], keys: np.ndarray) -> np.ndarray:
     return (table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
+LINKS_IN_TASK = 500_000        # links of which one task finds the components; more are joined in steps
+
+
+def joined_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) by union-find, for links that fit one task."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := above.setdefault(x, x)) != x:
+            above[x] = x = above[y]
+        return x
+    for b in batches:
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            u, v = top(u), top(v)
+            above[max(u, v)] = min(u, v)
+    nodes = list(above)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], names=["node", "component"])
+
+
 def components(links: DataFrame, tag: str = "components") -> DataFrame:
     """(node, component) of every node of ``links`` (a, b): the smallest node reachable, itself included.
 
-    Alternating large-star and small-star steps, each a grouped minimum (combined before the shuffle) joined
-    back to the links; every step is written to the shared folder.  Nothing is gathered but two numbers."""
+    Up to LINKS_IN_TASK links are joined in one task, whose size that bounds.  More go through alternating
+    large-star and small-star steps, each a grouped minimum (combined before the shuffle) joined back to the
+    links; every step is written to the shared folder.  The driver sees counts only."""
     e = materialize(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), tag)
+    if e.count() <= LINKS_IN_TASK:
+        return materialize(e.coalesce(1).mapInArrow(joined_links, "node bigint, component bigint"), tag)
     state = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -20,7 +20,8 @@ each set: of sets with a share of the threshold in common, some feature lies
 among each one's rarest 1 - threshold.  What is left are near copies just short of
 links: ever more leaders are compared until every pair of a group is in one
 component or compared.  No link between components is lost, whatever the group
-sizes.  All comparisons are exact on the fingerprint sets.
+sizes.  Before sets are compared, parity sketches rule out pairs by a bound that
+never errs; the comparisons are exact on the fingerprint sets.
 
 Cases: a null or empty text, or one without words, has an empty set and links
 with nothing; fewer words than n form one shingle; repeated rows are one node
@@ -31,6 +32,7 @@ an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -45,7 +47,9 @@ SHINGLE = 3                       # words, fixed by the contract of op2
 THRESHOLD = 90                    # 100 * intersection >= THRESHOLD * union, fixed by the contract of op2
 BAND = 1.25                       # ratio of a band's size limits
 N2, K2 = 2, 1                     # second-level partitions, differences allowed in them
-SMALL_GROUP = 48                  # nodes of a signature whose pairs are tried all at once in later rounds
+SLOTS = 1 << 20                   # counters that order the features of large groups
+SKETCH = 512                      # bits of a set's parity sketch, a power of two
+SMALL_GROUP = 16                  # nodes of a signature whose pairs are tried all at once in later rounds
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -131,56 +135,110 @@ def sets(docs: DataFrame, text: str, n: int, threshold: int) -> DataFrame:
         "n_shingles bigint, node bigint, sigs array<bigint>").fields))
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parities of the features by SKETCH hash values, packed: two sets' sketches differ in as many bits as the sets
+    differ in features, at most."""
+    odd = np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
 def chosen_sets(docs: DataFrame, text: str, n: int, wanted) -> DataFrame:
-    """(node, items) of the nodes that pass the filter ``wanted``, one row each."""
+    """(node, items, sketch) of the nodes that pass the filter ``wanted``, one row each."""
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = {node_of(s): s for s in (shingles(t, n) for t in b.column(0).to_pylist()) if len(s)}
             keys = np.fromiter(got, np.int64, len(got))
             keys = keys[maybe(wanted.value, keys)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys), _lists([got[k] for k in keys.tolist()])], names=["node", "items"])
-    return docs.select(text).mapInArrow(made, "node bigint, items array<bigint>").dropDuplicates(["node"])
+            sets = [got[k] for k in keys.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), _lists(sets), _lists([sketch(s) for s in sets])],
+                                             names=["node", "items", "sketch"])
+    return docs.select(text).mapInArrow(made, "node bigint, items array<bigint>, sketch array<bigint>").dropDuplicates(["node"])
 
 
 def similar(pairs: DataFrame, items: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold."""
-    a = items.select(F.col("node").alias("a"), F.col("items").alias("x"))
-    b = items.select(F.col("node").alias("b"), F.col("items").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(b, "b").join(a, "a") \
-        .filter(100 * both >= threshold * (F.size("x") + F.size("y") - both)).select("a", "b")
+    """The pairs (a, b) whose sets reach the threshold.
+
+    Sizes and sketches rule out nearly all others: similar sets differ in at most
+    (|x| + |y|) * (100 - threshold) / (100 + threshold) features.  What is left is compared exactly, and only the
+    sets of these nodes are moved."""
+    brief = items.select("node", F.size("items").alias("n"), "sketch")
+    both = pairs.join(brief.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a") \
+        .join(brief.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
+    differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    left = materialize(both.filter(100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
+                       .filter((100 + threshold) * differ <= (100 - threshold) * (F.col("na") + F.col("nb"))).select("a", "b"), "join-close")
+    if left.isEmpty():
+        return left
+    wanted = key_filter(left.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+
+    def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(maybe(wanted.value, b.column(0).to_numpy())))
+    sets = items.select("node", "items").mapInArrow(only, "node bigint, items array<bigint>")
+    common = F.size(F.array_intersect("x", "y"))
+    return left.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a") \
+        .join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b") \
+        .filter(100 * common >= threshold * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
 def rare_features(items: DataFrame, threshold: int) -> DataFrame:
-    """(sig, node): the rarest features of each set, as many as any similar pair of these sets must share one of."""
-    each = items.select("node", F.size("items").alias("n"), F.explode("items").alias("sig"))
-    many = each.groupBy("sig").agg(F.count("*").alias("df"))
-    first = F.floor(F.col("n") * (100 - threshold) / 100) + 1
-    return each.join(many, "sig").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "sig"))).alias("f"), F.max("n").alias("n")) \
-        .select("node", F.explode(F.slice("f", F.lit(1), first.cast("int"))).alias("f")).filter("f.df > 1").select(F.col("f.sig").alias("sig"), "node")
+    """(sig, node): the first features of each set in one order of all features, as many as any similar pair of these
+    sets must share one of.
+
+    Any fixed order will do; this one goes by how often a feature's slot (one of SLOTS) occurs in an eighth of the
+    sets, then by the feature, so that what many texts share comes last.  The counts, SLOTS numbers at most, are
+    sent to the tasks; the features themselves stay where they are."""
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.column(i).to_numpy().astype("<i8").tobytes()], pa.binary()) for i in (0, 1)],
+                                             names=["slot", "n"])
+    often = items.filter(F.pmod("node", F.lit(8)) == 0).select(F.explode("items").alias("f")) \
+        .groupBy(F.pmod("f", F.lit(SLOTS)).alias("slot")).agg(F.count("*").alias("n")).filter("n > 1")
+    counts = np.zeros(SLOTS, np.int64)
+    for r in often.mapInArrow(packed, "slot binary, n binary").collect():
+        counts[np.frombuffer(r["slot"], "<i8")] = np.frombuffer(r["n"], "<i8")
+    sent = items.sparkSession.sparkContext.broadcast(counts.astype(np.uint32))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nodes, lists = b.column(0).to_numpy(), b.column(1)
+            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            sig, node = [], []
+            for k, s, e in zip(nodes.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                f = flat[s:e]
+                own = f[np.lexsort((f, sent.value[f % SLOTS]))][:len(f) * (100 - threshold) // 100 + 1]
+                sig.append(own)
+                node.append(np.full(len(own), k))
+            if sig:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig)), pa.array(np.concatenate(node))], names=["sig", "node"])
+    return items.select("node", "items").mapInArrow(first, "sig bigint, node bigint")
 
 
 class Links:
-    """Links found so far, and the pairs of a grouping (sig, node) still to be compared."""
+    """The components found so far, and the pairs of a grouping (sig, node) still to be compared."""
 
     def __init__(self, docs: DataFrame, text: str, n: int, threshold: int):
         self.docs, self.text, self.n, self.threshold = docs, text, n, threshold
-        self.found: DataFrame | None = None
+        self.labels: DataFrame | None = None          # (node, component) of the links found, None before the first
         self.items: DataFrame | None = None
 
     def open(self, members: DataFrame) -> DataFrame:
         """Members with their components, of the groups that hold several; with the group's size."""
-        if self.found is None:
+        if self.labels is None:
             state = members.withColumn("component", F.col("node"))
         else:
-            state = members.join(components(self.found, "join-comp"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+            state = members.join(self.labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         group = state.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"))
         return materialize(state.join(group.filter("lo <> hi").select("sig", "size"), "sig"), "join-open")
 
     def compare(self, pairs: DataFrame) -> None:
         pairs = materialize(pairs.distinct(), "join-pairs")
-        new = similar(pairs, self.items, self.threshold)
-        self.found = materialize(new if self.found is None else self.found.unionByName(new), "join-links")
+        if pairs.isEmpty():
+            return
+        new = materialize(similar(pairs, self.items, self.threshold), "join-links")
+        if not new.isEmpty():
+            known = [] if self.labels is None else [self.labels.select(F.col("node").alias("a"), F.col("component").alias("b"))]
+            self.labels = components(reduce(DataFrame.unionByName, [new, *known]), "join-comp")
 
     def leaders(self, members: DataFrame, count: int) -> DataFrame:
         """Compares each open group's ``count`` smallest nodes with its others, and returns the others."""
@@ -203,7 +261,7 @@ class Links:
         return open_.filter(F.col("size") > SMALL_GROUP).select("sig", "node")
 
     def find(self, signed: DataFrame) -> DataFrame:
-        """Links (a, b) that connect exactly what all similar pairs connect.  ``signed``: (node, sigs); copies do no harm."""
+        """(node, component) of the nodes that some similar pair links.  ``signed``: (node, sigs); copies do no harm."""
         each = signed.select(F.explode("sigs").alias("sig"))
         seen = key_filter(materialize(each.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1").select("sig"), "join-repeated"))
         members = materialize(signed.select("node", "sigs").mapInArrow(lambda it: repeated(seen, it), "sig bigint, node bigint").distinct(),
@@ -220,7 +278,9 @@ class Links:
         while not rest.isEmpty():                                 # mostly near copies that are no links: more leaders each time
             rest = self.small(self.leaders(rest, count))
             count *= 4
-        return self.found
+        if self.labels is None:
+            return signed.sparkSession.createDataFrame([], "node bigint, component bigint")
+        return self.labels
 
 
 def repeated(seen, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,9 +298,9 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = S
     links (the row's own id if nothing links)."""
     signed = materialize(sets(docs.select(doc_id, text), text, n, threshold), "join-signed")
     own = signed.select(F.col(f"_row.`{doc_id}`").alias("doc_id"), "n_shingles", "node")
-    found = Links(docs, text, n, threshold).find(signed.filter(F.size("sigs") > 0))
+    labels = Links(docs, text, n, threshold).find(signed.filter(F.size("sigs") > 0))
     named = own.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least")) \
-        .join(components(found, "join-comp"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        .join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of_node = named.join(least, "component").select("node", "component_id")
     return own.join(of_node, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -248,5 +308,5 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = S
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that are not a component's further members; of rows that repeat the kept id one stays."""
-    stay = join(docs, text, doc_id, n, threshold).filter("doc_id <=> component_id").select("doc_id").distinct()
+    stay = join(docs.select(doc_id, text), text, doc_id, n, threshold).filter("doc_id <=> component_id").select("doc_id").distinct()
     return docs.dropDuplicates([doc_id, text]).join(stay, docs[doc_id].eqNullSafe(stay["doc_id"]), "left_semi")
