@@ -120,4 +120,7 @@ def verdict(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text"
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns."""
-    return verdict(docs, rules, text).filter("kept").select(f"{ROW}.*")
+    # the verdict is tied to a row number, so that the filter is not pushed below the projections: there it
+    # would repeat the window arrays inside each other's lambdas
+    held = verdict(docs, rules, text).select(ROW, F.when(F.monotonically_increasing_id() >= 0, F.col("kept")).alias("_keep"))
+    return held.filter("_keep").select(f"{ROW}.*")
