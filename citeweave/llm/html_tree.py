@@ -1,23 +1,25 @@
 """Main text of web pages, by a site style tree.
 
-The DOMs of a host are merged: nodes with one path of tags, classes and places
-among like siblings are one style node.  Its importance has two parts, both entropies to the base of m, the
-number of the host's pages with the node: presentation, the entropy of its
-sequences of child tags, and content, one less the mean entropy of its features
-(own texts and link targets) over the pages; a text that all pages show is
-worth 0, one that a single page shows 1.  On each page the importance of a
-branch is composed upwards, (1 - G^l) of a node's own with G^l of its l
-children's mean, and branches below ``LOW`` are removed.
-
-What a page says about itself goes first: navigation, footers, forms, adverts,
-notices, comments and the like are known by tag, role, class or id, and where it
-marks an article or main part that holds text, only that part counts and the
-tree, which cannot tell an article from its copies on the host, is not asked.
+The DOMs of a host are merged: block elements with one path of tags and classes
+are one style node.  A leaf is a text of an element (inline elements and line breaks
+are part of it); of the m pages of the host with its node, n show that text there, and
+the entropy of that to the base of m makes it worth 1 - log n / log m: 0 where all
+pages show it, 1 where a single one does.  The importance of an element is composed
+upwards, (1 - G^l) of its presentation, the entropy of its l distinct sequences of
+child tags, with G^l of the mean of its children and texts.  A branch is noise if it
+and everything in it is below ``LOW``; noise is removed.
+
+What a page says about itself is a prior: navigation, footers, forms, adverts,
+notices, comments and the like are known by tag, role, class or id and are no part
+of the tree; where a page marks an article or main part that holds text, only that
+part is, and its branches go below ``LOW_MARKED``.  If more than half the words of a
+marked part would go, or all of an unmarked page, its pages are copies of each other,
+which no tree can tell from noise, and the text stays whole.
 
 Scale: style nodes are counted per batch of pages and then by grouped sums, so a
 host with a third of all pages costs few rows; the tree (a row per host and
-path) is broadcast up to ``TREE_ROWS`` rows and joined to the pages' paths
-beyond.  Pages are parsed where they are read, without recursion.
+path, with the texts below ``LOW`` there, of each more than m^(1 - LOW) pages) is
+broadcast up to ``TREE_ROWS`` rows and texts and joined to the pages' paths beyond.  Pages are parsed where they are read, without recursion.
 
 Cases: null or empty html gives an empty text, a null url an empty host; unclosed
 and stray tags are repaired as browsers do for paragraphs and list items; rows
@@ -30,8 +32,8 @@ import html as entities
 import re
 from collections import Counter
 from collections.abc import Iterator
+from math import log
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,9 +43,9 @@ from .common import as_row, materialize
 
 GAMMA = 0.9                        # weight of a node's children falls with their number as GAMMA ** l
 LOW = 0.2                          # branches of less importance go
-PLACES = 9                         # like siblings told apart; further ones are one style node
+LOW_MARKED = 0.05                  # of those in a part that the page marks
 MIN_PAGES = 5                      # pages of a host with a node, below which its importance is 1
-TREE_ROWS = 200_000                # style nodes to broadcast, at most
+TREE_ROWS = 200_000                # style nodes and their noise texts to broadcast, at most
 KEEP, DROP, MAIN = 0, 1, 2
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -87,9 +89,8 @@ class Page:
     """A page's nodes in document order, and its texts as (node, text); text None ends a block."""
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.kind, self.path, self.links, self.inside = [-1], ["#"], [KEEP], [0], [""], [False]
+        self.parent, self.tag, self.kind, self.path, self.block, self.inside = [-1], ["#"], [KEEP], [0], [0], [False]
         self.texts: list[tuple[int, str | None]] = []
-        self.seen: dict[tuple[str, int], int] = {}
         stack = [0]
         for m in TOKEN.finditer(source):
             if (text := m["text"]) is not None:
@@ -119,9 +120,8 @@ class Page:
         own = tag + ("." + ".".join(sorted(given["class"].split())) if given.get("class") else "")
         self.parent.append(stack[-1])
         self.tag.append(tag)
-        place = self.seen[own, stack[-1]] = self.seen.get((own, stack[-1]), 0) + 1
-        self.path.append(key(f"{self.path[stack[-1]]}>{own}:{min(place, PLACES)}"))
-        self.links.append(given.get("href") or given.get("src") or "")
+        self.path.append(key(f"{self.path[stack[-1]]}>{own}") if block else self.path[stack[-1]])
+        self.block.append(len(self.tag) - 1 if block else self.block[stack[-1]])
         self.kind.append(self.judge(tag, names, given, attr, self.inside[stack[-1]]))
         self.inside.append(self.inside[stack[-1]] or self.kind[-1] == MAIN)
         if tag not in VOID and not attr.endswith("/") and len(stack) < DEPTH:
@@ -165,32 +165,59 @@ class Page:
             if self.tag[stack[at]] in border:
                 return
 
-    def own_texts(self) -> dict[int, str]:
-        out: dict[int, list[str]] = {}
-        for i, t in self.texts:
-            if t is not None:
-                out.setdefault(i, []).extend(t.split())
-        return {i: " ".join(w) for i, w in out.items() if w}
-
-    def children(self) -> list[list[int]]:
-        out: list[list[int]] = [[] for _ in self.tag]
-        for i, p in enumerate(self.parent[1:], 1):
-            out[p].append(i)
+    def part(self) -> tuple[list[bool], list[tuple[int, str]], bool]:
+        """Flags of the nodes that count, their texts as (element, text), and whether the page marks them as main."""
+        size = len(self.tag)
+        gone, main = [False] * size, [False] * size
+        for i in range(1, size):
+            p = self.parent[i]
+            gone[i] = gone[p] or self.kind[i] == DROP
+            main[i] = main[p] or (self.kind[i] == MAIN and not gone[i])
+        marked = [m and not g for m, g in zip(main, gone, strict=True)]
+        if leaves := self.leaves(marked):
+            return marked, leaves, True
+        keep = [not g for g in gone]
+        return keep, self.leaves(keep), False
+
+    def leaves(self, keep: list[bool]) -> list[tuple[int, str]]:
+        """(element, text) in document order; the lines of an element that stand together are one text."""
+        out: list[tuple[int, str]] = []
+        part, at = [], 0
+        for i, t in [*self.texts, (0, None)]:
+            if t is None:
+                if words := "".join(part).split():
+                    text = " ".join(words)
+                    if out and out[-1][0] == at:
+                        out[-1] = at, f"{out[-1][1]} {text}"
+                    else:
+                        out.append((at, text))
+                part = []
+            elif keep[i]:
+                if not part or not "".join(part).strip():
+                    at = self.block[i]
+                part.append(t)
+        return out
+
+    def children(self, keep: list[bool]) -> dict[int, list[int]]:
+        """The child elements of each element that counts and has any; inline elements are not told apart from it."""
+        out: dict[int, list[int]] = {}
+        for i in range(1, len(self.tag)):
+            if keep[i] and self.block[i] == i:
+                out.setdefault(self.block[self.parent[i]], []).append(i)
         return out
 
 
 def style_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, path, what, value, n): pages of the batch with a node (what 0), a feature (1), a sequence of children (2)."""
+    """(host, path, what, value, n): pages of the batch with a node (what 0), a text (1), a sequence of children (2)."""
     for b in batches:
         found: Counter = Counter()
         for url, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             page, host = Page(source or ""), host_of(url)
             paths = page.path
-            rows = {(host, p, 0, 0) for p in paths}
-            rows |= {(host, paths[i], 1, key(t)) for i, t in page.own_texts().items()}
-            rows |= {(host, p, 1, key("@" + a)) for p, a in zip(paths, page.links, strict=True) if a}
-            rows |= {(host, p, 2, key(" ".join(dict.fromkeys(page.tag[c] for c in own))))
-                     for p, own in zip(paths, page.children(), strict=True) if own}
+            keep, leaves, _ = page.part()
+            rows = {(host, p, 0, 0) for p, k in zip(paths, keep, strict=True) if k} | {(host, paths[i], 0, 0) for i, _ in leaves}
+            rows |= {(host, paths[i], 1, key(t)) for i, t in leaves}
+            rows |= {(host, paths[i], 2, key(" ".join(dict.fromkeys(page.tag[c] for c in own)))) for i, own in page.children(keep).items() if keep[i]}
             found.update(rows)
         if found:
             host, path, what, value = zip(*found, strict=True)
@@ -199,60 +226,55 @@ def style_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def style_tree(pages: DataFrame, url: str, html: str) -> DataFrame:
-    """(host, path, pages, presentation, content) of every style node; importances are 1 where undefined."""
+    """(host, path, pages, presentation, styles, texts) of every style node that MIN_PAGES pages have: the entropy of its
+    sequences of children and their number, and the texts that are worth less than LOW there, as value -> pages."""
     n = pages.select(url, html).mapInArrow(style_counts, "host string, path bigint, what int, value bigint, n bigint") \
         .groupBy("host", "path", "what", "value").agg(F.sum("n").alias("n"))
-    is_, x = (lambda k: F.when(F.col("what") == k, F.col("n"))), F.col("n") * F.log("n")
-    sums = n.groupBy("host", "path").agg(
-        F.max(is_(0)).alias("pages"), F.sum(is_(1)).alias("n1"), F.sum(F.when(F.col("what") == 1, x)).alias("x1"),
-        F.sum(is_(2)).alias("n2"), F.sum(F.when(F.col("what") == 2, x)).alias("x2"))
-    log_m = F.log(F.greatest("pages", F.lit(2)))
-    return sums.select("host", "path", "pages",
-                       F.coalesce((F.log("n2") - F.col("x2") / F.col("n2")) / log_m, F.lit(1.0)).alias("presentation"),
-                       F.coalesce(1 - F.least(F.lit(1.0), F.col("x1") / F.col("n1") / log_m), F.lit(1.0)).alias("content"))
-
-
-def importance(page: Page, nodes: dict[int, tuple[int, float, float]]) -> np.ndarray:
-    """Importance of each branch, composed upwards; ``nodes``: path key -> (pages, presentation, content)."""
-    out = np.ones(len(page.tag))
-    own, below = page.own_texts(), page.children()
-    for i in range(len(page.tag) - 1, -1, -1):                # children stand behind their parents
-        pages, presentation, content = nodes.get(page.path[i], (0, 1.0, 1.0))
-        if pages >= MIN_PAGES:
-            parts = [out[c] for c in below[i]] + ([content] if i in own or not below[i] else [])
-            weight = GAMMA ** len(below[i]) if below[i] else 1.0
-            out[i] = (1 - weight) * presentation + weight * float(np.mean(parts))
-    return out
-
-
-def main_text(page: Page, nodes: dict[int, tuple[int, float, float]]) -> str:
-    """The page's blocks that are left, joined by blanks."""
-    size = len(page.tag)
-    gone, main = [False] * size, [False] * size
-    for i in range(1, size):
-        p = page.parent[i]
-        gone[i] = gone[p] or page.kind[i] == DROP
-        main[i] = main[p] or (page.kind[i] == MAIN and not gone[i])
-    marked = [m and not g for m, g in zip(main, gone, strict=True)]
-    if text := joined(page, marked):
-        return text
-    worth = importance(page, nodes)
-    low = list(gone)
-    for i in range(1, size):
-        low[i] = low[i] or low[page.parent[i]] or worth[i] < LOW
-    return joined(page, [not x for x in low]) or joined(page, [not x for x in gone])
-
-
-def joined(page: Page, keep: list[bool]) -> str:
-    blocks, part = [], []
-    for i, t in page.texts:
-        if t is None:
-            blocks.append("".join(part))
-            part = []
-        elif keep[i]:
-            part.append(t)
-    blocks.append("".join(part))
-    return " ".join(w for b in blocks for w in b.split())
+    # few pages show a text that others do not: such texts are worth 1 and need not be kept
+    n = materialize(n.filter(f"what <> 1 OR n >= {MIN_PAGES ** (1 - LOW)}"), "html-styles")
+    x = F.col("n") * F.log("n")
+    nodes = n.filter("what <> 1").groupBy("host", "path").agg(
+        F.max(F.when(F.col("what") == 0, F.col("n"))).alias("pages"), F.sum(F.when(F.col("what") == 2, F.col("n"))).alias("n2"),
+        F.sum(F.when(F.col("what") == 2, x)).alias("x2"), F.sum(F.when(F.col("what") == 2, 1).otherwise(0)).alias("styles")) \
+        .filter(F.col("pages") >= MIN_PAGES).select("host", "path", "pages", F.coalesce(
+            (F.log("n2") - F.col("x2") / F.col("n2")) / F.log("pages"), F.lit(1.0)).alias("presentation"), "styles")
+    texts = n.filter("what = 1").join(nodes.select("host", "path", "pages"), ["host", "path"]) \
+        .filter(1 - F.log("n") / F.log("pages") < LOW) \
+        .groupBy("host", "path").agg(F.map_from_entries(F.collect_list(F.struct("value", "n"))).alias("texts"))
+    return nodes.join(texts, ["host", "path"], "left")
+
+
+def noise(page: Page, keep: list[bool], leaves: list[tuple[int, str]], nodes: dict[int, tuple], low: float) -> list[bool]:
+    """Flags of the texts in noise; ``nodes``: path key -> (pages, presentation, styles, texts)."""
+    texts: dict[int, list[float]] = {}
+    for i, t in leaves:
+        pages, _, _, common = nodes.get(page.path[i], (0, 1.0, 0, None))
+        texts.setdefault(i, []).append(1 - log(common.get(key(t), 1)) / log(pages) if common else 1.0)
+    below, worth, low_all = page.children(keep), {}, {}
+    for i in sorted({*below, *texts, *(c for own in below.values() for c in own)}, reverse=True):      # children stand behind their parents
+        _, presentation, styles, _ = nodes.get(page.path[i], (0, 1.0, 0, None))
+        own = below.get(i, [])
+        parts = [worth[c] for c in own] + texts.get(i, [])
+        weight = GAMMA ** styles if page.path[i] in nodes else 1.0
+        worth[i] = (1 - weight) * presentation + weight * (sum(parts) / len(parts) if parts else 0.0)
+        low_all[i] = worth[i] < low and all(low_all[c] for c in own) and all(w < low for w in texts.get(i, []))
+    gone: dict[int, bool] = {}
+    for i in sorted(worth):
+        gone[i] = low_all[i] or gone.get(page.block[page.parent[i]] if i else -1, False)
+    at = {i: iter(w) for i, w in texts.items()}
+    return [next(at[i]) < low or gone[i] for i, _ in leaves]
+
+
+def main_text(page: Page, nodes: dict[int, tuple]) -> str:
+    """The page's texts that are left, joined by blanks."""
+    keep, leaves, marked = page.part()
+    if marked:
+        return " ".join(t for _, t in leaves)
+    bad = noise(page, keep, leaves, nodes, LOW_MARKED if marked else LOW) if nodes else [False] * len(leaves)
+    left = [t for (_, t), b in zip(leaves, bad, strict=True) if not b]
+    if not left or marked and 2 * sum(map(len, left)) < sum(len(t) for _, t in leaves):
+        left = [t for _, t in leaves]
+    return " ".join(left)
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", tree_rows: int = TREE_ROWS) -> DataFrame:
@@ -260,12 +282,12 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", tree_rows: i
     spark = pages.sparkSession
     rows = as_row(pages)
     schema = StructType(rows.schema.fields + StructType.fromDDL("text string").fields)
-    tree = materialize(style_tree(pages, url, html).filter(F.col("pages") >= MIN_PAGES), "html-tree")
+    tree = materialize(style_tree(pages, url, html), "html-tree")
     at_url, at_html = pages.columns.index(url), pages.columns.index(html)
-    if tree.count() <= tree_rows:
+    if (tree.agg(F.sum(1 + F.greatest(F.size("texts"), F.lit(0)))).first()[0] or 0) <= tree_rows:
         sites: dict[str, dict] = {}
         for r in tree.toLocalIterator():
-            sites.setdefault(r["host"], {})[r["path"]] = (r["pages"], r["presentation"], r["content"])
+            sites.setdefault(r["host"], {})[r["path"]] = (r["pages"], r["presentation"], r["styles"], r["texts"])
         sent = spark.sparkContext.broadcast(sites)
 
         def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,9 +308,9 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", tree_rows: i
 
     def with_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [main_text(Page(s or ""), {n["path"]: (n["pages"], n["presentation"], n["content"]) for n in nodes or ()})
+            out = [main_text(Page(s or ""), {n["path"]: (n["pages"], n["presentation"], n["styles"], dict(n["texts"] or ())) for n in nodes or ()})
                    for s, nodes in zip(b.column(0).field(at_html).to_pylist(), b.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["_row", "text"])
     nodes = keyed.select("_key", F.col(f"_row.`{url}`"), F.col(f"_row.`{html}`")).mapInArrow(paths, "_key bigint, host string, path bigint") \
-        .join(tree, ["host", "path"]).groupBy("_key").agg(F.collect_list(F.struct("path", "pages", "presentation", "content")).alias("nodes"))
+        .join(tree, ["host", "path"]).groupBy("_key").agg(F.collect_list(F.struct("path", "pages", "presentation", "styles", "texts")).alias("nodes"))
     return keyed.join(nodes, "_key", "left").select("_row", "nodes").mapInArrow(with_nodes, schema)

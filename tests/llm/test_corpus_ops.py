@@ -295,6 +295,19 @@ def test_pages(spark, tree_rows):
     assert html_tree.extract(df.limit(0), tree_rows=tree_rows).count() == 0
 
 
+@pytest.mark.parametrize("tree_rows", [html_tree.TREE_ROWS, 0])
+def test_unmarked_pages_of_any_length(spark, tree_rows):
+    rows, want = [], {}
+    for n in (1, 16, 200):
+        for i in range(8):
+            own = [f"Text {n} {i} {k}" for k in range(n)]
+            rows.append((1000 * n + i, f"http://h{n}/{i}", "<div><h1>Head {0}</h1><ul>{1}<li>Item {0}</ul><div>{2}</div><p>All rights</div>".format(
+                i, "".join(f"<li>Menu {k}" for k in range(12)), "".join(f"<p>{t}</p>" for t in own))))
+            want[1000 * n + i] = " ".join([f"Head {i}", f"Item {i}", *own])
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    assert {r["_row"]["page_id"]: r.text for r in html_tree.extract(df, tree_rows=tree_rows).collect()} == want
+
+
 def test_page_repairs():
     def text(s):
         return html_tree.main_text(html_tree.Page(s), {})
