@@ -268,8 +268,6 @@ def noise(page: Page, keep: list[bool], leaves: list[tuple[int, str]], nodes: di
 def main_text(page: Page, nodes: dict[int, tuple]) -> str:
     """The page's texts that are left, joined by blanks."""
     keep, leaves, marked = page.part()
-    if marked:
-        return " ".join(t for _, t in leaves)
     bad = noise(page, keep, leaves, nodes, LOW_MARKED if marked else LOW) if nodes else [False] * len(leaves)
     left = [t for (_, t), b in zip(leaves, bad, strict=True) if not b]
     if not left or marked and 2 * sum(map(len, left)) < sum(len(t) for _, t in leaves):

@@ -308,6 +308,17 @@ def test_unmarked_pages_of_any_length(spark, tree_rows):
     assert {r["_row"]["page_id"]: r.text for r in html_tree.extract(df, tree_rows=tree_rows).collect()} == want
 
 
+@pytest.mark.parametrize("tree_rows", [html_tree.TREE_ROWS, 0])
+def test_tree_decides_in_marked_parts(spark, tree_rows):
+    # what all pages of a host show goes from a marked part, too; copies of one article stay whole
+    rows = [(i, "http://a/", f"<article><h1>Head {i}</h1><div><p>Read <a href=/x>more</a></p></div><p>Body {i} of a <b>text</b></p></article>out")
+            for i in range(8)]
+    rows += [(100 + i, "http://b/", f"<main><p>One and the same long text</p><p>No {i // 4}</p></main>") for i in range(8)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    got = {r["_row"]["page_id"]: r.text for r in html_tree.extract(df, tree_rows=tree_rows).collect()}
+    assert got == {i: f"Head {i} Body {i} of a text" for i in range(8)} | {100 + i: f"One and the same long text No {i // 4}" for i in range(8)}
+
+
 def test_page_repairs():
     def text(s):
         return html_tree.main_text(html_tree.Page(s), {})
