@@ -14,8 +14,9 @@ Scale: workers count a batch of texts at a time and send one block of keys per
 shard of the key space, so a frequent word is one entry per batch; each shard is
 merged, and its part of the filter built, in one task of bounded size.  The
 filter and the token counts are broadcast if they measure at most
-``max_broadcast`` bytes; beyond that the same quantised counts are looked up by
-joins on the keys instead (``joined_scores``), where no filter errs.
+``max_broadcast`` bytes; beyond that they stay where they are, and each group of
+texts sends its distinct keys to their shards and gets the token counts and the
+levels probed there in return (``sharded_scores``).  Both ask the same filter.
 
 Cases: a null or empty text has the end token alone; a null id counts as an
 empty one for the training split; every row is scored by itself; an empty
@@ -37,6 +38,7 @@ from .common import as_row, materialize, mix64
 MU = 20.0                        # weight of the prior, in tokens
 PROBES, BITS = 5, 8              # probes, and bits of the filter per entry
 SOME_TOKENS, SOME_CHARS = 200_000, 2_000_000    # held as separate words, and scored, at once
+GROUP_CHARS = 4_000_000          # of texts that ask the shards together
 SHARD_TOKENS = 1_000_000         # tokens of text per shard of the key space, at most
 MAX_BROADCAST = 512 << 20        # bytes
 HELD = 2                         # remainder mod 7 of held-out ids, fixed by the contract of op10
@@ -161,6 +163,33 @@ def build(bits_per_entry: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
             names=["shard", "words", "counts", "bits", "n_words", "n_tokens"])
 
 
+def probed(keys: np.ndarray, bits: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Levels of pairs, by probing level after level; each key's filter is the ``size`` bits from ``start``."""
+    out = np.zeros(len(keys), np.uint8)
+    alive, level = np.flatnonzero(size), 0
+    while len(alive):
+        level += 1
+        there = np.ones(len(alive), bool)
+        for at in places(keys[alive], level, size[alive]):
+            at = start[alive] + at.astype(np.int64)
+            there &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+        alive = alive[there]
+        out[alive] = level
+    return out
+
+
+def quantised(lv: np.ndarray) -> np.ndarray:
+    return np.where(lv > 0, 2.0 ** (lv.astype(np.float64) - 1), 0.0)
+
+
+def found(words: np.ndarray, counts: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Counts of the keys among sorted ``words``."""
+    if not len(words):
+        return np.zeros(len(keys), counts.dtype)
+    at = np.minimum(np.searchsorted(words, keys), len(words) - 1)
+    return np.where(words[at] == keys, counts[at], 0)
+
+
 class Model:
     """Token counts and the filter, filled in shard by shard."""
 
@@ -184,26 +213,27 @@ class Model:
 
     def count(self, keys: np.ndarray) -> np.ndarray:
         """Counts of words."""
-        if not self.v:
-            return np.zeros(len(keys))
-        at = np.minimum(np.searchsorted(self.words, keys), self.v - 1)
-        return np.where(self.words[at] == keys, self.counts[at], 0).astype(np.float64)
+        return found(self.words, self.counts, keys).astype(np.float64)
 
     def pair_count(self, keys: np.ndarray) -> np.ndarray:
-        """Quantised counts of pairs, by probing level after level."""
-        out = np.zeros(len(keys))
+        """Quantised counts of pairs."""
         shard = (keys >> self.shift).astype(np.int64)
-        alive, level = np.flatnonzero(self.size[shard]), 0
-        while len(alive):
-            level += 1
-            own = shard[alive]
-            there = np.ones(len(alive), bool)
-            for at in places(keys[alive], level, self.size[own]):
-                at = self.start[own] + at.astype(np.int64)
-                there &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-            alive = alive[there]
-            out[alive] = 2.0 ** (level - 1)
-        return out
+        return quantised(probed(keys, self.bits, self.start[shard], self.size[shard]))
+
+
+class Answers:
+    """What the shards say of a group of texts: counts of its sorted words, levels of its sorted pairs."""
+
+    def __init__(self, n: int, v: int, words: np.ndarray, counts: np.ndarray, pairs: np.ndarray, lv: np.ndarray):
+        if (len(words), len(pairs)) != (len(counts), len(lv)):
+            raise ValueError("the shards' answers do not fit the texts")
+        self.n, self.v, self.words, self.counts, self.pairs, self.lv = n, v, words, counts, pairs, lv
+
+    def count(self, keys: np.ndarray) -> np.ndarray:
+        return found(self.words, self.counts, keys).astype(np.float64)
+
+    def pair_count(self, keys: np.ndarray) -> np.ndarray:
+        return quantised(found(self.pairs, self.lv, keys))
 
 
 def log_sums(t: np.ndarray, ends: np.ndarray, model: Model) -> list[np.ndarray]:
@@ -239,36 +269,82 @@ def filter_scores(docs: DataFrame, text: str, model) -> DataFrame:
     return df.mapInArrow(scored, StructType(df.schema.fields + StructType.fromDDL(RESULT).fields))
 
 
-def joined_scores(docs: DataFrame, text: str, blocks: DataFrame, partitions: int) -> DataFrame:
-    """The same scores where the counts are too many to broadcast: every row's distinct pairs are joined with
-    the counts of token, context and pair (Spark splits skewed keys), and summed by row."""
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in merged(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(shard[1].view(np.int64)), pa.array(shard[2].astype(np.int64))], names=["key", "n"])
-    counts = materialize(blocks.repartition(partitions, "shard").mapInArrow(listed, "key bigint, n bigint"), "lm-counts")
-    words = counts.filter("key & 1 = 0")
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    df = materialize(as_row(docs).withColumn("_key", F.monotonically_increasing_id()), "lm-rows")
+def own_keys(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys of the words and of the pairs of the tokens."""
+    return np.unique(word_keys(t)), np.unique(pair_keys(t))
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def sharded_scores(docs: DataFrame, text: str, parts: DataFrame, shards: int, n: int, v: int) -> DataFrame:
+    """The same scores where the model is too large to send: the keys of each group of texts go to their shards,
+    a block for each, and their counts and levels come back in the order of the keys."""
+    at, shift = docs.columns.index(text), np.uint64(64 - (shards - 1).bit_length())
+    rows = as_row(docs).withColumn("_key", F.monotonically_increasing_id())
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = size = 0
         for b in batches:
-            t, ends = tokens(b.column(1).to_pylist())
-            row = np.repeat(b.column(0).to_numpy(), np.diff(ends, prepend=0))
-            before = np.concatenate([np.asarray([end_key()], np.uint64), t[:-1]])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(row), *(pa.array(k.view(np.int64)) for k in (word_keys(before), word_keys(t), pair_keys(t)))],
-                names=["_key", "h", "w", "p"])
-    each = df.select("_key", F.col(f"_row.`{text}`")).mapInArrow(pairs, "_key bigint, h bigint, w bigint, p bigint") \
-        .groupBy("_key", "h", "w", "p").agg(F.count("*").alias("times"))
-    for key, name in (("h", "ch"), ("w", "cw"), ("p", "cp")):
-        each = each.join(counts.select(F.col("key").alias(key), F.col("n").alias(name)), key, "left").fillna(0, [name])
-    p1 = (F.col("cw") + 1) / F.lit(float(total["n"] + total["v"] + 1))
-    both = F.when(F.col("cp") > 0, F.pow(F.lit(2.0), F.floor(F.log2("cp")))).otherwise(0.0)
-    sums = each.groupBy("_key").agg(
-        F.sum("times").alias("n_tokens"), F.coalesce(F.sum(F.when(F.col("cw") > 0, F.col("times"))), F.lit(0)).alias("n_known"),
-        F.lit(total["n"]).cast("bigint").alias("train_tokens"), F.sum(F.col("times") * F.log10(p1)).alias("base_score"),
-        F.sum(F.col("times") * F.log10((F.least(both, F.col("ch").cast("double")) + MU * p1) / (F.col("ch") + MU))).alias("score"))
-    return df.join(sums, "_key").drop("_key")
+            out = []
+            for k, t in zip(b.column(1).to_pylist(), b.column(0).field(at).to_pylist(), strict=True):
+                if not size:
+                    group = k                              # the first row's key
+                out.append(group)
+                size += len(t or "") + 64
+                size = size if size < GROUP_CHARS else 0
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], names=["_row", "_key", "_group"])
+    rows = materialize(rows.mapInArrow(dealt, StructType(rows.schema.fields + StructType.fromDDL("_group bigint").fields)), "lm-rows")
+
+    # files may be read in pieces: a group asks once for each run of its rows that comes at once, named by its first row
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            group, row, texts = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_pylist()
+            cut = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])) if len(group) else []
+            for s, e in zip(cut[:-1], cut[1:], strict=True):
+                keys = np.sort(np.concatenate(own_keys(tokens(texts[s:e])[0])))
+                edge = np.searchsorted((keys >> shift).astype(np.int64), np.arange(shards + 1))
+                full = np.flatnonzero(np.diff(edge))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(full.astype(np.int32)), pa.array(np.full(len(full), group[s])), pa.array(np.full(len(full), row[s])),
+                     pa.array([keys[edge[x]:edge[x + 1]].tobytes() for x in full], pa.binary())], names=["shard", "_group", "_first", "keys"])
+    asks = rows.select("_group", "_key", F.col(f"_row.`{text}`")).mapInArrow(
+        asked, "shard int, _group bigint, _first bigint, keys binary")
+
+    def answered(asks: pa.Table, part: pa.Table) -> pa.Table:
+        own = {c: part[c][0].as_py() if part.num_rows else b"" for c in ("words", "counts", "bits")}
+        words, counts, bits = np.frombuffer(own["words"], "<u8"), np.frombuffer(own["counts"], "<u8"), np.frombuffer(own["bits"], np.uint8)
+        out = []
+        for raw in asks["keys"].to_pylist():
+            keys = np.frombuffer(raw, "<u8")
+            word = keys & _ONE == 0
+            pairs = keys[~word]
+            lv = probed(pairs, bits, np.zeros(len(pairs), np.int64), np.full(len(pairs), 8 * len(bits)))
+            out.append((found(words, counts, keys[word]).astype("<u8").tobytes(), lv.tobytes()))
+        counts, lv = zip(*out, strict=True) if out else ((), ())
+        return pa.table({"_group": asks["_group"], "_first": asks["_first"], "shard": asks["shard"],
+                         "counts": pa.array(counts, pa.binary()), "levels": pa.array(lv, pa.binary())})
+    answers = asks.groupBy("shard").cogroup(parts.select("shard", "words", "counts", "bits").groupBy("shard")) \
+        .applyInArrow(answered, "_group bigint, _first bigint, shard int, counts binary, levels binary")
+
+    def scored(own: pa.Table, said: pa.Table) -> pa.Table:
+        own, said = own.sort_by("_key"), said.sort_by([("_first", "ascending"), ("shard", "ascending")])
+        row = own["_row"].combine_chunks()
+        texts = (row.chunk(0) if isinstance(row, pa.ChunkedArray) else row).field(at).to_pylist() if own.num_rows else []
+        first = said["_first"].to_numpy()
+        start, block = np.unique(first, return_index=True)
+        cut = np.append(np.searchsorted(own["_key"].to_numpy(), start), len(texts))
+        counts, lv = said["counts"].to_pylist(), said["levels"].to_pylist()
+        block = np.append(block, len(first))
+        sums = []
+        for i in range(len(start)):
+            of, x = slice(block[i], block[i + 1]), texts[cut[i]:cut[i + 1]]
+            t, ends = tokens(x)
+            words, pairs = own_keys(t)
+            sums.append(log_sums(t, ends, Answers(n, v, words, np.frombuffer(b"".join(counts[of]), "<u8"), pairs,
+                                                  np.frombuffer(b"".join(lv[of]), np.uint8))))
+        size, known, base, score = (np.concatenate(x) for x in zip(*sums, strict=True))
+        return pa.table({"_row": own["_row"], "n_tokens": size, "n_known": known, "train_tokens": np.full(len(size), n, np.int64),
+                         "base_score": base, "score": score})
+    schema = StructType([f for f in rows.schema.fields if f.name == "_row"] + StructType.fromDDL(RESULT).fields)
+    return rows.groupBy("_group").cogroup(answers.groupBy("_group")).applyInArrow(scored, schema)
 
 
 def score(docs: DataFrame, train: DataFrame, text: str = "text", max_broadcast: int = MAX_BROADCAST,
@@ -283,7 +359,7 @@ def score(docs: DataFrame, train: DataFrame, text: str = "text", max_broadcast:
         lambda it: build(bits, it), "shard int, words binary, counts binary, bits binary, n_words bigint, n_tokens bigint"), "lm-parts")
     shape = sorted(map(tuple, parts.select("shard", "n_words", "n_tokens", F.octet_length("bits")).collect()))   # numbers of each shard
     if sum(12 * w + b for _, w, _, b in shape) > max_broadcast:
-        return joined_scores(docs, text, blocks, partitions)
+        return sharded_scores(docs, text, parts, shards, sum(t for _, _, t, _ in shape), sum(w for _, w, _, _ in shape))
     model = Model(shards, sum(w for _, w, _, _ in shape), sum(t for _, _, t, _ in shape), {s: b for s, _, _, b in shape})
     at = dict(zip([s for s, *_ in shape], np.cumsum([0, *[w for _, w, _, _ in shape]]).tolist(), strict=False))
     for r in parts.select("shard", "words", "counts", "bits").toLocalIterator():       # one file of shards at a time

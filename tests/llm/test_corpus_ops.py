@@ -208,6 +208,22 @@ def test_lm_scores(spark, max_broadcast):
     assert [r.train_tokens for r in empty] == [0, 0]
 
 
+def test_lm_routes_ask_one_filter(spark, monkeypatch):
+    monkeypatch.setattr(ngram_lm, "GROUP_CHARS", 20_000)
+    df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").repartition(3)
+    train = df.filter(~ngram_lm.held_out(F.col("doc_id")))
+
+    def scores(max_broadcast, bits):
+        got = ngram_lm.score(df, train, max_broadcast=max_broadcast, bits=bits).collect()
+        return {r["_row"]["doc_id"]: (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got}
+    sent, kept = scores(ngram_lm.MAX_BROADCAST, ngram_lm.BITS), scores(0, ngram_lm.BITS)
+    assert sent.keys() == kept.keys()
+    for d, want in sent.items():
+        assert kept[d] == pytest.approx(want, rel=1e-12)
+    wide = scores(0, 64)
+    assert any(abs(wide[d][4] - kept[d][4]) > 1e-6 for d in wide)      # at 8 bits an entry the filter errs
+
+
 def test_lm_beats_the_base_on_held_out_texts(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     held = ngram_lm.held_out(F.col("doc_id"))
