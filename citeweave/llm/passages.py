@@ -1,8 +1,9 @@
 """Fuzzy passages that repeat across documents, by chaining shared word k-mers.
 
 * seeds: of every ``WINDOW`` neighbouring k-mers of words the one of least hash is
-  a seed, so two texts that share K + WINDOW - 1 words in a row share a seed.
-  Seeds of one document alone are left out by a broadcast bit filter of bounded
+  a seed, so two texts that share K + WINDOW - 1 words in a row share a seed; and
+  every k-mer of a hash in the least 1 / ``SHARE`` is one wherever it stands, so edits
+  beside it do not move it.  Seeds of one document alone are left out by a broadcast bit filter of bounded
   size.
 * matches: each seed of a document is joined with the seed's first place in the
   collection, so a seed that many documents hold gives one match for each, never
@@ -11,8 +12,10 @@
   both.  A match adds ``GAIN``; the words between two matches cost ``GAP`` each, on
   both sides.  The best predecessor is a prefix maximum of a Fenwick tree.
 * alignment: between the matches of a chain, and outwards from its ends, the words
-  of both documents are aligned; runs of more than ``BREAK`` unmatched words end a
-  piece, and a piece needs ``IDENTITY`` of its words matched.
+  of both documents are aligned with insertions and deletions, up to ``BAND`` more of
+  one than of the other; runs of more than ``BREAK`` unmatched words end a piece, and
+  a piece needs ``IDENTITY`` of its words matched; of one that has less, the runs that
+  have it are taken.
 
 Pieces that touch, of whichever earlier documents, make one passage; passages of
 at least ``MIN_WORDS`` words are repeated, and ``remove`` cuts them from the later
@@ -39,13 +42,16 @@ from .common import as_row, key_filter, materialize, maybe, mix64, sized, window
 
 K = 6                              # words of a k-mer
 WINDOW = 10                        # neighbouring k-mers of which one is a seed
+SHARE = 8                          # one of so many k-mers is a seed in any case
 MIN_WORDS = 50                     # words of a repeated passage, at least
-GAIN, GAP = 5.0, 0.25              # of a match; of a word between matches, on either side
+GAIN, GAP = 5.0, 0.1               # of a match; of a word between matches, on either side
 BREAK = 8                          # unmatched words in a row inside a piece, at most
 IDENTITY = 0.8                     # matched words of a piece, at least
-DROP = 6                           # score lost at which an end is no longer extended
+DROP = 12                          # score lost at which an end is no longer extended
+BAND = 16                          # words inserted or deleted in one extension, at most (net)
 PAD = 400                          # words of the earlier document kept beyond a chain's ends
 SOME_WORDS = 200_000               # words handled at once
+SOME_ROWS = 256                    # rows with texts or chains taken out of a batch at once
 _M = np.uint64(0x9E3779B97F4A7C15)
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -81,7 +87,8 @@ def _seeds(held: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray,
     least = (window_min(order, WINDOW) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     own = np.repeat(np.arange(len(held)), length)
     p = np.arange(len(least))
-    at = np.unique(least[p + K + WINDOW - 1 <= end[own[:len(least)]]])
+    low = np.flatnonzero(kmer < np.uint64((1 << 64) // SHARE))
+    at = np.unique(np.concatenate([least[p + K + WINDOW - 1 <= end[own[:len(least)]]], low[low + K <= end[own[low]]]]))
     return np.asarray([i for i, _ in held])[own[at]], at - (end - length)[own[at]], kmer[at]
 
 
@@ -192,9 +199,16 @@ def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from solve(held)
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of SOME_ROWS rows, as a hot document's chains each carry its text."""
+    for b in batches:
+        for at in range(0, b.num_rows, SOME_ROWS):
+            yield b.slice(at, SOME_ROWS)
+
+
 def earlier_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The chain with the earlier document's words around it (``first``: position of the first one)."""
-    for b in batches:
+    for b in sliced(batches):
         words, first, last_text, h = [], [], None, None
         for xs, text in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
             if text is not last_text and text != last_text:
@@ -207,27 +221,69 @@ def earlier_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                                          names=["doc_id", "hash", "ys", "xs", "first", "words"])
 
 
-def extend(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Matched flags of ``a`` against ``b`` from their common start, until the score drops by DROP."""
+def paired(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the words of ``a`` and ``b`` matched from their common start: furthest reaching points of each
+    number of edits and diagonal, up to the best score; ends where all are DROP below it.  A match scores 1, a
+    replaced word -2, an inserted or deleted one -2.5."""
     n = min(len(a), len(b))
-    same = a[:n] == b[:n]
-    if not n or not same.any():
-        return np.zeros(0, bool)
-    score = np.cumsum(np.where(same, 1, -2))
-    best = np.maximum.accumulate(np.maximum(score, 0))
-    stop = np.flatnonzero(best - score >= DROP)
-    score = score[:stop[0]] if len(stop) else score
-    return same[:int(score.argmax()) + 1] if len(score) and score.max() > 0 else np.zeros(0, bool)
+    differ = np.flatnonzero(a[:n] != b[:n])
+    run = int(differ[0]) if len(differ) else n                # the part without edits
+    u, v = a[run:len(b) + BAND].tolist(), b[run:len(a) + BAND].tolist()
+    nu, nv = len(u), len(v)
+    best, end = 0.0, (0, 0)                                   # edits, diagonal
+    rows = [{0: 0}]                                           # diagonal (i - j) -> i, for each number of edits
+    while rows[-1] and (nu or nv):
+        d, row = len(rows), {}
+        last = rows[-1]
+        for k in range(max(min(last) - 1, -BAND), min(max(last) + 1, BAND) + 1):
+            i = max(last.get(k, -2) + 1, last.get(k - 1, -2) + 1, last.get(k + 1, -2))
+            i = min(i, nu, nv + k)
+            if i < 0 or i < k or i <= last.get(k, -1):
+                continue
+            while i < nu and i - k < nv and u[i] == v[i - k]:
+                i += 1
+            score = i - k / 2 - 3 * d
+            if score > best - DROP:
+                row[k] = i
+                if score > best:
+                    best, end = score, (d, k)
+        rows.append(row)
+    d, k = end
+    i, pairs = rows[d][k], []
+    while d:
+        last = rows[d - 1]
+        come, of = max((last.get(k, -2) + 1, k), (last.get(k - 1, -2) + 1, k - 1), (last.get(k + 1, -2), k + 1))
+        pairs.extend((x, x - k) for x in range(i - 1, min(come, nu, nv + k) - 1, -1))
+        i, k, d = last[of], of, d - 1
+    pairs.extend((x, x) for x in range(i - 1, -1, -1))
+    x, y = zip(*pairs[::-1], strict=True) if pairs else ((), ())
+    first = np.arange(run)
+    return np.concatenate([first, np.asarray(x, np.int64) + run]), np.concatenate([first, np.asarray(y, np.int64) + run])
+
+
+def extend(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Matched flags of ``a`` against ``b`` from their common start, up to the last match."""
+    at, _ = paired(a, b)
+    out = np.zeros(int(at[-1]) + 1 if len(at) else 0, bool)
+    out[at] = True
+    return out
 
 
 def between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Matched flags of ``a`` in a longest common subsequence with ``b`` (both short: wide gaps end a piece)."""
+    """Matched flags of ``a`` against ``b``, in a longest common subsequence if both are short; else of what is
+    matched from their common start and from their common end, as much as does not cross."""
     if len(a) == len(b):
         same = a == b
         if 2 * same.sum() >= len(a):
             return same
     out = np.zeros(len(a), bool)
     if len(a) > 64 or len(b) > 64:
+        i, j = paired(a, b)
+        x, y = paired(a[::-1], b[::-1])
+        x, y = len(a) - 1 - x[::-1], len(b) - 1 - y[::-1]
+        behind = np.append(0, np.maximum(np.searchsorted(x, i, "right"), np.searchsorted(y, j, "right")))
+        m = int((np.arange(len(i) + 1) + len(x) - behind).argmax())
+        out[i[:m]] = out[x[behind[m]:]] = True
         return out
     best = np.zeros((len(a) + 1, len(b) + 1), np.int32)
     for i in range(len(a) - 1, -1, -1):
@@ -269,14 +325,37 @@ def aligned(own: np.ndarray, other: np.ndarray, first: int, ys: np.ndarray, xs:
     return int(ys[0]) - len(left), np.concatenate(parts)
 
 
+def runs(matched: np.ndarray) -> list[tuple[int, int]]:
+    """[start, stop) of the maximal runs of which IDENTITY is matched, and of their beginnings and ends too (Ruzzo and Tompa)."""
+    total, held = 0.0, []                                     # start, stop, sums before and behind
+    for at, m in enumerate(matched.tolist()):
+        if not m:
+            total -= IDENTITY
+            continue
+        own = [at, at + 1, total, total + 1 - IDENTITY]
+        total = own[3]
+        while True:
+            j = next((j for j in range(len(held) - 1, -1, -1) if held[j][2] < own[2]), -1)
+            if j < 0 or held[j][3] >= own[3]:
+                break
+            own[0], own[2] = held[j][0], held[j][2]
+            del held[j:]
+        held.append(own)
+    return [(s, e) for s, e, *_ in held]
+
+
 def pieces(start: int, matched: np.ndarray) -> list[tuple[int, int]]:
     """[start, stop) of the well matched pieces of an alignment."""
     at = np.flatnonzero(matched)
     if not len(at):
         return []
     cut = np.flatnonzero(np.diff(at) > BREAK + 1)
-    return [(start + int(s), start + int(e) + 1) for s, e in zip(at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)], strict=True)
-            if matched[s:e + 1].mean() >= IDENTITY]
+    out = []
+    for s, e in zip(at[np.append(0, cut + 1)].tolist(), (at[np.append(cut, len(at) - 1)] + 1).tolist(), strict=True):
+        part = matched[s:e]
+        out += [(start + s + x, start + s + y) for x, y in ([(0, e - s)] if part.mean() >= IDENTITY else
+                                                            [r for r in runs(part) if r[1] - r[0] >= K])]
+    return out
 
 
 def passages(own: np.ndarray, found: list[dict]) -> list[tuple[int, int]]:
@@ -323,7 +402,7 @@ def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
         .groupBy("doc_id", "hash").agg(F.collect_list(chain).alias("chains"))
 
     def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             n, spans, rest = [], [], []
             for t, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 raw = (t or "").encode("utf-8")

@@ -264,6 +264,42 @@ def test_passages_are_found_and_clean_documents_stay(spark):
     assert passages.remove(df.limit(0)).count() == 0
 
 
+def mixed_edits(w, rate, rng):
+    """A word in 1 / rate replaced, left out or followed by another."""
+    return [x for v in w for x in (((rng.choice(WORDS),), (), (v, rng.choice(WORDS)))[rng.randrange(3)] if rng.random() < rate else (v,))]
+
+
+@pytest.mark.parametrize("rate", [0.05, 0.1])
+def test_edited_passages_are_found(spark, rate):
+    rng, docs, want = random.Random(3), [], {}
+    for i in range(150):
+        shared = [rng.choice(WORDS) for _ in range(rng.randint(53, 100))]
+        around = [[rng.choice(WORDS) for _ in range(60)] for _ in range(4)]
+        copy = mixed_edits(shared, rate, rng)
+        docs += [(i, " ".join(around[0] + shared + around[1])), (1000 + i, " ".join(around[2] + copy + around[3]))]
+        want[1000 + i] = 60, 60 + len(copy)
+    found = whole = other = 0
+    for r in passages.find(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)).collect():
+        s, e = want.get(r["_row"]["doc_id"], (0, 0))
+        whole += e - s
+        for p in r.passages:
+            own = [x for x in range(p.first_word, p.first_word + p.n_words) if s <= x < e]
+            found, other = found + len(own), other + (p.n_words - len(own))
+    assert found >= (0.95 if rate < 0.1 else 0.9) * whole and other <= 0.01 * whole
+
+
+def test_alignment_of_long_gaps_and_weak_pieces():
+    rng = np.random.default_rng(2)
+    a = rng.integers(0, 2 ** 62, 300).astype(np.uint64)
+    b = np.concatenate([a[:120], rng.integers(0, 2 ** 62, 30).astype(np.uint64), a[120:]])
+    assert passages.between(a, b).all()
+    got = passages.between(b, a)
+    assert got[:120].all() and not got[120:150].any() and got[150:].all()
+    weak = np.concatenate([np.ones(60, bool), np.tile([True, False, False], 30), np.ones(60, bool)])
+    spans = passages.pieces(7, weak)
+    assert (spans[0][0], spans[-1][1]) == (7, 7 + 210) and all(weak[s - 7:e - 7].mean() >= passages.IDENTITY for s, e in spans)
+
+
 def brute_chain(y, x):
     """Best chain score by trying all predecessors."""
     best = []
