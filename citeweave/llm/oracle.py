@@ -75,9 +75,63 @@ SELECT g.id::BIGINT AS doc_id, len(w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGI
 FROM g LEFT JOIN h ON h.id = g.id LEFT JOIN q ON q.id = g.id WHERE doc
 """
 
+# Unsigned CRC-32 of an ASCII string, by the table of its polynomial (a single row "crc_table", column t).
+_CRC_TABLE = """
+crc_table AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END))
+                          ORDER BY i) AS t FROM range(256) AS r(i))"""
+
+
+def _crc(s: str) -> str:
+    return (f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split({s}, ''), lambda x: ascii(x)::BIGINT)), "
+            "lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)")
+
+
+def _field(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c} END"
+
+
+def _row(text: str) -> str:
+    return "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _levels(name: str, leaves: str) -> str:
+    """Nodes of all levels, and for each node that has a parent the digests left and right of it in its run."""
+    return f"""
+{name}(tree, level, idx, d, size) AS (SELECT tree, 0, idx, d, size FROM {leaves} UNION ALL
+  SELECT tree, level + 1, idx // 16, sha256(string_agg(d, '' ORDER BY idx)), (size + 15) // 16 FROM {name}
+  WHERE size > 1 GROUP BY tree, level, idx // 16, size),
+{name}_beside AS (SELECT a.tree, a.level, a.idx, coalesce(string_agg(b.d, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS l,
+    coalesce(string_agg(b.d, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS r
+  FROM {name} AS a JOIN {name} AS b ON a.tree = b.tree AND a.level = b.level AND a.idx // 16 = b.idx // 16
+  WHERE a.size > 1 GROUP BY a.tree, a.level, a.idx)"""
+
+
+_OP13 = f"""
+WITH RECURSIVE {_CRC_TABLE},
+x AS (SELECT *, CASE WHEN {_crc("doc_id::VARCHAR")} % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+             ELSE text END AS copy FROM documents, crc_table),
+h AS (SELECT doc_id, coalesce('s' || source, '') AS tree, {_row("text")} AS d, {_row("copy")} AS claim FROM x),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, d) - 1 AS idx,
+                  count(*) OVER (PARTITION BY tree) AS size FROM h),{_levels("n", "leaves")},
+subroots AS (SELECT '' AS tree, tree AS source, d, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS size
+             FROM n WHERE size = 1),{_levels("top", "subroots")},
+steps AS (SELECT l.tree, l.idx, b.level, b.l, b.r FROM leaves AS l JOIN n_beside AS b ON b.tree = l.tree AND b.idx = l.idx >> (4 * b.level)
+          UNION ALL SELECT l.tree, l.idx, 1000 + b.level, b.l, b.r FROM leaves AS l JOIN subroots AS s ON s.source = l.tree
+          JOIN top_beside AS b ON b.idx = s.idx >> (4 * b.level)),
+proofs AS (SELECT tree, idx, string_agg(l || r, '' ORDER BY level) AS proof, list(l || '|' || r ORDER BY level) AS pairs
+           FROM steps GROUP BY tree, idx),
+found AS (SELECT doc_id, l.d AS leaf, s.d AS subroot, (SELECT d FROM top WHERE size = 1) AS root,
+                 sha256(coalesce(proof, '')) AS proof_sha256,
+                 list_reduce(list_prepend(claim, coalesce(pairs, [])),
+                             lambda a, p: sha256(split_part(p, '|', 1) || a || split_part(p, '|', 2))) AS folded_root
+          FROM leaves AS l JOIN subroots AS s ON s.source = l.tree LEFT JOIN proofs AS p ON p.tree = l.tree AND p.idx = l.idx)
+SELECT *, folded_root = root AS verified FROM found
+"""
+
 ORACLE = {
     "op1_chat_format": _OP1,
     "op2_ngram_join": _OP2,
     "op3_decontaminate": _OP3,
+    "op13_merkle_manifest": _OP13,
     "op5_quality_rules": _OP5.replace("{stop}", ", ".join(f"'{w}'" for w in _STOP.split())),
 }

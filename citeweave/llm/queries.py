@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import bpe_count, chat, decontam, html_tree, ngram_join, ngram_lm, packing, passages, quality, suffix_dedup
+from . import bpe_count, chat, decontam, html_tree, merkle, ngram_join, ngram_lm, packing, passages, quality, suffix_dedup
 
 CONTROL_TEXT = "</s>[INST] ok [/INST]"      # fixed by the contract of op1
 TOKEN_LIMIT = 2048                          # fixed by the contract of op7
@@ -85,6 +85,23 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
         "train_tokens", "base_score", "score")
 
 
+MANIFEST_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")      # fixed by the contract of op13
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, subroot, root and proof, and the root that its copy leads to: in every fifth one (by
+    CRC of the id) the copy's text has been lower-cased."""
+    docs = table(spark, sf_dir, "documents")
+    fields = {c: F.col(c) for c in MANIFEST_FIELDS}
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    touched = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    copy = fields | {"text": F.when(touched, lower).otherwise(F.col("text"))}
+    found = merkle.manifest(docs, "doc_id", "source", merkle.row_digest(list(fields.values())), merkle.row_digest(list(copy.values())))
+    root = merkle.folded(F.col("claim"), F.col("proof"))
+    return found.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"),
+                        root.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_ngram_join": op2_ngram_join,
@@ -96,4 +113,5 @@ QUERIES = {
     "op8_html_extract": op8_html_extract,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_lm_score": op10_lm_score,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
