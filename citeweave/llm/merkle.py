@@ -38,6 +38,7 @@ from .common import materialize, sized
 ARITY, LEVELS = 16, 3                         # nodes under a parent; levels that a block spans
 BLOCK = ARITY ** LEVELS
 ROWS_IN_TASK = 400_000
+OWN = ("tree", "idx", "digest", "key", "claim")
 PROOF = "array<struct<left:string,right:string>>"
 
 
@@ -78,18 +79,19 @@ def delivered(levels: list[list[str]], above: list[tuple[str, str]]) -> list[lis
     return proofs
 
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[dict]]]:
-    """((tree, block), rows) of a sorted stream; a block has at most ``BLOCK`` nodes and a row above them."""
-    key, rows = None, []
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str | None, int, list[dict], pa.Schema]]:
+    """(tree, block, rows, schema) of a sorted stream; a block has at most ``BLOCK`` nodes and a row above them."""
+    key, rows, schema = None, [], None
     for b in batches:
+        schema = b.schema
         for r in b.to_pylist():
             if (k := (r["tree"], r["block"])) != key:
                 if rows:
-                    yield key, rows
+                    yield *key, rows, schema
                 key, rows = k, []
             rows.append(r)
     if rows:
-        yield key, rows
+        yield *key, rows, schema
 
 
 def numbered(nodes: DataFrame, name: str) -> DataFrame:
@@ -134,7 +136,7 @@ def is_whole(block: int, nodes: list) -> bool:
 def climb(nodes: DataFrame, name: str) -> list[DataFrame]:
     """The rounds of the upward sweep, ``nodes`` (tree, idx, digest and more) first; the last has one node for each tree."""
     def up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (tree, block), rows in blocks(batches):
+        for tree, block, rows, _ in blocks(batches):
             top = levels_of([r["digest"] for r in rows], is_whole(block, rows))[-1][0]
             yield pa.RecordBatch.from_arrays([pa.array([tree], pa.string()), pa.array([block], pa.int64()), pa.array([top])],
                                              names=["tree", "idx", "digest"])
@@ -153,10 +155,10 @@ def descend(rounds: list[DataFrame], tops: DataFrame, name: str) -> DataFrame:
     carried = f"tree string, idx bigint, digest string, key {kind}, claim string"
 
     def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, block), (top, *nodes) in blocks(batches):
+        for _, block, (top, *nodes), schema in blocks(batches):
             above = [(x["left"], x["right"]) for x in top["proof"]]
             proofs = delivered(levels_of([r["digest"] for r in nodes], is_whole(block, nodes)), above)
-            rows = pa.Table.from_pylist([{c: r[c] for c in ("tree", "idx", "digest", "key", "claim")} for r in nodes])
+            own = [pa.array([r[c] for r in nodes], schema.field(c).type) for c in OWN]
             pieces = [x for p in proofs for x in p]
             ends = [0]
             for p in proofs:
@@ -165,13 +167,12 @@ def descend(rounds: list[DataFrame], tops: DataFrame, name: str) -> DataFrame:
                                                ["left", "right"])
             extra = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs),
                      pa.array([top["subroot"]] * len(nodes), pa.string()), pa.array([top["root"]] * len(nodes), pa.string())]
-            yield pa.RecordBatch.from_arrays([*[c.combine_chunks() for c in rows.columns], *extra],
-                                             names=[*rows.column_names, "proof", "subroot", "root"])
+            yield pa.RecordBatch.from_arrays([*own, *extra], names=[*OWN, "proof", "subroot", "root"])
     for i in range(len(rounds) - 2, -1, -1):
         nodes = rounds[i]
         for c, t in (("key", kind), ("claim", "string")):
             nodes = nodes if c in nodes.columns else nodes.withColumn(c, F.lit(None).cast(t))
-        own = nodes.select("tree", F.floor(F.col("idx") / BLOCK).cast("bigint").alias("block"), "idx", "digest", "key", "claim",
+        own = nodes.select(F.floor(F.col("idx") / BLOCK).cast("bigint").alias("block"), *OWN,
                            F.lit(None).cast(PROOF).alias("proof"), *[F.lit(None).cast("string").alias(c) for c in ("subroot", "root")])
         heads = tops.select("tree", F.col("idx").alias("block"), F.lit(-1).cast("bigint").alias("idx"),
                             F.lit(None).cast("string").alias("digest"), F.lit(None).cast(kind).alias("key"),

@@ -128,10 +128,56 @@ found AS (SELECT doc_id, l.d AS leaf, s.d AS subroot, (SELECT d FROM top WHERE s
 SELECT *, folded_root = root AS verified FROM found
 """
 
+_OP12 = f"""
+WITH RECURSIVE {_CRC_TABLE},
+c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS mark FROM conversations),
+k AS (SELECT conv_id, turn, role, text, {_crc("mark")} % 20 AS k FROM c, crc_table),
+d AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+             CASE WHEN k = 1 THEN '' WHEN k = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+             unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy FROM k WHERE k <> 0),
+h AS (SELECT *, sha256(length(role) || ':' || role || text) AS h, regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) AS ending FROM d),
+f AS (SELECT *, CASE WHEN ending = '' THEN 'blank'
+                     WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 THEN 'duplicate'
+                     WHEN ending NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM h),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, h, copy) AS i,
+             lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, h, copy) AS before FROM f),
+ins(p, q) AS (VALUES ('E', 'U'), ('S', 'U'), ('A', 'U'), ('U', 'A')),
+one(p, q, need, letter, cost) AS (SELECT p, p, NULL::VARCHAR, 'D', 3 FROM (VALUES ('E'), ('S'), ('U'), ('A')) AS x(p)
+  UNION ALL SELECT p, q, CASE q WHEN 'U' THEN 'u' ELSE 'a' END, 'K', 0 FROM ins UNION ALL SELECT 'E', 'S', 's', 'K', 0
+  UNION ALL SELECT p, q, NULL::VARCHAR, 'R', 2 FROM ins),
+opt AS (SELECT p, q, need, letter, letter AS letters, cost, NULL::VARCHAR AS added FROM one
+  UNION ALL SELECT ins.p, one.q, need, letter, 'I' || letter, cost + 2, ins.q FROM ins JOIN one ON one.p = ins.q),
+dp(conv_id, i, st, cost, audit, rep) AS (
+  SELECT conv_id, 0::BIGINT, 'E', 0, '', []::VARCHAR[] FROM (SELECT DISTINCT conv_id FROM c) UNION ALL
+  SELECT * EXCLUDE best FROM (
+    SELECT dp.conv_id, r.i, o.q, dp.cost + o.cost + CASE WHEN fault = 'truncated' AND letter <> 'D' THEN 1 ELSE 0 END AS cost,
+           audit || letters AS audit,
+           rep || CASE added WHEN 'U' THEN ['user:'] WHEN 'A' THEN ['assistant:'] ELSE [] END
+               || CASE letter WHEN 'D' THEN [] WHEN 'K' THEN [role || ':' || text]
+                  ELSE [CASE o.q WHEN 'U' THEN 'user:' ELSE 'assistant:' END || text] END,
+           row_number() OVER (PARTITION BY dp.conv_id, o.q
+                              ORDER BY dp.cost + o.cost + CASE WHEN fault = 'truncated' AND letter <> 'D' THEN 1 ELSE 0 END, audit || letters) AS best
+    FROM dp JOIN r ON r.conv_id IS NOT DISTINCT FROM dp.conv_id AND r.i = dp.i + 1 JOIN opt AS o ON o.p = dp.st
+    WHERE (need IS NULL OR need = left(role, 1)) AND (letter = 'D' OR fault NOT IN ('blank', 'duplicate'))) WHERE best = 1),
+ends AS (SELECT conv_id, i, cost + CASE st WHEN 'U' THEN 2 ELSE 0 END AS cost, audit || CASE st WHEN 'U' THEN 'I' ELSE '' END AS audit,
+                rep || CASE st WHEN 'U' THEN ['assistant:'] ELSE [] END AS rep FROM dp WHERE st <> 'S'),
+stats AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                 count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                 count(*) FILTER (fault = 'truncated') AS truncated,
+                 count(*) FILTER (i > 1 AND before || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, cost::BIGINT AS cost, audit,
+       sha256(array_to_string(rep, chr(10))) AS repaired_sha256
+FROM ends AS e LEFT JOIN stats AS s ON s.conv_id IS NOT DISTINCT FROM e.conv_id WHERE e.i = coalesce(s.n, 0)
+QUALIFY row_number() OVER (PARTITION BY e.conv_id ORDER BY cost, audit) = 1
+"""
+
 ORACLE = {
     "op1_chat_format": _OP1,
     "op2_ngram_join": _OP2,
     "op3_decontaminate": _OP3,
+    "op12_conversation_repair": _OP12,
     "op13_merkle_manifest": _OP13,
     "op5_quality_rules": _OP5.replace("{stop}", ", ".join(f"'{w}'" for w in _STOP.split())),
 }

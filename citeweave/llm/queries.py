@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import bpe_count, chat, decontam, html_tree, merkle, ngram_join, ngram_lm, packing, passages, quality, suffix_dedup
+from . import bpe_count, chat, decontam, html_tree, merkle, ngram_join, ngram_lm, packing, passages, pii, quality, repair, suffix_dedup
 
 CONTROL_TEXT = "</s>[INST] ok [/INST]"      # fixed by the contract of op1
 TOKEN_LIMIT = 2048                          # fixed by the contract of op7
@@ -85,6 +85,29 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
         "train_tokens", "base_score", "score")
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: strict matches, and the spans that boosted trees add."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.fit(pii.sample(docs)))
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat(s["kind"], F.lit(":"), s["start"].cast("string"), F.lit(":"),
+                                                                  s["end"].cast("string"))), ",")
+
+    def counted(kind):
+        return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("bigint").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["base"])
+    return found.select(
+        F.col("_row.doc_id").alias("doc_id"), *[counted(k) for k in pii.KINDS],
+        F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest repair and its digest of every conversation, after faults have been planted."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.read_back(repair.repair(repair.damage(turns), turns.select("conv_id")))
+
+
 MANIFEST_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")      # fixed by the contract of op13
 
 
@@ -113,5 +136,7 @@ QUERIES = {
     "op8_html_extract": op8_html_extract,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_lm_score": op10_lm_score,
+    "op11_pii": op11_pii,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
