@@ -18,6 +18,9 @@ COLUMNS = {
     "op8_html_extract": "page_id url text n_chars",
     "op9_suffix_dedup": "doc_id n_bytes n_removed n_spans kept_sha256",
     "op10_lm_score": "doc_id held_out n_tokens n_known train_tokens base_score score",
+    "op11_pii": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
+    "op12_conversation_repair": "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256",
+    "op13_merkle_manifest": "doc_id leaf subroot root proof_sha256 folded_root verified",
 }
 
 
