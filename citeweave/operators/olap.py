@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..constants import QUARTILES
 from ..functions.text import trimmed_author_parts
 from ..functions.topics import topic_label
+from .selection import percentiles
 
 
 @dataclass(frozen=True)
@@ -94,34 +95,34 @@ def impact_box_stats(sl: DataFrame, group: str = "Quartile", value: str = "Impac
                      accuracy: int | None = None) -> DataFrame:
     """A10: five-number summary per group with Tukey fences, whiskers and outlier count.
 
-    Rows are first counted per (group, value), with partial aggregation; all
-    statistics come from these counts, so a hot group costs its distinct values.
-    Quartiles interpolate linearly over the counts.  ``accuracy`` instead takes
-    ``percentile_approx`` of the rows with that accuracy (an actual value each,
-    with a bounded sketch), for measures with unboundedly many distinct values.
+    Quartiles are exact, with linear interpolation, by distributed selection
+    (``selection.percentiles``), whatever the number of distinct values.
+    ``accuracy`` instead takes ``percentile_approx`` of the rows with that
+    accuracy (an actual value each, in one pass).
     Fences are q1 - 1.5 IQR and q3 + 1.5 IQR; whiskers are the extreme values
     inside the fences.
     """
     base = sl.where(F.col(group).isNotNull() & F.col(value).isNotNull()).select(group, value)
-    per = base.groupBy(group, value).agg(F.count(F.lit(1)).alias("_n"))
-    points = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    st = per.groupBy(group).agg(F.sum("_n").alias("n"), F.min(value).alias("min"), F.max(value).alias("max"),
-                                F.percentile(F.col(value), points, F.col("_n")).alias("_q"))
-    if accuracy is not None:
-        approx = base.groupBy(group).agg(F.percentile_approx(value, [0.25, 0.5, 0.75], accuracy).alias("_q"))
-        st = st.drop("_q").join(approx, group)
-    st = st.select(group, "n", "min", "max", *[F.col("_q")[i].alias(c) for i, c in enumerate(("q1", "median", "q3"))])
+    points = [0.25, 0.5, 0.75]
+    if accuracy is None:
+        kind = base.schema[group].dataType.simpleString()
+        found = [(g, s.n, float(s.low), float(s.high), *s.points) for g, s in percentiles(base, value, points, group).items()]
+        st = base.sparkSession.createDataFrame(found, f"{group} {kind}, n bigint, min double, max double, q1 double, median double, q3 double")
+    else:
+        st = base.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"),
+                                     F.percentile_approx(value, points, accuracy).alias("_q"))
+        st = st.select(group, "n", "min", "max", *[F.col("_q")[i].alias(c) for i, c in enumerate(("q1", "median", "q3"))])
     st = (st.withColumn("lower_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")))
           .withColumn("upper_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))))
     inside = (F.col(value) >= F.col("lower_fence")) & (F.col(value) <= F.col("upper_fence"))
     cols = ["n", "min", "q1", "median", "q3", "max", "lower_fence", "upper_fence"]
     # the statistics are functions of the group, so grouping by them as well
     # keeps one row per group and needs no second join
-    w = (per.join(st, group)
+    w = (base.join(st, group)
          .groupBy(group, *cols)
          .agg(F.min(F.when(inside, F.col(value))).alias("whisker_low"),
               F.max(F.when(inside, F.col(value))).alias("whisker_high"),
-              F.coalesce(F.sum(F.when(~inside, F.col("_n"))), F.lit(0)).alias("outliers")))
+              F.count(F.when(~inside, 1)).alias("outliers")))
     return (w.select(group, "n", *[F.round(c, 6).alias(c) for c in cols[1:]],
                      F.round("whisker_low", 6).alias("whisker_low"),
                      F.round("whisker_high", 6).alias("whisker_high"), "outliers")

@@ -11,14 +11,17 @@ after that is long-form DataFrame work keyed by (doc, term), so no
 per-document vector or vocabulary map ever sits in a Python worker or the
 driver:
 
-* term frequency  = runs of a document's sorted tokens, counted inside its row
-                    (no shuffle: a document is one row)
-* document freq   = count of docs per term           -> one shuffle on term
-* vocabulary      = top ``VOCAB_SIZE`` terms by (count desc, term asc)
-                    (TakeOrderedAndProject; the stable tie-break replaces
-                    CountVectorizer's arbitrary order at the cut)
+* term frequency  = count per (doc, term); where the documents come dealt out by
+                    id (``land_terms``) no row moves for it
+* vocabulary      = top ``VOCAB_SIZE`` terms by (count desc, term asc): candidates
+                    from a sketch of bounded size, then their exact counts
+                    (the stable tie-break replaces CountVectorizer's arbitrary
+                    order at the cut)
 * idf             = ln((N + 1) / (df + 1)), as Spark ML's IDF
 * tf-idf          = tf * idf
+* keywords        = bounds of every document frequency from a table of bounded
+                    size; only terms that can be among a document's first meet
+                    exact frequencies
 
 Global counts enter as scalar subqueries (one value each), not joins; whether
 a vocabulary or period table is broadcast is left to its measured size.
@@ -26,11 +29,14 @@ a vocabulary or period table is broadcast is left to its measured size.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import ENGLISH_STOP_WORDS, MIN_DF, VOCAB_SIZE
 from ..functions.text import is_valid_text
+from ..session import materialize, materialize_bucketed
 from .stats import text_column
 
 
@@ -52,7 +58,7 @@ def words(text: Column) -> Column:
     trailing empty tokens dropped (``""`` gives one empty token, all-blank text none)."""
     low = F.lower(text)
     body = F.rtrim(low, F.lit(JAVA_WHITESPACE))
-    return (F.when(low == "", F.array(F.lit("")))
+    return (F.when(text == "", F.array(F.lit("")))
             .when(body == "", F.array().cast("array<string>"))
             .otherwise(F.split(body, r"\s")))
 
@@ -97,14 +103,19 @@ def content_terms(tokens: DataFrame, *keep: str, stop_words: list[str] = ENGLISH
 
 
 def doc_term_counts(tokens: DataFrame) -> DataFrame:
-    """(doc_id, term, tf) over the tokens without stop words, counted inside each document's row."""
-    s = tokens.select("doc_id", F.array_sort("content").alias("s"))
-    # explode_outer, as above: one row without a term for a document without tokens, dropped below
-    starts = F.filter(F.transform("s", lambda w, i: F.when((i == 0) | (w != F.get("s", i - 1)), i)), lambda i: i.isNotNull())
-    s = s.select("doc_id", "s", starts.alias("at"))
-    runs = F.transform("at", lambda i, k: F.struct(
-        F.get("s", i).alias("term"), (F.coalesce(F.get("at", k + 1), F.size("s")) - i).cast("bigint").alias("tf")))
-    return s.select("doc_id", F.explode_outer(runs).alias("r")).where(F.col("r").isNotNull()).select("doc_id", "r.term", "r.tf")
+    """(doc_id, term, tf) over the tokens without stop words."""
+    # explode_outer, as above
+    rows = tokens.select("doc_id", F.explode_outer("content").alias("term")).where(F.col("term").isNotNull())
+    return rows.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def land_terms(docs: DataFrame, tokenizer=tokenize) -> DataFrame:
+    """``doc_term_counts`` of documents (doc_id, text_content), landed in buckets of documents.
+
+    Texts are dealt out by document once, before they are split into words: counting then needs no exchange, and
+    neither do windows over a document in what is read from here."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize_bucketed(doc_term_counts(tokenizer(docs.repartition(n, "doc_id"))), "terms", n, "doc_id")
 
 
 def term_stats(dtc: DataFrame, min_df: int = MIN_DF) -> DataFrame:
@@ -114,9 +125,48 @@ def term_stats(dtc: DataFrame, min_df: int = MIN_DF) -> DataFrame:
             .where(F.col("doc_freq") >= min_df))
 
 
+TRACKED = 98_304             # items that a frequent-items sketch follows: three quarters of its map
+
+
+def frequent(items: DataFrame, k: int, tracked: int = TRACKED) -> tuple[list[str], int]:
+    """At most ``k`` frequent values of the one column of ``items``, and a number of rows that no other value exceeds.
+
+    A frequent-items sketch (Misra-Gries with a hash map) per task, merged in two steps, so that no task gets one from
+    every other.  With a map of M places it is off by at most 3.5 / M of the rows, whatever the order of merges; a
+    value is left out only if it has at most twice that, or fewer than the last one taken.  M is the power of two
+    from 4/3 of ``tracked`` on."""
+    name = items.columns[0]
+    at_once = math.isqrt(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))) + 1
+    each = (items.select(F.col(name).alias("v"), (F.spark_partition_id() % at_once).alias("g")).groupBy("g")
+            .agg(F.expr(f"approx_top_k_accumulate(v, {tracked})").alias("s"), F.count(F.lit(1)).alias("n")))
+    # grouped by a constant: without rows there is nothing to combine
+    found = (each.groupBy(F.lit(0).alias("all")).agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s"), F.sum("n").alias("n"))
+             .select(F.expr(f"approx_top_k_estimate(s, {k})").alias("top"), "n").first())
+    if found is None:
+        return [], 0
+    off = int(3.5 * found["n"] / 2 ** math.ceil(math.log2(tracked / 0.75)))
+    top = found["top"]
+    return [r["item"] for r in top], max(2 * off, top[-1]["count"] if len(top) == k else 0)
+
+
+CANDIDATES = 8               # candidates for each place of the vocabulary
+
+
 def vocabulary(dtc: DataFrame, size: int = VOCAB_SIZE, min_df: int = MIN_DF) -> DataFrame:
-    """M3: (term_index, term, term_count, doc_freq) of the ``size`` most frequent terms."""
-    top = term_stats(dtc, min_df).orderBy(F.desc("term_count"), F.asc("term")).limit(size)
+    """M3: (term_index, term, term_count, doc_freq) of the ``size`` most frequent terms.
+
+    Candidates come from a sketch and are counted exactly, so only they are shuffled.  No other term is more frequent
+    than the sketch's bound; where the last place is not above it (small or flat corpora), all terms are counted.
+    The candidates (at most ``CANDIDATES * size`` strings) pass through the driver."""
+    names, bound = frequent(dtc.select(F.explode(F.array_repeat("term", F.col("tf").cast("int")))), CANDIDATES * size)
+    stats = None
+    if names:
+        wanted = dtc.sparkSession.createDataFrame([(t,) for t in names], "term string")
+        stats = materialize(term_stats(dtc.join(F.broadcast(wanted), "term"), min_df), "candidate_terms")
+        last = stats.orderBy(F.desc("term_count")).offset(size - 1).limit(1).select("term_count").first()
+        if bound and (last is None or last[0] <= bound):
+            stats = None
+    top = (term_stats(dtc, min_df) if stats is None else stats).orderBy(F.desc("term_count"), F.asc("term")).limit(size)
     # at most ``size`` rows: one small partition for the index numbering
     rank = F.row_number().over(Window.orderBy(F.desc("term_count"), F.asc("term"))) - 1
     return top.select(rank.alias("term_index"), "term", "term_count", "doc_freq")
@@ -127,31 +177,77 @@ def term_frequencies(dtc: DataFrame, vocab: DataFrame) -> DataFrame:
     return dtc.join(vocab.select("term", "term_index"), "term").select("doc_id", "term_index", "term", "tf")
 
 
-def weighted(dtc: DataFrame, terms: DataFrame, docs: DataFrame) -> DataFrame:
-    """M4: the columns of ``dtc`` and of ``terms`` (term and doc_freq at least) with idf = ln((N+1)/(df+1)) and
-    tfidf; one join with the terms, which carry their idf.
+def with_weight(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """M4: ``rows`` (tf and doc_freq at least) with idf = ln((N+1)/(df+1)) and tfidf.
 
     ``df`` counts the documents holding the term and ``N`` all documents,
     including those without any vocabulary term, as Spark ML's IDF does.
     """
     n_docs = docs.agg(F.count(F.lit(1))).scalar()          # scalar subquery, one value
-    idf = terms.withColumn("_idf", F.log((n_docs + 1) / (F.col("doc_freq") + 1)))
-    return (dtc.join(idf, "term").withColumns({"idf": F.round("_idf", 9), "tfidf": F.round(F.col("tf") * F.col("_idf"), 9)})
-            .drop("_idf"))
+    return (rows.withColumn("_idf", F.log((n_docs + 1) / (F.col("doc_freq") + 1)))
+            .withColumns({"idf": F.round("_idf", 9), "tfidf": F.round(F.col("tf") * F.col("_idf"), 9)}).drop("_idf"))
 
 
 def tfidf(dtc: DataFrame, vocab: DataFrame, docs: DataFrame) -> DataFrame:
     """M4 over the vocabulary: (doc_id, term_index, term, tf, idf, tfidf)."""
-    return weighted(dtc, vocab, docs).select("doc_id", "term_index", "term", "tf", "idf", "tfidf")
+    return with_weight(dtc.join(vocab, "term"), docs).select("doc_id", "term_index", "term", "tf", "idf", "tfidf")
 
 
-def doc_keywords(dtc: DataFrame, docs: DataFrame, n: int = 5) -> DataFrame:
+HEAVY_TERMS = 24_576         # terms with a slot of their own
+SLOTS = 1 << 20              # slots that the other terms share
+
+
+def _in_slots(dtc: DataFrame, heavy: list[str], slots: int) -> DataFrame:
+    """``dtc`` with each term's slot: its own for a heavy term, by hash for the others."""
+    own = dtc.sparkSession.createDataFrame([(t, slots + i) for i, t in enumerate(heavy)], "term string, own bigint")
+    return (dtc.join(F.broadcast(own), "term", "left")
+            .withColumn("slot", F.coalesce("own", F.pmod(F.xxhash64("term"), F.lit(slots)))).drop("own"))
+
+
+def frequency_bounds(placed: DataFrame) -> DataFrame:
+    """(slot, low, high): the document frequency of every term in a slot is at least ``low`` and at most ``high``.
+
+    A slot that holds one term (all its 128 bits of hashes are equal) knows its frequency; in a shared one a term is
+    in one document at least and in as many as the slot has rows at most."""
+    h1, h2 = F.xxhash64("term"), F.xxhash64(F.lit(1), F.col("term"))
+    s = placed.groupBy("slot").agg(F.count(F.lit(1)).alias("high"), F.min(h1).alias("a"), F.max(h1).alias("b"), F.min(h2).alias("c"),
+                                   F.max(h2).alias("d"))
+    return s.select("slot", F.when((F.col("a") == F.col("b")) & (F.col("c") == F.col("d")), F.col("high")).otherwise(1).alias("low"), "high")
+
+
+def possible_keywords(placed: DataFrame, bounds: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """The rows of ``placed`` that may be among the ``n`` highest of their document, with low and high.
+
+    A term's weight lies between those for its highest and its lowest frequency.  A document's ``n`` terms of highest
+    lower weight (ties by term) are better than every term whose upper weight comes after the last of them."""
+    # at most SLOTS + HEAVY_TERMS rows of three numbers
+    rows = placed.join(F.broadcast(bounds), "slot")
+    rows = with_weight(rows.withColumn("doc_freq", F.col("high")), docs).withColumnRenamed("tfidf", "least").drop("idf", "doc_freq")
+    rows = with_weight(rows.withColumn("doc_freq", F.col("low")), docs).withColumnRenamed("tfidf", "most").drop("idf", "doc_freq")
+    whole = Window.partitionBy("doc_id").orderBy(F.desc("least"), F.asc("term")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    last = rows.withColumn("last", F.nth_value(F.struct("least", "term"), n).over(whole))
+    beaten = (F.col("last.least") > F.col("most")) | ((F.col("last.least") == F.col("most")) & (F.col("last.term") < F.col("term")))
+    return last.where(F.col("last").isNull() | ~beaten).select("doc_id", "term", "tf", "slot", "low", "high")
+
+
+def doc_keywords(dtc: DataFrame, docs: DataFrame, n: int = 5, heavy_terms: int = HEAVY_TERMS, slots: int = SLOTS) -> DataFrame:
     """The ``n`` highest tf-idf terms of each document (ties by term), over all terms of the corpus.
 
-    The window partition of a document holds its own distinct terms.
-    """
+    The frequencies of all terms are never joined to the corpus.  Frequent terms (from a sketch) are counted exactly,
+    the others share ``slots`` counters, which bound every frequency from both sides; the table of both is broadcast
+    and has at most ``slots + heavy_terms`` rows.  A document keeps the terms that may be among its ``n`` highest.
+    Of these only the ones in shared slots need their exact frequency: the terms of such slots are counted and joined.
+    The window partition of a document holds its own distinct terms."""
+    placed = _in_slots(dtc, frequent(dtc.select("term"), heavy_terms, 3 * heavy_terms)[0], slots)
+    bounds = materialize(frequency_bounds(placed), "frequency_bounds")
+    kept = materialize(possible_keywords(placed, bounds, docs, n), "possible_keywords")
+    unsure = kept.where("low < high")
+    asked = placed.join(F.broadcast(unsure.select("slot").distinct()), "slot", "left_semi")      # at most ``slots`` rows
+    exact = asked.groupBy("term").agg(F.count(F.lit(1)).alias("doc_freq"))
+    known = (kept.where("low = high").select("doc_id", "term", "tf", F.col("high").alias("doc_freq"))
+             .unionByName(unsure.join(exact, "term").select("doc_id", "term", "tf", "doc_freq")))
     w = Window.partitionBy("doc_id").orderBy(F.desc("tfidf"), F.asc("term"))
-    return (weighted(dtc, term_stats(dtc), docs).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    return (with_weight(known, docs).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
             .select("doc_id", "rank", "term", "tfidf"))
 
 

@@ -17,20 +17,25 @@ from pyspark.sql import functions as F
 from ..constants import QUARTILES
 from ..functions.years import clean_year
 from ..schema import FACT_COLUMNS
+from ..session import materialize
 from .dedupe import dedupe_titles
+from .selection import percentiles
 
 
 def quartile(value: Column, rows: DataFrame) -> Column:
     """Q1 above the upper quartile of ``value`` over ``rows``, Q2 above the median, Q3 above the lower
     quartile, else Q4; NULL without a value.
 
-    The cut points are exact: rows are counted per distinct value with partial aggregation, and the three
-    percentiles are taken over the counts, as a scalar subquery.  No window over all rows."""
-    counts = rows.select(value.alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    cuts = counts.agg(F.percentile("v", F.array(F.lit(0.75), F.lit(0.5), F.lit(0.25)), F.col("n"))).scalar()
+    The cut points are exact, by distributed selection over the landed values: no task holds the column's
+    distinct values, and no window runs over all rows."""
+    values = materialize(rows.select(value.alias("v")).where("v IS NOT NULL"), "ranked_values")
+    cuts = percentiles(values, "v", [0.75, 0.5, 0.25])
+    if not cuts:
+        return F.lit(None).cast("string")
+    high, middle, low = cuts[None].points
     best, good, fair, rest = QUARTILES
-    return (F.when(value.isNull(), F.lit(None)).when(value > cuts[0], best).when(value > cuts[1], good)
-            .when(value > cuts[2], fair).otherwise(rest))
+    return (F.when(value.isNull(), F.lit(None)).when(value > high, best).when(value > middle, good)
+            .when(value > low, fair).otherwise(rest))
 
 
 def fact_from_collection(coll: DataFrame) -> DataFrame:

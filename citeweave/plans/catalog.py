@@ -75,8 +75,20 @@ def _tokens(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> Dat
     return textmine.tokenize(textmine.valid_abstracts(articles(spark, sf_dir), keep=keep))
 
 
+_TERMS: dict[tuple[str, str], DataFrame] = {}
+
+
+def terms_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The term counts of every document, landed once per application in buckets of documents."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    with _LOCK:
+        if key not in _TERMS:
+            _TERMS[key] = textmine.land_terms(_docs(spark, sf_dir))
+        return _TERMS[key]
+
+
 def _dtc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return textmine.doc_term_counts(_tokens(spark, sf_dir))
+    return terms_table(spark, sf_dir)
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:

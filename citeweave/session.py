@@ -90,6 +90,15 @@ def materialize(df, name: str):
     return df.sparkSession.read.parquet(path)
 
 
+def materialize_bucketed(df, name: str, buckets: int, by: str):
+    """``materialize`` as a table bucketed by a column: rows of one value lie in one bucket and scans say so, so that
+    grouping, windows and joins on the column (and more) need no exchange.  A bucket is one file."""
+    table = f"citeweave_{name}_{uuid.uuid4().hex[:12]}"
+    path = work_path(df.sparkSession, "stage", table)
+    (df.repartition(buckets, by).write.mode("overwrite").option("path", path).bucketBy(buckets, by).saveAsTable(table))
+    return df.sparkSession.table(table)
+
+
 def spread(df, factor: int = 1):
     """Round-robin rows over at least ``defaultParallelism * factor`` partitions, only
     when the input has fewer: for CPU-heavy per-row work (regexes over whole pages)

@@ -140,3 +140,77 @@ def test_one_vocabulary_and_no_document_shuffle(spark):
     tfidf = queries["tfidf"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert tfidf.count("TakeOrderedAndProject") == 1
     assert "hashpartitioning(doc_id" not in queries["vocabulary"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def zipf_docs(spark, n=300, seed=4):
+    """Documents of skewed words: a few in most documents, many in one only."""
+    import random
+    rnd = random.Random(seed)
+    data = [(i, " ".join(f"w{int(rnd.paretovariate(0.7))}" for _ in range(rnd.randrange(3, 60))) + f" only{i}") for i in range(n)]
+    return docs(spark, [*data, (n, "w1 w1 w1 w1 w1 w1 w1 w1 w1 w1"), (n + 1, "the of and")])
+
+
+def plain_keywords(spark, toks, n):
+    """All frequencies joined to all terms, as the definition says."""
+    dtc = textmine.doc_term_counts(toks)
+    w = textmine.with_weight(dtc.join(textmine.term_stats(dtc), "term"), toks).collect()
+    out = []
+    for doc in {r["doc_id"] for r in w}:
+        own = sorted((-r["tfidf"], r["term"]) for r in w if r["doc_id"] == doc)[:n]
+        out += [(doc, i + 1, t, -v) for i, (v, t) in enumerate(own)]
+    return sorted(out)
+
+
+def test_keywords_equal_the_full_join(spark):
+    toks = textmine.tokenize(zipf_docs(spark))
+    want = plain_keywords(spark, toks, 5)
+    dtc = textmine.doc_term_counts(toks)
+    # roomy slots, slots that nearly all terms share, a single slot, no heavy terms to speak of
+    for heavy, slots in ((textmine.HEAVY_TERMS, textmine.SLOTS), (20, 16), (1, 1), (5, 1 << 12)):
+        got = sorted(tuple(r) for r in textmine.doc_keywords(dtc, toks, 5, heavy, slots).collect())
+        assert got == want, (heavy, slots)
+
+
+def test_frequency_bounds_hold(spark):
+    dtc = textmine.doc_term_counts(textmine.tokenize(zipf_docs(spark)))
+    placed = textmine._in_slots(dtc, ["w1", "w2"], 64)
+    b = placed.select("term", "slot").distinct().join(textmine.frequency_bounds(placed), "slot").join(textmine.term_stats(dtc), "term").collect()
+    assert all(r["low"] <= r["doc_freq"] <= r["high"] for r in b)
+    assert {r["low"] == r["high"] for r in b if r["term"] in ("w1", "w2")} == {True} and any(r["low"] < r["high"] for r in b)
+
+
+def test_pruning_keeps_few_rows(spark):
+    toks = textmine.tokenize(zipf_docs(spark))
+    dtc = textmine.doc_term_counts(toks)
+    placed = textmine._in_slots(dtc, textmine.frequent(dtc.select("term"), 100)[0], 1 << 16)
+    kept = textmine.possible_keywords(placed, textmine.frequency_bounds(placed), toks, 2)
+    assert kept.count() * 4 < dtc.count()
+
+
+def test_vocabulary_by_candidates_equals_full_counts(spark):
+    dtc = textmine.doc_term_counts(textmine.tokenize(zipf_docs(spark, 600)))
+    for size in (3, 20, 10_000):               # the sketch separates the first, not the last
+        want = sorted((-r["term_count"], r["term"], r["doc_freq"]) for r in textmine.term_stats(dtc).collect())[:size]
+        got = [(-r["term_count"], r["term"], r["doc_freq"]) for r in textmine.vocabulary(dtc, size).orderBy("term_index").collect()]
+        assert got == want
+    assert textmine.vocabulary(dtc.limit(0)).count() == 0
+    rare = textmine.vocabulary(dtc, 10, min_df=100).collect()
+    assert rare and all(r["doc_freq"] >= 100 for r in rare)
+
+
+def test_sketch_bound_holds_when_it_overflows(spark):
+    # 200,000 values beside 40 frequent ones, with a map far too small for them
+    items = spark.range(0, 400_000, numPartitions=6).selectExpr("cast(if(id % 2 = 0, id % 80, id) as string) as v")
+    names, bound = textmine.frequent(items, 50, tracked=1000)
+    counts = {r["v"]: r["count"] for r in items.groupBy("v").count().collect()}
+    assert bound >= max(c for v, c in counts.items() if v not in set(names))
+    assert {str(i) for i in range(0, 80, 2)} <= set(names)
+    assert textmine.frequent(items.limit(0), 5) == ([], 0)
+
+
+def test_landed_terms_need_no_exchange(spark):
+    d = zipf_docs(spark)
+    landed = textmine.land_terms(d)
+    assert sorted(map(tuple, landed.collect())) == sorted(map(tuple, textmine.doc_term_counts(textmine.tokenize(d)).collect()))
+    by_doc = landed.groupBy("doc_id").agg(F.sum("tf"))
+    assert "Exchange" not in by_doc._jdf.queryExecution().executedPlan().toString()
