@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.topics import topic_label
 from ..functions.years import clean_year, is_exact_year
-from ..operators import dedupe, graph, olap, stats, textmine, warehouse
+from ..operators import cube_states, dedupe, graph, olap, stats, textmine, warehouse
 from ..operators.lda import lda_topics, topic_facts
 from ..session import materialize, work_path
 from ..sources.articles import articles, measured_articles
@@ -67,6 +67,30 @@ def dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return olap.olap_slice(fact_table(spark, sf_dir), DASHBOARD)
 
 
+_CELLS: dict[tuple[str, str], DataFrame] = {}
+
+
+def cube_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cube's cells with their states, landed once per application; the views of a slice read these alone."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    fact = fact_table(spark, sf_dir)
+    with _LOCK:
+        if key not in _CELLS:
+            _CELLS[key] = materialize(cube_states.cells(fact), "cube_cells")
+        return _CELLS[key]
+
+
+def dashboard_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return olap.olap_slice(cube_table(spark, sf_dir), DASHBOARD)
+
+
+def _cube_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the box statistics read from the cube lie within three times its stated error of the exact ones."""
+    e = cube_states.rank_errors(dashboard_cells(spark, sf_dir), dashboard(spark, sf_dir))
+    near = [(F.col(f"{c}_error") <= 3 * cube_states.RANK_ERROR).alias(f"{c}_near") for c in ("q1", "median", "q3", "outlier")]
+    return e.select("Quartile", "n", F.round("min", 6).alias("min"), F.round("max", 6).alias("max"), *near).orderBy("Quartile")
+
+
 def pages_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_articles(table(spark, sf_dir, "pages"), DEFAULT_RULES)
 
@@ -210,6 +234,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "topic_distribution": lambda s, d: olap.topic_distribution(fact_table(s, d)),
     "topic_articles": lambda s, d: olap.topic_articles(dashboard(s, d), DRILL_TOPIC),
     "olap_cube": lambda s, d: olap.olap_cube(fact_table(s, d)),
+    "cube_groupings": lambda s, d: cube_states.groupings(cube_table(s, d)),
+    "cube_kpis": lambda s, d: cube_states.kpis(dashboard_cells(s, d)),
+    "cube_box_errors": _cube_errors,
     # co-author graph
     "coauthor_edges": _edges,
     "coauthor_sample": lambda s, d: graph.coauthor_sample(dashboard(s, d)),

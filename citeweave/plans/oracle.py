@@ -196,6 +196,15 @@ FACT_COLS = "ingest_id, title, authors, Annee, Pays, Journal, Quartile, Citation
 ART_COLS = "ingest_id, title, authors, date_pub, source, journal, abstract_, affiliations"
 TRIMMED_AUTHORS = (f"SELECT unnest(list_transform(string_split(a, ','), lambda x: {STRIP.format(x='x')})) AS author "
                    f"FROM (SELECT {CSV_NULL_AUTHORS} AS a FROM dash) WHERE a IS NOT NULL")
+
+
+def _names(src: str) -> str:
+    """CTE people: the dimensions and each trimmed author of ``src``'s rows."""
+    return f"""
+people AS (SELECT Annee, Quartile, Pays, unnest(list_transform(string_split(a, ','), lambda x: {STRIP.format(x='x')})) AS author
+           FROM (SELECT *, {CSV_NULL_AUTHORS} AS a FROM {src}) WHERE a IS NOT NULL)"""
+
+
 BOX = f"""
 box AS (
   SELECT Quartile, count(*) AS n, min(Impact_Score) AS mn, max(Impact_Score) AS mx,
@@ -323,6 +332,23 @@ ORACLE: dict[str, str] = {
         CAST(coalesce(sum(Citations), 0) AS BIGINT) AS total_citations,
         sum(CAST(round(Impact_Score * 100) AS BIGINT)) / count(Impact_Score) / 100 AS mean_impact
         FROM fact GROUP BY CUBE (Annee, Quartile, Pays)"""),
+    "cube_groupings": _stmt([A, D, F_, _names("fact")], """SELECT g.*, coalesce(p.active_authors, 0) AS active_authors FROM (
+          SELECT Annee, Quartile, Pays, CAST(grouping(Annee, Quartile, Pays) AS BIGINT) AS gid, count(*) AS publications,
+                 CAST(coalesce(sum(Citations), 0) AS BIGINT) AS total_citations,
+                 sum(CAST(round(Impact_Score * 100) AS BIGINT)) / count(Impact_Score) / 100 AS mean_impact,
+                 min(Impact_Score) AS min_impact, max(Impact_Score) AS max_impact, count(DISTINCT Pays) AS active_countries
+          FROM fact GROUP BY CUBE (Annee, Quartile, Pays)) g
+        LEFT JOIN (SELECT Annee, Quartile, Pays, CAST(grouping(Annee, Quartile, Pays) AS BIGINT) AS gid, count(DISTINCT author) AS active_authors
+                   FROM people GROUP BY CUBE (Annee, Quartile, Pays)) p
+          ON g.gid = p.gid AND g.Annee IS NOT DISTINCT FROM p.Annee AND g.Quartile IS NOT DISTINCT FROM p.Quartile
+             AND g.Pays IS NOT DISTINCT FROM p.Pays"""),
+    "cube_kpis": _stmt([A, D, F_, DASH, _names("dash")], """SELECT count(*) AS publications,
+        CAST(coalesce(sum(Citations), 0) AS BIGINT) AS total_citations,
+        round(sum(CAST(round(Impact_Score * 100) AS BIGINT)) / count(Impact_Score)) / 100 AS mean_impact,
+        count(DISTINCT Pays) AS active_countries, (SELECT count(DISTINCT author) FROM people) AS active_authors FROM dash"""),
+    "cube_box_errors": _stmt([A, D, F_, DASH], """SELECT Quartile, count(*) AS n, round(min(Impact_Score), 6) AS min,
+        round(max(Impact_Score), 6) AS max, true AS q1_near, true AS median_near, true AS q3_near, true AS outlier_near
+        FROM dash WHERE Quartile IS NOT NULL AND Impact_Score IS NOT NULL GROUP BY Quartile"""),
     "coauthor_edges": _stmt([A, D, F_, DASH, edges_sql("dash")], "SELECT src, dst, papers FROM edges"),
     "coauthor_sample": _stmt([A, D, F_, DASH, "first50 AS (SELECT * FROM dash ORDER BY ingest_id LIMIT 50)",
                               edges_sql("first50")], "SELECT src, dst, papers FROM edges"),
