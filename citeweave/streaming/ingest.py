@@ -6,11 +6,10 @@ micro-batch, and in whatever order batches come, the ingested collection is
 the keep-first one, for each title the row of the smallest ``ingest_id``
 delivered.
 
-A micro-batch is reduced to its first row per title and written as its own
-``batch=<id>`` folder, overwriting it, so a batch that runs again after a lost
-executor or driver replaces itself.  ``ingested`` reads the table: the
-smallest id per title over all batches.  A batch touches its own rows only;
-the table is never read while ingesting.
+Batches are brought into a table of hash buckets (``upsert``): a batch rewrites
+the buckets in which it changes something and publishes a manifest, one that
+runs again after a lost executor or driver changes nothing, and ``ingested``
+scans one version of each bucket however many batches there were.
 
 ``start_title_ingest_stateful`` is the state-store form: the titles seen are
 kept in the RocksDB state store (on local disk of the executors, checkpointed
@@ -21,12 +20,11 @@ title survives is not fixed.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.dedupe import dedupe_titles
 from ..schema import COLLECTION_SCHEMA
+from .upsert import BUCKETS, read_table, upsert
 
 COLUMNS = COLLECTION_SCHEMA.fieldNames()
 
@@ -39,13 +37,13 @@ def _stream(spark: SparkSession, landing: str, max_files_per_trigger: int | None
 
 
 def start_title_ingest(spark: SparkSession, landing: str, table_path: str, checkpoint: str,
-                       max_files_per_trigger: int | None = None):
+                       max_files_per_trigger: int | None = None, buckets: int = BUCKETS):
     """Start an ``availableNow`` ingest of every file in ``landing`` not seen before.
 
-    ``max_files_per_trigger`` sizes the micro-batches; the result does not depend on it."""
+    ``max_files_per_trigger`` sizes the micro-batches; the result does not depend on it.  ``buckets`` is taken when
+    the table is new."""
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        dedupe_titles(batch.dropDuplicates(["ingest_id"])).select(*COLUMNS).write.mode("overwrite") \
-            .parquet(f"{table_path}/batch={batch_id}")
+        upsert(batch.select(*COLUMNS), table_path, batch_id, buckets)
 
     return (_stream(spark, landing, max_files_per_trigger).writeStream.foreachBatch(write_batch)
             .option("checkpointLocation", checkpoint)
@@ -53,14 +51,8 @@ def start_title_ingest(spark: SparkSession, landing: str, table_path: str, check
 
 
 def ingested(spark: SparkSession, table_path: str) -> DataFrame:
-    """The ingested collection: keep-first over all batches; a row delivered again counts once."""
-    try:
-        rows = spark.read.schema(COLLECTION_SCHEMA).parquet(table_path).select(*COLUMNS)
-    except AnalysisException as e:                     # nothing delivered yet
-        if "PATH_NOT_FOUND" in str(e):
-            return spark.createDataFrame([], COLLECTION_SCHEMA)
-        raise
-    return dedupe_titles(rows.dropDuplicates(["ingest_id"]))
+    """The ingested collection, as of the last batch."""
+    return read_table(spark, table_path, COLLECTION_SCHEMA)
 
 
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
