@@ -102,9 +102,10 @@ def run_title_ingest(spark: SparkSession, collection: DataFrame, base: str, over
     Both are landed as JSON files; the stream runs once per delivery on the same checkpoint, so the second run
     reads only the new files.  The result equals keep-first dedupe of the whole collection."""
     landing, table_path, ckpt = f"{base}/landing", f"{base}/table", f"{base}/checkpoint"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for part in _deliveries(collection, overlap):
         part.select(*COLUMNS).write.mode("append").json(landing)
-        start_title_ingest(spark, landing, table_path, ckpt, max_files_per_trigger).awaitTermination()
+        start_title_ingest(spark, landing, table_path, ckpt, max_files_per_trigger, buckets).awaitTermination()
     return ingested(spark, table_path)
 
 

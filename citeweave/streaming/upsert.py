@@ -74,29 +74,32 @@ def upsert(rows: DataFrame, table: str, batch: int, buckets: int = BUCKETS, key:
     buckets = of_table or buckets
     schema = rows.schema
     first = dedupe_titles(rows.dropDuplicates([order]), key, order)
-    new = first.withColumn("bucket", bucket_of(F.col(key), buckets)).persist()
+    new = fresh = first.withColumn("bucket", bucket_of(F.col(key), buckets)).persist()
     try:
         asked = {r["bucket"] for r in new.select("bucket").distinct().collect()}
-        old = read_table(spark, table, schema, [held[b] for b in sorted(asked) if b in held])
-        ids = old.select(F.col(key).alias("_key"), F.col(order).alias("_held"))
-        # what the table does not have yet, or has with a larger id: re-delivered rows rewrite nothing
-        fresh = (new.join(ids, F.col(key).eqNullSafe(F.col("_key")), "left")
-                 .where(F.col("_held").isNull() | (F.col(order) < F.col("_held"))).drop("_key", "_held")).persist()
-        touched = sorted(r["bucket"] for r in fresh.select("bucket").distinct().collect())
+        touched = sorted(asked)
+        if asked & held.keys():
+            ids = read_table(spark, table, schema, [held[b] for b in touched if b in held]).select(F.col(key).alias("_key"), F.col(order).alias("_held"))
+            # what the table does not have yet, or has with a larger id: re-delivered rows rewrite nothing
+            fresh = (new.join(ids, F.col(key).eqNullSafe(F.col("_key")), "left")
+                     .where(F.col("_held").isNull() | (F.col(order) < F.col("_held"))).drop("_key", "_held")).persist()
+            touched = sorted(r["bucket"] for r in fresh.select("bucket").distinct().collect())
         if touched:
-            kept = read_table(spark, table, schema, [held[b] for b in touched if b in held])
-            gone = fresh.select(F.col(key).alias("_key"))
-            kept = kept.join(gone, F.col(key).eqNullSafe(F.col("_key")), "left_anti").withColumn("bucket", bucket_of(F.col(key), buckets))
+            whole = fresh
+            if own := [held[b] for b in touched if b in held]:
+                gone = fresh.select(F.col(key).alias("_key"))
+                kept = read_table(spark, table, schema, own).join(gone, F.col(key).eqNullSafe(F.col("_key")), "left_anti")
+                whole = kept.withColumn("bucket", bucket_of(F.col(key), buckets)).unionByName(fresh)
             out = f"{table}/data/{batch}-{uuid.uuid4().hex[:12]}"
-            kept.unionByName(fresh).repartition(len(touched), "bucket").write.partitionBy("bucket").parquet(out)
+            whole.repartition(len(touched), "bucket").write.partitionBy("bucket").parquet(out)
             held |= {b: f"{out}/bucket={b}" for b in touched}
         # an empty table's manifest still tells its number of buckets
         spark.createDataFrame([(b, p, buckets) for b, p in sorted(held.items())] or [(None, None, buckets)], MANIFEST) \
             .coalesce(1).write.mode("overwrite").json(f"{table}/manifests/{batch}")
-        fresh.unpersist()
         return len(touched)
     finally:
-        new.unpersist()
+        for df in {id(x): x for x in (new, fresh)}.values():
+            df.unpersist()
 
 
 def vacuum(spark: SparkSession, table: str, keep: int = 2) -> int:
