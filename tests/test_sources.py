@@ -129,3 +129,59 @@ def test_extraction_rules(spark, name):
 def test_long_elements_do_not_nest_the_matcher(spark):
     html = '<div class="issue-item"><h5 class="issue-item__title">' + "<b>x</b> y" * 20000 + "<a>T</a></h5></div>"
     assert [r.title for r in extract_articles(spark.createDataFrame([(1, ACM, html)], PAGE_SCHEMA)).collect()] == ["T"]
+
+
+def extracted(spark, url, html):
+    got = extract_articles(spark.createDataFrame([(1, url, html)], PAGE_SCHEMA)).orderBy("ingest_id").collect()
+    return [(r.title, r.authors, r.date_pub) for r in got]
+
+
+@pytest.mark.parametrize("tag", ['<div class="issue-item">', "<div class='issue-item'>", "<div class=issue-item>", '<DIV CLASS="a issue-item b">',
+                                 "<div id=x\n class = 'issue-item wide'>", '<div title="a > b" class="issue-item">', "<div class=issue-item/>"])
+def test_any_attribute_quoting(spark, tag):
+    title = '<H5 Class=\'issue-item__title\'><A HREF=/1>Any</A></H5>'
+    assert extracted(spark, ACM, f"{tag}{title}<p>2022</p></div>") == [("Any", "Unknown", "2022")]
+    assert extracted(spark, ACM, tag.replace("issue-item", "issue-items") + title + "</div>") == []
+
+
+def test_nested_results_keep_the_outer_tail(spark):
+    html = """<div class="issue-item"><div><h5 class="issue-item__title"><a>Outer</a></h5>
+      <div class="issue-item"><h5 class="issue-item__title"><a>Inner</a></h5><ul class="rlist--inline"><li>In Ner</li></ul></div></div>
+      <ul class="rlist--inline"><li>Out Er</li></ul><p>tail 2019</p></div><p>2001</p>"""
+    assert extracted(spark, ACM, html) == [("Outer", "In Ner", "2019"), ("Inner", "In Ner", "Unknown Date")]
+
+
+def test_descendant_selectors(spark):
+    # authors need a list, or an ancestor with the detail class; results need theirs
+    item = '<div class="issue-item"><h5 class="issue-item__title"><a>T</a></h5>{}</div>'
+    assert extracted(spark, ACM, item.format('<div class="rlist--inline">No</div>')) == [("T", "Unknown", "Unknown Date")]
+    assert extracted(spark, ACM, item.format('<div class="issue-item__detail"><p><span class="rlist--inline">Yes</span></p></div>')) == [
+        ("T", "Yes", "Unknown Date")]
+    assert extracted(spark, IEEE, '<div class="xpl-results-item"><h2><a>T</a></h2></div>') == []
+    assert extracted(spark, IEEE, '<div class="List-results-items"><i class="xpl-results-item"><h2><a>T</a></h2></i></div>') == [("T", "Unknown", "Unknown Date")]
+
+
+def test_hidden_text_is_no_text(spark):
+    html = """<div class="issue-item"><!-- <div class="issue-item"><h5 class="issue-item__title"><a>Ghost</a></h5></div> 1901 -->
+      <script>if (a < b) { year = "1902"; x = '</div>' }</script><style>p:after { content: "1903" }</style>
+      <h5 class="issue-item__title"><a>Shown<script>var t = "</a>"</script></a></h5><template><p>1904</p></template> 2020</div>"""
+    assert extracted(spark, ACM, html) == [("Shown", "Unknown", "2020")]
+    assert extracted(spark, ACM, '<div class="issue-item"><h5 class="issue-item__title"><a>T</a><!-- open 1905') == [("T", "Unknown", "Unknown Date")]
+
+
+def test_character_references(spark):
+    raw = "&lt;b&gt; &amp;amp; &eacute;&#233;&#xE9; &#128512; &nbsp;&hearts; &copy 1 &unknown; &#0;&#xD800; AT&T &notin; a&b &ThickSpace;x"
+    want = "<b> &amp; ééé \U0001f600 ♥ © 1 &unknown; �� AT&T ∉ a&b   x"
+    got = extracted(spark, ACM, f'<div class="issue-item"><h5 class="issue-item__title"><a>{raw}</a></h5></div>')
+    assert got[0][0] == want
+
+
+def test_open_elements(spark):
+    # no end tags at all; paragraphs end where the next begins; void elements hold nothing
+    assert extracted(spark, ACM, '<div class=issue-item><h5 class=issue-item__title><a>T') == [("T", "Unknown", "Unknown Date")]
+    assert extracted(spark, IEEE, '<div class="result-item"><h2><a>T<br>U</a></h2><p class="author">Ann<p>Bob 2018</div>') == [("T U", "Ann", "2018")]
+    assert extracted(spark, ACM, "") == [] and extracted(spark, ACM, "a < b <> <3") == []
+
+
+def test_pages_without_html(spark):
+    assert extract_articles(spark.createDataFrame([(1, ACM, None), (2, None, "<article><h1>x</h1></article>")], PAGE_SCHEMA)).count() == 0
