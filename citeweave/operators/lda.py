@@ -6,13 +6,16 @@ taken as given; its strings are the only data that reach the driver, where
 fit are Spark ML jobs; topic descriptions are turned into keyword strings by
 a join with the vocabulary, not a driver loop.
 
-The fit sees the documents in a layout that follows from their ids alone:
-dealt by id over ``LAYOUT`` partitions and sorted within.  Its sums then add up
-in the same order whatever partitions the corpus came in.
+The fit sees the documents in a layout that follows from the corpus alone:
+dealt by id over a number of partitions that their count gives, and sorted
+within.  Its sums then add up in the same order whatever partitions the corpus
+came in and whatever the cluster, and the number of tasks grows with the corpus.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark import StorageLevel
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import IDF, CountVectorizerModel
@@ -23,13 +26,19 @@ from ..constants import LDA_K, LDA_MAX_ITER, LDA_SEED, TOPIC_TERMS
 from . import textmine
 
 TOPICS_SCHEMA = "Topic int, Keywords string"
-LAYOUT = 64                 # partitions of the fit, independent of the cluster; raise it with the corpus
+DOCS_PER_TASK, MILLION = 200, 1_000_000
 READ_ALL = 1.0              # share of the documents that an iteration reads
 
 
+def layout_of(n_docs: int) -> int:
+    """Partitions of the fit: two hundred documents each, and beyond a million documents more in each, as the square
+    root grows (10^10 documents: 500,000 partitions of 20,000)."""
+    return max(1, math.ceil(n_docs / (DOCS_PER_TASK * max(1.0, math.sqrt(n_docs / MILLION)))))
+
+
 def lda_topics(tokens: DataFrame, vocab: DataFrame | None = None, k: int = LDA_K,
                max_iter: int = LDA_MAX_ITER, seed: int = LDA_SEED, n_terms: int = TOPIC_TERMS,
-               rate: float = READ_ALL, layout: int = LAYOUT) -> DataFrame:
+               rate: float = READ_ALL, layout: int | None = None) -> DataFrame:
     """(Topic, Keywords): the ``n_terms`` heaviest terms of each of ``k`` topics, joined by ``", "``.
 
     ``tokens`` has ``doc_id`` and ``content`` (tokens without stop words); without
@@ -41,12 +50,13 @@ def lda_topics(tokens: DataFrame, vocab: DataFrame | None = None, k: int = LDA_K
     failed fit.
     """
     spark = tokens.sparkSession
-    laid = tokens.select("doc_id", "content").repartition(layout, "doc_id").sortWithinPartitions("doc_id", "content")
+    n_docs = tokens.select("doc_id").count()
+    if n_docs == 0:
+        return spark.createDataFrame([], TOPICS_SCHEMA)
+    laid = tokens.select("doc_id", "content").repartition(layout or layout_of(n_docs), "doc_id").sortWithinPartitions("doc_id", "content")
     docs = laid.persist(StorageLevel.MEMORY_AND_DISK)
     tf = None
     try:
-        if docs.isEmpty():
-            return spark.createDataFrame([], TOPICS_SCHEMA)
         if vocab is None:
             vocab = textmine.vocabulary(textmine.doc_term_counts(docs))
         terms = [r["term"] for r in vocab.orderBy("term_index").collect()]

@@ -13,19 +13,25 @@ import hashlib
 import threading
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..constants import MISSING_ABSTRACT
 from ..functions.topics import topic_label
 from ..functions.years import clean_year, is_exact_year
 from ..operators import cube_states, dedupe, graph, olap, stats, textmine, warehouse
 from ..operators.lda import lda_topics, topic_facts
+from ..operators.warehouse import fact_columns
 from ..session import materialize, work_path
+from ..schema import FACT_SCHEMA
 from ..sources.articles import articles, measured_articles
+from ..sources.documents import columns, fields, land_documents, write_arrays
 from ..sources.extract import DEFAULT_RULES, extract_articles
+from ..sources.readers import read_csv_optional
 from ..sources.tables import table
-from ..sources.writers import csv_round_trip, export_by_source, json_round_trip
+from ..sources.writers import csv_round_trip, export_by_source, json_round_trip, write_csv
 from ..streaming.ingest import run_title_ingest, run_title_ingest_stateful
 
 # --- fixed query parameters --------------------------------------------------
@@ -152,6 +158,30 @@ def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return csv_round_trip(fact_table(spark, sf_dir), work_path(spark, f"csv-{uuid.uuid4().hex[:12]}"))
 
 
+def _arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The collection as JSON arrays whose objects lack fields and bring some that no schema names, read back."""
+    own = measured_articles(spark, sf_dir).withColumn("abstract_", F.nullif("abstract_", F.lit(MISSING_ABSTRACT))).drop("impact_score", "lang")
+    path = work_path(spark, f"arrays-{uuid.uuid4().hex[:12]}")
+    write_arrays(own, path)
+    docs = land_documents(spark, path)
+    return columns(docs, fields(docs))
+
+
+def _guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that come of optional inputs: the text column under either name or none, topics of an empty corpus, and a
+    result table that is there or missing."""
+    coll = articles(spark, sf_dir)
+    other = coll.withColumnRenamed("abstract_", "abstract")
+    fact = work_path(spark, f"fact-csv-{uuid.uuid4().hex[:12]}")
+    write_csv(fact_columns(fact_table(spark, sf_dir)), fact)
+    empty = lda_topics(textmine.tokenize(textmine.valid_abstracts(coll.where(F.col("abstract_") == MISSING_ABSTRACT))))
+    cases = {"abstract_": textmine.valid_abstracts(coll), "abstract": textmine.valid_abstracts(other),
+             "no text column": textmine.valid_abstracts(coll.drop("abstract_")), "topics of no text": empty,
+             "result table": read_csv_optional(spark, fact, FACT_SCHEMA), "missing table": read_csv_optional(spark, f"{fact}-none", FACT_SCHEMA)}
+    counted = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("input"), "rows") for name, df in cases.items()]
+    return reduce(DataFrame.unionByName, counted)
+
+
 def _export(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = work_path(spark, f"export_by_source-{uuid.uuid4().hex[:12]}")
     return export_by_source(articles(spark, sf_dir), out)
@@ -209,6 +239,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "export_by_source": _export,
     "json_round_trip": _json,
     "csv_round_trip": _csv,
+    "json_array_scan": _arrays,
+    "input_guards": _guards,
     "extract_articles": pages_articles,
     "stream_ingest": _stream,
     "stream_ingest_state": _stream_state,

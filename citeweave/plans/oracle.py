@@ -279,6 +279,11 @@ ORACLE: dict[str, str] = {
         FROM (SELECT title, count(*) AS n FROM dedup GROUP BY title)"""),
     "json_round_trip": _stmt([A], "SELECT title, authors, date_pub, source, journal, abstract_, affiliations FROM articles"),
     "csv_round_trip": _stmt([A, D, F_], f"SELECT {FACT_COLS} FROM fact"),
+    "json_array_scan": _stmt([A], f"""SELECT {ART_COLS.replace('abstract_', "nullif(abstract_, 'N/A') AS abstract_")}, country,
+        CAST(citations AS BIGINT) AS citations FROM articles"""),
+    "input_guards": _stmt([A, D], f"""SELECT i.input, CASE i.input WHEN 'abstract_' THEN v.n WHEN 'abstract' THEN v.n WHEN 'result table' THEN t.n ELSE 0 END AS rows
+        FROM (VALUES ('abstract_'), ('abstract'), ('no text column'), ('topics of no text'), ('result table'), ('missing table')) AS i(input),
+             (SELECT count(*) AS n FROM articles WHERE {VALID}) AS v, (SELECT count(*) AS n FROM dedup) AS t"""),
     "export_by_source": _stmt([A], """SELECT title, authors, date_pub, journal, abstract_, affiliations, source
         FROM articles"""),
     "extract_articles": _stmt([PAGES], "SELECT * FROM extracted"),

@@ -32,21 +32,18 @@ def export_source(df: DataFrame, source: str, path: str, id_col: str = "ingest_i
     df.where(F.col("source") == source).drop(id_col).write.mode("overwrite").json(path)
 
 
-EXPORT_SALTS = 8            # files per source and export, at most
-
-
 def export_by_source(df: DataFrame, path: str, id_col: str = "ingest_id") -> DataFrame:
     """One JSON export per source in a single job (``by=<name>/`` folders).
 
-    Rows are dealt out by (source, salt) before the write, so a source has at
-    most ``EXPORT_SALTS`` files and a hot one is written by as many tasks.  The
+    Rows are rebalanced on the source before the write: small sources are one
+    file each, and a hot one is dealt out, by its measured size, over as many tasks
+    as it has files of the advisory size.  The
     records hold the source themselves: NULL and ``''``, which share a folder,
     stay apart.  Returns the export read back with its schema, so the written
     files are what the caller sees.
     """
-    salt = F.pmod(F.xxhash64(id_col), F.lit(EXPORT_SALTS))
     out = df.withColumn("by", F.col("source"))
-    (out.repartition("by", salt).drop(id_col).write.mode("overwrite").option("ignoreNullFields", False)
+    (out.hint("rebalance", "by").drop(id_col).write.mode("overwrite").option("ignoreNullFields", False)
      .partitionBy("by").json(path))
     others = [f for f in ARTICLE_SCHEMA.fields if f.name != "source" and f.name in df.columns]
     extra = [f for f in df.schema.fields if f.name not in ARTICLE_SCHEMA.fieldNames() and f.name != id_col]
