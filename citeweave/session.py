@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -78,18 +79,44 @@ def work_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([base, "citeweave", spark.sparkContext.applicationId, *parts])
 
 
+RELEASE_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def released_shuffles(spark: SparkSession):
+    """Executions inside give their shuffle files back when they end: for frames that are written and not run again."""
+    before = spark.conf.get(RELEASE_CONF, "false")
+    spark.conf.set(RELEASE_CONF, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(RELEASE_CONF, before)
+
+
 def materialize(df, name: str):
     """Write ``df`` as Parquet below the shared folder and read it back.
 
     For an intermediate that a plan consumes more than once (Spark would
     otherwise recompute it per consumer): it is computed once, the lineage is
-    cut, and a lost executor re-reads files instead of recomputing.
+    cut, and a lost executor re-reads files instead of recomputing.  The
+    shuffles that made it are not needed any more and are released.
     """
     path = work_path(df.sparkSession, "stage", f"{name}-{uuid.uuid4().hex[:12]}")
-    df.write.mode("overwrite").parquet(path)
+    with released_shuffles(df.sparkSession):
+        df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def release(df) -> None:
+    """Remove what ``materialize`` wrote for ``df``, once everything made of it is written."""
+    spark = df.sparkSession
+    stage = work_path(spark, "stage")
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if stage.split(":", 1)[-1].lstrip("/") in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize_bucketed(df, name: str, buckets: int, by: str):
     """``materialize`` as a table bucketed by a column: rows of one value lie in one bucket and scans say so, so that
     grouping, windows and joins on the column (and more) need no exchange.  A bucket is one file."""
