@@ -25,8 +25,9 @@ never errs; the comparisons are exact on the fingerprint sets.
 
 Cases: a null or empty text, or one without words, has an empty set and links
 with nothing; fewer words than n form one shingle; repeated rows are one node
-and each gets its own result row; rows of null id take part and are reported;
-an empty table gives no rows.
+and each gets its own result row; rows of null id take part and are reported; rows of
+one id and different texts are documents of their own; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -41,7 +42,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import as_row, components, key_filter, materialize, maybe, mix64
+from ..session import release
+from .common import ROW, as_row, components, key_filter, materialize, maybe, mix64
 
 SHINGLE = 3                       # words, fixed by the contract of op2
 THRESHOLD = 90                    # 100 * intersection >= THRESHOLD * union, fixed by the contract of op2
@@ -119,19 +121,18 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
 
 
-def sets(docs: DataFrame, text: str, n: int, threshold: int) -> DataFrame:
-    """``_row``, n_shingles, node (null for an empty set) and sigs."""
-    df = as_row(docs)
-    at = docs.columns.index(text)
+def sets(docs: DataFrame, text: str, doc_id: str, n: int, threshold: int) -> DataFrame:
+    """doc_id, digest (of the text, null for null), n_shingles, node (null for an empty set) and sigs; no texts."""
+    df = docs.select(F.col(doc_id).alias("doc_id"), F.md5(text).alias("digest"), F.col(text).alias("text"))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [shingles(t, n) for t in b.column(0).field(at).to_pylist()]
+            got = [shingles(t, n) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in got], pa.int64()),
+                [b.column(0), b.column(1), pa.array([len(s) for s in got], pa.int64()),
                  pa.array([node_of(s) if len(s) else None for s in got], pa.int64()),
-                 _lists([signatures(s, threshold) for s in got])], names=["_row", "n_shingles", "node", "sigs"])
-    return df.mapInArrow(made, StructType(df.schema.fields + StructType.fromDDL(
+                 _lists([signatures(s, threshold) for s in got])], names=["doc_id", "digest", "n_shingles", "node", "sigs"])
+    return df.mapInArrow(made, StructType(df.schema.fields[:2] + StructType.fromDDL(
         "n_shingles bigint, node bigint, sigs array<bigint>").fields))
 
 
@@ -233,12 +234,13 @@ class Links:
 
     def compare(self, pairs: DataFrame) -> None:
         pairs = materialize(pairs.distinct(), "join-pairs")
-        if pairs.isEmpty():
-            return
-        new = materialize(similar(pairs, self.items, self.threshold), "join-links")
-        if not new.isEmpty():
-            known = [] if self.labels is None else [self.labels.select(F.col("node").alias("a"), F.col("component").alias("b"))]
-            self.labels = components(reduce(DataFrame.unionByName, [new, *known]), "join-comp")
+        if not pairs.isEmpty():
+            new = materialize(similar(pairs, self.items, self.threshold), "join-links")
+            if not new.isEmpty():
+                known = [] if self.labels is None else [self.labels.select(F.col("node").alias("a"), F.col("component").alias("b"))]
+                self.labels = components(reduce(DataFrame.unionByName, [new, *known]), "join-comp")
+            release(new)
+        release(pairs)
 
     def leaders(self, members: DataFrame, count: int) -> DataFrame:
         """Compares each open group's ``count`` smallest nodes with its others, and returns the others."""
@@ -263,12 +265,16 @@ class Links:
     def find(self, signed: DataFrame) -> DataFrame:
         """(node, component) of the nodes that some similar pair links.  ``signed``: (node, sigs); copies do no harm."""
         each = signed.select(F.explode("sigs").alias("sig"))
-        seen = key_filter(materialize(each.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1").select("sig"), "join-repeated"))
+        twice = materialize(each.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1").select("sig"), "join-repeated")
+        seen = key_filter(twice)
+        release(twice)
         members = materialize(signed.select("node", "sigs").mapInArrow(lambda it: repeated(seen, it), "sig bigint, node bigint").distinct(),
                               "join-members")
+        release(signed)
         nodes = members.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi")
-        nodes = members.join(nodes, "sig", "left_semi").select("node").distinct()
-        self.items = materialize(chosen_sets(self.docs, self.text, self.n, key_filter(materialize(nodes, "join-nodes"))), "join-sets")
+        nodes = materialize(members.join(nodes, "sig", "left_semi").select("node").distinct(), "join-nodes")
+        self.items = materialize(chosen_sets(self.docs, self.text, self.n, key_filter(nodes)), "join-sets")
+        release(nodes)
         rest = self.small(self.leaders(members, 1))
         if not rest.isEmpty():
             # large groups that still hold several components: their nodes again, by the rarest features
@@ -292,13 +298,19 @@ def repeated(seen, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(x[keep]), b.column(0).take(pa.array(at[keep]))], names=["sig", "node"])
 
 
+def documents(docs: DataFrame, text: str, doc_id: str, n: int, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest, n_shingles, node) of every row, and (node, component) of the nodes that have links."""
+    signed = materialize(sets(docs, text, doc_id, n, threshold), "join-signed")
+    own = materialize(signed.drop("sigs"), "join-own")
+    # ``find`` releases the signatures when it has grouped them
+    return own, Links(docs, text, n, threshold).find(signed.filter(F.size("sigs") > 0))
+
+
 def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = SHINGLE,
          threshold: int = THRESHOLD) -> DataFrame:
     """A row per row of ``docs``: its id as doc_id, n_shingles, and component_id, the smallest id reachable by
     links (the row's own id if nothing links)."""
-    signed = materialize(sets(docs.select(doc_id, text), text, n, threshold), "join-signed")
-    own = signed.select(F.col(f"_row.`{doc_id}`").alias("doc_id"), "n_shingles", "node")
-    labels = Links(docs, text, n, threshold).find(signed.filter(F.size("sigs") > 0))
+    own, labels = documents(docs, text, doc_id, n, threshold)
     named = own.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least")) \
         .join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -307,6 +319,31 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = S
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that are not a component's further members; of rows that repeat the kept id one stays."""
-    stay = join(docs.select(doc_id, text), text, doc_id, n, threshold).filter("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.dropDuplicates([doc_id, text]).join(stay, docs[doc_id].eqNullSafe(stay["doc_id"]), "left_semi")
+    """The rows of ``docs`` that are not a component's further members.
+
+    A document is an id with a text (two texts of one id are two): of each component the one of least id stays (null
+    ids last), of equal ids the one of least digest; rows that repeat it go.  Texts without words stay, once for each id and text.
+    Only rows that go or repeat are looked up; the others pass a filter where they are, and their texts stay put."""
+    own, labels = documents(docs, text, doc_id, n, threshold)
+    each = own.groupBy("doc_id", "digest").agg(F.first("node").alias("node"), F.count("*").alias("rows"))
+    each = each.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    first = each.filter("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first"))
+    each = each.join(first, "component", "left").withColumn("stays", F.col("node").isNull() | (
+        F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & F.col("digest").eqNullSafe(F.col("first.digest"))))
+    asked = materialize(each.filter("NOT stays OR rows > 1").select(F.xxhash64("doc_id", "digest").alias("key"), "doc_id", "digest", "stays"), "join-asked")
+    held = key_filter(asked.select("key"))
+    rows = as_row(docs)
+    at = F.xxhash64(f"{ROW}.`{doc_id}`", F.md5(f"{ROW}.`{text}`")).alias("key")
+
+    def picked(found: bool):
+        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array(maybe(held.value, b.column(0).to_numpy()) == found)).select([1])
+        return rows.select(at, ROW).mapInArrow(pick, rows.schema).select(f"{ROW}.*")
+    stay = asked.filter("stays").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
+    gone = asked.filter("NOT stays").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
+    same = F.col(doc_id).eqNullSafe(F.col("_id")) & F.md5(text).eqNullSafe(F.col("_digest"))
+    looked = picked(True)
+    once = looked.join(stay, same, "left_semi").dropDuplicates([doc_id, text])
+    other = looked.join(gone, same, "left_anti").join(stay, same, "left_anti")          # let through by the filter, but not asked for
+    return picked(False).unionByName(once).unionByName(other)

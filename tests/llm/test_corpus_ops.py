@@ -379,3 +379,15 @@ def test_page_repairs():
     assert text("<div a='open>x</div> y <") == "x y <"
     assert text("<main>m<nav>n</nav></main>out") == "m"
     assert text("<div>" * 20000 + "x") == "x" and text("<a b='" * 5000).startswith("<a b")
+
+
+def test_keep_one_takes_texts_of_one_id_apart(spark):
+    a = " ".join(f"w{i}" for i in range(60))
+    near, other = a + " end", " ".join(f"v{i}" for i in range(60))
+    rows = [(1, a), (5, other), (5, near), (7, a.upper()), (3, near), (5, other), (None, a), (None, None), (None, None), (8, ""), (8, " "), (9, other + " x")]
+    df = spark.createDataFrame([(*r, "k", "s") for r in rows], "doc_id long, text string, key string, stays string")
+    kept = ngram_join.keep_one(df)
+    assert kept.columns == df.columns
+    # (None, a), (3, near), (5, near) and (7, A) go with (1, a); 9 goes with (5, other)
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(1, a), (None, None), (5, other), (8, ""), (8, " ")], key=str)
+    assert ngram_join.keep_one(df.limit(0)).count() == 0
