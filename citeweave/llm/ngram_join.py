@@ -12,16 +12,17 @@ are signed only by sets that have more of them than that tenth.
 
 Sets that are equal are one node from the start.  Signatures seen once are left
 out by a broadcast bit filter of bounded size.  The nodes of a signature are
-compared with one leader, its smallest node, so a group of n costs n pairs.
-Groups up to SMALL_GROUP that still hold several components then compare all
-pairs across these.  The nodes of larger ones (texts that share a passage fill
-some parts with nothing else) are grouped once more, by the rarest features of
+first compared with one leader, its smallest node, so a group of n costs n
+comparisons; real copies come together here.  Groups that still hold several
+components are then compared whole, in tiles: a task gets two tiles of at most
+SMALL_GROUP nodes with their sizes and parity sketches and compares all pairs
+with numpy.  A sketch rules out a pair by a bound that never errs, so only pairs
+that may be similar become rows; these are compared exactly on their fingerprint
+sets.  The nodes of groups larger than a tile (texts that share a passage fill
+some parts with nothing else) are grouped anew before, by the rarest features of
 each set: of sets with a share of the threshold in common, some feature lies
-among each one's rarest 1 - threshold.  What is left are near copies just short of
-links: ever more leaders are compared until every pair of a group is in one
-component or compared.  No link between components is lost, whatever the group
-sizes.  Before sets are compared, parity sketches rule out pairs by a bound that
-never errs; the comparisons are exact on the fingerprint sets.
+among each one's rarest 1 - threshold.  No link between components is lost,
+whatever the group sizes.
 
 Cases: a null or empty text, or one without words, has an empty set and links
 with nothing; fewer words than n form one shingle; repeated rows are one node
@@ -38,7 +39,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -51,7 +52,9 @@ BAND = 1.25                       # ratio of a band's size limits
 N2, K2 = 2, 1                     # second-level partitions, differences allowed in them
 SLOTS = 1 << 20                   # counters that order the features of large groups
 SKETCH = 512                      # bits of a set's parity sketch, a power of two
-SMALL_GROUP = 16                  # nodes of a signature whose pairs are tried all at once in later rounds
+SMALL_GROUP = 1024                # nodes of a tile, of which a task compares all pairs
+STRIP = 64                        # rows of a tile that are compared with another at once
+PAIRS_AT_ONCE = 100_000           # pairs of which a task drops repeated ones at once
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -115,6 +118,13 @@ def signatures(s: np.ndarray, threshold: int) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of few rows: a text's signatures take kilobytes, and a task's arrays stay small."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
     flat = np.concatenate(arrays) if arrays else np.empty(0, np.uint64)
@@ -126,7 +136,7 @@ def sets(docs: DataFrame, text: str, doc_id: str, n: int, threshold: int) -> Dat
     df = docs.select(F.col(doc_id).alias("doc_id"), F.md5(text).alias("digest"), F.col(text).alias("text"))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             got = [shingles(t, n) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([len(s) for s in got], pa.int64()),
@@ -136,48 +146,123 @@ def sets(docs: DataFrame, text: str, doc_id: str, n: int, threshold: int) -> Dat
         "n_shingles bigint, node bigint, sigs array<bigint>").fields))
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
+def sketch(s: np.ndarray) -> bytes:
     """Parities of the features by SKETCH hash values, packed: two sets' sketches differ in as many bits as the sets
     differ in features, at most."""
     odd = np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+    return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
 def chosen_sets(docs: DataFrame, text: str, n: int, wanted) -> DataFrame:
     """(node, items, sketch) of the nodes that pass the filter ``wanted``, one row each."""
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             got = {node_of(s): s for s in (shingles(t, n) for t in b.column(0).to_pylist()) if len(s)}
             keys = np.fromiter(got, np.int64, len(got))
             keys = keys[maybe(wanted.value, keys)]
             sets = [got[k] for k in keys.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(keys), _lists(sets), _lists([sketch(s) for s in sets])],
+            yield pa.RecordBatch.from_arrays([pa.array(keys), _lists(sets), pa.array([sketch(s) for s in sets], pa.binary())],
                                              names=["node", "items", "sketch"])
-    return docs.select(text).mapInArrow(made, "node bigint, items array<bigint>, sketch array<bigint>").dropDuplicates(["node"])
+    return docs.select(text).mapInArrow(made, "node bigint, items array<bigint>, sketch binary").dropDuplicates(["node"])
+
+
+def may_link(nx: np.ndarray, x: np.ndarray, ny: np.ndarray, y: np.ndarray, threshold: int) -> np.ndarray:
+    """Flags of the pairs of sets (sizes and sketches; broadcast) that size and sketch do not rule out: similar sets
+    differ in at most (|x| + |y|) * (100 - threshold) / (100 + threshold) features."""
+    differ = np.bitwise_count(x ^ y).sum(-1, dtype=np.int64)
+    return (100 * np.minimum(nx, ny) >= threshold * np.maximum(nx, ny)) & ((100 + threshold) * differ <= (100 - threshold) * (nx + ny))
+
+
+MEMBER = ("sig", "node", "component", "n", "sketch")
+
+
+def _arrays(b: pa.RecordBatch) -> dict[str, np.ndarray]:
+    """The columns of members as arrays; sketches as rows of 64-bit words."""
+    out = {c: b.column(c).to_numpy() for c in b.schema.names if c != "sketch"}
+    out["sketch"] = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint64).reshape(b.num_rows, SKETCH // 64)
+    return out
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Distinct (a, b), the smaller first."""
+    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+
+def with_leaders(threshold: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): each group's first node with those of other components that may be similar; rows sorted by (sig, node)."""
+    last = None                                        # the leader of the group that the batch before ended with
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        m = _arrays(batch)
+        sig = m["sig"]
+        start = np.concatenate([[True], sig[1:] != sig[:-1]])
+        lead = np.maximum.accumulate(np.where(start, np.arange(len(sig)), 0))
+        cols = {c: m[c][lead] for c in MEMBER[1:]}
+        if last is not None and last["sig"] == sig[0]:
+            own = sig == sig[0]
+            for c in MEMBER[1:]:
+                cols[c][own] = last[c]
+        last = {"sig": sig[-1], **{c: cols[c][-1].copy() for c in MEMBER[1:]}}
+        good = (cols["component"] != m["component"]) & may_link(cols["n"], cols["sketch"], m["n"], m["sketch"], threshold)
+        if good.any():
+            yield _pairs(cols["node"][good], m["node"][good])
+
+
+def in_tiles(threshold: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of two tiles that may be similar and lie in several components; rows sorted by (sig, i, j, tile)."""
+    def compared(parts: list[dict]) -> list[tuple[np.ndarray, np.ndarray]]:
+        t = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+        out = []
+        same = t["i"][0] == t["j"][0]
+        left = np.arange(len(t["node"])) if same else np.flatnonzero(t["tile"] == t["i"][0])
+        right = left if same else np.flatnonzero(t["tile"] == t["j"][0])
+        for k in range(0, len(left), STRIP):
+            x = left[k:k + STRIP]
+            y = right[k + 1:] if same else right
+            good = (t["component"][x][:, None] != t["component"][y][None]) & may_link(
+                t["n"][x][:, None], t["sketch"][x][:, None], t["n"][y][None], t["sketch"][y][None], threshold)
+            if same:
+                good &= y[None] > x[:, None]
+            p, q = np.nonzero(good)
+            if len(p):
+                out.append((t["node"][x[p]], t["node"][y[q]]))
+        return out
+    key, parts, found, held = None, [], [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        m = _arrays(batch)
+        change = (m["sig"][1:] != m["sig"][:-1]) | (m["i"][1:] != m["i"][:-1]) | (m["j"][1:] != m["j"][:-1])
+        ends = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+        for s, e in zip(ends, ends[1:], strict=False):
+            own = {c: v[s:e] for c, v in m.items()}
+            k = (int(own["sig"][0]), int(own["i"][0]), int(own["j"][0]))
+            if k != key and parts:
+                new = compared(parts)
+                found, held, parts = found + new, held + sum(len(a) for a, _ in new), []
+                if held > PAIRS_AT_ONCE:
+                    yield _pairs(np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found]))
+                    found, held = [], 0
+            key = k
+            parts.append(own)
+    if parts:
+        found += compared(parts)
+    if found:
+        yield _pairs(np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found]))
 
 
 def similar(pairs: DataFrame, items: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold.
-
-    Sizes and sketches rule out nearly all others: similar sets differ in at most
-    (|x| + |y|) * (100 - threshold) / (100 + threshold) features.  What is left is compared exactly, and only the
-    sets of these nodes are moved."""
-    brief = items.select("node", F.size("items").alias("n"), "sketch")
-    both = pairs.join(brief.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a") \
-        .join(brief.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
-    differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    left = materialize(both.filter(100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
-                       .filter((100 + threshold) * differ <= (100 - threshold) * (F.col("na") + F.col("nb"))).select("a", "b"), "join-close")
-    if left.isEmpty():
-        return left
-    wanted = key_filter(left.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    """The pairs (a, b) whose sets reach the threshold, compared exactly; only the sets of these nodes are moved."""
+    wanted = key_filter(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
 
     def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array(maybe(wanted.value, b.column(0).to_numpy())))
     sets = items.select("node", "items").mapInArrow(only, "node bigint, items array<bigint>")
     common = F.size(F.array_intersect("x", "y"))
-    return left.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a") \
+    return pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a") \
         .join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b") \
         .filter(100 * common >= threshold * (F.size("x") + F.size("y") - common)).select("a", "b")
 
@@ -242,25 +327,29 @@ class Links:
             release(new)
         release(pairs)
 
-    def leaders(self, members: DataFrame, count: int) -> DataFrame:
-        """Compares each open group's ``count`` smallest nodes with its others, and returns the others."""
-        open_ = self.open(members)
-        place = F.row_number().over(Window.partitionBy("sig").orderBy("node"))
-        if count == 1:                                            # a grouped minimum, combined before the shuffle
-            lead = open_.groupBy("sig").agg(F.min(F.struct("node", "component")).alias("l")).select("sig", "l")
-        else:
-            lead = open_.withColumn("place", place).filter(F.col("place") <= count).select("sig", F.struct("node", "component").alias("l"))
-        both = open_.join(lead, "sig")
-        self.compare(both.filter("node > l.node AND component <> l.component").select(F.col("l.node").alias("a"), F.col("node").alias("b")))
-        return open_.select("sig", "node").join(lead.select("sig", F.col("l.node").alias("node")), ["sig", "node"], "left_anti")
+    def described(self, open_: DataFrame) -> DataFrame:
+        return open_.join(self.items.select("node", F.size("items").cast("bigint").alias("n"), "sketch"), "node")
 
-    def small(self, members: DataFrame) -> DataFrame:
-        """Compares all pairs across components in open groups up to SMALL_GROUP, and returns the larger ones."""
+    def leaders(self, members: DataFrame) -> None:
+        """Compares each open group's smallest node with its others."""
+        open_, threshold = self.open(members), self.threshold
+        rows = self.described(open_).select(*MEMBER)
+        self.compare(rows.repartition("sig").sortWithinPartitions("sig", "node")
+                     .mapInArrow(lambda it: with_leaders(threshold, it), "a bigint, b bigint"))
+        release(open_)
+
+    def tiles(self, members: DataFrame, at_most: int | None = None) -> DataFrame:
+        """Compares all pairs across components in open groups (of at most so many nodes), and returns the other open
+        members.  A group of m tiles is m * (m + 1) / 2 pairs of tiles, each of which gets its own copy of the rows."""
         open_ = self.open(members)
-        g = open_.filter(F.col("size") <= SMALL_GROUP).groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("node", "component"))).alias("g"))
-        self.compare(g.select(F.explode("g").alias("x"), "g").select("x", F.explode("g").alias("y"))
-                     .filter("x.node < y.node AND x.component <> y.component").select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
-        return open_.filter(F.col("size") > SMALL_GROUP).select("sig", "node")
+        rows = self.described(open_ if at_most is None else open_.filter(F.col("size") <= at_most))
+        m = F.ceil(F.col("size") / SMALL_GROUP).cast("int")
+        rows = rows.select(*MEMBER, F.pmod(F.xxhash64("node"), m).cast("int").alias("tile"), F.explode(F.sequence(F.lit(0), m - 1)).alias("other")) \
+            .select(*MEMBER, "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
+        threshold = self.threshold
+        self.compare(rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "tile", "node")
+                     .mapInArrow(lambda it: in_tiles(threshold, it), "a bigint, b bigint"))
+        return open_.filter(F.lit(False) if at_most is None else F.col("size") > at_most).select("sig", "node")
 
     def find(self, signed: DataFrame) -> DataFrame:
         """(node, component) of the nodes that some similar pair links.  ``signed``: (node, sigs); copies do no harm."""
@@ -275,15 +364,14 @@ class Links:
         nodes = materialize(members.join(nodes, "sig", "left_semi").select("node").distinct(), "join-nodes")
         self.items = materialize(chosen_sets(self.docs, self.text, self.n, key_filter(nodes)), "join-sets")
         release(nodes)
-        rest = self.small(self.leaders(members, 1))
+        self.leaders(members)
+        rest = self.tiles(members, SMALL_GROUP)
         if not rest.isEmpty():
-            # large groups that still hold several components: their nodes again, by the rarest features
+            # groups larger than a tile that still hold several components: their nodes again, by the rarest features
             own = self.items.join(rest.select("node").distinct(), "node", "left_semi")
-            rest = self.small(self.leaders(materialize(rare_features(own, self.threshold), "join-rare"), 1))
-        count = 4
-        while not rest.isEmpty():                                 # mostly near copies that are no links: more leaders each time
-            rest = self.small(self.leaders(rest, count))
-            count *= 4
+            rare = materialize(rare_features(own, self.threshold), "join-rare")
+            self.leaders(rare)
+            self.tiles(rare)
         if self.labels is None:
             return signed.sparkSession.createDataFrame([], "node bigint, component bigint")
         return self.labels
@@ -291,7 +379,7 @@ class Links:
 
 def repeated(seen, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(sig, node) of the signatures that may occur more than once."""
-    for b in batches:
+    for b in slices(batches):
         x = b.column(1).flatten().to_numpy()
         keep = maybe(seen.value, x)
         at = np.repeat(np.arange(b.num_rows), b.column(1).value_lengths().to_numpy())
