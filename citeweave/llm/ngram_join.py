@@ -53,6 +53,8 @@ N2, K2 = 2, 1                     # second-level partitions, differences allowed
 SLOTS = 1 << 20                   # counters that order the features of large groups
 SKETCH = 512                      # bits of a set's parity sketch, a power of two
 SMALL_GROUP = 1024                # nodes of a tile, of which a task compares all pairs
+COUNTED = (1 << 44) - 1           # bits by which signatures are counted; equal ones of different sets cost rows, no result
+PASSES = 4                        # parts of the signatures that are compared one after the other
 STRIP = 64                        # rows of a tile that are compared with another at once
 PAIRS_AT_ONCE = 100_000           # pairs of which a task drops repeated ones at once
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -353,7 +355,7 @@ class Links:
 
     def find(self, signed: DataFrame) -> DataFrame:
         """(node, component) of the nodes that some similar pair links.  ``signed``: (node, sigs); copies do no harm."""
-        each = signed.select(F.explode("sigs").alias("sig"))
+        each = signed.select(F.explode("sigs").alias("sig")).select(F.col("sig").bitwiseAND(F.lit(COUNTED)).alias("sig"))
         twice = materialize(each.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1").select("sig"), "join-repeated")
         seen = key_filter(twice)
         release(twice)
@@ -364,14 +366,17 @@ class Links:
         nodes = materialize(members.join(nodes, "sig", "left_semi").select("node").distinct(), "join-nodes")
         self.items = materialize(chosen_sets(self.docs, self.text, self.n, key_filter(nodes)), "join-sets")
         release(nodes)
-        self.leaders(members)
-        rest = self.tiles(members, SMALL_GROUP)
+        for i in range(PASSES):         # what one part links need not be compared again in the next, and takes no room there
+            self.leaders(members.filter(F.pmod(F.xxhash64("sig"), F.lit(PASSES)) == i))
+        rest = materialize(self.tiles(members, SMALL_GROUP).select("node").distinct(), "join-rest")
+        release(members)
         if not rest.isEmpty():
             # groups larger than a tile that still hold several components: their nodes again, by the rarest features
-            own = self.items.join(rest.select("node").distinct(), "node", "left_semi")
-            rare = materialize(rare_features(own, self.threshold), "join-rare")
+            rare = materialize(rare_features(self.items.join(rest, "node", "left_semi"), self.threshold), "join-rare")
             self.leaders(rare)
             self.tiles(rare)
+            release(rare)
+        release(self.items)
         if self.labels is None:
             return signed.sparkSession.createDataFrame([], "node bigint, component bigint")
         return self.labels
@@ -381,7 +386,7 @@ def repeated(seen, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """(sig, node) of the signatures that may occur more than once."""
     for b in slices(batches):
         x = b.column(1).flatten().to_numpy()
-        keep = maybe(seen.value, x)
+        keep = maybe(seen.value, x & np.int64(COUNTED))
         at = np.repeat(np.arange(b.num_rows), b.column(1).value_lengths().to_numpy())
         yield pa.RecordBatch.from_arrays([pa.array(x[keep]), b.column(0).take(pa.array(at[keep]))], names=["sig", "node"])
 
