@@ -32,7 +32,7 @@ from ..sources.extract import DEFAULT_RULES, extract_articles
 from ..sources.readers import read_csv_optional
 from ..sources.tables import table
 from ..sources.writers import csv_round_trip, export_by_source, json_round_trip, write_csv
-from ..streaming.ingest import run_title_ingest, run_title_ingest_stateful
+from ..streaming.ingest import run_title_ingest, run_title_ingest_keep_first, run_title_ingest_stateful
 
 # --- fixed query parameters --------------------------------------------------
 # The fixture's years are 1995-2001; clean_year maps 1995-1999 to 2024, so the
@@ -198,6 +198,11 @@ def _stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_title_ingest_stateful(spark, articles(spark, sf_dir), base).select("title")
 
 
+def _stream_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = work_path(spark, f"stream_ingest_first-{uuid.uuid4().hex[:12]}")
+    return run_title_ingest_keep_first(spark, articles(spark, sf_dir), base)
+
+
 def _weak(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the period of a document is its exact publication year; sentinels such as
     # "Unknown Date" give no period (a plain cast would fail under ANSI mode)
@@ -244,6 +249,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "extract_articles": pages_articles,
     "stream_ingest": _stream,
     "stream_ingest_state": _stream_state,
+    "stream_ingest_first": _stream_first,
     # warehouse: dimensions and fact
     "clean_year": lambda s, d: articles(s, d).select("ingest_id", "date_pub",
                                                      clean_year(F.col("date_pub")).alias("Annee")),

@@ -288,6 +288,7 @@ ORACLE: dict[str, str] = {
         FROM articles"""),
     "extract_articles": _stmt([PAGES], "SELECT * FROM extracted"),
     "stream_ingest": _stmt([A, D], f"SELECT {ART_COLS} FROM dedup"),
+    "stream_ingest_first": _stmt([A, D], f"SELECT {ART_COLS} FROM dedup"),
     "stream_ingest_state": _stmt([A], "SELECT DISTINCT title FROM articles"),
     "clean_year": _stmt([A], f"SELECT ingest_id, date_pub, {CLEAN_YEAR_SQL.format(c='date_pub')} AS Annee "
                              "FROM articles"),

@@ -15,14 +15,18 @@ scans one version of each bucket however many batches there were.
 kept in the RocksDB state store (on local disk of the executors, checkpointed
 to the shared folder) as fixed-width fingerprints, and the file sink commits
 each batch exactly once.  Its contract is the set of titles; which copy of a
-title survives is not fixed.
+title survives is not fixed.  ``start_title_ingest_keep_first`` fixes it: the
+state holds the least id of each title and the stream emits corrections.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.dedupe import dedupe_titles
 from ..schema import COLLECTION_SCHEMA
 from .upsert import BUCKETS, read_table, upsert
 
@@ -67,16 +71,27 @@ def start_title_ingest_stateful(spark: SparkSession, landing: str, table_path: s
     settings = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB_PROVIDER}
     if state_partitions:
         settings["spark.sql.shuffle.partitions"] = str(state_partitions)
-    before = {k: spark.conf.get(k, None) for k in settings}
-    title = F.sha2(F.coalesce("title", F.lit("")), 256)
-    rows = _stream(spark, landing, max_files_per_trigger).withColumn("_key", F.concat(title, F.col("title").isNull().cast("string")))
-    try:
-        for k, v in settings.items():
-            spark.conf.set(k, v)
+    rows = _stream(spark, landing, max_files_per_trigger).withColumn("_key", fingerprint(F.col("title")))
+    with session_settings(spark, settings):
         return (rows.dropDuplicates(["_key"]).drop("_key")
                 .writeStream.format("parquet").outputMode("append")
                 .option("path", table_path).option("checkpointLocation", checkpoint)
                 .trigger(availableNow=True).start())
+
+
+def fingerprint(title: Column) -> Column:
+    """A fixed-width key of a title; NULL has one of its own."""
+    return F.concat(F.sha2(F.coalesce(title, F.lit("")), 256), title.isNull().cast("string"))
+
+
+@contextmanager
+def session_settings(spark: SparkSession, settings: dict[str, str]):
+    """Session settings for the start of a query, which takes them along; put back after."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        yield
     finally:
         for k, v in before.items():
             if v is None:
@@ -85,6 +100,43 @@ def start_title_ingest_stateful(spark: SparkSession, landing: str, table_path: s
                 spark.conf.set(k, v)
 
 
+def start_title_ingest_keep_first(spark: SparkSession, landing: str, log_path: str, checkpoint: str, max_files_per_trigger: int | None = None,
+                                  state_partitions: int | None = None):
+    """Keep-first ingest with the least id of every title in the state store.
+
+    For each title fingerprint the state holds the least ``ingest_id`` seen.  A row with a smaller one, the first
+    included, is a correction: it goes to the log (Parquet, exactly once), and ``kept_first`` reads the collection
+    from the log.  Which files meet in a batch, and in what order, does not matter: the last correction of a title is
+    its row of least id.  A title's rows of a batch come in chunks, of which one row is kept.  Titles stay in the state
+    (processing-time timers would keep an ``availableNow`` run from ever ending)."""
+    settings = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB_PROVIDER}
+    if state_partitions:
+        settings["spark.sql.shuffle.partitions"] = str(state_partitions)
+    names = COLUMNS
+
+    def corrections(key, chunks, state):
+        best = None
+        for rows in chunks:
+            own = rows.loc[[rows["ingest_id"].idxmin()], names]
+            best = own if best is None or own["ingest_id"].iloc[0] < best["ingest_id"].iloc[0] else best
+        least = int(best["ingest_id"].iloc[0])
+        if not state.exists or least < state.get[0]:
+            state.update((least,))
+            yield best
+
+    rows = _stream(spark, landing, max_files_per_trigger).withColumn("_key", fingerprint(F.col("title")))
+    with session_settings(spark, settings):
+        return (rows.groupBy("_key").applyInPandasWithState(corrections, COLLECTION_SCHEMA, "least bigint", "append", "NoTimeout")
+                .writeStream.format("parquet").outputMode("append")
+                .option("path", log_path).option("checkpointLocation", checkpoint)
+                .trigger(availableNow=True).start())
+
+
+def kept_first(spark: SparkSession, log_path: str) -> DataFrame:
+    """The collection that a log of corrections gives: of each title the row of least id."""
+    return dedupe_titles(spark.read.schema(COLLECTION_SCHEMA).parquet(log_path).dropDuplicates(["ingest_id"]))
+
+
 def _deliveries(collection: DataFrame, overlap: int) -> list[DataFrame]:
     """Upper half of the ingest ids, then the lower half plus the first ``overlap`` ids of the upper again: late rows
     with smaller ids, and an at-least-once re-delivery."""
@@ -109,6 +161,19 @@ def run_title_ingest(spark: SparkSession, collection: DataFrame, base: str, over
     return ingested(spark, table_path)
 
 
+def run_title_ingest_keep_first(spark: SparkSession, collection: DataFrame, base: str, overlap: int = 100,
+                                max_files_per_trigger: int | None = None) -> DataFrame:
+    """The same two deliveries through ``start_title_ingest_keep_first``; returns the collection of its log."""
+    landing, log_path, ckpt = f"{base}/landing", f"{base}/log", f"{base}/checkpoint"
+    deliveries = _deliveries(collection, overlap)
+    if not deliveries:
+        return spark.createDataFrame([], COLLECTION_SCHEMA)
+    for part in deliveries:
+        part.select(*COLUMNS).write.mode("append").json(landing)
+        start_title_ingest_keep_first(spark, landing, log_path, ckpt, max_files_per_trigger).awaitTermination()
+    return kept_first(spark, log_path)
+
+
 def run_title_ingest_stateful(spark: SparkSession, collection: DataFrame, base: str,
                               overlap: int = 100) -> DataFrame:
     """The same two deliveries through ``start_title_ingest_stateful``; returns the ingested table."""

@@ -1,7 +1,8 @@
 import pytest
 
 from citeweave.operators import dedupe
-from citeweave.streaming.ingest import ingested, run_title_ingest, run_title_ingest_stateful, start_title_ingest
+from citeweave.streaming.ingest import (ingested, kept_first, run_title_ingest, run_title_ingest_keep_first, run_title_ingest_stateful,
+                                        start_title_ingest, start_title_ingest_keep_first)
 from conftest import collection, rows
 
 DATA = [(i, f"T{i % 7}" if i % 5 else None, "A", "2021", "s", "j", "N/A", None) for i in range(60)]
@@ -39,3 +40,21 @@ def test_state_store_form_keeps_every_title_once(spark, scratch):
     assert len(titles) == len(set(titles))
     assert sorted(titles, key=str) == sorted({r[1] for r in DATA}, key=str)
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+@pytest.mark.parametrize("files_per_batch", [1, None])
+def test_state_store_keeps_the_first_for_any_order(spark, scratch, files_per_batch):
+    coll = collection(spark, DATA).repartition(5)
+    got = run_title_ingest_keep_first(spark, coll, scratch, overlap=10, max_files_per_trigger=files_per_batch)
+    assert rows(got) == rows(dedupe.dedupe_titles(coll))
+    # a late row of a smaller id corrects, one of a larger id and a re-delivery log nothing
+    log = spark.read.parquet(f"{scratch}/log").count()
+    late = collection(spark, [(-5, "T1", "late", "2020", "s", "j", "N/A", None), (900, "T2", "later", "2020", "s", "j", "N/A", None)])
+    coll.limit(7).unionByName(late).write.mode("append").json(f"{scratch}/landing")
+    start_title_ingest_keep_first(spark, f"{scratch}/landing", f"{scratch}/log", f"{scratch}/checkpoint", files_per_batch).awaitTermination()
+    assert rows(kept_first(spark, f"{scratch}/log")) == rows(dedupe.dedupe_titles(coll.unionByName(late)))
+    assert spark.read.parquet(f"{scratch}/log").count() == log + 1
+
+
+def test_no_deliveries_to_the_state(spark, scratch):
+    assert run_title_ingest_keep_first(spark, collection(spark, []), scratch).count() == 0
