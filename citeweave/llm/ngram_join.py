@@ -179,8 +179,13 @@ MEMBER = ("sig", "node", "component", "n", "sketch")
 
 
 def _arrays(b: pa.RecordBatch) -> dict[str, np.ndarray]:
-    """The columns of members as arrays; sketches as rows of 64-bit words."""
-    out = {c: b.column(c).to_numpy() for c in b.schema.names if c != "sketch"}
+    """The columns of members as arrays; sketches as rows of 64-bit words, lists as arrays of arrays."""
+    out = {c: b.column(c).to_numpy() for c in b.schema.names if c not in ("sketch", "sigs")}
+    if "sigs" in b.schema.names:
+        own = b.column("sigs")
+        out["sigs"] = np.empty(b.num_rows, object)
+        for i, x in enumerate(np.split(own.flatten().to_numpy(), np.cumsum(own.value_lengths().to_numpy())[:-1])):
+            out["sigs"][i] = x
     out["sketch"] = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint64).reshape(b.num_rows, SKETCH // 64)
     return out
 
@@ -213,7 +218,9 @@ def with_leaders(threshold: int, batches: Iterator[pa.RecordBatch]) -> Iterator[
 
 
 def in_tiles(threshold: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b) of two tiles that may be similar and lie in several components; rows sorted by (sig, i, j, tile)."""
+    """(a, b) of two tiles that may be similar and lie in several components; rows sorted by (sig, i, j, tile).
+
+    Two nodes may meet in many groups: they become a row in that of their least common signature."""
     def compared(parts: list[dict]) -> list[tuple[np.ndarray, np.ndarray]]:
         t = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
         out = []
@@ -228,8 +235,11 @@ def in_tiles(threshold: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
             if same:
                 good &= y[None] > x[:, None]
             p, q = np.nonzero(good)
-            if len(p):
-                out.append((t["node"][x[p]], t["node"][y[q]]))
+            p, q = x[p], y[q]
+            sigs, own = t["sigs"], t["sig"][0]
+            once = [np.intersect1d(sigs[u], sigs[v], assume_unique=True)[0] == own for u, v in zip(p.tolist(), q.tolist(), strict=True)]
+            if any(once):
+                out.append((t["node"][p[once]], t["node"][q[once]]))
         return out
     key, parts, found, held = None, [], [], 0
     for batch in batches:
@@ -344,10 +354,12 @@ class Links:
         """Compares all pairs across components in open groups (of at most so many nodes), and returns the other open
         members.  A group of m tiles is m * (m + 1) / 2 pairs of tiles, each of which gets its own copy of the rows."""
         open_ = self.open(members)
-        rows = self.described(open_ if at_most is None else open_.filter(F.col("size") <= at_most))
+        own = open_ if at_most is None else open_.filter(F.col("size") <= at_most)
+        # a node's open signatures: as many as its set gives at most
+        rows = self.described(own).join(own.groupBy("node").agg(F.collect_list("sig").alias("sigs")), "node")
         m = F.ceil(F.col("size") / SMALL_GROUP).cast("int")
-        rows = rows.select(*MEMBER, F.pmod(F.xxhash64("node"), m).cast("int").alias("tile"), F.explode(F.sequence(F.lit(0), m - 1)).alias("other")) \
-            .select(*MEMBER, "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
+        rows = rows.select(*MEMBER, "sigs", F.pmod(F.xxhash64("node"), m).cast("int").alias("tile"), F.explode(F.sequence(F.lit(0), m - 1)).alias("other")) \
+            .select(*MEMBER, "sigs", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
         threshold = self.threshold
         self.compare(rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "tile", "node")
                      .mapInArrow(lambda it: in_tiles(threshold, it), "a bigint, b bigint"))
