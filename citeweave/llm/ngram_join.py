@@ -220,7 +220,7 @@ def with_leaders(threshold: int, batches: Iterator[pa.RecordBatch]) -> Iterator[
 def in_tiles(threshold: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b) of two tiles that may be similar and lie in several components; rows sorted by (sig, i, j, tile).
 
-    Two nodes may meet in many groups: they become a row in that of their least common signature."""
+    Two nodes may meet in many groups: they become a row in that of their least common signature (of this part)."""
     def compared(parts: list[dict]) -> list[tuple[np.ndarray, np.ndarray]]:
         t = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
         out = []
@@ -351,8 +351,8 @@ class Links:
         release(open_)
 
     def tiles(self, members: DataFrame, at_most: int | None = None) -> DataFrame:
-        """Compares all pairs across components in open groups (of at most so many nodes), and returns the other open
-        members.  A group of m tiles is m * (m + 1) / 2 pairs of tiles, each of which gets its own copy of the rows."""
+        """Compares all pairs across components in open groups (of at most so many nodes), and returns the nodes of the
+        other open groups.  A group of m tiles is m * (m + 1) / 2 pairs of tiles, each of which gets its own copy of the rows."""
         open_ = self.open(members)
         own = open_ if at_most is None else open_.filter(F.col("size") <= at_most)
         # a node's open signatures: as many as its set gives at most
@@ -363,7 +363,9 @@ class Links:
         threshold = self.threshold
         self.compare(rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "tile", "node")
                      .mapInArrow(lambda it: in_tiles(threshold, it), "a bigint, b bigint"))
-        return open_.filter(F.lit(False) if at_most is None else F.col("size") > at_most).select("sig", "node")
+        rest = materialize(open_.filter(F.lit(False) if at_most is None else F.col("size") > at_most).select("node").distinct(), "join-rest")
+        release(open_)
+        return rest
 
     def find(self, signed: DataFrame) -> DataFrame:
         """(node, component) of the nodes that some similar pair links.  ``signed``: (node, sigs); copies do no harm."""
@@ -378,15 +380,20 @@ class Links:
         nodes = materialize(members.join(nodes, "sig", "left_semi").select("node").distinct(), "join-nodes")
         self.items = materialize(chosen_sets(self.docs, self.text, self.n, key_filter(nodes)), "join-sets")
         release(nodes)
-        for i in range(PASSES):         # what one part links need not be compared again in the next, and takes no room there
-            self.leaders(members.filter(F.pmod(F.xxhash64("sig"), F.lit(PASSES)) == i))
-        rest = materialize(self.tiles(members, SMALL_GROUP).select("node").distinct(), "join-rest")
+        def parts(of: DataFrame) -> list[DataFrame]:
+            """What one part links need not be compared again in the next, and takes no room there."""
+            return [of.filter(F.pmod(F.xxhash64("sig"), F.lit(PASSES)) == i) for i in range(PASSES)]
+        for part in parts(members):
+            self.leaders(part)
+        rest = reduce(DataFrame.unionByName, [self.tiles(part, SMALL_GROUP) for part in parts(members)]).distinct()
         release(members)
         if not rest.isEmpty():
             # groups larger than a tile that still hold several components: their nodes again, by the rarest features
             rare = materialize(rare_features(self.items.join(rest, "node", "left_semi"), self.threshold), "join-rare")
-            self.leaders(rare)
-            self.tiles(rare)
+            for part in parts(rare):
+                self.leaders(part)
+            for part in parts(rare):
+                self.tiles(part)
             release(rare)
         release(self.items)
         if self.labels is None:
