@@ -104,37 +104,42 @@ def start_title_ingest_keep_first(spark: SparkSession, landing: str, log_path: s
                                   state_partitions: int | None = None):
     """Keep-first ingest with the least id of every title in the state store.
 
-    For each title fingerprint the state holds the least ``ingest_id`` seen.  A row with a smaller one, the first
-    included, is a correction: it goes to the log (Parquet, exactly once), and ``kept_first`` reads the collection
-    from the log.  Which files meet in a batch, and in what order, does not matter: the last correction of a title is
-    its row of least id.  A title's rows of a batch come in chunks, of which one row is kept.  Titles stay in the state
-    (processing-time timers would keep an ``availableNow`` run from ever ending)."""
+    For each title fingerprint the state holds the least ``ingest_id`` seen, the time of the batch that brought it and
+    its file.  A row with a smaller id, the first included, is a correction: its least id bears its own batch's time.  It
+    goes to the log (Parquet, a folder a batch, which a batch that runs again replaces), and ``kept_first`` reads the
+    collection from the log.  Which files meet in a batch, and in what order, does not matter: the last correction of a
+    title is its row of least id.  Only keys meet the state; the rows come from the batch's files by a join.  Rows
+    without an id take no part.  Titles stay in the state (processing-time timers would keep an ``availableNow`` run
+    from ever ending)."""
     settings = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB_PROVIDER}
     if state_partitions:
         settings["spark.sql.shuffle.partitions"] = str(state_partitions)
-    names = COLUMNS
-
-    def corrections(key, chunks, state):
-        best = None
-        for rows in chunks:
-            own = rows.loc[[rows["ingest_id"].idxmin()], names]
-            best = own if best is None or own["ingest_id"].iloc[0] < best["ingest_id"].iloc[0] else best
-        least = int(best["ingest_id"].iloc[0])
-        if not state.exists or least < state.get[0]:
-            state.update((least,))
-            yield best
-
-    rows = _stream(spark, landing, max_files_per_trigger).withColumn("_key", fingerprint(F.col("title")))
+    file, batch_time = F.col("_metadata.file_path"), F.current_timestamp()      # one time for a batch, also when it runs again
+
+    def log_corrections(found: DataFrame, batch_id: int) -> None:
+        found.persist()                  # the state is updated once
+        try:
+            files = [r["_file"] for r in found.select("_file").distinct().collect()]
+            rows = (found.sparkSession.read.schema(COLLECTION_SCHEMA).json(landing).where(file.isin(files))
+                    .withColumns({"_key": fingerprint(F.col("title")), "_file": file}))
+            (rows.join(found, ["ingest_id", "_key", "_file"], "left_semi").select(*COLUMNS)
+             .write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}"))
+        finally:
+            found.unpersist()
+
+    rows = (_stream(spark, landing, max_files_per_trigger).where("ingest_id IS NOT NULL")
+            .select(fingerprint(F.col("title")).alias("_key"), "ingest_id", batch_time.alias("_seen"), file.alias("_file")))
+    least = (rows.groupBy("_key").agg(F.min(F.struct("ingest_id", "_seen", "_file")).alias("least"))
+             .where(F.col("least._seen") == batch_time).select("_key", "least.ingest_id", "least._file"))
     with session_settings(spark, settings):
-        return (rows.groupBy("_key").applyInPandasWithState(corrections, COLLECTION_SCHEMA, "least bigint", "append", "NoTimeout")
-                .writeStream.format("parquet").outputMode("append")
-                .option("path", log_path).option("checkpointLocation", checkpoint)
+        return (least.writeStream.outputMode("update").foreachBatch(log_corrections)
+                .option("checkpointLocation", checkpoint)
                 .trigger(availableNow=True).start())
 
 
 def kept_first(spark: SparkSession, log_path: str) -> DataFrame:
     """The collection that a log of corrections gives: of each title the row of least id."""
-    return dedupe_titles(spark.read.schema(COLLECTION_SCHEMA).parquet(log_path).dropDuplicates(["ingest_id"]))
+    return dedupe_titles(spark.read.schema(COLLECTION_SCHEMA).parquet(log_path).select(*COLUMNS).dropDuplicates(["ingest_id"]))
 
 
 def _deliveries(collection: DataFrame, overlap: int) -> list[DataFrame]:

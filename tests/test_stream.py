@@ -58,3 +58,14 @@ def test_state_store_keeps_the_first_for_any_order(spark, scratch, files_per_bat
 
 def test_no_deliveries_to_the_state(spark, scratch):
     assert run_title_ingest_keep_first(spark, collection(spark, []), scratch).count() == 0
+
+
+def test_keep_first_state_is_sparks_own(spark, scratch):
+    """Titles meet the state in Spark's own aggregate: one call into Python for a title took minutes at scale."""
+    coll = collection(spark, DATA + [DATA[3]])
+    coll.repartition(3).write.json(f"{scratch}/landing")
+    spark.createDataFrame([('{"title": "no id", "authors": "A"}',)], "value string").write.mode("append").text(f"{scratch}/landing")
+    q = start_title_ingest_keep_first(spark, f"{scratch}/landing", f"{scratch}/log", f"{scratch}/checkpoint")
+    q.awaitTermination()
+    assert q.lastProgress["stateOperators"][0]["operatorName"] == "stateStoreSave"
+    assert rows(kept_first(spark, f"{scratch}/log")) == rows(dedupe.dedupe_titles(collection(spark, DATA)))
