@@ -40,7 +40,8 @@ def _author_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"))
     sup = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     order_key: list[Column] = [F.col("l_linenumber"), F.col("l_suppkey"), F.col("s_name"), F.col("l_partkey")]
-    return (lines.join(sup, lines.l_suppkey == sup.s_suppkey)
+    # dealt out by order before the lists are built: a task lists what one partition holds, not all lines of a split
+    return (lines.join(sup, lines.l_suppkey == sup.s_suppkey).repartition("l_orderkey")
             .groupBy("l_orderkey")
             .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order_key))),
                                           lambda x: x["s_name"]), ", ").alias("authors"),
@@ -55,12 +56,14 @@ def build_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     cust = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    # narrow rows meet the dimensions first; the joins on the order's key come last and share one partitioning, so that
+    # authors and texts move once whatever the sizes of the dimensions
     auth = _author_lists(spark, sf_dir)
-    j = (orders.join(docs, orders.o_orderkey == docs.doc_id, "left")
-         .join(cust, orders.o_custkey == cust.c_custkey)
-         .join(nation, cust.c_nationkey == nation.n_nationkey, "left")
-         .join(auth, orders.o_orderkey == auth.l_orderkey, "left")
-         .join(part, auth.first_part == part.p_partkey, "left"))
+    auth = auth.join(part, auth.first_part == part.p_partkey, "left")
+    head = (orders.join(cust, orders.o_custkey == cust.c_custkey)
+            .join(nation, cust.c_nationkey == nation.n_nationkey, "left"))
+    j = (head.join(auth, orders.o_orderkey == auth.l_orderkey, "left")
+         .join(docs, orders.o_orderkey == docs.doc_id, "left"))
     return j.select(
         F.col("o_orderkey").cast("bigint").alias("ingest_id"),
         F.coalesce(F.concat(F.substring_index("text", "\n", 1), F.lit(" #"), F.md5("text")),

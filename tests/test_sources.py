@@ -185,3 +185,11 @@ def test_open_elements(spark):
 
 def test_pages_without_html(spark):
     assert extract_articles(spark.createDataFrame([(1, ACM, None), (2, None, "<article><h1>x</h1></article>")], PAGE_SCHEMA)).count() == 0
+
+
+def test_texts_join_last(spark):
+    """Whatever the sizes of the dimensions, a text moves once: the join with the documents is the topmost."""
+    from citeweave.sources.articles import build_articles
+    plan = build_articles(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert len(joins) == 6 and "doc_id" in joins[0]
