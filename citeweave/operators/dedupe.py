@@ -88,23 +88,24 @@ def insert_if_absent(batch: DataFrame, existing: DataFrame, key: str = "title",
     The batch is deduplicated first (one insert per title, the first one);
     the title test is NULL-safe, like a unique index that treats a missing
     title as one value.  Append the result to the table to apply it.  The
-    table's distinct titles, reduced map-side, are joined against the batch;
+    table's distinct titles, reduced map-side, are joined against the batch's
+    titles and first ids; the batch's rows move once, to meet the ids that stay.
     Spark broadcasts a side only by its measured size.
     """
     keys = ["_k", "_kn"]
-    # distinct and anti-join share the hash partitioning on (_k, _kn): the
-    # table side is shuffled once
+    # distinct, first ids and anti-join share the hash partitioning on (_k, _kn)
     present = _null_safe_keys(existing, key).distinct()
-    return (dedupe_titles(batch, key, order)
-            .withColumns({"_k": F.coalesce(F.col(key), F.lit("")), "_kn": F.col(key).isNull()})
-            .join(present, keys, "left_anti").drop(*keys))
+    first = _null_safe_keys(batch, key, order).groupBy(*keys).agg(F.min(order).alias(order))
+    rows = batch.withColumns({"_k": F.coalesce(F.col(key), F.lit("")), "_kn": F.col(key).isNull()})
+    return (rows.join(first.join(present, keys, "left_anti"), [order, *keys], "left_semi")
+            .select(*batch.columns))
 
 
-def _null_safe_keys(df: DataFrame, key: str) -> DataFrame:
+def _null_safe_keys(df: DataFrame, key: str, *keep: str) -> DataFrame:
     """(coalesce(key, ''), key IS NULL): equal exactly when the keys are equal or both NULL,
     as plain equi-join columns (a ``<=>`` condition is rewritten to keys that do not match
     the partitioning of a preceding distinct)."""
-    return df.select(F.coalesce(F.col(key), F.lit("")).alias("_k"), F.col(key).isNull().alias("_kn"))
+    return df.select(F.coalesce(F.col(key), F.lit("")).alias("_k"), F.col(key).isNull().alias("_kn"), *keep)
 
 
 def union_sources(frames: list[DataFrame], order: str = "ingest_id") -> DataFrame:

@@ -71,3 +71,13 @@ def test_union_sources_rebases_ids_and_fills_missing(spark):
     got = sorted((r["ingest_id"], r["affiliations"]) for r in u.collect())
     assert got == [(1, None), (2, None), ((1 << 48) + 1, None)]
     assert dedupe.dedupe_titles(u.where(F.col("title") == "")).first()["ingest_id"] == 1
+
+
+def test_insert_moves_rows_once(spark):
+    data = [(1, "A", "a", "2021", "s", "j", "N/A", None), (2, "A", "b", "2021", "s", "j", "N/A", None), (3, None, "c", "2021", "s", "j", "N/A", None),
+            (4, None, "d", "2021", "s", "j", "N/A", None), (5, "B", "e", "2021", "s", "j", "N/A", None)]
+    out = dedupe.insert_if_absent(collection(spark, data), collection(spark, [(9, "B", "z", "2021", "s", "j", "N/A", None)]))
+    assert sorted(r["ingest_id"] for r in out.collect()) == [1, 3]
+    # only the join with the ids that stay meets whole rows
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in next(line for line in plan.splitlines() if "Join " in line)
