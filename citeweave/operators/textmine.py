@@ -13,9 +13,8 @@ driver:
 
 * term frequency  = count per (doc, term); where the documents come dealt out by
                     id (``land_terms``) no row moves for it
-* vocabulary      = top ``VOCAB_SIZE`` terms by (count desc, term asc): candidates
-                    from a sketch of bounded size, then their exact counts
-                    (the stable tie-break replaces CountVectorizer's arbitrary
+* vocabulary      = top ``VOCAB_SIZE`` terms by (count desc, term asc), counted map-side
+                    first (the stable tie-break replaces CountVectorizer's arbitrary
                     order at the cut)
 * idf             = ln((N + 1) / (df + 1)), as Spark ML's IDF
 * tf-idf          = tf * idf
@@ -113,9 +112,13 @@ def land_terms(docs: DataFrame, tokenizer=tokenize) -> DataFrame:
     """``doc_term_counts`` of documents (doc_id, text_content), landed in buckets of documents.
 
     Texts are dealt out by document once, before they are split into words: counting then needs no exchange, and
-    neither do windows over a document in what is read from here."""
+    neither do windows over a document in what is read from here.  Stop words of one list go after the split, in
+    whole-stage codegen; those of a document's own language go by ``tokenizer``."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return materialize_bucketed(doc_term_counts(tokenizer(docs.repartition(n, "doc_id"))), "terms", n, "doc_id")
+    tokens = tokenizer(docs.repartition(n, "doc_id"))
+    counts = content_terms(tokens, "doc_id").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")) if tokenizer is tokenize \
+        else doc_term_counts(tokens)
+    return materialize_bucketed(counts, "terms", n, "doc_id")
 
 
 def term_stats(dtc: DataFrame, min_df: int = MIN_DF) -> DataFrame:
@@ -149,24 +152,12 @@ def frequent(items: DataFrame, k: int, tracked: int = TRACKED) -> tuple[list[str
     return [r["item"] for r in top], max(2 * off, top[-1]["count"] if len(top) == k else 0)
 
 
-CANDIDATES = 8               # candidates for each place of the vocabulary
-
-
 def vocabulary(dtc: DataFrame, size: int = VOCAB_SIZE, min_df: int = MIN_DF) -> DataFrame:
     """M3: (term_index, term, term_count, doc_freq) of the ``size`` most frequent terms.
 
-    Candidates come from a sketch and are counted exactly, so only they are shuffled.  No other term is more frequent
-    than the sketch's bound; where the last place is not above it (small or flat corpora), all terms are counted.
-    The candidates (at most ``CANDIDATES * size`` strings) pass through the driver."""
-    names, bound = frequent(dtc.select(F.explode(F.array_repeat("term", F.col("tf").cast("int")))), CANDIDATES * size)
-    stats = None
-    if names:
-        wanted = dtc.sparkSession.createDataFrame([(t,) for t in names], "term string")
-        stats = materialize(term_stats(dtc.join(F.broadcast(wanted), "term"), min_df), "candidate_terms")
-        last = stats.orderBy(F.desc("term_count")).offset(size - 1).limit(1).select("term_count").first()
-        if bound and (last is None or last[0] <= bound):
-            stats = None
-    top = (term_stats(dtc, min_df) if stats is None else stats).orderBy(F.desc("term_count"), F.asc("term")).limit(size)
+    All terms are counted, reduced map-side: one pass in whole-stage codegen, where a sketch of candidates first took
+    a pass over every token and then another to count them."""
+    top = term_stats(dtc, min_df).orderBy(F.desc("term_count"), F.asc("term")).limit(size)
     # at most ``size`` rows: one small partition for the index numbering
     rank = F.row_number().over(Window.orderBy(F.desc("term_count"), F.asc("term"))) - 1
     return top.select(rank.alias("term_index"), "term", "term_count", "doc_freq")
