@@ -216,14 +216,27 @@ def _language_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textmine.tokenize_by_language(docs)
 
 
+_LANGUAGE_VOCABULARIES: dict[tuple[str, str], DataFrame] = {}
+
+
+def _language_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vocabulary without the stop words of each document's language, landed once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    docs = textmine.valid_abstracts(measured_articles(spark, sf_dir), keep=("lang",))
+    with _LOCK:
+        if key not in _LANGUAGE_VOCABULARIES:
+            terms = textmine.land_terms(docs, textmine.tokenize_by_language)
+            _LANGUAGE_VOCABULARIES[key] = materialize(textmine.vocabulary(terms), "lda_vocabulary")
+        return _LANGUAGE_VOCABULARIES[key]
+
+
 def _lda(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lda_topics(_language_tokens(spark, sf_dir))
+    return lda_topics(_language_tokens(spark, sf_dir), _language_vocabulary(spark, sf_dir))
 
 
 def _lda_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    toks = _language_tokens(spark, sf_dir)
-    vocab = materialize(textmine.vocabulary(textmine.doc_term_counts(toks)), "lda_vocabulary")
-    return topic_facts(lda_topics(toks, vocab), vocab)
+    vocab = _language_vocabulary(spark, sf_dir)
+    return topic_facts(lda_topics(_language_tokens(spark, sf_dir), vocab), vocab)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -214,3 +214,18 @@ def test_landed_terms_need_no_exchange(spark):
     assert sorted(map(tuple, landed.collect())) == sorted(map(tuple, textmine.doc_term_counts(textmine.tokenize(d)).collect()))
     by_doc = landed.groupBy("doc_id").agg(F.sum("tf"))
     assert "Exchange" not in by_doc._jdf.queryExecution().executedPlan().toString()
+
+
+def test_vocabulary_takes_no_sketch(spark, monkeypatch):
+    dtc = textmine.doc_term_counts(textmine.tokenize(zipf_docs(spark)))
+    monkeypatch.setattr(textmine, "frequent", None)          # a pass over every token
+    assert textmine.vocabulary(dtc, 5).count() == 5
+
+
+def test_language_vocabulary_is_landed_once(spark):
+    from citeweave.plans import catalog
+    sf = "/root/testdata/sf0.001"
+    once = catalog._language_vocabulary(spark, sf)
+    assert catalog._language_vocabulary(spark, sf) is once
+    own = textmine.vocabulary(textmine.doc_term_counts(catalog._language_tokens(spark, sf)))
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, own.collect()))
