@@ -42,7 +42,7 @@ def _names(df: DataFrame, id_col: str) -> DataFrame:
 
 def pair_tiles(df: DataFrame, id_col: str = "ingest_id", chunk: int = PAIR_CHUNK) -> DataFrame:
     """One row per paper and pair of tiles x <= y of its sorted distinct names: the names ``a`` and ``b`` of the two
-    tiles, and (in the first row) the names listed twice."""
+    tiles, and (where these are one tile) the paper's names listed twice."""
     last = F.greatest(F.floor((F.col("m") - 1) / chunk).cast("int"), F.lit(0))
     tiles = F.flatten(F.transform(F.sequence(F.lit(0), last), lambda i: F.transform(
         F.sequence(i, last), lambda j: F.struct(i.alias("x"), j.alias("y")))))
@@ -50,7 +50,7 @@ def pair_tiles(df: DataFrame, id_col: str = "ingest_id", chunk: int = PAIR_CHUNK
             .select("paper", F.col("t.x").alias("x"), F.col("t.y").alias("y"),
                     F.slice("d", F.col("t.x") * chunk + 1, F.lit(chunk)).alias("a"),
                     F.slice("d", F.col("t.y") * chunk + 1, F.lit(chunk)).alias("b"),
-                    F.when((F.col("t.x") == 0) & (F.col("t.y") == 0), F.col("loops")).otherwise(F.array().cast("array<string>")).alias("loops")))
+                    F.when(F.col("t.x") == F.col("t.y"), F.col("loops")).otherwise(F.array().cast("array<string>")).alias("loops")))
 
 
 def paper_pairs(df: DataFrame, id_col: str = "ingest_id", chunk: int = PAIR_CHUNK) -> DataFrame:
@@ -63,14 +63,12 @@ def paper_pairs(df: DataFrame, id_col: str = "ingest_id", chunk: int = PAIR_CHUN
     rows = pair_tiles(df, id_col, chunk)
     if not df.where(F.size(F.split("authors", ",")) > chunk).isEmpty():
         rows = rows.repartition("paper", "x", "y")
-    pair = lambda s, t: F.struct(s.alias("src"), t.alias("dst"))
-    a, b = F.col("a"), F.col("b")
-    same = F.flatten(F.transform(a, lambda s, i: F.transform(F.slice(a, i + 2, F.size(a)), lambda t: pair(s, t))))
-    apart = F.flatten(F.transform(a, lambda s: F.transform(b, lambda t: pair(s, t))))
-    loops = F.transform("loops", lambda s: pair(s, s))
-    return (rows.select("paper", F.explode_outer(F.concat(F.when(F.col("x") == F.col("y"), same).otherwise(apart), loops)).alias("e"))
-            .where(F.col("e").isNotNull())
-            .select("paper", "e.src", "e.dst"))
+    # a row per name, then per partner: both in whole-stage codegen, where nested lambdas are interpreted
+    same = F.concat(F.slice("b", F.col("i") + 2, F.size("b")), F.when(F.array_contains("loops", F.col("src")), F.array("src"))
+                    .otherwise(F.array().cast("array<string>")))
+    return (rows.select("paper", "x", "y", "b", "loops", F.posexplode_outer("a").alias("i", "src"))
+            .select("paper", "src", F.explode_outer(F.when(F.col("x") == F.col("y"), same).otherwise(F.col("b"))).alias("dst"))
+            .where(F.col("dst").isNotNull()))
 
 
 def coauthor_edges(df: DataFrame, id_col: str = "ingest_id", chunk: int = PAIR_CHUNK) -> DataFrame:

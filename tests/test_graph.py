@@ -74,3 +74,12 @@ def test_one_scan_and_bounded_rows(spark, scratch):
     sizes = tiles.selectExpr("max(size(a)) x", "max(size(b)) y", "count(*) n").first()
     last = -(-n // graph.PAIR_CHUNK)
     assert (sizes.x, sizes.y, sizes.n) == (graph.PAIR_CHUNK, graph.PAIR_CHUNK, last * (last + 1) // 2)
+
+
+def test_pairs_by_rows_over_tiles(spark):
+    names = ["Ann", "Bob", "Cid", "Dan", "Eve", "Fay", "Eve", "Ann"]
+    pairs = graph.paper_pairs(frame(spark, [(1, ", ".join(names)), (2, "Solo"), (3, None)]), chunk=2)
+    d = sorted(set(names))
+    assert sorted((r["src"], r["dst"]) for r in pairs.collect()) == sorted(
+        [(a, b) for i, a in enumerate(d) for b in d[i + 1:]] + [("Ann", "Ann"), ("Eve", "Eve")])
+    assert "posexplode" in pairs._jdf.queryExecution().executedPlan().toString()
