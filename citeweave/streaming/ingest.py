@@ -161,7 +161,7 @@ def run_title_ingest(spark: SparkSession, collection: DataFrame, base: str, over
     landing, table_path, ckpt = f"{base}/landing", f"{base}/table", f"{base}/checkpoint"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for part in _deliveries(collection, overlap):
-        part.select(*COLUMNS).write.mode("append").json(landing)
+        part.select(*COLUMNS).write.mode("append").json(landing, compression="gzip")
         start_title_ingest(spark, landing, table_path, ckpt, max_files_per_trigger, buckets).awaitTermination()
     return ingested(spark, table_path)
 
@@ -174,7 +174,7 @@ def run_title_ingest_keep_first(spark: SparkSession, collection: DataFrame, base
     if not deliveries:
         return spark.createDataFrame([], COLLECTION_SCHEMA)
     for part in deliveries:
-        part.select(*COLUMNS).write.mode("append").json(landing)
+        part.select(*COLUMNS).write.mode("append").json(landing, compression="gzip")
         start_title_ingest_keep_first(spark, landing, log_path, ckpt, max_files_per_trigger).awaitTermination()
     return kept_first(spark, log_path)
 
@@ -187,6 +187,6 @@ def run_title_ingest_stateful(spark: SparkSession, collection: DataFrame, base:
     if not deliveries:
         return spark.createDataFrame([], COLLECTION_SCHEMA)
     for part in deliveries:
-        part.select(*COLUMNS).write.mode("append").json(landing)
+        part.select(*COLUMNS).write.mode("append").json(landing, compression="gzip")
         start_title_ingest_stateful(spark, landing, table_path, ckpt).awaitTermination()
     return spark.read.schema(COLLECTION_SCHEMA).parquet(table_path)

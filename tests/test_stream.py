@@ -1,3 +1,5 @@
+import os
+
 import pytest
 
 from citeweave.operators import dedupe
@@ -69,3 +71,11 @@ def test_keep_first_state_is_sparks_own(spark, scratch):
     q.awaitTermination()
     assert q.lastProgress["stateOperators"][0]["operatorName"] == "stateStoreSave"
     assert rows(kept_first(spark, f"{scratch}/log")) == rows(dedupe.dedupe_titles(collection(spark, DATA)))
+
+
+@pytest.mark.parametrize("run", [run_title_ingest, run_title_ingest_keep_first, run_title_ingest_stateful])
+def test_deliveries_land_compressed(spark, scratch, run):
+    coll = collection(spark, DATA)
+    assert run(spark, coll, scratch, overlap=10).count() == dedupe.dedupe_titles(coll).count()
+    landed = [f for f in os.listdir(f"{scratch}/landing") if f.startswith("part-")]
+    assert landed and all(f.endswith(".json.gz") for f in landed)
