@@ -24,7 +24,7 @@ from ..functions.years import clean_year, is_exact_year
 from ..operators import cube_states, dedupe, graph, olap, stats, textmine, warehouse
 from ..operators.lda import lda_topics, topic_facts
 from ..operators.warehouse import fact_columns
-from ..session import materialize, work_path
+from ..session import landings, materialize, work_path
 from ..schema import FACT_SCHEMA
 from ..sources.articles import articles, measured_articles
 from ..sources.documents import columns, fields, land_documents, write_arrays
@@ -46,7 +46,7 @@ KEYWORDS_PER_DOC = 5
 WORD_CLOUD_TERMS = 100
 WEAK_SIGNALS = 20
 
-_FACTS: dict[tuple[str, str], str] = {}
+_FACTS: dict[tuple[str, str], str] = landings()
 _LOCK = threading.Lock()
 
 
@@ -73,7 +73,7 @@ def dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return olap.olap_slice(fact_table(spark, sf_dir), DASHBOARD)
 
 
-_CELLS: dict[tuple[str, str], DataFrame] = {}
+_CELLS: dict[tuple[str, str], DataFrame] = landings()
 
 
 def cube_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +105,7 @@ def _tokens(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> Dat
     return textmine.tokenize(textmine.valid_abstracts(articles(spark, sf_dir), keep=keep))
 
 
-_TERMS: dict[tuple[str, str], DataFrame] = {}
+_TERMS: dict[tuple[str, str], DataFrame] = landings()
 
 
 def terms_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,7 +216,7 @@ def _language_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textmine.tokenize_by_language(docs)
 
 
-_LANGUAGE_VOCABULARIES: dict[tuple[str, str], DataFrame] = {}
+_LANGUAGE_VOCABULARIES: dict[tuple[str, str], DataFrame] = landings()
 
 
 def _language_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:

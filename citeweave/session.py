@@ -135,8 +135,20 @@ def spread(df, factor: int = 1):
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
 
 
+_LANDINGS: list[dict] = []
+
+
+def landings() -> dict:
+    """A dictionary of what has been landed, which ``clear_work`` empties."""
+    _LANDINGS.append({})
+    return _LANDINGS[-1]
+
+
 def clear_work(spark: SparkSession) -> None:
-    """Remove what this application has landed below the shared folder, once its results have been read."""
+    """Remove what this application has landed below the shared folder, once its results have been read; what is asked
+    for after that is landed anew."""
+    for known in _LANDINGS:
+        known.clear()
     jvm = spark._jvm
     path = jvm.org.apache.hadoop.fs.Path(work_path(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

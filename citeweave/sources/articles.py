@@ -25,12 +25,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import MISSING_ABSTRACT, UNKNOWN_AUTHORS, UNKNOWN_TITLE
-from ..session import spread, work_path
+from ..session import landings, spread, work_path
 from .tables import table
 
 MEASURES = ("country", "citations", "impact_score", "lang")
 
-_LANDED: dict[tuple[str, str], str] = {}
+_LANDED: dict[tuple[str, str], str] = landings()
 _LOCK = threading.Lock()
 
 

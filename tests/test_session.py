@@ -35,3 +35,12 @@ def test_clear_work_removes_what_was_landed(spark):
     from citeweave.sources import articles
     articles._LANDED.clear()
     catalog._FACTS.clear()
+
+
+def test_cleared_work_is_landed_anew(spark):
+    from citeweave.plans import catalog
+    from citeweave.session import clear_work
+    sf = "/root/testdata/sf0.001"
+    first = catalog.terms_table(spark, sf).count()
+    clear_work(spark)
+    assert catalog.terms_table(spark, sf).count() == first > 0
