@@ -11,7 +11,8 @@ most, so it shares at least one; parts are a tenth more than that, and empty one
 are signed only by sets that have more of them than that tenth.
 
 Sets that are equal are one node from the start.  Signatures seen once are left
-out by a broadcast bit filter of bounded size.  The nodes of a signature are
+out by a broadcast bit filter of bounded size, part by part of the signatures.  Of
+signatures that the same nodes have one is kept.  The nodes of a signature are
 first compared with one leader, its smallest node, so a group of n costs n
 comparisons; real copies come together here.  Groups that still hold several
 components are then compared whole, in tiles: a task gets two tiles of at most
@@ -54,7 +55,11 @@ SLOTS = 1 << 20                   # counters that order the features of large gr
 SKETCH = 512                      # bits of a set's parity sketch, a power of two
 SMALL_GROUP = 1024                # nodes of a tile, of which a task compares all pairs
 COUNTED = (1 << 44) - 1           # bits by which signatures are counted; equal ones of different sets cost rows, no result
-PASSES = 4                        # parts of the signatures that are compared one after the other
+COLUMNS = 8                       # columns that signatures are landed in, so that a part of them is read alone
+SIGNED_AT_ONCE = 16_000_000       # signatures counted at once, up to COLUMNS parts
+PASSES = 8                        # most parts of the groups that are compared one after the other
+MEMBERS_AT_ONCE = 4_000_000       # rows of a part, up to PASSES parts
+FEATURES_IN_STEP = 8_000_000      # features of pairs whose sets are moved at once, or an eighth of all if that is more
 STRIP = 64                        # rows of a tile that are compared with another at once
 PAIRS_AT_ONCE = 100_000           # pairs of which a task drops repeated ones at once
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -133,8 +138,21 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
 
 
+def _dealt(arrays: list[np.ndarray]) -> list[pa.ListArray]:
+    """The arrays' values dealt into COLUMNS columns of lists by their lowest bits."""
+    flat = np.concatenate(arrays) if arrays else np.empty(0, np.uint64)
+    row, column = np.repeat(np.arange(len(arrays)), [len(a) for a in arrays]), flat & np.uint64(COLUMNS - 1)
+    out = []
+    for c in range(COLUMNS):
+        own = column == c
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row[own], minlength=len(arrays)))]).astype(np.int32)
+        out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[own].view(np.int64))))
+    return out
+
+
 def sets(docs: DataFrame, text: str, doc_id: str, n: int, threshold: int) -> DataFrame:
-    """doc_id, digest (of the text, null for null), n_shingles, node (null for an empty set) and sigs; no texts."""
+    """doc_id, digest (of the text, null for null), n_shingles, node (null for an empty set) and the signatures in
+    COLUMNS columns sigs0, sigs1, ...; no texts."""
     df = docs.select(F.col(doc_id).alias("doc_id"), F.md5(text).alias("digest"), F.col(text).alias("text"))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,9 +161,10 @@ def sets(docs: DataFrame, text: str, doc_id: str, n: int, threshold: int) -> Dat
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([len(s) for s in got], pa.int64()),
                  pa.array([node_of(s) if len(s) else None for s in got], pa.int64()),
-                 _lists([signatures(s, threshold) for s in got])], names=["doc_id", "digest", "n_shingles", "node", "sigs"])
+                 *_dealt([signatures(s, threshold) for s in got])], names=["doc_id", "digest", "n_shingles", "node", *names])
+    names = [f"sigs{c}" for c in range(COLUMNS)]
     return df.mapInArrow(made, StructType(df.schema.fields[:2] + StructType.fromDDL(
-        "n_shingles bigint, node bigint, sigs array<bigint>").fields))
+        "n_shingles bigint, node bigint, " + ", ".join(f"{c} array<bigint>" for c in names)).fields))
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -155,17 +174,25 @@ def sketch(s: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def chosen_sets(docs: DataFrame, text: str, n: int, wanted) -> DataFrame:
-    """(node, items, sketch) of the nodes that pass the filter ``wanted``, one row each."""
+def chosen_sets(docs: DataFrame, text: str, n: int, wanted, several) -> DataFrame:
+    """(node, n, items, sketch) of the nodes that pass the filter ``wanted``, one row each; landed.
+
+    Nodes that are not in the filter ``several``, of nodes with more than one row, stay where they are; only sets of
+    the others are moved to find their copies, those of one task once."""
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()                                 # copied nodes of this task's rows
         for b in slices(batches):
             got = {node_of(s): s for s in (shingles(t, n) for t in b.column(0).to_pylist()) if len(s)}
-            keys = np.fromiter(got, np.int64, len(got))
+            keys = np.fromiter((k for k in got if k not in done), np.int64)
             keys = keys[maybe(wanted.value, keys)]
+            copied = maybe(several.value, keys)
+            done.update(keys[copied].tolist())
             sets = [got[k] for k in keys.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(keys), _lists(sets), pa.array([sketch(s) for s in sets], pa.binary())],
-                                             names=["node", "items", "sketch"])
-    return docs.select(text).mapInArrow(made, "node bigint, items array<bigint>, sketch binary").dropDuplicates(["node"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([len(s) for s in sets], pa.int64()), _lists(sets), pa.array(
+                [sketch(s) for s in sets], pa.binary()), pa.array(copied)], names=["node", "n", "items", "sketch", "copied"])
+    found = materialize(docs.select(text).mapInArrow(made, "node bigint, n bigint, items array<bigint>, sketch binary, copied boolean"), "join-found")
+    once = materialize(found.filter("copied").drop("copied").dropDuplicates(["node"]), "join-sets")
+    return found.filter("NOT copied").drop("copied").unionByName(once)
 
 
 def may_link(nx: np.ndarray, x: np.ndarray, ny: np.ndarray, y: np.ndarray, threshold: int) -> np.ndarray:
@@ -319,6 +346,7 @@ class Links:
         self.docs, self.text, self.n, self.threshold = docs, text, n, threshold
         self.labels: DataFrame | None = None          # (node, component) of the links found, None before the first
         self.items: DataFrame | None = None
+        self.nodes = self.features = 0                # rows of items, and features in them
 
     def open(self, members: DataFrame) -> DataFrame:
         """Members with their components, of the groups that hold several; with the group's size."""
@@ -330,17 +358,20 @@ class Links:
         return materialize(state.join(group.filter("lo <> hi").select("sig", "size"), "sig"), "join-open")
 
     def compare(self, pairs: DataFrame) -> None:
+        """Adds the links among the pairs; in steps, as each pair moves its two sets."""
         pairs = materialize(pairs.distinct(), "join-pairs")
-        if not pairs.isEmpty():
-            new = materialize(similar(pairs, self.items, self.threshold), "join-links")
-            if not new.isEmpty():
-                known = [] if self.labels is None else [self.labels.select(F.col("node").alias("a"), F.col("component").alias("b"))]
-                self.labels = components(reduce(DataFrame.unionByName, [new, *known]), "join-comp")
-            release(new)
+        if rows := pairs.count():
+            steps = min(2 * PASSES, -(-rows * self.features // self.nodes // max(FEATURES_IN_STEP, self.features // 8)))
+            new = [materialize(similar(part, self.items, self.threshold), "join-links") for part in dealt(pairs, steps, "a", "b")]
+            known = [] if self.labels is None else [self.labels.select(F.col("node").alias("a"), F.col("component").alias("b"))]
+            if any([not links.isEmpty() for links in new]):
+                self.labels = components(reduce(DataFrame.unionByName, [*new, *known]), "join-comp")
+            for links in new:
+                release(links)
         release(pairs)
 
     def described(self, open_: DataFrame) -> DataFrame:
-        return open_.join(self.items.select("node", F.size("items").cast("bigint").alias("n"), "sketch"), "node")
+        return open_.join(self.items.select("node", "n", "sketch"), "node")
 
     def leaders(self, members: DataFrame) -> None:
         """Compares each open group's smallest node with its others."""
@@ -367,29 +398,44 @@ class Links:
         release(open_)
         return rest
 
-    def find(self, signed: DataFrame) -> DataFrame:
-        """(node, component) of the nodes that some similar pair links.  ``signed``: (node, sigs); copies do no harm."""
-        each = signed.select(F.explode("sigs").alias("sig")).select(F.col("sig").bitwiseAND(F.lit(COUNTED)).alias("sig"))
-        twice = materialize(each.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1").select("sig"), "join-repeated")
-        seen = key_filter(twice)
-        release(twice)
-        members = materialize(signed.select("node", "sigs").mapInArrow(lambda it: repeated(seen, it), "sig bigint, node bigint").distinct(),
-                              "join-members")
+    def members(self, signed: DataFrame) -> DataFrame:
+        """(sig, node) of signatures that several nodes have, of all groups of the same nodes one; part by part of the
+        signatures, as their count moves them all.  Releases ``signed``."""
+        total = COLUMNS * (signed.agg(F.sum(F.size("sigs0"))).first()[0] or 0)
+        steps, found = min(COLUMNS, 1 + total // SIGNED_AT_ONCE), []
+        for i in range(steps):
+            own = signed.select("node", F.concat(*[f"sigs{c}" for c in range(i, COLUMNS, steps)]).alias("sigs"))
+            each = own.select(F.explode("sigs").alias("sig")).select(F.col("sig").bitwiseAND(F.lit(COUNTED)).alias("sig"))
+            twice = materialize(each.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1").select("sig"), "join-repeated")
+            seen = key_filter(twice)
+            found.append(materialize(own.mapInArrow(lambda it, seen=seen: repeated(seen, it), "sig bigint, node bigint").distinct(), "join-members"))
+            release(twice)
+            seen.unpersist()
         release(signed)
-        nodes = members.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi")
-        nodes = materialize(members.join(nodes, "sig", "left_semi").select("node").distinct(), "join-nodes")
-        self.items = materialize(chosen_sets(self.docs, self.text, self.n, key_filter(nodes)), "join-sets")
-        release(nodes)
+        members = materialize(one_of_each(reduce(DataFrame.unionByName, found)), "join-members")
+        for part in found:
+            release(part)
+        return members
+
+    def find(self, own: DataFrame, signed: DataFrame) -> DataFrame:
+        """(node, component) of the nodes that some similar pair links.  ``own``: (node) of each row; ``signed``: its
+        node and signatures, which are released."""
+        members = self.members(signed)
+        several = own.filter("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("rows")).filter("rows > 1").select("node")
+        self.items = chosen_sets(self.docs, self.text, self.n, key_filter(members.select("node").distinct()), key_filter(several))
+        self.nodes, self.features = (x or 0 for x in self.items.agg(F.count("*"), F.sum("n")).first())
+
         def parts(of: DataFrame) -> list[DataFrame]:
-            """What one part links need not be compared again in the next, and takes no room there."""
-            return [of.filter(F.pmod(F.xxhash64("sig"), F.lit(PASSES)) == i) for i in range(PASSES)]
-        for part in parts(members):
+            return dealt(of, min(PASSES, 1 + of.count() // MEMBERS_AT_ONCE), "sig")
+        # what a few groups link need not be compared again in the others, and takes no room there
+        few = F.pmod(F.xxhash64("sig", F.lit(1)), F.lit(8)) == 0
+        for part in [members.filter(few), *parts(members.filter(~few))]:
             self.leaders(part)
         rest = reduce(DataFrame.unionByName, [self.tiles(part, SMALL_GROUP) for part in parts(members)]).distinct()
         release(members)
         if not rest.isEmpty():
             # groups larger than a tile that still hold several components: their nodes again, by the rarest features
-            rare = materialize(rare_features(self.items.join(rest, "node", "left_semi"), self.threshold), "join-rare")
+            rare = materialize(one_of_each(rare_features(self.items.join(rest, "node", "left_semi"), self.threshold)), "join-rare")
             for part in parts(rare):
                 self.leaders(part)
             for part in parts(rare):
@@ -397,10 +443,24 @@ class Links:
             release(rare)
         release(self.items)
         if self.labels is None:
-            return signed.sparkSession.createDataFrame([], "node bigint, component bigint")
+            return own.sparkSession.createDataFrame([], "node bigint, component bigint")
         return self.labels
 
 
+def dealt(rows: DataFrame, parts: int, *by: str) -> list[DataFrame]:
+    """The rows in so many parts by the hash of some columns."""
+    return [rows.filter(F.pmod(F.xxhash64(*by), F.lit(parts)) == i) for i in range(parts)] if parts > 1 else [rows]
+
+
+def one_of_each(members: DataFrame) -> DataFrame:
+    """The (sig, node) of groups with several nodes; of groups of the same nodes, told by two 64-bit fingerprints, size and
+    ends, the one of least sig: all of them would be compared alike."""
+    group = members.groupBy("sig").agg(
+        F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size"),
+        F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).filter("lo <> hi")
+    return members.join(group.groupBy("lo", "hi", "size", "x", "y").agg(F.min("sig").alias("sig")), "sig", "left_semi")
+
+
 def repeated(seen, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(sig, node) of the signatures that may occur more than once."""
     for b in slices(batches):
@@ -413,9 +473,9 @@ def repeated(seen, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def documents(docs: DataFrame, text: str, doc_id: str, n: int, threshold: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, digest, n_shingles, node) of every row, and (node, component) of the nodes that have links."""
     signed = materialize(sets(docs, text, doc_id, n, threshold), "join-signed")
-    own = materialize(signed.drop("sigs"), "join-own")
+    own = materialize(signed.select("doc_id", "digest", "n_shingles", "node"), "join-own")
     # ``find`` releases the signatures when it has grouped them
-    return own, Links(docs, text, n, threshold).find(signed.filter(F.size("sigs") > 0))
+    return own, Links(docs, text, n, threshold).find(own.select("node"), signed.filter("node IS NOT NULL"))
 
 
 def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = SHINGLE,

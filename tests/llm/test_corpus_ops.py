@@ -87,6 +87,43 @@ def test_ngram_join_nulls_and_repeats(spark):
     assert ngram_join.join(df.limit(0)).count() == 0
 
 
+def test_ngram_join_in_parts_equals_brute_force(spark, monkeypatch):
+    """Signatures counted and pairs compared in many parts give what one part gives."""
+    for limit in ("SIGNED_AT_ONCE", "MEMBERS_AT_ONCE", "FEATURES_IN_STEP"):
+        monkeypatch.setattr(ngram_join, limit, 100)
+    monkeypatch.setattr(ngram_join, "PASSES", 2)
+    texts = near_copies()
+    ids = [1000 - i for i in range(len(texts))]
+    sets = list(shingle_sets(texts))
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id bigint, text string").repartition(3)
+    assert Counter(map(tuple, ngram_join.join(df).collect())) == Counter(zip(ids, map(len, sets), brute_components(ids, sets), strict=True))
+
+
+def test_ngram_join_groups_of_the_same_nodes_are_one(spark):
+    rows = [(1, 10), (1, 11), (2, 10), (2, 11), (3, 10), (4, 11), (4, 12), (5, 10), (5, 11), (5, 12)]
+    got = ngram_join.one_of_each(spark.createDataFrame(rows, "sig bigint, node bigint")).collect()
+    assert Counter((r.sig, r.node) for r in got) == Counter([(1, 10), (1, 11), (4, 11), (4, 12), (5, 10), (5, 11), (5, 12)])
+
+
+def test_ngram_join_lands_few_steps_and_moves_copies_only(spark, monkeypatch):
+    """Small groups take few jobs, not some for every part; two near copies meet in few groups of their many signatures."""
+    steps, rows, land = [], {}, common.materialize
+
+    def landed(df, name):
+        out = land(df, name)
+        steps.append(name)
+        rows[name] = out.count()
+        return out
+    monkeypatch.setattr(common, "materialize", landed)
+    monkeypatch.setattr(ngram_join, "materialize", landed)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words[:k] + ["x"] + words[k + 1:]) for k in (30, 370)] * 2
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(2)
+    assert {r.component_id for r in ngram_join.join(df).collect()} == {0}
+    assert len(steps) <= 24
+    assert rows["join-members"] == 2 and rows["join-sets"] == 2
+
+
 def test_signatures_meet_for_every_similar_pair():
     rng = np.random.default_rng(1)
     for n in [9, 10, 11, 19, 20, 21, 57, 100, 500] * 8:
