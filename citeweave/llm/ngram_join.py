@@ -18,7 +18,8 @@ comparisons; real copies come together here.  Groups that still hold several
 components are then compared whole, in tiles: a task gets two tiles of at most
 SMALL_GROUP nodes with their sizes and parity sketches and compares all pairs
 with numpy.  A sketch rules out a pair by a bound that never errs, so only pairs
-that may be similar become rows; these are compared exactly on their fingerprint
+that may be similar become rows; a wider sketch of each set, in proportion to its
+size, rules out most of these, and the rest are compared exactly on their fingerprint
 sets.  The nodes of groups larger than a tile (texts that share a passage fill
 some parts with nothing else) are grouped anew before, by the rarest features of
 each set: of sets with a share of the threshold in common, some feature lies
@@ -53,6 +54,8 @@ BAND = 1.25                       # ratio of a band's size limits
 N2, K2 = 2, 1                     # second-level partitions, differences allowed in them
 SLOTS = 1 << 20                   # counters that order the features of large groups
 SKETCH = 512                      # bits of a set's parity sketch, a power of two
+WIDEST = 1 << 16                  # bits of a set's wide sketch, at most; else 2 to 4 bits a feature
+KNOWN_SIGS = 16                   # least signatures of a node that a row of a tile carries
 SMALL_GROUP = 1024                # nodes of a tile, of which a task compares all pairs
 COUNTED = (1 << 44) - 1           # bits by which signatures are counted; equal ones of different sets cost rows, no result
 COLUMNS = 8                       # columns that signatures are landed in, so that a part of them is read alone
@@ -167,15 +170,29 @@ def sets(docs: DataFrame, text: str, doc_id: str, n: int, threshold: int) -> Dat
         "n_shingles bigint, node bigint, " + ", ".join(f"{c} array<bigint>" for c in names)).fields))
 
 
-def sketch(s: np.ndarray) -> bytes:
-    """Parities of the features by SKETCH hash values, packed: two sets' sketches differ in as many bits as the sets
+def sketch(s: np.ndarray, bits: int = SKETCH) -> bytes:
+    """Parities of the features by ``bits`` hash values, packed: two sets' sketches differ in as many bits as the sets
     differ in features, at most."""
-    odd = np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def wide_sketch(s: np.ndarray) -> bytes:
+    """A sketch of 2 to 4 bits a feature, SKETCH at least: one of fixed width is full of odd bits by chance where sets are
+    large, and rules nothing out."""
+    return sketch(s, min(WIDEST, max(SKETCH, 1 << (2 * len(s) - 1).bit_length())))
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """Bits in which two wide sketches differ; the wider one is folded to the other's width."""
+    a, b = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    while len(b) > len(a):
+        b = b[:len(b) // 2] ^ b[len(b) // 2:]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def chosen_sets(docs: DataFrame, text: str, n: int, wanted, several) -> DataFrame:
-    """(node, n, items, sketch) of the nodes that pass the filter ``wanted``, one row each; landed.
+    """(node, n, items, sketch, wide) of the nodes that pass the filter ``wanted``, one row each; landed.
 
     Nodes that are not in the filter ``several``, of nodes with more than one row, stay where they are; only sets of
     the others are moved to find their copies, those of one task once."""
@@ -189,8 +206,10 @@ def chosen_sets(docs: DataFrame, text: str, n: int, wanted, several) -> DataFram
             done.update(keys[copied].tolist())
             sets = [got[k] for k in keys.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([len(s) for s in sets], pa.int64()), _lists(sets), pa.array(
-                [sketch(s) for s in sets], pa.binary()), pa.array(copied)], names=["node", "n", "items", "sketch", "copied"])
-    found = materialize(docs.select(text).mapInArrow(made, "node bigint, n bigint, items array<bigint>, sketch binary, copied boolean"), "join-found")
+                [sketch(s) for s in sets], pa.binary()), pa.array([wide_sketch(s) for s in sets], pa.binary()), pa.array(copied)],
+                names=["node", "n", "items", "sketch", "wide", "copied"])
+    found = materialize(docs.select(text).mapInArrow(
+        made, "node bigint, n bigint, items array<bigint>, sketch binary, wide binary, copied boolean"), "join-found")
     once = materialize(found.filter("copied").drop("copied").dropDuplicates(["node"]), "join-sets")
     return found.filter("NOT copied").drop("copied").unionByName(once)
 
@@ -247,7 +266,8 @@ def with_leaders(threshold: int, batches: Iterator[pa.RecordBatch]) -> Iterator[
 def in_tiles(threshold: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b) of two tiles that may be similar and lie in several components; rows sorted by (sig, i, j, tile).
 
-    Two nodes may meet in many groups: they become a row in that of their least common signature (of this part)."""
+    Two nodes may meet in many groups: they become a row in that of their least common signature (of this part), and in
+    those of which their KNOWN_SIGS least signatures show no lesser one in common."""
     def compared(parts: list[dict]) -> list[tuple[np.ndarray, np.ndarray]]:
         t = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
         out = []
@@ -264,7 +284,7 @@ def in_tiles(threshold: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
             p, q = np.nonzero(good)
             p, q = x[p], y[q]
             sigs, own = t["sigs"], t["sig"][0]
-            once = [np.intersect1d(sigs[u], sigs[v], assume_unique=True)[0] == own for u, v in zip(p.tolist(), q.tolist(), strict=True)]
+            once = [not (np.intersect1d(sigs[u], sigs[v], assume_unique=True) < own).any() for u, v in zip(p.tolist(), q.tolist(), strict=True)]
             if any(once):
                 out.append((t["node"][p[once]], t["node"][q[once]]))
         return out
@@ -292,14 +312,33 @@ def in_tiles(threshold: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
         yield _pairs(np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found]))
 
 
-def similar(pairs: DataFrame, items: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold, compared exactly; only the sets of these nodes are moved."""
+def of_pairs(pairs: DataFrame, items: DataFrame, *columns: str) -> DataFrame:
+    """These columns of ``items``, for the nodes of the pairs (and a few that a filter lets through)."""
     wanted = key_filter(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
 
     def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array(maybe(wanted.value, b.column(0).to_numpy())))
-    sets = items.select("node", "items").mapInArrow(only, "node bigint, items array<bigint>")
+    sets = items.select("node", *columns)
+    return sets.mapInArrow(only, sets.schema)
+
+
+def not_ruled_out(pairs: DataFrame, items: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) that the sets' wide sketches leave: what they move is a small part of the sets."""
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nx, ny = b.column(2).to_numpy(), b.column(4).to_numpy()
+            differ = np.fromiter(map(differing, b.column(3).to_pylist(), b.column(5).to_pylist()), np.int64, b.num_rows)
+            yield b.filter(pa.array((100 + threshold) * differ <= (100 - threshold) * (nx + ny))).select(["a", "b"])
+    known = of_pairs(pairs, items, "n", "wide")
+    return pairs.join(known.select(F.col("node").alias("a"), F.col("n").alias("nx"), F.col("wide").alias("x")), "a") \
+        .join(known.select(F.col("node").alias("b"), F.col("n").alias("ny"), F.col("wide").alias("y")), "b") \
+        .select("a", "b", "nx", "x", "ny", "y").mapInArrow(left, "a bigint, b bigint")
+
+
+def similar(pairs: DataFrame, items: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) whose sets reach the threshold, compared exactly; only the sets of these nodes are moved."""
+    sets = of_pairs(pairs, items, "items")
     common = F.size(F.array_intersect("x", "y"))
     return pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a") \
         .join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b") \
@@ -358,8 +397,12 @@ class Links:
         return materialize(state.join(group.filter("lo <> hi").select("sig", "size"), "sig"), "join-open")
 
     def compare(self, pairs: DataFrame) -> None:
-        """Adds the links among the pairs; in steps, as each pair moves its two sets."""
-        pairs = materialize(pairs.distinct(), "join-pairs")
+        """Adds the links among the pairs; in steps, as each pair that the wide sketches leave moves its two sets."""
+        met = materialize(pairs.distinct(), "join-pairs")
+        if met.isEmpty():
+            return release(met)
+        pairs = materialize(not_ruled_out(met, self.items, self.threshold), "join-near")
+        release(met)
         if rows := pairs.count():
             steps = min(2 * PASSES, -(-rows * self.features // self.nodes // max(FEATURES_IN_STEP, self.features // 8)))
             new = [materialize(similar(part, self.items, self.threshold), "join-links") for part in dealt(pairs, steps, "a", "b")]
@@ -386,8 +429,9 @@ class Links:
         other open groups.  A group of m tiles is m * (m + 1) / 2 pairs of tiles, each of which gets its own copy of the rows."""
         open_ = self.open(members)
         own = open_ if at_most is None else open_.filter(F.col("size") <= at_most)
-        # a node's open signatures: as many as its set gives at most
-        rows = self.described(own).join(own.groupBy("node").agg(F.collect_list("sig").alias("sigs")), "node")
+        # a few of a node's open signatures: all of them in each of its rows would grow with the square of their number
+        known = own.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, KNOWN_SIGS).alias("sigs"))
+        rows = self.described(own).join(known, "node")
         m = F.ceil(F.col("size") / SMALL_GROUP).cast("int")
         rows = rows.select(*MEMBER, "sigs", F.pmod(F.xxhash64("node"), m).cast("int").alias("tile"), F.explode(F.sequence(F.lit(0), m - 1)).alias("other")) \
             .select(*MEMBER, "sigs", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
@@ -454,11 +498,17 @@ def dealt(rows: DataFrame, parts: int, *by: str) -> list[DataFrame]:
 
 def one_of_each(members: DataFrame) -> DataFrame:
     """The (sig, node) of groups with several nodes; of groups of the same nodes, told by two 64-bit fingerprints, size and
-    ends, the one of least sig: all of them would be compared alike."""
-    group = members.groupBy("sig").agg(
+    ends, the one of least sig: all of them would be compared alike.  Rows of the others pass a filter where they are."""
+    group = members.repartition("sig").groupBy("sig").agg(
         F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size"),
         F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).filter("lo <> hi")
-    return members.join(group.groupBy("lo", "hi", "size", "x", "y").agg(F.min("sig").alias("sig")), "sig", "left_semi")
+    least = materialize(group.groupBy("lo", "hi", "size", "x", "y").agg(F.min("sig").alias("sig")).select("sig"), "join-groups")
+    chosen = key_filter(least)
+
+    def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(maybe(chosen.value, b.column(0).to_numpy())))
+    return members.select("sig", "node").mapInArrow(only, "sig bigint, node bigint").join(least, "sig", "left_semi")
 
 
 def repeated(seen, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

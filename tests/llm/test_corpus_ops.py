@@ -112,6 +112,61 @@ def test_ngram_join_lands_few_steps_and_moves_copies_only(spark, monkeypatch):
     assert rows["join-members"] == 2 and rows["join-sets"] == 2
 
 
+def described_sets(spark, sets):
+    return spark.createDataFrame([(i, len(s), s.view(np.int64).tolist(), bytearray(ngram_join.sketch(s)), bytearray(ngram_join.wide_sketch(s)))
+                                  for i, s in enumerate(sets)], "node bigint, n bigint, items array<bigint>, sketch binary, wide binary")
+
+
+def test_tiles_carry_few_signatures_of_each_node(spark, monkeypatch):
+    """A node's rows, one for each of its open signatures, do not each carry all of them; a pair is still one row."""
+    rng = np.random.default_rng(3)
+    base = np.unique(rng.integers(0, 2 ** 63, 400).astype(np.uint64))
+    links = ngram_join.Links(None, "text", 3, 90)
+    links.items = described_sets(spark, [base, base[1:], base[:-1]])
+    members = spark.createDataFrame([(sig, node) for sig in range(200) for node in range(3)], "sig bigint, node bigint")
+    carried, pairs, frame = [], [], type(members)
+    mapped = frame.mapInArrow
+
+    def spied(self, *a, **k):
+        if "sigs" in self.columns:
+            carried.append(tuple(self.agg(F.max(F.size("sigs")), F.count("*")).first()))
+        return mapped(self, *a, **k)
+    monkeypatch.setattr(frame, "mapInArrow", spied)
+    monkeypatch.setattr(links, "compare", lambda found: pairs.extend((r.a, r.b) for r in found.collect()))
+    links.tiles(members)
+    assert carried == [(ngram_join.KNOWN_SIGS, 600)]
+    assert sorted(pairs) == [(0, 1), (0, 2), (1, 2)]
+
+
+def test_wide_sketches_never_err_and_tell_large_sets_apart(spark):
+    rng = np.random.default_rng(4)
+    made = lambda n: np.unique(rng.integers(0, 2 ** 63, n).astype(np.uint64))
+    for n in [1, 5, 200, 257, 1000, 5000, 40_000] * 4:
+        a = made(n)
+        b = np.unique(np.concatenate([a[rng.random(len(a)) > rng.choice([0, .05, .3, .9])], made(int(rng.integers(1, n + 2)))]))
+        assert ngram_join.differing(ngram_join.wide_sketch(a), ngram_join.wide_sketch(b)) <= len(np.setxor1d(a, b))
+    x, y = made(5000), made(5000)
+    assert ngram_join.may_link(*(np.asarray(v) for v in (5000, np.frombuffer(ngram_join.sketch(x), np.uint64),
+                                                         5000, np.frombuffer(ngram_join.sketch(y), np.uint64))), 80)
+    items = described_sets(spark, [x, x[:4600], y])
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (1, 2)], "a bigint, b bigint")
+    assert [(r.a, r.b) for r in ngram_join.not_ruled_out(pairs, items, 80).collect()] == [(0, 1)]
+
+
+def test_rows_of_groups_that_go_are_not_joined(spark, monkeypatch):
+    """Of a thousand groups of the same two nodes, the rows of a few get to the join that keeps one group."""
+    joined, frame = [], type(spark.range(1))
+    join = frame.join
+
+    def spied(self, other, on=None, how=None):
+        joined.append(self.count())
+        return join(self, other, on, how)
+    members = spark.range(2000).selectExpr("id div 2 AS sig", "id % 2 AS node")
+    monkeypatch.setattr(frame, "join", spied)
+    assert sorted(map(tuple, ngram_join.one_of_each(members).collect())) == [(0, 0), (0, 1)]
+    assert len(joined) == 1 and joined[0] < 20
+
+
 def test_signatures_meet_for_every_similar_pair():
     rng = np.random.default_rng(1)
     for n in [9, 10, 11, 19, 20, 21, 57, 100, 500] * 8:
