@@ -16,7 +16,9 @@ merged, and its part of the filter built, in one task of bounded size.  The
 filter and the token counts are broadcast if they measure at most
 ``max_broadcast`` bytes; beyond that they stay where they are, and each group of
 texts sends its distinct keys to their shards and gets the token counts and the
-levels probed there in return (``sharded_scores``).  Both ask the same filter.
+levels probed there in return (``sharded_scores``).  Neighbouring shards answer
+together, all groups at once, so that the work follows the keys and not the number
+of groups times that of shards.  Both ask the same filter.
 
 Cases: a null or empty text has the end token alone; a null id counts as an
 empty one for the training split; every row is scored by itself; an empty
@@ -33,12 +35,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..session import release
 from .common import as_row, materialize, mix64
 
 MU = 20.0                        # weight of the prior, in tokens
 PROBES, BITS = 5, 8              # probes, and bits of the filter per entry
 SOME_TOKENS, SOME_CHARS = 200_000, 2_000_000    # held as separate words, and scored, at once
-GROUP_CHARS = 4_000_000          # of texts that ask the shards together
+GROUP_CHARS = 8_000_000          # of texts that ask the shards together
+JOINT_SHARDS = 4                 # neighbouring shards that answer together
 SHARD_TOKENS = 1_000_000         # tokens of text per shard of the key space, at most
 MAX_BROADCAST = 512 << 20        # bytes
 HELD = 2                         # remainder mod 7 of held-out ids, fixed by the contract of op10
@@ -224,16 +228,20 @@ class Model:
 class Answers:
     """What the shards say of a group of texts: counts of its sorted words, levels of its sorted pairs."""
 
-    def __init__(self, n: int, v: int, words: np.ndarray, counts: np.ndarray, pairs: np.ndarray, lv: np.ndarray):
-        if (len(words), len(pairs)) != (len(counts), len(lv)):
-            raise ValueError("the shards' answers do not fit the texts")
-        self.n, self.v, self.words, self.counts, self.pairs, self.lv = n, v, words, counts, pairs, lv
+    def __init__(self, n: int, v: int, counts: np.ndarray, lv: np.ndarray):
+        self.n, self.v, self.counts, self.lv = n, v, counts, lv
 
     def count(self, keys: np.ndarray) -> np.ndarray:
-        return found(self.words, self.counts, keys).astype(np.float64)
+        return fitting(self.counts, keys).astype(np.float64)
 
     def pair_count(self, keys: np.ndarray) -> np.ndarray:
-        return quantised(found(self.pairs, self.lv, keys))
+        return quantised(fitting(self.lv, keys))
+
+
+def fitting(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    if len(values) != len(keys):
+        raise ValueError("the shards' answers do not fit the texts")
+    return values
 
 
 def log_sums(t: np.ndarray, ends: np.ndarray, model: Model) -> list[np.ndarray]:
@@ -242,7 +250,7 @@ def log_sums(t: np.ndarray, ends: np.ndarray, model: Model) -> list[np.ndarray]:
     c = model.count(words)[at]
     pairs, at = np.unique(pair_keys(t), return_inverse=True)
     both = model.pair_count(pairs)[at]
-    context = np.concatenate([[model.count(word_keys(np.asarray([end_key()], np.uint64)))[0]], c[:-1]])
+    context = np.concatenate([c[ends[0] - 1:ends[0]], c[:-1]])          # an end token is the first word's
     p1 = (c + 1) / (model.n + model.v + 1)
     starts = np.concatenate([[0], ends[:-1]])
     log_p = np.log10((np.minimum(both, context) + MU * p1) / (context + MU))
@@ -274,10 +282,40 @@ def own_keys(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(word_keys(t)), np.unique(pair_keys(t))
 
 
+def blocks_of(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """The bytes of ``values`` as binary values, cut at ``edges``."""
+    at = (edges * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(values.tobytes())])
+
+
+def answers_of(raw: list[bytes], part: pa.Table, first: int, joint: int, shift: np.uint64, kind: str) -> tuple[pa.Array, pa.Array]:
+    """Counts and levels for blocks of keys of the ``joint`` shards from ``first``: a key is looked up once, however
+    many blocks hold it."""
+    part = part.sort_by("shard")
+    words, counts, bits = (np.frombuffer(b"".join(part[c].to_pylist()), k) for c, k in (("words", "<u8"), ("counts", "<u8"), ("bits", np.uint8)))
+    size = np.zeros(joint, np.int64)
+    size[part["shard"].to_numpy() - first] = [8 * len(x) for x in part["bits"].to_pylist()]
+    start = np.concatenate([[0], np.cumsum(size)[:-1]])
+    keys, at = np.unique(np.frombuffer(b"".join(raw), "<u8"), return_inverse=True)
+    word = keys & _ONE == 0
+    said = np.zeros(len(keys), np.uint64)
+    said[word] = found(words, counts, keys[word])
+    pairs = keys[~word]
+    shard = (pairs >> shift).astype(np.int64) - first
+    said[~word] = probed(pairs, bits, start[shard], size[shard])
+    said, word = said[at], word[at]
+    edges = np.cumsum([0, *(len(x) // 8 for x in raw)])
+    words_before = np.concatenate([[0], np.cumsum(word)])[edges]
+    return blocks_of(said[word].astype(kind), words_before), blocks_of(said[~word].astype(np.uint8), edges - words_before)
+
+
 def sharded_scores(docs: DataFrame, text: str, parts: DataFrame, shards: int, n: int, v: int) -> DataFrame:
     """The same scores where the model is too large to send: the keys of each group of texts go to their shards,
-    a block for each, and their counts and levels come back in the order of the keys."""
-    at, shift = docs.columns.index(text), np.uint64(64 - (shards - 1).bit_length())
+    a block for each JOINT_SHARDS neighbours, and their counts and levels come back in the order of the keys."""
+    at, bits, joint = docs.columns.index(text), (shards - 1).bit_length(), min(JOINT_SHARDS, shards)
+    shift, slots = np.uint64(64 - bits), shards // joint
+    slot_shift = np.uint64(64 - bits + joint.bit_length() - 1)
+    kind = "<u4" if n < 1 << 32 else "<u8"
     rows = as_row(docs).withColumn("_key", F.monotonically_increasing_id())
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,32 +338,26 @@ def sharded_scores(docs: DataFrame, text: str, parts: DataFrame, shards: int, n:
             cut = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])) if len(group) else []
             for s, e in zip(cut[:-1], cut[1:], strict=True):
                 keys = np.sort(np.concatenate(own_keys(tokens(texts[s:e])[0])))
-                edge = np.searchsorted((keys >> shift).astype(np.int64), np.arange(shards + 1))
+                edge = np.searchsorted((keys >> slot_shift).astype(np.int64), np.arange(slots + 1))
                 full = np.flatnonzero(np.diff(edge))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(full.astype(np.int32)), pa.array(np.full(len(full), group[s])), pa.array(np.full(len(full), row[s])),
-                     pa.array([keys[edge[x]:edge[x + 1]].tobytes() for x in full], pa.binary())], names=["shard", "_group", "_first", "keys"])
+                     pa.array([keys[edge[x]:edge[x + 1]].tobytes() for x in full], pa.binary())], names=["slot", "_group", "_first", "keys"])
     asks = rows.select("_group", "_key", F.col(f"_row.`{text}`")).mapInArrow(
-        asked, "shard int, _group bigint, _first bigint, keys binary")
+        asked, "slot int, _group bigint, _first bigint, keys binary")
 
     def answered(asks: pa.Table, part: pa.Table) -> pa.Table:
-        own = {c: part[c][0].as_py() if part.num_rows else b"" for c in ("words", "counts", "bits")}
-        words, counts, bits = np.frombuffer(own["words"], "<u8"), np.frombuffer(own["counts"], "<u8"), np.frombuffer(own["bits"], np.uint8)
-        out = []
-        for raw in asks["keys"].to_pylist():
-            keys = np.frombuffer(raw, "<u8")
-            word = keys & _ONE == 0
-            pairs = keys[~word]
-            lv = probed(pairs, bits, np.zeros(len(pairs), np.int64), np.full(len(pairs), 8 * len(bits)))
-            out.append((found(words, counts, keys[word]).astype("<u8").tobytes(), lv.tobytes()))
-        counts, lv = zip(*out, strict=True) if out else ((), ())
-        return pa.table({"_group": asks["_group"], "_first": asks["_first"], "shard": asks["shard"],
-                         "counts": pa.array(counts, pa.binary()), "levels": pa.array(lv, pa.binary())})
-    answers = asks.groupBy("shard").cogroup(parts.select("shard", "words", "counts", "bits").groupBy("shard")) \
-        .applyInArrow(answered, "_group bigint, _first bigint, shard int, counts binary, levels binary")
+        slot = asks["slot"][0].as_py() if asks.num_rows else 0
+        counts, lv = answers_of(asks["keys"].to_pylist(), part.slice(0, part.num_rows if asks.num_rows else 0), slot * joint, joint, shift, kind)
+        return pa.table({"_group": asks["_group"], "_first": asks["_first"], "slot": asks["slot"], "counts": counts, "levels": lv})
+    held = parts.select(F.expr(f"shard div {joint}").cast("int").alias("slot"), "shard", "words", "counts", "bits")
+    # landed: the keys' shuffle is given back before texts move
+    answers = materialize(asks.groupBy("slot").cogroup(held.groupBy("slot"))
+                          .applyInArrow(answered, "_group bigint, _first bigint, slot int, counts binary, levels binary"), "lm-answers")
+    release(parts)
 
     def scored(own: pa.Table, said: pa.Table) -> pa.Table:
-        own, said = own.sort_by("_key"), said.sort_by([("_first", "ascending"), ("shard", "ascending")])
+        own, said = own.sort_by("_key"), said.sort_by([("_first", "ascending"), ("slot", "ascending")])
         row = own["_row"].combine_chunks()
         texts = (row.chunk(0) if isinstance(row, pa.ChunkedArray) else row).field(at).to_pylist() if own.num_rows else []
         first = said["_first"].to_numpy()
@@ -336,10 +368,7 @@ def sharded_scores(docs: DataFrame, text: str, parts: DataFrame, shards: int, n:
         sums = []
         for i in range(len(start)):
             of, x = slice(block[i], block[i + 1]), texts[cut[i]:cut[i + 1]]
-            t, ends = tokens(x)
-            words, pairs = own_keys(t)
-            sums.append(log_sums(t, ends, Answers(n, v, words, np.frombuffer(b"".join(counts[of]), "<u8"), pairs,
-                                                  np.frombuffer(b"".join(lv[of]), np.uint8))))
+            sums.append(log_sums(*tokens(x), Answers(n, v, np.frombuffer(b"".join(counts[of]), kind), np.frombuffer(b"".join(lv[of]), np.uint8))))
         size, known, base, score = (np.concatenate(x) for x in zip(*sums, strict=True))
         return pa.table({"_row": own["_row"], "n_tokens": size, "n_known": known, "train_tokens": np.full(len(size), n, np.int64),
                          "base_score": base, "score": score})

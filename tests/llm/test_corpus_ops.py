@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -304,6 +305,35 @@ def test_lm_routes_ask_one_filter(spark, monkeypatch):
     assert any(abs(wide[d][4] - kept[d][4]) > 1e-6 for d in wide)      # at 8 bits an entry the filter errs
 
 
+def test_lm_shards_look_a_key_up_once_for_all_groups(monkeypatch):
+    """A look-up for each group and shard grows with the square of the input."""
+    rng, shards, joint = np.random.default_rng(5), 1024, ngram_lm.JOINT_SHARDS
+    shift, first = np.uint64(54), 8
+    keys = np.unique(rng.integers(0, 1 << 54, 600, np.uint64) | rng.integers(first, first + joint, 600).astype(np.uint64) << shift)
+    n = rng.integers(1, 40, len(keys))
+    some = (keys >> shift) != first + 2                      # a shard that nothing trained
+    batch = pa.record_batch([pa.array((keys >> shift).astype(np.int32)[some]), pa.array([k.tobytes() for k in keys[some]], pa.binary()),
+                             pa.array([x.astype("<u4").tobytes() for x in n[some]], pa.binary())], names=["shard", "keys", "counts"])
+    part = pa.Table.from_batches([*ngram_lm.build(ngram_lm.BITS, iter([batch]))])
+    model = ngram_lm.Model(shards, sum(part["n_words"].to_pylist()), 10**6, {r["shard"]: len(r["bits"]) for r in part.to_pylist()})
+    at = 0
+    for r in part.to_pylist():
+        model.put(at, r["shard"], r["words"], r["counts"], r["bits"])
+        at += r["n_words"]
+    absent = rng.integers(first << 54, first + joint << 54, 400, np.uint64)
+    blocks = [np.unique(rng.choice(np.concatenate([keys, absent]), 200)) for _ in range(50)]
+    asked, probed = [], ngram_lm.probed
+    monkeypatch.setattr(ngram_lm, "probed", lambda k, *a: asked.append(len(k)) or probed(k, *a))
+    counts, lv = ngram_lm.answers_of([b.tobytes() for b in blocks], part.take(list(range(len(part)))[::-1]), first, joint, shift, "<u4")
+    assert asked == [len({k for b in blocks for k in b.tolist() if k % 2})]
+    for b, c, v in zip(blocks, counts.to_pylist(), lv.to_pylist(), strict=True):
+        word = b % np.uint64(2) == 0
+        assert np.frombuffer(c, "<u4").tolist() == model.count(b[word]).tolist()
+        assert ngram_lm.quantised(np.frombuffer(v, np.uint8)).tolist() == model.pair_count(b[~word]).tolist()
+    counts, lv = ngram_lm.answers_of([blocks[0].tobytes()], part.slice(0, 0), first, joint, shift, "<u4")     # nothing trained
+    assert not any(counts[0].as_py()) and not any(lv[0].as_py())
+
+
 def test_lm_beats_the_base_on_held_out_texts(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     held = ngram_lm.held_out(F.col("doc_id"))
