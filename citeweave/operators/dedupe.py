@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 # Ingest ids of merged sources: source position times this stride plus the
 # source's own id, so ids stay unique and ordered by run order, then by id.
 # A source's own ids must stay below 2^48 (page ids: 2^32 pages x 2^16
@@ -44,6 +46,19 @@ def dedupe_titles(df: DataFrame, key: str = "title", order: str = "ingest_id") -
     return df.join(keep, df[order] == keep["_keep"], "left_semi")
 
 
+SURPLUS_IDS = 2_000_000        # sent to all tasks at most, 16 MB of ids
+
+
+def dedupe_landed(df: DataFrame, key: str = "title", order: str = "ingest_id", most: int = SURPLUS_IDS) -> DataFrame:
+    """The rows of ``dedupe_titles``, for a landed collection: the ids that go are found and counted first, and up to
+    ``most`` of them are sent to the rows, which then stay where they are.  More go by ``dedupe_titles``."""
+    keep, own = kept_ids(df, key, order), df.select(F.col(order).alias("_gone")).where("_gone IS NOT NULL")
+    gone = materialize(own.join(keep, own["_gone"] == keep["_keep"], "left_anti").distinct(), "surplus_ids")
+    if gone.count() > most:
+        return dedupe_titles(df, key, order)
+    return df.where(F.col(order).isNotNull()).join(F.broadcast(gone), df[order] == gone["_gone"], "left_anti")
+
+
 def duplicate_titles(df: DataFrame, key: str = "title", order: str = "ingest_id") -> DataFrame:
     """A1: titles held by more than one row, with copy count, kept id and surplus count.
 

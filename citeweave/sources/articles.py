@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import MISSING_ABSTRACT, UNKNOWN_AUTHORS, UNKNOWN_TITLE
-from ..session import landings, spread, work_path
+from ..session import landings, materialize, release, released_shuffles, spread, work_path
 from .tables import table
 
 MEASURES = ("country", "citations", "impact_score", "lang")
@@ -49,8 +49,8 @@ def _author_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.sum("l_quantity").cast("bigint").alias("quantity")))
 
 
-def build_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles derived from orders: the collection's columns and ``MEASURES``."""
+def build_articles(spark: SparkSession, sf_dir: str, auth: DataFrame | None = None) -> DataFrame:
+    """Articles derived from orders: the collection's columns and ``MEASURES``.  ``auth``: the author lists, if landed."""
     orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_totalprice"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.col("source").alias("doc_source"))
     cust = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
@@ -58,7 +58,7 @@ def build_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     # narrow rows meet the dimensions first; the joins on the order's key come last and share one partitioning, so that
     # authors and texts move once whatever the sizes of the dimensions
-    auth = _author_lists(spark, sf_dir)
+    auth = _author_lists(spark, sf_dir) if auth is None else auth
     auth = auth.join(part, auth.first_part == part.p_partkey, "left")
     head = (orders.join(cust, orders.o_custkey == cust.c_custkey)
             .join(nation, cust.c_nationkey == nation.n_nationkey, "left"))
@@ -97,6 +97,9 @@ def measured_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         if path is None:
             tag = hashlib.sha1(key[1].encode()).hexdigest()[:12]
             path = work_path(spark, f"articles_{tag}")
-            build_articles(spark, sf_dir).write.mode("overwrite").parquet(path)
+            auth = materialize(_author_lists(spark, sf_dir), "author_lists")       # the lines' shuffles go before texts move
+            with released_shuffles(spark):
+                build_articles(spark, sf_dir, auth).write.mode("overwrite").parquet(path)
+            release(auth)
             _LANDED[key] = path
     return spark.read.parquet(path)

@@ -10,15 +10,16 @@ from ..schema import ARTICLE_SCHEMA
 from .readers import read_csv_typed, read_json_lines
 
 
-def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
+def write_csv(df: DataFrame, path: str, single_file: bool = False, compression: str | None = None) -> None:
     """CSV with a header, one folder per result.
 
     ``single_file`` coalesces to one task and is meant for bounded results
-    (top-k tables, aggregates over a fixed domain) only.
+    (top-k tables, aggregates over a fixed domain) only.  ``compression`` is for
+    whole collections; a file with quoted newlines is read by one task either way.
     """
     out = df.coalesce(1) if single_file else df
     (out.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", '""')
-     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path, compression=compression))
 
 
 def export_collection(df: DataFrame, path: str, id_col: str = "ingest_id") -> None:
@@ -58,6 +59,6 @@ def json_round_trip(df: DataFrame, path: str, id_col: str = "ingest_id") -> Data
 
 
 def csv_round_trip(df: DataFrame, path: str) -> DataFrame:
-    """A result written as CSV and read back typed."""
-    write_csv(df, path)
+    """A result written as compressed CSV and read back typed."""
+    write_csv(df, path, compression="gzip")
     return read_csv_typed(df.sparkSession, path, df.schema)

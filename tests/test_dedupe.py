@@ -15,6 +15,18 @@ DATA = [
 ]
 
 
+def test_landed_rows_are_deduplicated_where_they_are(spark):
+    odd = [*DATA, DATA[2], (7, "Blockchain A", "id of another title", "2020", "s", "j", "N/A", None)]
+    df = collection(spark, odd).union(collection(spark, odd[:1]).withColumn("ingest_id", F.lit(None).cast("bigint")))
+    want = rows(dedupe.dedupe_titles(df))
+    assert len(want) == 5
+    for most, moved in ((dedupe.SURPLUS_IDS, False), (0, True)):
+        got = dedupe.dedupe_landed(df, most=most)
+        assert rows(got) == want and got.columns == df.columns
+        assert ("LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()) == moved
+    assert dedupe.dedupe_landed(df.limit(0)).count() == 0
+
+
 def test_keep_first_per_title_with_blank_and_null(spark):
     df = collection(spark, DATA)
     got = {r["title"]: r["ingest_id"] for r in dedupe.dedupe_titles(df).collect()}

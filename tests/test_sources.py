@@ -1,5 +1,6 @@
 import json
 import os
+import time
 
 import pytest
 
@@ -187,6 +188,33 @@ def test_pages_without_html(spark):
     assert extract_articles(spark.createDataFrame([(1, ACM, None), (2, None, "<article><h1>x</h1></article>")], PAGE_SCHEMA)).count() == 0
 
 
+def test_csv_round_trip_lands_compressed(spark, scratch):
+    df = collection(spark, ODD)
+    assert same_rows(writers.csv_round_trip(df, os.path.join(scratch, "csv")), df)
+    landed = [f for f in os.listdir(os.path.join(scratch, "csv")) if f.startswith("part-")]
+    assert landed and all(f.endswith(".csv.gz") for f in landed)
+
+
+def test_landing_leaves_no_shuffle_behind(spark):
+    """The shuffles that made the collection and the fact would lie on disk beside them until the driver collects garbage:
+    what stays is of counts and quantiles."""
+    from citeweave.plans import catalog
+    from citeweave.session import clear_work
+
+    def shuffled():
+        files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        files = [files.apply(i) for i in range(files.size())]
+        return {f.getName(): f.length() for f in files if f.getName().startswith("shuffle_") and f.getName().endswith(".data")}
+    clear_work(spark)
+    before = shuffled()
+    fact = [f.removeprefix("file://") for f in catalog.fact_table(spark, "/root/testdata/sf0.001").inputFiles()]
+    for _ in range(50):
+        own = sum(n for f, n in shuffled().items() if f not in before)
+        if own > sum(map(os.path.getsize, fact)) / 4:
+            time.sleep(0.2)
+    assert own <= sum(map(os.path.getsize, fact)) / 4
+
+
 def test_texts_join_last(spark):
     """Whatever the sizes of the dimensions, a text moves once: the join with the documents is the topmost."""
     from citeweave.sources.articles import build_articles
