@@ -24,7 +24,7 @@ from ..functions.years import clean_year, is_exact_year
 from ..operators import cube_states, dedupe, graph, olap, stats, textmine, warehouse
 from ..operators.lda import lda_topics, topic_facts
 from ..operators.warehouse import fact_columns
-from ..session import landings, materialize, released_shuffles, work_path
+from ..session import COMPACT, landings, materialize, released_shuffles, work_path
 from ..schema import FACT_SCHEMA
 from ..sources.articles import articles, measured_articles
 from ..sources.documents import columns, fields, land_documents, write_arrays
@@ -63,7 +63,7 @@ def fact_table(spark: SparkSession, sf_dir: str) -> DataFrame:
             path = work_path(spark, f"fact_{tag}")
             fact = warehouse.fact_from_collection(dedupe.dedupe_landed(measured_articles(spark, sf_dir)))
             with released_shuffles(spark):
-                fact.hint("rebalance", "Annee").write.mode("overwrite").partitionBy("Annee").parquet(path)
+                fact.hint("rebalance", "Annee").write.mode("overwrite").partitionBy("Annee").parquet(path, compression=COMPACT)
             _FACTS[key] = path
     f = spark.read.parquet(path)
     return f.select("ingest_id", "title", "authors", F.col("Annee").cast("int"), "Pays", "Journal",

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import MISSING_ABSTRACT, UNKNOWN_AUTHORS, UNKNOWN_TITLE
-from ..session import landings, materialize, release, released_shuffles, spread, work_path
+from ..session import COMPACT, landings, materialize, release, released_shuffles, spread, work_path
 from .tables import table
 
 MEASURES = ("country", "citations", "impact_score", "lang")
@@ -99,7 +99,7 @@ def measured_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
             path = work_path(spark, f"articles_{tag}")
             auth = materialize(_author_lists(spark, sf_dir), "author_lists")       # the lines' shuffles go before texts move
             with released_shuffles(spark):
-                build_articles(spark, sf_dir, auth).write.mode("overwrite").parquet(path)
+                build_articles(spark, sf_dir, auth).write.mode("overwrite").parquet(path, compression=COMPACT)
             release(auth)
             _LANDED[key] = path
     return spark.read.parquet(path)

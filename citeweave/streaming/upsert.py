@@ -9,21 +9,25 @@ files, one version of each bucket, so a read costs the same after any number of
 
 Keep-first: of a title's rows the one with the smallest ``ingest_id`` stays, whatever batch it comes in.  A batch
 that runs again (lost executor or driver) finds its manifest and does nothing, or starts from the manifest before it
-in a folder of its own: files are never changed in place.  One writer at a time, as a streaming query is; readers
+in folders of its own: files are never changed in place.  One writer at a time, as a streaming query is; readers
 need no lock.  Files that no kept manifest names are removed by ``vacuum``.
+
+Disk: a batch is landed as Parquet, titles and ids alone decide what changes, and the touched buckets are rewritten
+in STEPS steps of some of them, each of which gives its shuffles back; the landed batch goes at the end.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators.dedupe import dedupe_titles
+from ..session import COMPACT, materialize, release, released_shuffles
 
 BUCKETS = 64                  # of a new table: choose it for the table's final size (256 MB a bucket)
+STEPS = 4                     # in which a batch's buckets are rewritten, at most: a step has a bucket for every core
 MANIFEST = "bucket int, path string, buckets int"
 
 
@@ -72,34 +76,40 @@ def upsert(rows: DataFrame, table: str, batch: int, buckets: int = BUCKETS, key:
         return 0
     held, of_table = manifest(spark, table, before=batch)
     buckets = of_table or buckets
-    schema = rows.schema
-    first = dedupe_titles(rows.dropDuplicates([order]), key, order)
-    new = fresh = first.withColumn("bucket", bucket_of(F.col(key), buckets)).persist()
+    schema, names = rows.schema, rows.columns
+    new = materialize(rows.where(F.col(order).isNotNull()).withColumn("bucket", bucket_of(F.col(key), buckets)), "upsert-rows", COMPACT)
+    landed = [new]
     try:
+        first = new.groupBy(F.col(key).alias("_key")).agg(F.min(order).alias("_least"))
         asked = {r["bucket"] for r in new.select("bucket").distinct().collect()}
-        touched = sorted(asked)
-        if asked & held.keys():
-            ids = read_table(spark, table, schema, [held[b] for b in touched if b in held]).select(F.col(key).alias("_key"), F.col(order).alias("_held"))
+        if own := [held[b] for b in sorted(asked & held.keys())]:
+            ids = read_table(spark, table, schema, own).select(F.col(key).alias("_own"), F.col(order).alias("_held"))
             # what the table does not have yet, or has with a larger id: re-delivered rows rewrite nothing
-            fresh = (new.join(ids, F.col(key).eqNullSafe(F.col("_key")), "left")
-                     .where(F.col("_held").isNull() | (F.col(order) < F.col("_held"))).drop("_key", "_held")).persist()
-            touched = sorted(r["bucket"] for r in fresh.select("bucket").distinct().collect())
-        if touched:
-            whole = fresh
-            if own := [held[b] for b in touched if b in held]:
-                gone = fresh.select(F.col(key).alias("_key"))
-                kept = read_table(spark, table, schema, own).join(gone, F.col(key).eqNullSafe(F.col("_key")), "left_anti")
-                whole = kept.withColumn("bucket", bucket_of(F.col(key), buckets)).unionByName(fresh)
+            first = (first.join(ids, F.col("_key").eqNullSafe(F.col("_own")), "left")
+                     .where(F.col("_held").isNull() | (F.col("_least") < F.col("_held"))).select("_key", "_least"))
+        landed.append(first := materialize(first.select("_least", bucket_of(F.col("_key"), buckets).alias("bucket")), "upsert-ids"))
+        touched = sorted(r["bucket"] for r in first.select("bucket").distinct().collect())
+        steps = max(1, min(STEPS, len(touched) // spark.sparkContext.defaultParallelism))
+        one_each = Window.partitionBy("bucket", key).orderBy(order)
+        for step in filter(None, (touched[i::steps] for i in range(steps))):
+            least = first.where(F.col("bucket").isin(step)).select("_least").distinct()
+            # by the unique id first: a title that many rows of a batch share brings one of them to its bucket
+            whole = new.where(F.col("bucket").isin(step)).join(least, F.col(order) == F.col("_least"), "left_semi")
+            if own := [held[b] for b in step if b in held]:
+                whole = read_table(spark, table, schema, own).withColumn("bucket", bucket_of(F.col(key), buckets)).unionByName(whole)
             out = f"{table}/data/{batch}-{uuid.uuid4().hex[:12]}"
-            whole.repartition(len(touched), "bucket").write.partitionBy("bucket").parquet(out)
-            held |= {b: f"{out}/bucket={b}" for b in touched}
+            kept = (whole.repartition(len(step), "bucket").withColumn("_copy", F.row_number().over(one_each))
+                    .where("_copy = 1").select(*names, "bucket"))
+            with released_shuffles(spark):
+                kept.write.partitionBy("bucket").parquet(out, compression=COMPACT)
+            held |= {b: f"{out}/bucket={b}" for b in step}
         # an empty table's manifest still tells its number of buckets
         spark.createDataFrame([(b, p, buckets) for b, p in sorted(held.items())] or [(None, None, buckets)], MANIFEST) \
             .coalesce(1).write.mode("overwrite").json(f"{table}/manifests/{batch}")
         return len(touched)
     finally:
-        for df in {id(x): x for x in (new, fresh)}.values():
-            df.unpersist()
+        for df in landed:
+            release(df)
 
 
 def vacuum(spark: SparkSession, table: str, keep: int = 2) -> int:

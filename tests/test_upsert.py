@@ -2,9 +2,13 @@
 
 import os
 import random
+import time
+
+from pyspark.sql import functions as F
 
 from citeweave.operators.dedupe import dedupe_titles
 from citeweave.schema import COLLECTION_SCHEMA
+from citeweave.session import work_path
 from citeweave.streaming import upsert as U
 from conftest import collection, rows
 
@@ -90,6 +94,39 @@ def test_vacuum_keeps_what_is_named(spark, scratch):
     assert len(rows(read(spark, table))) == len(want) + 1
 
 
+def test_buckets_are_rewritten_in_steps_that_leave_nothing_behind(spark, scratch):
+    """Shuffles and persisted rows of a batch would lie on disk beside the table."""
+    def local():
+        files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        files = [files.apply(i) for i in range(files.size())]
+        return {f.getName(): f.length() for f in files if f.getName().endswith(".data") or f.getName().startswith("rdd_")}
+    rnd, table, buckets = random.Random(2), f"{scratch}/t", U.STEPS * spark.sparkContext.defaultParallelism
+    data = [(i, f"T{rnd.randrange(2000)}" if i % 9 else "hot", f"A{i}", "2021", "s", "j", "%x" % rnd.getrandbits(8000), None) for i in range(3000)]
+    data += [(i, "of id %d too" % i, "", "2021", "s", "j", None, None) for i in (2000, 2001)]              # ids of two titles
+    before = local()
+    for b, part in enumerate((data[1500:], data[:1600])):
+        assert U.upsert(collection(spark, part).repartition(4), table, b, buckets=buckets) == buckets
+        assert len([d for d in os.listdir(f"{table}/data") if d.startswith(f"{b}-")]) == U.STEPS
+        size = sum(os.path.getsize(f.removeprefix("file://")) for f in read(spark, table).inputFiles())
+        for _ in range(50):
+            if sum(n for f, n in local().items() if f not in before) > size / 10:
+                time.sleep(0.2)
+        assert sum(n for f, n in local().items() if f not in before) <= size / 10
+    want: dict = {}
+    for r in data:
+        want[r[1]] = min(r, want.get(r[1], r), key=lambda x: x[0])
+    assert {r["title"]: tuple(r) for r in read(spark, table).collect()} == want and read(spark, table).count() == len(want)
+    stage = work_path(spark, "stage")
+    assert not os.path.isdir(stage) or not [d for d in os.listdir(stage) if d.startswith("upsert-")]
+
+
+def test_rows_without_an_id_take_no_part(spark, scratch):
+    df = collection(spark, [article(1, "A")])
+    U.upsert(df.union(df.withColumn("ingest_id", F.lit(None).cast("bigint"))).union(df.selectExpr("CAST(NULL AS bigint)", "'B'", *df.columns[2:])),
+             f"{scratch}/t", 0, buckets=2)
+    assert rows(read(spark, f"{scratch}/t")) == rows(df)
+
+
 def test_nothing_yet(spark, scratch):
     assert read(spark, f"{scratch}/none").count() == 0
     U.upsert(collection(spark, []), f"{scratch}/t", 0, buckets=3)
