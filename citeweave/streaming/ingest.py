@@ -26,8 +26,9 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.dedupe import dedupe_titles
+from ..operators.dedupe import dedupe_landed, dedupe_titles
 from ..schema import COLLECTION_SCHEMA
+from ..session import COMPACT, RELEASE_CONF, materialize, release, released_shuffles
 from .upsert import BUCKETS, read_table, upsert
 
 COLUMNS = COLLECTION_SCHEMA.fieldNames()
@@ -80,8 +81,8 @@ def start_title_ingest_stateful(spark: SparkSession, landing: str, table_path: s
 
 
 def fingerprint(title: Column) -> Column:
-    """A fixed-width key of a title; NULL has one of its own."""
-    return F.concat(F.sha2(F.coalesce(title, F.lit("")), 256), title.isNull().cast("string"))
+    """A key of 32 bytes for a title; NULL has one of its own."""
+    return F.coalesce(F.unhex(F.sha2(title, 256)), F.lit(bytes(32)))
 
 
 @contextmanager
@@ -100,30 +101,38 @@ def session_settings(spark: SparkSession, settings: dict[str, str]):
                 spark.conf.set(k, v)
 
 
+OTHERS = 200_000               # rows of a batch that are no corrections, by id, title and file: sent to all tasks at most
+
+
 def start_title_ingest_keep_first(spark: SparkSession, landing: str, log_path: str, checkpoint: str, max_files_per_trigger: int | None = None,
                                   state_partitions: int | None = None):
     """Keep-first ingest with the least id of every title in the state store.
 
     For each title fingerprint the state holds the least ``ingest_id`` seen, the time of the batch that brought it and
-    its file.  A row with a smaller id, the first included, is a correction: its least id bears its own batch's time.  It
+    a hash of its file's path: keys and values are of fixed width.  A row with a smaller id, the first included, is a correction: its least id bears its own batch's time.  It
     goes to the log (Parquet, a folder a batch, which a batch that runs again replaces), and ``kept_first`` reads the
     collection from the log.  Which files meet in a batch, and in what order, does not matter: the last correction of a
-    title is its row of least id.  Only keys meet the state; the rows come from the batch's files by a join.  Rows
-    without an id take no part.  Titles stay in the state (processing-time timers would keep an ``availableNow`` run
+    title is its row of least id.  Only keys meet the state; the rows come from the batch's files, where they stay while
+    few of them are no corrections (``OTHERS``), else by a join.  Rows without an id take no part.  Titles stay in the state (processing-time timers would keep an ``availableNow`` run
     from ever ending)."""
     settings = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB_PROVIDER}
     if state_partitions:
         settings["spark.sql.shuffle.partitions"] = str(state_partitions)
-    file, batch_time = F.col("_metadata.file_path"), F.current_timestamp()      # one time for a batch, also when it runs again
+    file, batch_time = F.xxhash64("_metadata.file_path"), F.current_timestamp()      # one time for a batch, also when it runs again
 
     def log_corrections(found: DataFrame, batch_id: int) -> None:
         found.persist()                  # the state is updated once
         try:
             files = [r["_file"] for r in found.select("_file").distinct().collect()]
-            rows = (found.sparkSession.read.schema(COLLECTION_SCHEMA).json(landing).where(file.isin(files))
+            rows = (found.sparkSession.read.schema(COLLECTION_SCHEMA).json(landing).where(file.isin(files)).where("ingest_id IS NOT NULL")
                     .withColumns({"_key": fingerprint(F.col("title")), "_file": file}))
-            (rows.join(found, ["ingest_id", "_key", "_file"], "left_semi").select(*COLUMNS)
-             .write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}"))
+            of_row = ["ingest_id", "_key", "_file"]
+            others = materialize(rows.select(*of_row).join(found, of_row, "left_anti").distinct(), "no-corrections")
+            kept = (rows.join(F.broadcast(others), of_row, "left_anti") if others.count() <= OTHERS
+                    else rows.join(found, of_row, "left_semi"))
+            with released_shuffles(found.sparkSession):
+                kept.select(*COLUMNS).write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}", compression=COMPACT)
+            release(others)
         finally:
             found.unpersist()
 
@@ -131,15 +140,18 @@ def start_title_ingest_keep_first(spark: SparkSession, landing: str, log_path: s
             .select(fingerprint(F.col("title")).alias("_key"), "ingest_id", batch_time.alias("_seen"), file.alias("_file")))
     least = (rows.groupBy("_key").agg(F.min(F.struct("ingest_id", "_seen", "_file")).alias("least"))
              .where(F.col("least._seen") == batch_time).select("_key", "least.ingest_id", "least._file"))
-    with session_settings(spark, settings):
+    with session_settings(spark, settings | {RELEASE_CONF: "true"}):
         return (least.writeStream.outputMode("update").foreachBatch(log_corrections)
                 .option("checkpointLocation", checkpoint)
                 .trigger(availableNow=True).start())
 
 
 def kept_first(spark: SparkSession, log_path: str) -> DataFrame:
-    """The collection that a log of corrections gives: of each title the row of least id."""
-    return dedupe_titles(spark.read.schema(COLLECTION_SCHEMA).parquet(log_path).select(*COLUMNS).dropDuplicates(["ingest_id"]))
+    """The collection that a log of corrections gives: of each title the row of least id.  Rows move only where the log
+    holds an id twice."""
+    log = spark.read.schema(COLLECTION_SCHEMA).parquet(log_path).select(*COLUMNS)
+    ids = materialize(log.groupBy("ingest_id").count().where("count > 1").select("ingest_id"), "repeated_ids")
+    return dedupe_landed(log) if ids.isEmpty() else dedupe_titles(log.dropDuplicates(["ingest_id"]))
 
 
 def _deliveries(collection: DataFrame, overlap: int) -> list[DataFrame]:

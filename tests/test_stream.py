@@ -2,7 +2,10 @@ import os
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from citeweave.operators import dedupe
+from citeweave.streaming import ingest
 from citeweave.streaming.ingest import (ingested, kept_first, run_title_ingest, run_title_ingest_keep_first, run_title_ingest_stateful,
                                         start_title_ingest, start_title_ingest_keep_first)
 from conftest import collection, rows
@@ -73,6 +76,36 @@ def test_keep_first_state_is_sparks_own(spark, scratch):
     assert rows(kept_first(spark, f"{scratch}/log")) == rows(dedupe.dedupe_titles(collection(spark, DATA)))
 
 
+@pytest.mark.parametrize("others", [ingest.OTHERS, 0])
+def test_keep_first_leaves_rows_where_they_are(spark, scratch, monkeypatch, others):
+    """Rows moved for every batch, and twice for the result, lay on disk beside the log and the state."""
+    monkeypatch.setattr(ingest, "OTHERS", others)
+    coll = collection(spark, DATA).repartition(3)
+    got = run_title_ingest_keep_first(spark, coll, scratch, overlap=10)
+    assert rows(got) == rows(dedupe.dedupe_titles(coll))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hash" not in plan
+    # an id that the log holds twice
+    spark.read.parquet(f"{scratch}/log/batch=1").write.parquet(f"{scratch}/log/batch=7")
+    assert rows(kept_first(spark, f"{scratch}/log")) == rows(dedupe.dedupe_titles(coll))
+
+
+def test_keys_and_files_of_the_state_have_a_fixed_width(spark, scratch):
+    keys = [r[0] for r in spark.createDataFrame([(None,), ("",), ("T" * 500,), ("é",)], "title string").select(ingest.fingerprint(F.col("title"))).collect()]
+    assert len(set(map(bytes, keys))) == 4 and {len(k) for k in keys} == {32}
+    # a batch's files are told by a hash of their paths, before any is opened
+    for i in range(3):
+        spark.range(5).write.mode("append").json(f"{scratch}/in")
+    file = F.xxhash64("_metadata.file_path")
+    df = spark.read.schema("id bigint").json(f"{scratch}/in")
+    one = df.select(file.alias("f")).first()["f"]
+    some = df.where(file.isin([one]))
+    assert 0 < some.count() < df.count()
+    plan = some._jdf.queryExecution().executedPlan()
+    plan.executeCollect()
+    assert plan.collectLeaves().head().metrics().apply("numFiles").value() == 1
+
+
 @pytest.mark.parametrize("run", [run_title_ingest, run_title_ingest_keep_first, run_title_ingest_stateful])
 def test_deliveries_land_compressed(spark, scratch, run):
     coll = collection(spark, DATA)
