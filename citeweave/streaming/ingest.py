@@ -154,6 +154,13 @@ def kept_first(spark: SparkSession, log_path: str) -> DataFrame:
     return dedupe_landed(log) if ids.isEmpty() else dedupe_titles(log.dropDuplicates(["ingest_id"]))
 
 
+STATE_ROWS = 250_000           # titles of a state partition; each also takes about 10 MB of a local disk whatever it holds
+
+
+def state_partitions_for(spark: SparkSession, rows: int) -> int:
+    return max(spark.sparkContext.defaultParallelism, -(-rows // STATE_ROWS))
+
+
 def _deliveries(collection: DataFrame, overlap: int) -> list[DataFrame]:
     """Upper half of the ingest ids, then the lower half plus the first ``overlap`` ids of the upper again: late rows
     with smaller ids, and an at-least-once re-delivery."""
@@ -185,9 +192,10 @@ def run_title_ingest_keep_first(spark: SparkSession, collection: DataFrame, base
     deliveries = _deliveries(collection, overlap)
     if not deliveries:
         return spark.createDataFrame([], COLLECTION_SCHEMA)
+    partitions = state_partitions_for(spark, collection.count())
     for part in deliveries:
         part.select(*COLUMNS).write.mode("append").json(landing, compression="gzip")
-        start_title_ingest_keep_first(spark, landing, log_path, ckpt, max_files_per_trigger).awaitTermination()
+        start_title_ingest_keep_first(spark, landing, log_path, ckpt, max_files_per_trigger, partitions).awaitTermination()
     return kept_first(spark, log_path)
 
 

@@ -90,6 +90,17 @@ def test_keep_first_leaves_rows_where_they_are(spark, scratch, monkeypatch, othe
     assert rows(kept_first(spark, f"{scratch}/log")) == rows(dedupe.dedupe_titles(coll))
 
 
+def test_state_partitions_follow_the_titles(spark, scratch, monkeypatch):
+    """A state partition takes local disk by itself: their number is not the session's shuffle partitions."""
+    cores = spark.sparkContext.defaultParallelism
+    assert [ingest.state_partitions_for(spark, n) for n in (0, 60, 10**9)] == [cores, cores, max(cores, 4000)]
+    monkeypatch.setattr(ingest, "STATE_ROWS", 1 + 60 // (cores + 3))
+    coll = collection(spark, DATA)
+    assert rows(run_title_ingest_keep_first(spark, coll, scratch, overlap=10)) == rows(dedupe.dedupe_titles(coll))
+    want = -(-len(DATA) // ingest.STATE_ROWS)
+    assert len([d for d in os.listdir(f"{scratch}/checkpoint/state/0") if d.isdigit()]) == max(cores, want)
+
+
 def test_keys_and_files_of_the_state_have_a_fixed_width(spark, scratch):
     keys = [r[0] for r in spark.createDataFrame([(None,), ("",), ("T" * 500,), ("é",)], "title string").select(ingest.fingerprint(F.col("title"))).collect()]
     assert len(set(map(bytes, keys))) == 4 and {len(k) for k in keys} == {32}
